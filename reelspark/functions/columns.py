@@ -89,14 +89,26 @@ def guarded_cosine(a: Column, b: Column) -> Column:
             .otherwise(dot(a, b) / (norm2(a) * norm2(b))))
 
 
-def genre_frequency_order(genre_lists: Column) -> Column:
-    """Genres of a list of ``A|B|C`` strings, most frequent first, ties by name.
+def sorted_genre_tokens(genre_lists: Column) -> Column:
+    """All genres of a list of ``A|B|C`` strings, flattened and sorted."""
+    return F.array_sort(F.flatten(F.transform(genre_lists, lambda g: split_genres(g))))
 
-    Built from higher-order functions: flatten the split lists, count each
-    distinct genre, sort by (count desc, genre asc).
+
+def genre_frequency_order(sorted_tokens: Column) -> Column:
+    """Distinct genres of a sorted token array, most frequent first, ties by name.
+
+    The count of genre g is the span between its first and last position in
+    the sorted array (native ``array_position``, no per-element lambda).
+    Pass a column reference (see ``sorted_genre_tokens``), not an expression,
+    so the array is built once per row.
     """
-    flat = F.flatten(F.transform(genre_lists, lambda g: split_genres(g)))
-    counted = F.transform(
-        F.array_distinct(flat),
-        lambda g: F.struct((-F.size(F.filter(flat, lambda x: x == g))).alias("neg_n"), g.alias("genre")))
-    return F.transform(F.array_sort(counted), lambda s: s["genre"])
+    n = F.size(sorted_tokens)
+    rev = F.reverse(sorted_tokens)
+
+    def counted(g):
+        first = F.array_position(sorted_tokens, g)
+        last = n - F.array_position(rev, g) + 1
+        return F.struct((first - last - 1).alias("neg_n"), g.alias("genre"))
+
+    return F.transform(F.array_sort(F.transform(F.array_distinct(sorted_tokens), counted)),
+                       lambda s: s["genre"])

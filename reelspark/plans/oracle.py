@@ -83,4 +83,8 @@ def with_views(body: str, *names: str, extra: dict[str, str] | None = None) -> s
         parts.append(f"{n} as ({sql.strip()})")
     for n, sql in extra.items():
         parts.append(f"{n} as ({sql.strip()})")
-    return "with " + ",\n".join(parts) + "\n" + body.strip()
+    body = body.strip()
+    if body[:5].lower() == "with ":
+        # the body brings its own CTEs: append them to ours
+        return "with " + ",\n".join(parts) + ",\n" + body[5:]
+    return "with " + ",\n".join(parts) + "\n" + body
