@@ -29,6 +29,37 @@ DEFAULT_CHUNK_ROWS = 1_000_000
 HOT_KEY_BROADCAST_LIMIT = 1_000_000
 
 
+def _split_hot(df: DataFrame, key: str, chunk_rows: int):
+    """(rows of ordinary keys, rows of hot keys or None, number of hot keys)."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.where(F.col("_n") > chunk_rows).select(key)
+    n_hot = hot.count()
+    if n_hot == 0:
+        return df, None, None
+    hot_b = F.broadcast(hot) if n_hot <= HOT_KEY_BROADCAST_LIMIT else hot
+    return df.join(hot_b, key, "left_anti"), df.join(hot_b, key, "left_semi"), n_hot
+
+
+def _hot_positions(rows: DataFrame, key: str, order: Sequence[str], out: str, n_hot: int) -> DataFrame:
+    """Per-key 0-based positions of hot keys' rows from one distributed sort."""
+    pos = global_row_number(rows, [key, *order], "_g")
+    start = pos.groupBy(key).agg(F.min("_g").alias("_g0"))
+    start = F.broadcast(start) if n_hot <= HOT_KEY_BROADCAST_LIMIT else start
+    return pos.join(start, key).withColumn(out, F.col("_g") - F.col("_g0")).drop("_g", "_g0")
+
+
+def key_positions(df: DataFrame, key: str, order: Sequence[str], out: str = "pos",
+                  chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """``row_number() over (partition by key order by ...) - 1`` as bigint,
+    with keys above ``chunk_rows`` rows positioned by a distributed sort."""
+    cold, hot, n_hot = _split_hot(df, key, chunk_rows)
+    w = Window.partitionBy(key).orderBy(*order)
+    cold_out = cold.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
+    if hot is None:
+        return cold_out
+    return cold_out.unionByName(_hot_positions(hot, key, order, out, n_hot))
+
+
 def sliding_frame(df: DataFrame, key: str, order: Sequence[str], width: int,
                   make_cols: Callable[[Window], list[Column]],
                   chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
@@ -39,21 +70,12 @@ def sliding_frame(df: DataFrame, key: str, order: Sequence[str], width: int,
     """
     if chunk_rows < width:
         raise ValueError("chunk_rows must be >= width")
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.where(F.col("_n") > chunk_rows).select(key)
-    n_hot = hot.count()
     plain_w = Window.partitionBy(key).orderBy(*order).rowsBetween(-width, -1)
-    if n_hot == 0:
-        return df.select("*", *make_cols(plain_w))
-
-    hot_b = F.broadcast(hot) if n_hot <= HOT_KEY_BROADCAST_LIMIT else hot
-    cold = df.join(hot_b, key, "left_anti").select("*", *make_cols(plain_w))
-
-    rows = df.join(hot_b, key, "left_semi")
-    pos = global_row_number(rows, [key, *order], "_g")
-    start = pos.groupBy(key).agg(F.min("_g").alias("_g0"))
-    pos = (pos.join(F.broadcast(start) if n_hot <= HOT_KEY_BROADCAST_LIMIT else start, key)
-           .withColumn("_p", F.col("_g") - F.col("_g0")).drop("_g", "_g0")
+    cold, hot, n_hot = _split_hot(df, key, chunk_rows)
+    cold_out = cold.select("*", *make_cols(plain_w))
+    if hot is None:
+        return cold_out
+    pos = (_hot_positions(hot, key, order, "_p", n_hot)
            .withColumn("_c", F.floor(F.col("_p") / chunk_rows).cast("bigint")))
     own = pos.withColumn("_ctx", F.lit(False))
     halo = (pos.where(F.col("_p") % chunk_rows >= chunk_rows - width)
@@ -61,4 +83,4 @@ def sliding_frame(df: DataFrame, key: str, order: Sequence[str], width: int,
     chunk_w = Window.partitionBy(key, "_c").orderBy("_p").rowsBetween(-width, -1)
     hot_out = (own.unionByName(halo).select("*", *make_cols(chunk_w))
                .where(~F.col("_ctx")).drop("_p", "_c", "_ctx"))
-    return cold.unionByName(hot_out)
+    return cold_out.unionByName(hot_out)

@@ -1 +1,104 @@
-"""Queries: q_models."""
+"""Model queries: ALS, item2vec, user vectors, NCF, click model.
+
+Random models cannot be value-hashed against SQL; these keys carry no oracle
+(row check) and are covered by invariants in ``tests/test_models.py``. The
+sequence table that feeds item2vec has an exact oracle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from reelspark.functions.columns import STRICT_LIKE_THRESHOLD, like_label, rounded
+from reelspark.operators import als, indexing, scoring, sequences
+from reelspark.plans.catalog import query
+from reelspark.plans.oracle import with_views
+from reelspark.sources import driver_tables as src
+
+NCF_TOP_N = 10
+
+
+@query("watch_sequences", "A10 P3 (liked items per user in time order)", with_views("""
+select uid, cast(row_number() over (partition by uid order by ts, mid) - 1 as bigint) pos, mid
+from ratings where score >= 3.5""", "ratings"))
+def watch_sequences(spark, d):
+    return sequences.watch_positions(src.ratings(spark, d))
+
+
+def _item2vec(spark, d):
+    r = src.ratings(spark, d)
+    model = sequences.fit_item2vec(sequences.sentences(sequences.watch_positions(r)))
+    return r, sequences.item_vectors(model)
+
+
+@query("item2vec", "F10 (Word2Vec dim 10, window 5, 1 iteration)")
+def item2vec(spark, d):
+    return _item2vec(spark, d)[1]
+
+
+@query("user_vectors", "A13 J24 (sum of rated items' vectors)")
+def user_vectors(spark, d):
+    r, vec = _item2vec(spark, d)
+    return sequences.user_vectors(r, vec)
+
+
+@query("als_user_recs", "F12 J7 T3 P10 (top-10 predicted items per user)")
+def als_user_recs(spark, d):
+    m = als.fit_als(src.ratings(spark, d))
+    return als.user_recs(m).withColumn("score", rounded(F.col("score")))
+
+
+@query("als_similar_items", "J9 F15 T5 (item factor cosine > 0.6, all partners)")
+def als_similar_items(spark, d):
+    m = als.fit_als(src.ratings(spark, d))
+    return als.similar_items(m).withColumn("score", rounded(F.col("score")))
+
+
+@query("als_similar_users", "J8 F15 T4 Q9 (top-10 users by factor cosine > 0.6)")
+def als_similar_users(spark, d):
+    m = als.fit_als(src.ratings(spark, d))
+    return als.similar_users(m).withColumn("score", rounded(F.col("score")))
+
+
+@query("als_rmse", "F13 A14 J13 (hash 80/20 split, RMSE on the holdout)")
+def als_rmse(spark, d):
+    train, test = als.holdout_split(src.ratings(spark, d))
+    return als.rmse_frame(als.fit_als(train), test)
+
+
+@query("als_grid", "F14 A15 (rank x lambda grid, arg-min RMSE)")
+def als_grid(spark, d):
+    train, test = als.holdout_split(src.ratings(spark, d))
+    return als.grid_search(train, test)
+
+
+def _ncf_inputs(spark, d):
+    r = src.ratings(spark, d)
+    uidx = indexing.dense_index(r, "uid", "user_idx")
+    iidx = indexing.dense_index(src.items(spark, d), "mid", "item_idx")
+    users, items = scoring.embedding_tables(uidx, iidx)
+    seen = indexing.attach_index(indexing.attach_index(r, uidx, "uid"), iidx, "mid")
+    return seen, users, items, uidx, iidx
+
+
+@query("ncf_score", "F16 (NCF forward pass over every rated pair)")
+def ncf_score(spark, d):
+    seen, users, items, _, _ = _ncf_inputs(spark, d)
+    s = scoring.score_pairs(seen, users, items, scoring.init_layers())
+    return s.withColumn("score", rounded(F.col("score")))
+
+
+@query("ncf_topn", "Q13 J16 U1 T12 (best unseen items per user, blocked scoring)")
+def ncf_topn(spark, d):
+    seen, users, items, uidx, iidx = _ncf_inputs(spark, d)
+    top = scoring.top_unseen(users, items, seen, scoring.init_layers(), NCF_TOP_N)
+    return (top.join(uidx, "user_idx").join(iidx, "item_idx")
+            .select("uid", "rank", "mid", rounded(F.col("score")).alias("score")))
+
+
+@query("click_model_auc", "F17 F18 A24 (MLP and FM click models on ALS factors, ROC AUC)")
+def click_model_auc(spark, d):
+    r = src.ratings(spark, d).withColumn("label", like_label(F.col("score"), STRICT_LIKE_THRESHOLD, True))
+    train, test = als.holdout_split(r)
+    m = als.fit_als(train, rank=8)
+    return scoring.click_model(train, m.userFactors, m.itemFactors, test)
