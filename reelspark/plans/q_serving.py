@@ -1 +1,130 @@
-"""Queries: q_serving."""
+"""Serving queries (profiles, browse, cold start, fallbacks, incremental users)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from reelspark.functions.columns import rounded
+from reelspark.operators import als, indexing, serving, stats
+from reelspark.plans.catalog import query
+from reelspark.plans.oracle import with_views
+from reelspark.sources import driver_tables as src
+
+ITEM_PROFILE_SQL = """
+select i.mid, trim(regexp_replace(i.title, '\\s*\\(\\d{4}\\)\\s*$', '')) title, i.genres,
+  coalesce(try_cast(nullif(regexp_extract(i.title, '\\((\\d{4})\\)\\s*$', 1), '') as integer), -1) release_year,
+  coalesce(a.n, 0) rating_count, coalesce(a.avg, 0.0) avg_rating
+from items i left join (select mid, count(*) n, avg(score) avg from ratings group by mid) a on i.mid = a.mid"""
+
+
+@query("item_profile", "Q11 A18 (catalogue row + rating count and mean)", with_views(
+    "select mid, title, genres, release_year, rating_count, round(avg_rating, 6) avg_rating from ip",
+    "ratings", "items", extra={"ip": ITEM_PROFILE_SQL}))
+def item_profile(spark, d):
+    p = serving.item_profile(src.items(spark, d), src.ratings(spark, d))
+    return p.withColumn("avg_rating", rounded(F.col("avg_rating")))
+
+
+@query("item_top_ratings", "T11 (10 best ratings per item, earlier first on ties)", with_views("""
+select mid, rank, uid, score, ts from (
+  select mid, uid, score, ts,
+         cast(row_number() over (partition by mid order by score desc, ts, uid) as bigint) rank
+  from ratings) t where rank <= 10""", "ratings"))
+def item_top_ratings(spark, d):
+    return serving.item_top_ratings(src.ratings(spark, d))
+
+
+@query("user_profile", "Q12 A17 (count, mean, highest, true lowest)", with_views("""
+select u.uid, u.username, coalesce(a.n, 0) rating_count, round(coalesce(a.avg, 0.0), 6) avg_rating,
+       coalesce(a.hi, 0.0) highest_rating, coalesce(a.lo, 0.0) lowest_rating
+from users u left join (select uid, count(*) n, avg(score) avg, max(score) hi, min(score) lo
+                        from ratings group by uid) a on u.uid = a.uid""", "ratings", "users"))
+def user_profile(spark, d):
+    p = serving.user_profile(src.users(spark, d), src.ratings(spark, d))
+    return p.withColumn("avg_rating", rounded(F.col("avg_rating")))
+
+
+@query("user_pref_genres", "A19 P4 J20 (genres of items scored > 3)", with_views(
+    "select uid, genre from user_pref", "user_pref"))
+def user_pref_genres(spark, d):
+    return serving.derived_pref_genres(src.ratings(spark, d), src.items(spark, d))
+
+
+DECLARED_SQL = """
+select distinct t.uid, g genre from tags t join items i on t.mid = i.mid,
+  unnest(string_split(i.genres, '|')) s(g) where t.tag = 'signup' and g <> ''"""
+
+
+@query("pref_merge", "Q14 U4 (declared at sign-up union derived genres)", with_views(
+    "select uid, genre from user_pref union select uid, genre from declared", "user_pref", "tags",
+    extra={"declared": DECLARED_SQL}))
+def pref_merge(spark, d):
+    it = src.items(spark, d)
+    return serving.merge_prefs(serving.derived_pref_genres(src.ratings(spark, d), it),
+                               serving.declared_pref_genres(src.tags(spark, d), it))
+
+
+@query("genre_browse", "Q1 T9 T10 (16 best-rated items per genre)", with_views("""
+select genre, rank, mid, round(value, 6) value from (
+  select g.genre, g.mid, ip.avg_rating value,
+         cast(row_number() over (partition by g.genre order by ip.avg_rating desc, g.mid) as bigint) rank
+  from (select distinct mid, s.g genre from items, unnest(string_split(genres, '|')) s(g) where s.g <> '') g
+  join ip on g.mid = ip.mid) t where rank <= 16""", "ratings", "items", extra={"ip": ITEM_PROFILE_SQL}))
+def genre_browse(spark, d):
+    it = src.items(spark, d)
+    b = serving.genre_browse(it, serving.item_profile(it, src.ratings(spark, d)))
+    return b.select("genre", "rank", "mid", rounded(F.col("value")).alias("value"))
+
+
+@query("genre_browse_year", "Q1 T9 (16 newest items per genre)", with_views("""
+select genre, rank, mid, value from (
+  select g.genre, g.mid, cast(ip.release_year as double) value,
+         cast(row_number() over (partition by g.genre order by ip.release_year desc, g.mid) as bigint) rank
+  from (select distinct mid, s.g genre from items, unnest(string_split(genres, '|')) s(g) where s.g <> '') g
+  join ip on g.mid = ip.mid) t where rank <= 16""", "ratings", "items", extra={"ip": ITEM_PROFILE_SQL}))
+def genre_browse_year(spark, d):
+    it = src.items(spark, d)
+    return serving.genre_browse(it, serving.item_profile(it, src.ratings(spark, d)), sort_by="releaseYear")
+
+
+@query("cold_start_recs", "Q7 U2 (union of preferred genres' top lists)", with_views("""
+select uid, rank, mid, round(score, 6) score from (
+  select uid, mid, score, cast(row_number() over (partition by uid order by score desc, mid) as bigint) rank
+  from (select p.uid, t.mid, max(t.avg) score from prefs p join genre_top t on p.genre = t.genre
+        group by p.uid, t.mid) x) y where rank <= 10""", "user_pref", "tags", "genre_top",
+    extra={"declared": DECLARED_SQL,
+           "prefs": "select uid, genre from user_pref union select uid, genre from declared"}))
+def cold_start_recs(spark, d):
+    r, it = src.ratings(spark, d), src.items(spark, d)
+    prefs = serving.merge_prefs(serving.derived_pref_genres(r, it),
+                                serving.declared_pref_genres(src.tags(spark, d), it))
+    top = stats.genre_top_n(it, stats.avg_score(r))
+    return serving.cold_start(prefs, top).withColumn("score", rounded(F.col("score")))
+
+
+@query("user_recs_fallback", "Q8 (ALS list, else cold start)")
+def user_recs_fallback(spark, d):
+    r, it, us = src.ratings(spark, d), src.items(spark, d), src.users(spark, d)
+    lfm = als.user_recs(als.fit_als(r))
+    prefs = serving.merge_prefs(serving.derived_pref_genres(r, it),
+                                serving.declared_pref_genres(src.tags(spark, d), it))
+    cold = serving.cold_start(prefs, stats.genre_top_n(it, stats.avg_score(r)))
+    out = serving.recs_with_fallback(lfm.select("uid", "rank", "mid", "score"), cold, us)
+    return out.withColumn("score", rounded(F.col("score")))
+
+
+# Incremental user index: the index as of a cut date, then later sign-ups.
+INDEX_CUT_TS = 820454400   # 1996-01-01 00:00:00 UTC
+
+
+@query("new_user_index", "A21 Q15 (users first seen after the cut get max+1, max+2, ...)", with_views(f"""
+with firsts as (select uid, min(ts) t0 from ratings group by uid),
+old as (select uid, cast(row_number() over (order by uid) - 1 as bigint) user_idx from firsts where t0 < {INDEX_CUT_TS}),
+fresh as (select uid from firsts where t0 >= {INDEX_CUT_TS})
+select uid, cast((select coalesce(max(user_idx), -1) from old) + row_number() over (order by uid) as bigint) user_idx
+from fresh""", "ratings"))
+def new_user_index(spark, d):
+    r = src.ratings(spark, d)
+    firsts = r.groupBy("uid").agg(F.min("ts").alias("t0"))
+    old = indexing.dense_index(firsts.where(F.col("t0") < INDEX_CUT_TS), "uid", "user_idx")
+    return indexing.next_user_index(old, firsts.where(F.col("t0") >= INDEX_CUT_TS), "uid", "user_idx")
