@@ -84,6 +84,9 @@ def with_views(body: str, *names: str, extra: dict[str, str] | None = None) -> s
     for n, sql in extra.items():
         parts.append(f"{n} as ({sql.strip()})")
     body = body.strip()
+    if body[:15].lower() == "with recursive ":
+        # RECURSIVE belongs right after WITH and applies to the whole list
+        return "with recursive " + ",\n".join(parts) + ",\n" + body[15:]
     if body[:5].lower() == "with ":
         # the body brings its own CTEs: append them to ours
         return "with " + ",\n".join(parts) + ",\n" + body[5:]

@@ -42,6 +42,28 @@ def user_vectors(spark, d):
     return sequences.user_vectors(r, vec)
 
 
+@query("user_embedding_sum", "A13 J24 (user vector = sum of fixed item vectors; one row per dimension)",
+       with_views("""
+with uv as (
+  select r.uid, u.pos - 1 dim, sum(cast(u.v as double)) value
+  from ratings r join (select vec_id, unnest(embedding) v, generate_subscripts(embedding, 1) pos from embeddings) u
+    on u.vec_id = r.mid
+  group by r.uid, u.pos),
+users_r as (select distinct uid from ratings),
+dims as (select range dim from range((select max(len(embedding)) from embeddings)))
+select a.uid, cast(d.dim as bigint) dim, round(coalesce(uv.value, 0.0), 6) value
+from users_r a cross join dims d left join uv on uv.uid = a.uid and uv.dim = d.dim""", "ratings"))
+def user_embedding_sum(spark, d):
+    """The driver's fixed 64-float vectors stand in for item vectors (item id =
+    vector id); items without a vector are skipped, users without any get zeros."""
+    e = src.table(spark, d, "embeddings").select(F.col("vec_id").alias("mid"),
+                                                 F.col("embedding").cast("array<double>").alias("vector"))
+    dim = e.agg(F.max(F.size("vector"))).first()[0]
+    uv = sequences.user_vectors(src.ratings(spark, d), e, dim=dim)
+    return uv.select("uid", F.posexplode("vector").alias("dim", "value")).select(
+        "uid", F.col("dim").cast("bigint"), rounded(F.col("value")).alias("value"))
+
+
 @query("als_user_recs", "F12 J7 T3 P10 (top-10 predicted items per user)")
 def als_user_recs(spark, d):
     m = als.fit_als(src.ratings(spark, d))

@@ -65,7 +65,21 @@ def stat_genre_topn(spark, d):
     return t.select("genre", "rank", "mid", rounded(F.col("avg")).alias("avg"))
 
 
-@query("stat_genre_pick", "U3 Q4 (greedy fold; rows only)")
+GENRE_PICK_SQL = """
+with recursive gl as (select genre, row_number() over (order by genre) gi from (select distinct genre from genre_top) x),
+walk(gi, picked, genre, mid, avg) as (
+  select 0::bigint, []::bigint[], null::varchar, null::bigint, null::double
+  union all
+  select g.gi, case when p.mid is null then w.picked else list_append(w.picked, p.mid) end, g.genre, p.mid, p.avg
+  from walk w join gl g on g.gi = w.gi + 1
+  left join lateral (select t.mid, t.avg from genre_top t
+                     where t.genre = g.genre and not list_contains(w.picked, t.mid)
+                     order by t.rank limit 1) p on true)
+select genre, mid, round(avg, 6) avg from walk where mid is not null"""
+
+
+@query("stat_genre_pick", "U3 Q4 (greedy: per genre in name order, best item not yet picked)",
+       with_views(GENRE_PICK_SQL, "genre_top"))
 def stat_genre_pick(spark, d):
     it = src.items(spark, d)
     t = stats.genre_top_n(it, stats.avg_score(src.ratings(spark, d)))
