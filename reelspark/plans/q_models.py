@@ -103,7 +103,32 @@ def _ncf_inputs(spark, d):
     return seen, users, items, uidx, iidx
 
 
-@query("ncf_score", "F16 (NCF forward pass over every rated pair)")
+NCF_SQL = """
+with uidx as (select uid, row_number() over (order by uid) - 1 user_idx from (select distinct uid from ratings) t),
+iidx as (select mid, row_number() over (order by mid) - 1 item_idx from (select distinct mid from items) t),
+pairs as (select u.user_idx, i.item_idx from ratings r join uidx u on r.uid = u.uid join iidx i on r.mid = i.mid),
+x as (select user_idx, item_idx, j,
+             case when j < 8 then 0.1 * sin(0.7 * user_idx + (1.3 * j + 1))
+                  else 0.1 * sin(0.7 * item_idx + (1.3 * (j - 8) + 3)) end v
+      from pairs, range(16) t(j)),
+w0 as (select o, i, sin(1 + 0.37 * o + 0.11 * i + 0) / sqrt(16) w from range(64) a(o), range(16) b(i)),
+w1 as (select o, i, sin(1 + 0.37 * o + 0.11 * i + 1) / sqrt(64) w from range(32) a(o), range(64) b(i)),
+w2 as (select o, i, sin(1 + 0.37 * o + 0.11 * i + 2) / sqrt(32) w from range(8) a(o), range(32) b(i)),
+h1 as (select user_idx, item_idx, o j, greatest(sum(v * w) + 0.01 * cos(o + 0), 0) v
+       from x join w0 on x.j = w0.i group by user_idx, item_idx, o),
+h2 as (select user_idx, item_idx, o j, greatest(sum(v * w) + 0.01 * cos(o + 1), 0) v
+       from h1 join w1 on h1.j = w1.i group by user_idx, item_idx, o),
+h3 as (select user_idx, item_idx, o j, greatest(sum(v * w) + 0.01 * cos(o + 2), 0) v
+       from h2 join w2 on h2.j = w2.i group by user_idx, item_idx, o),
+g as (select user_idx, item_idx, j + 8 j,
+             (0.1 * sin(0.7 * user_idx + (1.3 * j + 2))) * (0.1 * sin(0.7 * item_idx + (1.3 * j + 4))) v
+      from pairs, range(8) t(j)),
+z as (select user_idx, item_idx, sum(v * sin(0.5 + 0.23 * j) / sqrt(16)) z
+      from (select * from h3 union all select * from g) u group by user_idx, item_idx)
+select user_idx, item_idx, round(1 / (1 + exp(-z)), 6) score from z"""
+
+
+@query("ncf_score", "F16 (NCF forward pass over every rated pair)", with_views(NCF_SQL, "ratings", "items"))
 def ncf_score(spark, d):
     seen, users, items, _, _ = _ncf_inputs(spark, d)
     s = scoring.score_pairs(seen, users, items, scoring.init_layers())

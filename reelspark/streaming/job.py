@@ -9,8 +9,8 @@ Keyed state holds at most 40 (mid, score) pairs per user. The per-user
 events of a micro-batch arrive as an iterator of Arrow batches, so a hot
 user never has its batch materialised at once. ``upsert_batch`` writes
 version ``batch_id`` of two tables (ratings, recommendation lists) under the
-output folder; re-running a batch after a failure rewrites the same version
-from the previous one, so the sinks are idempotent.
+output folder as delta versions; re-running a batch after a failure
+rewrites the same version, so the sinks are idempotent.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from reelspark.operators.upsert import merge_latest
+from reelspark.operators.upsert import last_write_wins, merge_latest
 from reelspark.streaming.rerank import (EVENT_ORDER, MAX_USER_RATINGS_NUM, RECENT_LIST_CAP, candidate_scores,
                                         candidates, filter_log, parse_messages)
 
@@ -63,62 +63,90 @@ def with_recent_lists(events: DataFrame) -> DataFrame:
         _update_recent, STATE_OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 
-def _version_path(root: str, table: str, version: int) -> str:
-    return f"{root.rstrip('/')}/{table}/v={version:010d}"
-
-
-def _latest_version(spark: SparkSession, root: str, table: str, before: int) -> DataFrame | None:
-    """The newest committed version below ``before`` (a _SUCCESS marker
-    present), or None. Version folders are listed through Hadoop's file
-    system API so any shared store works."""
+def _delta(spark: SparkSession, root: str, table: str, upto: int) -> DataFrame | None:
+    """Committed delta versions ``v <= upto`` of ``table`` (partition column ``v``)."""
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{table}")
-    fs = path.getFileSystem(conf)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return None
-    versions = []
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if name.startswith("v=") and int(name[2:]) < before and fs.exists(
-                jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            versions.append(int(name[2:]))
-    if not versions:
-        return None
-    return spark.read.parquet(_version_path(root, table, max(versions)))
+    return spark.read.parquet(f"{root.rstrip('/')}/{table}").where(F.col("v") <= upto)
+
+
+def _write_version(df: DataFrame, root: str, table: str, version: int) -> None:
+    # Overwriting exactly this version folder makes a replayed batch idempotent.
+    df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{table}/v={version}")
+
+
+LIST_SCHEMA = "array<struct<rank:long,mid:long,score:double>>"
 
 
 def upsert_batch(out_root: str, sims: DataFrame, base_ratings: DataFrame | None = None):
-    """``foreachBatch`` body: ST9 rating upsert, ST6/ST7 scoring of each user's
-    newest event in the batch, S15 replacement of those users' lists."""
+    """``foreachBatch`` body (ST6-ST9, S15, S16).
+
+    * the batch's rating events are written as delta version ``batch_id`` of
+      ``ratings`` (ST9; readers resolve the newest per (uid, mid));
+    * each user's newest event of the batch is scored against the similarity
+      table; the user's seen set is read for the batch's users only
+      (base + deltas up to this batch, semi-joined on uid);
+    * every user of the batch gets a new list row (possibly empty: the old
+      list is replaced, S15) in delta version ``batch_id`` of ``recs``.
+
+    No table is rewritten per batch; ``compact`` folds deltas into a new base.
+    """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
-        prev_r = _latest_version(spark, out_root, "ratings", batch_id)
-        if prev_r is None:
-            prev_r = (base_ratings.select("uid", "mid", "score", "ts") if base_ratings is not None
-                      else spark.createDataFrame([], EVENT_SCHEMA))
         events = batch.select("uid", "mid", "score", "ts")
-        ratings = merge_latest(prev_r, events, ["uid", "mid"], list(EVENT_ORDER), ["score"])
-        ratings.write.mode("overwrite").parquet(_version_path(out_root, "ratings", batch_id))
-        ratings = spark.read.parquet(_version_path(out_root, "ratings", batch_id))
+        _write_version(events, out_root, "ratings", batch_id)
+
+        users = events.select("uid").distinct()
+        seen = _delta(spark, out_root, "ratings", batch_id).select("uid", "mid")
+        if base_ratings is not None:
+            seen = seen.unionByName(base_ratings.select("uid", "mid"))
+        seen = seen.join(users, "uid", "left_semi")
 
         newest = (batch.groupBy("uid").agg(F.max(F.struct(*EVENT_ORDER, "recent")).alias("_e"))
                   .select("uid", F.col("_e.mid").alias("mid"), F.col("_e.recent").alias("recent")))
         recents = newest.select("uid", F.explode("recent").alias("_r")).select("uid", "_r.mid", "_r.score")
-        cands = candidates(newest.select("uid", "mid"), ratings, sims)
-        lists = candidate_scores(cands, recents, sims)
-
-        prev_l = _latest_version(spark, out_root, "recs", batch_id)
-        if prev_l is None:
-            merged = lists
-        else:
-            merged = prev_l.join(newest.select("uid"), "uid", "left_anti").unionByName(lists)
-        merged.write.mode("overwrite").parquet(_version_path(out_root, "recs", batch_id))
+        cands = candidates(newest.select("uid", "mid"), seen, sims)
+        lists = (candidate_scores(cands, recents, sims)
+                 .groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("rank", "mid", "score"))).alias("recs")))
+        rows = (users.join(lists, "uid", "left")
+                .select("uid", F.coalesce("recs", F.array().cast(LIST_SCHEMA)).alias("recs")))
+        _write_version(rows, out_root, "recs", batch_id)
         batch.unpersist()
     return run
 
 
+def read_lists(spark: SparkSession, out_root: str, upto: int = 1 << 62) -> DataFrame | None:
+    """Current lists: the newest version per user, one row per entry
+    (``uid, rank, mid, score``); users whose newest list is empty have none."""
+    d = _delta(spark, out_root, "recs", upto)
+    if d is None:
+        return None
+    newest = last_write_wins(d, ["uid"], ["v"], ["recs"])
+    return newest.select("uid", F.explode("recs").alias("_r")).select("uid", "_r.rank", "_r.mid", "_r.score")
+
+
+def current_ratings(spark: SparkSession, out_root: str, base: DataFrame | None = None) -> DataFrame | None:
+    """Ratings after all committed batches: base plus deltas, newest per (uid, mid)."""
+    d = _delta(spark, out_root, "ratings", 1 << 62)
+    if d is None:
+        return base
+    d = d.drop("v")
+    return merge_latest(base, d, ["uid", "mid"], list(EVENT_ORDER), ["score"]) if base is not None else \
+        last_write_wins(d, ["uid", "mid"], list(EVENT_ORDER), ["score"]).select("uid", "mid", "score", "ts")
+
+
+def compact(spark: SparkSession, out_root: str, base_path: str, base: DataFrame | None = None) -> None:
+    """Fold all committed rating deltas into a new base snapshot at ``base_path``
+    (run off the streaming path; the query keeps appending deltas)."""
+    cur = current_ratings(spark, out_root, base)
+    if cur is not None:
+        cur.write.mode("overwrite").parquet(base_path)
+
+
 def start(spark: SparkSession, source_dir: str, out_root: str, checkpoint: str, sims: DataFrame,
           base_ratings: DataFrame | None = None, trigger: dict | None = None,
           files_per_trigger: int | None = None, fmt: str = "text", options: dict | None = None):
@@ -143,11 +171,6 @@ def start(spark: SparkSession, source_dir: str, out_root: str, checkpoint: str,
     return writer.start()
 
 
-def read_lists(spark: SparkSession, out_root: str) -> DataFrame | None:
-    """The newest committed recommendation lists."""
-    return _latest_version(spark, out_root, "recs", 1 << 62)
-
-
 def scratch_root(spark: SparkSession, name: str) -> str:
     """A fresh folder under the session's reliable checkpoint folder."""
     from reelspark.session import checkpoint_dir

@@ -120,7 +120,7 @@ def test_top_unseen_matches_brute_force(spark):
     uidx = spark.range(9).select(F.col("id").alias("user_idx"))
     iidx = spark.range(23).select(F.col("id").alias("item_idx"))
     users, items = scoring.embedding_tables(uidx, iidx)
-    layers = scoring.init_layers(3)
+    layers = scoring.init_layers()
     rnd = random.Random(8)
     seen = spark.createDataFrame([(u, i) for u in range(9) for i in range(23) if rnd.random() < 0.3],
                                  "user_idx long, item_idx long")
