@@ -21,6 +21,7 @@ Two exact strategies, neither materialises the cartesian product:
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.operators.topk import top_k_per_group
+from reelspark.session import checkpoint_dir
 
 DEFAULT_BLOCK_ROWS = 2048
 
@@ -42,9 +44,9 @@ def genre_terms(items: DataFrame) -> DataFrame:
 
 def tfidf(terms: DataFrame, doc_col: str = "mid") -> DataFrame:
     """F9 without hashing: tf per (doc, term), idf = ln((N + 1) / (df + 1)) as in
-    Spark ML's IDF, weight = tf * idf. N is a scalar subquery over the docs."""
+    Spark ML's IDF, weight = tf * idf. N (one number) is counted up front."""
     tf = terms.groupBy(doc_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    n_docs = terms.select(doc_col).distinct().agg(F.count(F.lit(1))).scalar()
+    n_docs = F.lit(terms.select(doc_col).distinct().count())
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.select("term", F.log((n_docs + 1).cast("double") / (F.col("df") + 1)).alias("idf"))
     return tf.join(idf, "term").select(doc_col, "term", "tf", "idf", (F.col("tf") * F.col("idf")).alias("w"))
@@ -58,9 +60,37 @@ def _normalise_sparse(entries: DataFrame, id_col: str) -> DataFrame:
             .select(id_col, "term", (F.col("w") / F.col("_norm")).alias("w")).where(F.col("w") != 0))
 
 
-def sparse_cosine_pairs(entries: DataFrame, threshold: float, id_col: str = "mid",
-                        other_col: str = "sim_mid") -> DataFrame:
-    """All ordered pairs (id, other, score) with cosine > ``threshold``, id != other.
+@dataclass
+class GroupedPairs:
+    """A similarity table in factorised form: ``members`` maps each id to the
+    representative of its group of equal vectors (``id, _rep``); ``rep_pairs``
+    holds (``_a, _b, score``) between representatives, including ``(r, r, 1.0)``.
+    ``sim(x, y) = rep_pairs(rep(x), rep(y))`` for x != y. Equal vectors make the
+    expanded table quadratic in group size; consumers that need only some
+    pairs join through the factors instead of expanding everything."""
+    members: DataFrame
+    rep_pairs: DataFrame
+    id_col: str = "mid"
+
+    def expand(self, other_col: str = "sim_mid") -> DataFrame:
+        """All ordered pairs (id, other, score), id != other."""
+        ma = self.members.select(F.col(self.id_col), F.col("_rep").alias("_a"))
+        mb = self.members.select(F.col(self.id_col).alias(other_col), F.col("_rep").alias("_b"))
+        return (self.rep_pairs.join(ma, "_a").join(mb, "_b")
+                .where(F.col(self.id_col) != F.col(other_col)).select(self.id_col, other_col, "score"))
+
+
+def as_grouped(sims, id_col: str = "mid", other_col: str = "sim_mid") -> GroupedPairs:
+    """A plain pairs table as a factorised one (every id its own group)."""
+    if isinstance(sims, GroupedPairs):
+        return sims
+    ids = sims.select(F.col(id_col)).union(sims.select(F.col(other_col).alias(id_col))).distinct()
+    return GroupedPairs(ids.select(id_col, F.col(id_col).alias("_rep")),
+                        sims.select(F.col(id_col).alias("_a"), F.col(other_col).alias("_b"), "score"), id_col)
+
+
+def sparse_cosine_groups(entries: DataFrame, threshold: float, id_col: str = "mid") -> GroupedPairs:
+    """Cosine > ``threshold`` between term vectors, factorised (see GroupedPairs).
 
     ``entries`` holds (id, term, w) with w > 0. Exact for 0 < threshold < 1.
     """
@@ -89,16 +119,20 @@ def sparse_cosine_pairs(entries: DataFrame, threshold: float, id_col: str = "mid
     scored = (cand.join(wa, "_a").join(wb, ["_b", "term"])
               .groupBy("_a", "_b").agg(F.sum(F.col("_wa") * F.col("_wb")).alias("score"))
               .where(F.col("score") > threshold))
-    rep_pairs = scored.unionByName(scored.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"), "score"))
-
-    ma = members.select(F.col(id_col).alias(id_col), F.col("_rep").alias("_a"))
-    mb = members.select(F.col(id_col).alias(other_col), F.col("_rep").alias("_b"))
-    between = rep_pairs.join(ma, "_a").join(mb, "_b").select(id_col, other_col, "score")
     # Members of one signature are equal vectors: cosine 1 with each other.
-    within = (members.join(members.select(F.col(id_col).alias(other_col), "_rep"), "_rep")
-              .where(F.col(id_col) != F.col(other_col))
-              .select(id_col, other_col, F.lit(1.0).alias("score")))
-    return between.unionByName(within)
+    selfs = rep.select(F.col("_rep").alias("_a"), F.col("_rep").alias("_b"), F.lit(1.0).alias("score"))
+    rep_pairs = (scored.unionByName(scored.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"), "score"))
+                 .unionByName(selfs))
+    # Both factors are read several times by consumers; a reliable checkpoint
+    # (items-sized, not pairs-sized) computes them once and cuts the lineage.
+    checkpoint_dir(entries.sparkSession)
+    return GroupedPairs(members.checkpoint(eager=True), rep_pairs.checkpoint(eager=True), id_col)
+
+
+def sparse_cosine_pairs(entries: DataFrame, threshold: float, id_col: str = "mid",
+                        other_col: str = "sim_mid") -> DataFrame:
+    """All ordered pairs (id, other, score) with cosine > ``threshold``, id != other."""
+    return sparse_cosine_groups(entries, threshold, id_col).expand(other_col)
 
 
 # --------------------------------------------------------------------------- dense cosine

@@ -16,6 +16,7 @@ from reelspark.operators import serving, similarity as sim, stats
 from reelspark.operators.upsert import last_write_wins
 from reelspark.plans.catalog import query
 from reelspark.plans.oracle import with_views
+from reelspark.session import checkpoint_dir
 from reelspark.plans.q_similarity import CONTENT_SIM_SQL, CONTENT_THRESHOLD, TFIDF_SQL
 from reelspark.sources import driver_tables as src
 from reelspark.streaming import job
@@ -63,8 +64,10 @@ def _events(spark, d):
 
 
 def _sims(spark, d):
+    """Content similarity in factorised form (the expanded table is quadratic in
+    the size of groups of equal items; the re-ranker never expands it whole)."""
     t = sim.tfidf(sim.genre_terms(src.items(spark, d)))
-    return sim.sparse_cosine_pairs(t.select("mid", "term", "w"), CONTENT_THRESHOLD)
+    return sim.sparse_cosine_groups(t.select("mid", "term", "w"), CONTENT_THRESHOLD)
 
 
 @query("log_filter", "S12 S13 ST2 P12 (lines with the rating prefix -> message)",
@@ -124,9 +127,11 @@ def stream_rerank(spark, d):
     """Runs the streaming job over the log, written as ``STREAM_SLICES`` files
     in event order (one micro-batch each), and returns the final lists."""
     root = job.scratch_root(spark, "stream-rerank")
-    sims_path = f"{root}/sims"
-    _sims(spark, d).write.mode("overwrite").parquet(sims_path)
-    sims_tab = spark.read.parquet(sims_path)
+    g = _sims(spark, d)
+    g.members.write.mode("overwrite").parquet(f"{root}/sims_members")
+    g.rep_pairs.write.mode("overwrite").parquet(f"{root}/sims_pairs")
+    sims_tab = sim.GroupedPairs(spark.read.parquet(f"{root}/sims_members"),
+                                spark.read.parquet(f"{root}/sims_pairs"))
     lines = src.log_lines(spark, d).join(_events(spark, d).select("event_id", "ts"), "event_id", "left")
     bounds = lines.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
     lo, hi = bounds["lo"] or 0, bounds["hi"] or 0
@@ -163,7 +168,10 @@ select uid, cast(r as bigint) rank, mid, round(score, 6) score from fb where r <
     "log_lines", "items", extra=STREAM_CTES))
 def stream_recs_fallback(spark, d):
     ev = _events(spark, d)
-    lists = rr.rerank_batch(ev, _sims(spark, d))
+    # The lists (<= 10 rows per user) feed several eager steps of the fallback;
+    # a reliable checkpoint computes them once and cuts the lineage.
+    checkpoint_dir(spark)
+    lists = rr.rerank_batch(ev, _sims(spark, d)).checkpoint(eager=True)
     rated = last_write_wins(ev, ["uid", "mid"], list(rr.EVENT_ORDER), ["score"])
     popular = stats.most_rated(rated)
     users = ev.select("uid").distinct()

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.functions.columns import RATING_LOG_PREFIX, STRONG_RATING_THRESHOLD, log10_at_least_one
+from reelspark.operators.similarity import as_grouped
 from reelspark.operators.topk import top_k_per_group
 from reelspark.operators.upsert import last_write_wins
 
@@ -70,34 +71,44 @@ def last_events(events: DataFrame) -> DataFrame:
     return last_write_wins(events, ["uid"], list(EVENT_ORDER), ["mid"])
 
 
-def candidates(last: DataFrame, seen: DataFrame, sims: DataFrame, n: int = MAX_SIM_MOVIES_NUM) -> DataFrame:
+def candidates(last: DataFrame, seen: DataFrame, sims, n: int = MAX_SIM_MOVIES_NUM) -> DataFrame:
     """ST6/J15/T6: items similar to the user's last rated item that the user has
     not rated, most similar first (ties: item id), first n. An item without a
     similarity row gives no candidates (the reference throws).
-    Rows ``uid, rank, mid, sim``."""
-    c = (last.select("uid", F.col("mid").alias("_src"))
-         .join(sims.select(F.col("mid").alias("_src"), F.col("sim_mid").alias("mid"), F.col("score").alias("sim")),
-               "_src")
-         .drop("_src")
-         .join(seen.select("uid", "mid").distinct(), ["uid", "mid"], "left_anti"))
+    ``sims`` is a pairs table (mid, sim_mid, score) or a ``GroupedPairs``; only
+    the partners of the users' last items are expanded. Rows ``uid, rank, mid, sim``."""
+    g = as_grouped(sims)
+    src_rep = last.select("uid", F.col("mid").alias("_src")).join(
+        g.members.select(F.col(g.id_col).alias("_src"), F.col("_rep").alias("_a")), "_src")
+    partners = (src_rep.join(g.rep_pairs, "_a")
+                .join(g.members.select(F.col(g.id_col).alias("mid"), F.col("_rep").alias("_b")), "_b")
+                .where(F.col("mid") != F.col("_src"))
+                .select("uid", "mid", F.col("score").alias("sim")))
+    c = partners.join(seen.select("uid", "mid").distinct(), ["uid", "mid"], "left_anti")
     return top_k_per_group(c, ["uid"], [F.round("sim", TIE_PLACES).desc(), F.col("mid").asc()], n)
 
 
-def candidate_scores(cands: DataFrame, recents: DataFrame, sims: DataFrame,
+def candidate_scores(cands: DataFrame, recents: DataFrame, sims,
                      sim_threshold: float = SIM_THRESHOLD,
                      strong: float = STRONG_RATING_THRESHOLD) -> DataFrame:
     """A22/J14/ST7: score(c) = mean(sim(c, r) * score_r) over the user's recent
     ratings r with sim > threshold, + log10(max(#strong, 1)) - log10(max(#weak, 1)),
-    strong meaning score_r > 3. Missing similarity counts as 0; a candidate
-    with no qualifying recent rating is dropped. Rows ``uid, rank, mid, score``.
+    strong meaning score_r > 3. Missing similarity (and c = r) counts as 0; a
+    candidate with no qualifying recent rating is dropped.
+    Rows ``uid, rank, mid, score``.
 
-    Per user this joins at most (candidates x recents) = 10 x 20 rows.
+    Per user this joins at most (candidates x recents) = 10 x 20 rows, and
+    looks up each pair's similarity through the factors.
     """
-    pairs = (cands.select("uid", "mid").join(recents.select("uid", F.col("mid").alias("_r"),
-                                                            F.col("score").alias("_rs")), "uid")
-             .join(sims.select("mid", F.col("sim_mid").alias("_r"), F.col("score").alias("_sim")),
-                   ["mid", "_r"], "left")
-             .withColumn("_sim", F.coalesce("_sim", F.lit(0.0)))
+    g = as_grouped(sims)
+    rep_of = g.members.select(F.col(g.id_col).alias("_k"), "_rep")
+    pairs = (cands.select("uid", "mid")
+             .join(recents.select("uid", F.col("mid").alias("_r"), F.col("score").alias("_rs")), "uid")
+             .join(rep_of.select(F.col("_k").alias("mid"), F.col("_rep").alias("_a")), "mid", "left")
+             .join(rep_of.select(F.col("_k").alias("_r"), F.col("_rep").alias("_b")), "_r", "left")
+             .join(g.rep_pairs.select("_a", "_b", F.col("score").alias("_sim")), ["_a", "_b"], "left")
+             .withColumn("_sim", F.when(F.col("mid") == F.col("_r"), F.lit(0.0))
+                         .otherwise(F.coalesce("_sim", F.lit(0.0))))
              .where(F.col("_sim") > sim_threshold))
     agg = pairs.groupBy("uid", "mid").agg(
         F.avg(F.col("_sim") * F.col("_rs")).alias("_base"),

@@ -62,7 +62,7 @@ def _run(spark, root, sims):
 
 
 def test_stream_equals_batch_replay_and_restart_is_idempotent(spark, sf_dir):
-    sims = _sims(spark, sf_dir).persist()
+    sims = _sims(spark, sf_dir)
     want = sorted(map(tuple, rr.rerank_batch(_events(spark, sf_dir), sims)
                       .select("uid", "rank", "mid", F.round("score", 9)).collect()))
     lines = src.log_lines(spark, sf_dir)
