@@ -25,9 +25,15 @@ SEED = 42
 
 def fit_als(ratings: DataFrame, rank: int = ALS_RANK, max_iter: int = ALS_ITER, reg: float = ALS_REG,
             seed: int = SEED) -> ALSModel:
-    """Explicit-feedback ALS on (uid, mid, score); ids must fit in int."""
+    """Explicit-feedback ALS on (uid, mid, score); ids must fit in int.
+
+    User and item blocks follow the session's parallelism (one block per
+    core), not ML's fixed default of 10, so the solve spreads over the
+    cluster; factor blocks spill to disk rather than fail."""
+    blocks = max(2, ratings.sparkSession.sparkContext.defaultParallelism)
     als = ALS(rank=rank, maxIter=max_iter, regParam=reg, userCol="uid", itemCol="mid",
               ratingCol="score", coldStartStrategy="drop", seed=seed,
+              numUserBlocks=blocks, numItemBlocks=blocks,
               intermediateStorageLevel="MEMORY_AND_DISK", finalStorageLevel="MEMORY_AND_DISK")
     return als.fit(ratings.select(F.col("uid").cast("int"), F.col("mid").cast("int"), "score"))
 

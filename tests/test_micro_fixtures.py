@@ -189,3 +189,20 @@ def test_stream_fallback_matches_brute_force(spark):
         free = [m for m in order if m not in seen][:10]
         want += [(u, i + 1, m) for i, m in enumerate(free)]
     assert got == sorted(want)
+
+
+def test_unknown_item_and_unrated_item(spark):
+    ratings = spark.createDataFrame([(1, 999, 4.0, 10), (1, 1, 3.0, 5)], RATING)
+    items = spark.createDataFrame([(1, "Heat (1995)", "Action|Crime"), (2, "No year", "Drama")],
+                                  "mid long, title string, genres string")
+    s = {r["mid"]: r for r in fe.sample_item_features(ratings, items).collect()}
+    assert s[999]["title"] is None and s[999]["release_year"] == 1990 and s[999]["movie_genre1"] is None
+    assert s[999]["movie_rating_count"] == 1 and s[999]["label"] == 1
+    assert s[1]["release_year"] == 1995 and s[1]["movie_genre2"] == "Crime" and s[1]["movie_genre3"] is None
+    p = {r["mid"]: r for r in serving.item_profile(items, ratings).collect()}
+    assert (p[2]["rating_count"], p[2]["avg_rating"], p[2]["release_year"]) == (0, 0.0, -1)
+    assert 999 not in p
+    users = spark.createDataFrame([(1, "a"), (2, "b")], "uid long, username string")
+    u = {r["uid"]: r for r in serving.user_profile(users, ratings).collect()}
+    assert (u[1]["lowest_rating"], u[1]["highest_rating"]) == (3.0, 4.0)
+    assert (u[2]["rating_count"], u[2]["avg_rating"], u[2]["lowest_rating"]) == (0, 0.0, 0.0)
