@@ -23,15 +23,32 @@ COLD_START_SIZE = 10
 STREAM_LIST_SIZE = 10
 
 
-def item_profile(items: DataFrame, ratings: DataFrame) -> DataFrame:
-    """Catalogue row with rating count and mean (0 when unrated) and
-    the release year (-1 when the title has none)."""
+def item_profile(items: DataFrame, ratings: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Catalogue row with rating count and mean (0 when unrated),
+    the release year (-1 when the title has none) and, when a links table is
+    given, the external ids (left join: items without links keep nulls)."""
     agg = ratings.groupBy("mid").agg(F.count(F.lit(1)).alias("rating_count"), F.avg("score").alias("avg_rating"))
-    return (items.join(agg, "mid", "left")
-            .select("mid", clean_title(F.col("title")).alias("title"), "genres",
-                    release_year(F.col("title"), DEFAULT_RELEASE_YEAR_CATALOGUE).alias("release_year"),
-                    F.coalesce("rating_count", F.lit(0)).cast("bigint").alias("rating_count"),
-                    F.coalesce("avg_rating", F.lit(0.0)).alias("avg_rating")))
+    out = (items.join(agg, "mid", "left")
+           .select("mid", clean_title(F.col("title")).alias("title"), "genres",
+                   release_year(F.col("title"), DEFAULT_RELEASE_YEAR_CATALOGUE).alias("release_year"),
+                   F.coalesce("rating_count", F.lit(0)).cast("bigint").alias("rating_count"),
+                   F.coalesce("avg_rating", F.lit(0.0)).alias("avg_rating")))
+    if links is not None:
+        out = out.join(links.select("mid", "imdbId", "tmdbId"), "mid", "left")
+    return out
+
+
+def lookup(df: DataFrame, key: str, value) -> DataFrame:
+    """The first row whose ``key`` equals ``value`` (a point lookup; on a
+    table written by ``sinks.write_table(key=...)`` parquet statistics prune
+    row groups). The batch form of many lookups is an equi-join."""
+    return df.where(F.col(key) == F.lit(value)).limit(1)
+
+
+def hydrate(ranked: DataFrame, rows: DataFrame, id_col: str, key: str) -> DataFrame:
+    """Replace ids in a ranked list by their rows (left join on the id;
+    the rank column keeps the list order)."""
+    return ranked.join(rows.withColumnRenamed(key, id_col), id_col, "left")
 
 
 def item_top_ratings(ratings: DataFrame, k: int = TOP_RATINGS) -> DataFrame:

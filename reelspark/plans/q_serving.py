@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelspark.functions.columns import rounded
-from reelspark.operators import als, indexing, serving, stats
+from reelspark.operators import als, indexing, serving, similarity as sim, stats
+from reelspark.operators.topk import top_k_per_group
+from reelspark.plans.q_similarity import CONTENT_SIM_SQL, CONTENT_THRESHOLD, TFIDF_SQL
 from reelspark.plans.catalog import query
 from reelspark.plans.oracle import with_views
 from reelspark.sources import driver_tables as src
@@ -128,3 +130,41 @@ def new_user_index(spark, d):
     firsts = r.groupBy("uid").agg(F.min("ts").alias("t0"))
     old = indexing.dense_index(firsts.where(F.col("t0") < INDEX_CUT_TS), "uid", "user_idx")
     return indexing.next_user_index(old, firsts.where(F.col("t0") >= INDEX_CUT_TS), "uid", "user_idx")
+
+
+@query("similar_items_topn", "Q10 J21 T10 (10 most similar items by content, with their titles)", with_views("""
+with tw as (TFIDF), cs as (CONTENT)
+select mid, rank, sim_mid, round(score, 6) score, title from (
+  select cs.mid, cs.sim_mid, cs.score, i.title,
+         cast(row_number() over (partition by cs.mid order by round(cs.score, 9) desc, cs.sim_mid) as bigint) rank
+  from cs left join items i on i.mid = cs.sim_mid) t where rank <= 10"""
+    .replace("TFIDF", TFIDF_SQL.strip()).replace("CONTENT", CONTENT_SIM_SQL.strip()
+                                                  .replace("round(sum(a.w * b.w), 6)", "sum(a.w * b.w)")), "items"))
+def similar_items_topn(spark, d):
+    it = src.items(spark, d)
+    t = sim.tfidf(sim.genre_terms(it))
+    pairs = sim.sparse_cosine_pairs(t.select("mid", "term", "w"), CONTENT_THRESHOLD)
+    top = top_k_per_group(pairs, ["mid"], [F.round("score", 9).desc(), F.col("sim_mid").asc()], 10)
+    out = serving.hydrate(top, it.select("mid", "title"), "sim_mid", "mid")
+    return out.select("mid", "rank", "sim_mid", rounded(F.col("score")).alias("score"), "title")
+
+
+@query("similar_users_named", "Q9 J22 (10 most similar users by ALS factors, with user names)")
+def similar_users_named(spark, d):
+    m = als.fit_als(src.ratings(spark, d))
+    top = als.similar_users(m)
+    out = serving.hydrate(top, src.users(spark, d), "sim_uid", "uid")
+    return out.select("uid", "rank", "sim_uid", rounded(F.col("score")).alias("score"), "username")
+
+
+@query("stat_sql_views", "S19 A1 A3 (temp views + SQL text, as the statistics job)", with_views("""
+select m.mid, m.count, round(a.avg, 6) avg from (select mid, count(mid) as count from ratings group by mid) m
+join (select mid, avg(score) avg from ratings group by mid) a on m.mid = a.mid""", "ratings"))
+def stat_sql_views(spark, d):
+    """Registers the ratings view and runs the statistics as SQL text; Catalyst
+    plans it exactly like the DataFrame form."""
+    src.ratings(spark, d).createOrReplaceTempView("reelspark_ratings")
+    return spark.sql("""
+        select m.mid, m.count, round(a.avg, 6) as avg
+        from (select mid, count(mid) as count from reelspark_ratings group by mid) m
+        join (select mid, avg(score) as avg from reelspark_ratings group by mid) a on m.mid = a.mid""")
