@@ -80,6 +80,19 @@ class GroupedPairs:
                 .where(F.col(self.id_col) != F.col(other_col)).select(self.id_col, other_col, "score"))
 
 
+    def top_k(self, k: int, other_col: str = "sim_mid", tie_places: int = 9) -> DataFrame:
+        """The k best partners per id (score desc, ties on the rounded score by
+        partner id asc) without expanding all pairs: members of one group share
+        every score, so only the k + 1 smallest ids of each partner group can
+        be chosen (one slot for the id itself). Rows ``id, other, score, rank``."""
+        first = top_k_per_group(self.members.select(F.col(self.id_col).alias(other_col), F.col("_rep").alias("_b")),
+                                ["_b"], [F.col(other_col).asc()], k + 1, "_r").drop("_r")
+        ma = self.members.select(F.col(self.id_col), F.col("_rep").alias("_a"))
+        cand = (ma.join(self.rep_pairs, "_a").join(first, "_b")
+                .where(F.col(self.id_col) != F.col(other_col)).select(self.id_col, other_col, "score"))
+        return top_k_per_group(cand, [self.id_col], [F.round("score", tie_places).desc(), F.col(other_col).asc()], k)
+
+
 def as_grouped(sims, id_col: str = "mid", other_col: str = "sim_mid") -> GroupedPairs:
     """A plain pairs table as a factorised one (every id its own group)."""
     if isinstance(sims, GroupedPairs):

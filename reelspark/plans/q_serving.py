@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from reelspark.functions.columns import rounded
 from reelspark.operators import als, indexing, serving, similarity as sim, stats
-from reelspark.operators.topk import top_k_per_group
 from reelspark.plans.q_similarity import CONTENT_SIM_SQL, CONTENT_THRESHOLD, TFIDF_SQL
 from reelspark.plans.catalog import query
 from reelspark.plans.oracle import with_views
@@ -143,8 +142,7 @@ select mid, rank, sim_mid, round(score, 6) score, title from (
 def similar_items_topn(spark, d):
     it = src.items(spark, d)
     t = sim.tfidf(sim.genre_terms(it))
-    pairs = sim.sparse_cosine_pairs(t.select("mid", "term", "w"), CONTENT_THRESHOLD)
-    top = top_k_per_group(pairs, ["mid"], [F.round("score", 9).desc(), F.col("sim_mid").asc()], 10)
+    top = sim.sparse_cosine_groups(t.select("mid", "term", "w"), CONTENT_THRESHOLD).top_k(10)
     out = serving.hydrate(top, it.select("mid", "title"), "sim_mid", "mid")
     return out.select("mid", "rank", "sim_mid", rounded(F.col("score")).alias("score"), "title")
 

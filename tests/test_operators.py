@@ -133,3 +133,20 @@ def test_top_unseen_matches_brute_force(spark):
         mine = [r["item_idx"] for r in sorted((r for r in got if r["user_idx"] == u), key=lambda r: r["rank"])]
         ref = sorted((i for i in range(23) if (u, i) not in seen_set), key=lambda i: (-scores[(u, i)], i))[:4]
         assert mine == ref
+
+
+def test_grouped_top_k_equals_expanded_top_k(spark):
+    rnd = random.Random(11)
+    terms = [f"t{i}" for i in range(6)]
+    entries = []
+    for doc in range(50):
+        chosen = ["t0", "t1"] if doc % 3 == 0 else rnd.sample(terms, rnd.randint(1, 3))
+        entries += [(doc, t, 1.0) for t in chosen]
+    g = sim.sparse_cosine_groups(spark.createDataFrame(entries, "mid long, term string, w double"), 0.3)
+    got = sorted((r["mid"], r["rank"], r["sim_mid"]) for r in g.top_k(4).collect())
+    pairs = [(r["mid"], r["sim_mid"], r["score"]) for r in g.expand().collect()]
+    want = []
+    for m in sorted({p[0] for p in pairs}):
+        mine = sorted((p for p in pairs if p[0] == m), key=lambda p: (-round(p[2], 9), p[1]))[:4]
+        want += [(m, i + 1, p[1]) for i, p in enumerate(mine)]
+    assert got == sorted(want)
