@@ -48,8 +48,8 @@ def exact_quantile_buckets(df: DataFrame, order: list[str], buckets: int, out: s
     return pos.withColumn(out, ntile_from_position(F.col("_pos"), total, buckets)).drop("_pos")
 
 
-def ml_item_pipeline(item_features: DataFrame, buckets: int = 100) -> DataFrame:
-    """the two-stage ML pipeline (QuantileDiscretizer on the count, MinMaxScaler
+def ml_item_stages(item_features: DataFrame, buckets: int = 100) -> DataFrame:
+    """two fitted ML stages (QuantileDiscretizer on the count, MinMaxScaler
     on the mean). Fitting collects only quantile sketches and min/max."""
     stages = [
         QuantileDiscretizer(numBuckets=buckets, inputCol="rating_count", outputCol="count_bucket",

@@ -42,10 +42,10 @@ def item_buckets(spark, d):
     return fe.exact_quantile_buckets(f, ["rating_count", "mid"], 100, "count_bucket")
 
 
-@query("item_pipeline_ml", "F7 F5 F6 (Spark ML pipeline; rows only)")
-def item_pipeline_ml(spark, d):
+@query("item_ml_features", "F7 F5 F6 (Spark ML stages: QuantileDiscretizer + MinMaxScaler; rows only)")
+def item_ml_features(spark, d):
     f = fe.item_rating_features(src.ratings(spark, d))
-    out = fe.ml_item_pipeline(f)
+    out = fe.ml_item_stages(f)
     return out.select("mid", "rating_count", F.col("count_bucket").cast("bigint").alias("count_bucket"),
                       rounded(F.col("avg_scaled")).alias("avg_scaled"))
 

@@ -9,7 +9,7 @@ import __spark_entry__ as E
 QUERIES = E.queries()
 # Heavy model fits are left out; their plans are Spark ML's own.
 SKIP = {"als_grid", "als_rmse", "als_similar_items", "als_similar_users", "als_user_recs", "click_model_auc",
-        "user_recs_fallback", "item2vec", "user_vectors", "item_pipeline_ml", "stream_rerank"}
+        "user_recs_fallback", "item2vec", "user_vectors", "item_ml_features", "stream_rerank"}
 # The genre containment join is the one intended nested-loop join (broadcast, size-checked list).
 NESTED_LOOP_OK = {"stat_genre_topn", "stat_genre_pick", "cold_start_recs", "recs_json"}
 TOP_K = ["top_most_rated", "stat_genre_topn", "item_top_ratings", "genre_browse", "recent_k", "embedding_topk"]
