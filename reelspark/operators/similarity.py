@@ -52,6 +52,28 @@ def tfidf(terms: DataFrame, doc_col: str = "mid") -> DataFrame:
     return tf.join(idf, "term").select(doc_col, "term", "tf", "idf", (F.col("tf") * F.col("idf")).alias("w"))
 
 
+def hashed_tfidf(items: DataFrame, num_features: int = 20, doc_col: str = "mid") -> DataFrame:
+    """F9 as the reference runs it: ML ``Tokenizer`` on genres with ``|`` as
+    space, ``HashingTF(num_features)`` (colliding terms share a bucket),
+    ``IDF``; the sparse vectors are exploded to (doc, term index, weight).
+    Fitting IDF aggregates document frequencies per bucket (a vector of
+    ``num_features`` counts), nothing per document reaches the driver. The
+    explode goes through a dense array of ``num_features`` slots, meant for
+    the reference's small bucket counts; large vocabularies use ``tfidf``
+    (exact terms, sparse rows)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IDF, HashingTF, Tokenizer
+    from pyspark.ml.functions import vector_to_array
+
+    docs = items.select(doc_col, F.translate(F.col("genres"), "|", " ").alias("_text"))
+    model = Pipeline(stages=[Tokenizer(inputCol="_text", outputCol="_tok"),
+                             HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
+                             IDF(inputCol="_tf", outputCol="_w")]).fit(docs)
+    w = model.transform(docs).select(doc_col, vector_to_array("_w").alias("_w"))
+    return (w.select(doc_col, F.posexplode("_w").alias("term", "w")).where(F.col("w") != 0)
+            .select(doc_col, F.col("term").cast("string").alias("term"), "w"))
+
+
 # --------------------------------------------------------------------------- sparse cosine
 
 def _normalise_sparse(entries: DataFrame, id_col: str) -> DataFrame:

@@ -52,6 +52,13 @@ def content_similar(spark, d):
     return pairs.select("mid", "sim_mid", rounded(F.col("score")).alias("score"))
 
 
+@query("content_similar_hashed", "F9 J10 T5 (HashingTF(20) + IDF as in the reference; cosine > 0.6)")
+def content_similar_hashed(spark, d):
+    w = sim.hashed_tfidf(src.items(spark, d), num_features=20)
+    pairs = sim.sparse_cosine_pairs(w, CONTENT_THRESHOLD)
+    return pairs.select("mid", "sim_mid", rounded(F.col("score")).alias("score"))
+
+
 EMB_COS = ("list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[]))")
 
 
