@@ -136,7 +136,7 @@ def current_ratings(spark: SparkSession, out_root: str, base: DataFrame | None =
         return base
     d = d.drop("v")
     return merge_latest(base, d, ["uid", "mid"], list(EVENT_ORDER), ["score"]) if base is not None else \
-        last_write_wins(d, ["uid", "mid"], list(EVENT_ORDER), ["score"]).select("uid", "mid", "score", "ts")
+        last_write_wins(d, ["uid", "mid"], list(EVENT_ORDER), ["score", "ts"]).select("uid", "mid", "score", "ts")
 
 
 def compact(spark: SparkSession, out_root: str, base_path: str, base: DataFrame | None = None) -> None:

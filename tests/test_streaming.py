@@ -81,3 +81,23 @@ def test_stream_equals_batch_replay_and_restart_is_idempotent(spark, sf_dir):
         assert again == want
         assert all(p["numInputRows"] == 0 for p in q2.recentProgress)
         assert batches >= 1
+
+
+def test_deltas_resolve_and_compact(spark):
+    root = tempfile.mkdtemp(prefix="reelspark-compact-")
+    first = ["x MOVIE_RATING_PREFIX:1|10|4.0|100", "x MOVIE_RATING_PREFIX:1|11|2.0|101", "noise"]
+    second = ["x MOVIE_RATING_PREFIX:1|10|1.5|200", "x MOVIE_RATING_PREFIX:2|12|5.0|150"]
+    for i, rows in enumerate((first, second)):
+        spark.createDataFrame([(r,) for r in rows], "value string").coalesce(1) \
+            .write.mode("overwrite").text(f"{root}/source/slice={i:04d}")
+        time.sleep(0.05)
+    sims = spark.createDataFrame([(10, 13, 0.9), (11, 13, 0.8), (12, 14, 0.95), (13, 10, 0.9), (14, 12, 0.95)],
+                                 "mid long, sim_mid long, score double")
+    _run(spark, root, sims)
+    cur = sorted(map(tuple, job.current_ratings(spark, f"{root}/out").collect()))
+    assert cur == [(1, 10, 1.5, 200), (1, 11, 2.0, 101), (2, 12, 5.0, 150)]
+    job.compact(spark, f"{root}/out", f"{root}/base")
+    assert sorted(map(tuple, spark.read.parquet(f"{root}/base").collect())) == cur
+    lists = {(r["uid"], r["mid"]) for r in job.read_lists(spark, f"{root}/out").collect()}
+    # user 1's newest event is (10, 1.5): candidate 13; user 2's is (12): candidate 14
+    assert (1, 13) in lists and (2, 14) in lists
