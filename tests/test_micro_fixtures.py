@@ -206,3 +206,22 @@ def test_unknown_item_and_unrated_item(spark):
     u = {r["uid"]: r for r in serving.user_profile(users, ratings).collect()}
     assert (u[1]["lowest_rating"], u[1]["highest_rating"]) == (3.0, 4.0)
     assert (u[2]["rating_count"], u[2]["avg_rating"], u[2]["lowest_rating"]) == (0, 0.0, 0.0)
+
+
+def test_fallback_hydrate_lookup_links(spark):
+    lfm = spark.createDataFrame([(1, 1, 10, 0.9)], "uid long, rank long, mid long, score double")
+    cold = spark.createDataFrame([(1, 1, 20, 4.0), (2, 1, 21, 3.0), (3, 1, 22, 2.0)],
+                                 "uid long, rank long, mid long, score double")
+    users = spark.createDataFrame([(1, "a"), (2, "b")], "uid long, username string")
+    out = sorted(map(tuple, serving.recs_with_fallback(lfm, cold, users).collect()))
+    assert out == [(1, 1, 10, 0.9), (2, 1, 21, 3.0)]  # user 3 is not a known user
+    items = spark.createDataFrame([(10, "Heat (1995)", "Action"), (21, "Up (2009)", "Kids")],
+                                  "mid long, title string, genres string")
+    h = serving.hydrate(lfm, items.select("mid", "title"), "mid", "mid").first()
+    assert (h["rank"], h["title"]) == (1, "Heat (1995)")
+    assert serving.lookup(items, "mid", 21).first()["title"] == "Up (2009)"
+    assert serving.lookup(items, "mid", 99).count() == 0
+    links = spark.createDataFrame([(10, "0113277", "949")], "mid long, imdbId string, tmdbId string")
+    ratings = spark.createDataFrame([], RATING)
+    p = {r["mid"]: r for r in serving.item_profile(items, ratings, links).collect()}
+    assert p[10]["imdbId"] == "0113277" and p[21]["imdbId"] is None
