@@ -78,9 +78,9 @@ def sliding_frame(df: DataFrame, key: str, order: Sequence[str], width: int,
     pos = (_hot_positions(hot, key, order, "_p", n_hot)
            .withColumn("_c", F.floor(F.col("_p") / chunk_rows).cast("bigint")))
     own = pos.withColumn("_ctx", F.lit(False))
-    halo = (pos.where(F.col("_p") % chunk_rows >= chunk_rows - width)
+    context = (pos.where(F.col("_p") % chunk_rows >= chunk_rows - width)
             .withColumn("_c", F.col("_c") + 1).withColumn("_ctx", F.lit(True)))
     chunk_w = Window.partitionBy(key, "_c").orderBy("_p").rowsBetween(-width, -1)
-    hot_out = (own.unionByName(halo).select("*", *make_cols(chunk_w))
+    hot_out = (own.unionByName(context).select("*", *make_cols(chunk_w))
                .where(~F.col("_ctx")).drop("_p", "_c", "_ctx"))
     return cold_out.unionByName(hot_out)
