@@ -30,12 +30,21 @@ HEADLINE = [
 ]
 
 
+def _driver_memory() -> str:
+    """60% of physical memory for the local JVM, between 2 GB and 16 GB."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError):
+        return "8g"
+    return f"{max(2, min(16, int(total * 0.6 / 2**30)))}g"
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     reps = int(os.environ.get("BENCH_REPS", "1"))
     spark = build_session(f"local[{cpus}]", app="reelspark-bench", shuffle_partitions=max(8, 2 * cpus),
-                          extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEM", "16g")})
+                          extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEM", _driver_memory())})
     reg = load_all()
     keys = sorted(reg) if os.environ.get("BENCH_QUERIES") == "all" else [
         k for k in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if k]
