@@ -10,7 +10,9 @@ Two exact strategies, neither materialises the cartesian product:
   still >= threshold. If cos(x, y) > t, x's indexed prefix must share a term
   with y (Cauchy-Schwarz on the suffix), so frequent terms are seldom
   indexed and their join fan-out stays small. Candidates are then verified
-  with an exact dot product.
+  with an exact dot product. The result is kept factorised (``GroupedPairs``:
+  id -> representative, representative pairs); ``expand`` emits all pairs,
+  ``top_k`` and the re-ranker read through the factors instead.
 * ``dense_cosine_pairs`` for dense vectors (embeddings, ALS factors). Rows
   are hashed into blocks; each pair of blocks (generated by an equi-join on
   an exploded partner-block id, not a cross join) is one task that runs a
