@@ -15,7 +15,7 @@ Two exact strategies, neither materialises the cartesian product:
   ``top_k`` and the re-ranker read through the factors instead.
 * ``dense_cosine_pairs`` for dense vectors (embeddings, ALS factors). Rows
   are hashed into blocks; each pair of blocks (generated by an equi-join on
-  an exploded partner-block id, not a cross join) is one task that runs a
+  the exploded (block, partner block) pair, not a cross join) is one task that runs a
   GEMM in numpy and emits only pairs over the threshold, keeping a local
   top-k when ``k`` is set. Memory per task is two blocks.
 """
@@ -228,13 +228,16 @@ def dense_cosine_pairs(df: DataFrame, id_col: str, vec_col: str, threshold: floa
               .groupBy("_blk").agg(F.collect_list(F.struct("_id", "_v")).alias("_m"))
               .select("_blk", F.transform("_m", lambda m: m["_id"]).alias("_ids"),
                       F.flatten(F.transform("_m", lambda m: m["_v"])).alias("_vecs")))
+    # Each block joins as the left member of pairs (a, b >= a) and as the right
+    # member of pairs (a <= b, b): the join key is the pair itself, so the join's
+    # own shuffle spreads block pairs evenly over tasks (no extra repartition).
     left = packed.select(F.col("_blk").alias("a_block"), F.col("_ids").alias("a_ids"),
                          F.col("_vecs").alias("a_vecs"),
-                         F.explode(F.sequence(F.col("_blk"), F.lit(blocks - 1))).alias("_partner"))
-    right = packed.select(F.col("_blk").alias("b_block"), F.col("_ids").alias("b_ids"),
+                         F.explode(F.sequence(F.col("_blk"), F.lit(blocks - 1))).alias("b_block"))
+    right = packed.select(F.explode(F.sequence(F.lit(0), F.col("_blk"))).alias("a_block"),
+                          F.col("_blk").alias("b_block"), F.col("_ids").alias("b_ids"),
                           F.col("_vecs").alias("b_vecs"))
-    pairs = (left.join(right, left._partner == right.b_block).drop("_partner")
-             .repartition(max(1, blocks * (blocks + 1) // 2), "a_block", "b_block"))
+    pairs = left.join(right, ["a_block", "b_block"])
     scored = pairs.mapInPandas(_block_pair_scores(dim, threshold, k), "_l long, _r long, score double")
     out = scored.select(F.col("_l").alias(id_col), F.col("_r").alias(other_col), "score")
     if k is not None:
