@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -47,7 +51,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; it is read
     from the session and used as is. Only when nothing is set (local tests)
-    a fresh scratch folder is created.
+    a fresh scratch folder is created; any other master without the setting
+    is an error, since executors would not see each other's folders.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -57,10 +62,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="reelspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir()
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Functions given to mapInArrow and the like are pickled by reference, so the
+    Python workers must be able to import the package wherever they run.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="reelspark-ship-")  # served from here until the application ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder) / f"{root.name}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    _shipped.add(sc.applicationId)
