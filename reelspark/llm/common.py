@@ -36,6 +36,17 @@ def same_row(left: DataFrame, right: DataFrame) -> Column:
     return left["doc_id"].eqNullSafe(right["doc_id"]) & left[KEY].eqNullSafe(right[KEY])
 
 
+#: Most rows of a broadcast table of a few fixed-width columns.
+BROADCAST_ROWS = 1 << 18
+
+
+def broadcast_if(narrow: DataFrame, rows: int) -> DataFrame:
+    """``narrow`` with a broadcast hint if it has at most BROADCAST_ROWS rows
+    (``rows`` is its counted size or an upper bound); beyond that the join is
+    shuffled."""
+    return F.broadcast(narrow) if rows <= BROADCAST_ROWS else narrow
+
+
 class WordHash(dict):
     """word (bytes) -> 64-bit hash, computed once per word while it stays cached."""
 

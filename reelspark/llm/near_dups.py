@@ -8,7 +8,7 @@ sequence as one shingle; no words: the empty set, linked with nothing).
 Documents with equal sets form one class; only classes are compared. Classes
 meet in a bucket when one band of their signature agrees. Within a bucket no
 list of all pairs is made: every member is compared with one centre, and while
-members in different components remain, with 2, 4, 8, ... further centres,
+members in different components remain, with 16, 256, ... further centres,
 members of small components first. A bucket is finished when the members that
 have not been a centre lie in one component, so every pair of a bucket has
 been compared or is connected already: no link between components is lost.
@@ -30,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reelspark.llm.common import KEY, _odd, binary_values, hash_words, list_array, ngram_hashes, prepare, row_key, slices
+from reelspark.llm.common import KEY, _odd, binary_values, broadcast_if, hash_words, list_array, ngram_hashes, prepare, row_key, slices
 from reelspark.llm.components import connected_components
 
 SHINGLE = 5
 MINIMA = 128
 ROWS_PER_BAND = 4
+#: Growth of the number of centres a bucket gets from one round to the next.
+FAN = 16
 #: Shingles hashed together; keeps the working arrays in the processor cache.
 BLOCK = 1 << 17
 
@@ -146,14 +148,15 @@ class _Confirm:
         self.least = t - 5 * (t * (1 - t) / MINIMA) ** 0.5
 
     def __call__(self, pairs: DataFrame) -> DataFrame | None:
-        sig = self.classes.select("node", "sig")
-        close = (pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
-                 .join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
+        side = {x: self.classes.select(F.col("node").alias(x), F.col("sig").alias("s" + x), F.col("n_shingles").alias("n" + x)) for x in "ab"}
+        close = (pairs.join(side["a"], "a").join(side["b"], "b")
+                 .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent)
                  .select("a", "b", "sa", "sb").mapInArrow(_agreeing(self.least), "a bigint, b bigint").checkpoint())
-        if close.isEmpty():
+        n = close.count()
+        if not n:
             return None
         need = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        rep = need.join(self.classes.select("node", "rep"), "node").select("node", "rep.*")
+        rep = broadcast_if(need.join(self.classes.select("node", "rep"), "node").select("node", "rep.*"), 2 * n)
         d = self.docs
         texts = (d.join(rep, d["doc_id"].eqNullSafe(rep["doc_id"]) & (d[KEY] == rep[KEY]))
                  .select("node", "text").dropDuplicates(["node"]).checkpoint())
@@ -171,7 +174,7 @@ def _bucket_links(classes: DataFrame, confirm: _Confirm) -> DataFrame | None:
     pairs = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     links = confirm(pairs)
     components = connected_components(links) if links is not None else None
-    members, fan = members.where("node <> centre").select("band", "node"), 2
+    members, fan = members.where("node <> centre").select("band", "node"), FAN
     while True:
         if components is None:
             labelled = members.withColumn("c", F.col("node")).withColumn("size", F.lit(1).cast("bigint"))
@@ -194,7 +197,7 @@ def _bucket_links(classes: DataFrame, confirm: _Confirm) -> DataFrame | None:
                 components.select(F.col("node").alias("u"), F.col("component").alias("v")))
             components = connected_components(stars)
         members = active.select("band", "node").join(chosen.select("band", F.col("b").alias("node")), ["band", "node"], "left_anti")
-        fan *= 2
+        fan *= FAN
 
 
 def _components_of(docs: DataFrame, percent: int) -> DataFrame:
@@ -202,7 +205,7 @@ def _components_of(docs: DataFrame, percent: int) -> DataFrame:
     prepare(docs.sparkSession)
     marks = mark(docs).checkpoint()
     classes = (marks.where("n_shingles > 0").groupBy("k1", "k2")
-               .agg(F.min("doc_id").alias("class_doc"), F.min(F.struct("doc_id", KEY)).alias("rep"),
+               .agg(F.min("doc_id").alias("class_doc"), F.first("n_shingles").alias("n_shingles"), F.min(F.struct("doc_id", KEY)).alias("rep"),
                     F.first("bands").alias("bands"), F.first("sig").alias("sig"))
                .withColumn("node", F.monotonically_increasing_id()).checkpoint())
     components = _bucket_links(classes, _Confirm(docs, classes, percent))
