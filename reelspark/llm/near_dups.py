@@ -7,14 +7,17 @@ sequence as one shingle; no words: the empty set, linked with nothing).
 
 Documents with equal sets form one class; only classes are compared. Classes
 meet in a bucket when one band of their signature agrees. Within a bucket no
-list of all pairs is made: every member is compared with one centre, and while
-members in different components remain, with 16, 256, ... further centres,
-members of small components first. A bucket is finished when the members that
+list of all pairs is made. Members with too many shingles that nobody else in
+any bucket has are out at once: no other set reaches them. The rest is compared
+with one centre, the member with the fewest shingles of its own (a group of
+edited copies gathers about its original), and while members in different
+components remain, with 16, 256, ... further centres, members of small
+components first. A bucket is finished when the members that
 have not been a centre lie in one component, so every pair of a bucket has
 been compared or is connected already: no link between components is lost.
 
-With 128 minima in 32 bands of 4 a pair at similarity 0.85 shares no band with
-probability 5e-11 (0.8: 5e-8). The signature check drops pairs more than five
+With 192 minima in 32 bands of 6 a pair at similarity 0.85 shares no band with
+probability 3e-7 (0.8: 6e-5). The signature check drops pairs more than five
 standard deviations below the threshold. What remains is decided on full sets.
 """
 
@@ -26,7 +29,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,8 +37,8 @@ from reelspark.llm.common import KEY, _odd, binary_values, broadcast_if, hash_wo
 from reelspark.llm.components import connected_components
 
 SHINGLE = 5
-MINIMA = 128
-ROWS_PER_BAND = 4
+MINIMA = 192
+ROWS_PER_BAND = 6
 #: Growth of the number of centres a bucket gets from one round to the next.
 FAN = 16
 #: Shingles hashed together; keeps the working arrays in the processor cache.
@@ -120,83 +123,117 @@ def _agreeing(least: float):
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, MINIMA) for c in ("sa", "sb"))
             keep = pa.array((a == b).mean(axis=1) >= least)
-            yield batch.select(["a", "b"]).filter(keep)
+            yield batch.select(["a", "b", "na", "nb"]).filter(keep)
     return run
 
 
-def _linked(percent: int):
-    """Pairs of texts whose full sets reach the similarity."""
+def _intersect():
+    """Size of the intersection of two texts' full sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cached = lru_cache(maxsize=64)(shingle_set)
         for batch in batches:
-            keep = []
+            shared = []
             for left, right in zip(binary_values(batch.column("ta")), binary_values(batch.column("tb")), strict=True):
                 x, y = cached(left), cached(right)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) else 0
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                shared.append(len(np.intersect1d(x, y, assume_unique=True)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(shared, pa.int64())],
+                                             names=["a", "b", "na", "nb", "inter"])
     return run
 
 
-class _Confirm:
-    """Turns candidate pairs of classes into confirmed links."""
+def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        nodes, texts = batch.column("node").to_numpy(), binary_values(batch.column("text"))
+        for lo, hi in slices([len(t) // 6 for t in texts], BLOCK):
+            sets = [shingle_set(t) for t in texts[lo:hi]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(nodes[lo:hi], [len(s) for s in sets])), _signed(np.concatenate(sets))], names=["node", "h"])
+
+
+def _partnered(texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(node, n, own): nodes that can have a partner among ``texts``, with the size
+    of their set and how many of its shingles nobody else has. A set in which
+    more than 100 - percent per cent are its own reaches no other set."""
+    owned = (texts.mapInArrow(_explode_sets, "node bigint, h bigint").groupBy("h").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n"))
+             .where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own")))
+    every = texts.select("node").join(classes.select("node", "n_shingles"), "node").join(owned, "node", "left")
+    return (every.select("node", F.col("n_shingles").alias("n"), F.coalesce("own", F.lit(0)).alias("own"))
+            .where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent))
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, percent: int):
-        self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key(F.col("text")).alias(KEY), "text")
-        self.classes, self.percent = classes, percent
+
+def _reachable(percent: int) -> Column:
+    """Whether two sets of a bucket can be similar enough, by what is known of
+    each: size n, shingles of its own, shingles shared with the bucket's first
+    centre (null: not known). Shingles of one's own are shared with nobody."""
+    bound = F.least(F.col("n") - F.col("own"), F.col("bn") - F.col("bown"))
+    through = (F.least("inter", "binter")
+               + F.least(F.col("n") - F.col("inter") - F.col("own"), F.col("bn") - F.col("binter") - F.col("bown")))
+    both = F.when(F.col("inter").isNotNull() & F.col("binter").isNotNull(), F.least(bound, through)).otherwise(bound)
+    return both * 100 >= (F.col("n") + F.col("bn") - both) * percent
+
+
+class _Compare:
+    """Sizes of the intersections of candidate pairs (a, b) of classes, by their
+    full sets; pairs whose sizes or signatures rule them out are left out."""
+
+    def __init__(self, texts: DataFrame, classes: DataFrame, percent: int):
+        self.texts, self.classes, self.percent = texts, classes, percent
         t = percent / 100
         self.least = t - 5 * (t * (1 - t) / MINIMA) ** 0.5
 
-    def __call__(self, pairs: DataFrame) -> DataFrame | None:
+    def __call__(self, pairs: DataFrame) -> DataFrame:
         side = {x: self.classes.select(F.col("node").alias(x), F.col("sig").alias("s" + x), F.col("n_shingles").alias("n" + x)) for x in "ab"}
         close = (pairs.join(side["a"], "a").join(side["b"], "b")
                  .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent)
-                 .select("a", "b", "sa", "sb").mapInArrow(_agreeing(self.least), "a bigint, b bigint").checkpoint())
-        n = close.count()
-        if not n:
-            return None
-        need = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        rep = broadcast_if(need.join(self.classes.select("node", "rep"), "node").select("node", "rep.*"), 2 * n)
-        d = self.docs
-        texts = (d.join(rep, d["doc_id"].eqNullSafe(rep["doc_id"]) & (d[KEY] == rep[KEY]))
-                 .select("node", "text").dropDuplicates(["node"]).checkpoint())
-        return (close.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-                .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-                .select("a", "b", "ta", "tb").mapInArrow(_linked(self.percent), "a bigint, b bigint")
-                .select(F.col("a").alias("u"), F.col("b").alias("v")).checkpoint())
-
-
-def _bucket_links(classes: DataFrame, confirm: _Confirm) -> DataFrame | None:
+                 .select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_agreeing(self.least), "a bigint, b bigint, na bigint, nb bigint"))
+        return (close.join(self.texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+                .join(self.texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+                .select("a", "b", "na", "nb", "ta", "tb")
+                .mapInArrow(_intersect(), "a bigint, b bigint, na bigint, nb bigint, inter bigint").checkpoint())
+
+
+def _bucket_links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame | None:
     """(node, component) over the classes, or None if nothing is linked."""
     exploded = classes.select("node", F.explode("bands").alias("band"))
-    centres = exploded.groupBy("band").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = exploded.join(centres, "band").select("band", "node", "centre").checkpoint()
-    pairs = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    links = confirm(pairs)
-    components = connected_components(links) if links is not None else None
-    members, fan = members.where("node <> centre").select("band", "node"), FAN
+    shared = exploded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
+    members = exploded.join(shared, "band").select("band", "node").checkpoint()
+    rep = members.select("node").distinct().join(classes.select("node", "rep"), "node").select("node", "rep.*").checkpoint()
+    rep = broadcast_if(rep, rep.count())
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key(F.col("text")).alias(KEY), "text")
+    texts = (d.join(rep, d["doc_id"].eqNullSafe(rep["doc_id"]) & (d[KEY] == rep[KEY]))
+             .select("node", "text").dropDuplicates(["node"]).checkpoint())
+    members = (members.join(_partnered(texts, classes, percent), "node")
+               .withColumn("inter", F.lit(None).cast("bigint")).checkpoint())
+    compare = _Compare(texts, classes, percent)
+    facts = ["band", "node", "n", "own", "inter"]
+    components, fan = None, 1
     while True:
         if components is None:
             labelled = members.withColumn("c", F.col("node")).withColumn("size", F.lit(1).cast("bigint"))
         else:
             size = components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-            named = components.join(size, "component")
-            labelled = (members.join(named, "node", "left")
-                        .select("band", "node", F.coalesce("component", "node").alias("c"), F.coalesce("size", F.lit(1)).alias("size")))
+            labelled = (members.join(components.join(size, "component"), "node", "left")
+                        .select(*facts, F.coalesce("component", "node").alias("c"), F.coalesce("size", F.lit(1)).alias("size")))
         open_bands = labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
         active = labelled.join(open_bands, "band").checkpoint()
         if active.isEmpty():
             return components
-        rank = F.row_number().over(Window.partitionBy("band").orderBy("size", F.xxhash64("node", F.lit(fan)), "node"))
-        chosen = active.withColumn("r", rank).where(F.col("r") <= fan).select("band", F.col("node").alias("b"), F.col("c").alias("cb")).checkpoint()
-        pairs = (active.join(chosen, "band").where("c <> cb")
+        rank = F.row_number().over(Window.partitionBy("band").orderBy("size", F.col("own") / F.col("n"), "node"))
+        chosen = (active.withColumn("r", rank).where(F.col("r") <= fan)
+                  .select("band", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("bn"), F.col("own").alias("bown"),
+                          F.col("inter").alias("binter")).checkpoint())
+        pairs = (active.join(chosen, "band").where((F.col("c") != F.col("cb")) & _reachable(percent))
                  .select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct())
-        links = confirm(pairs)
-        if links is not None:
-            stars = links if components is None else links.unionByName(
-                components.select(F.col("node").alias("u"), F.col("component").alias("v")))
-            components = connected_components(stars)
-        members = active.select("band", "node").join(chosen.select("band", F.col("b").alias("node")), ["band", "node"], "left_anti")
+        known = compare(pairs)
+        links = known.where(F.col("inter") * 100 >= (F.col("na") + F.col("nb") - F.col("inter")) * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if not links.isEmpty():
+            components = connected_components(links if components is None else links.unionByName(
+                components.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+        members = active.select(*facts).join(chosen.select("band", F.col("b").alias("node")), ["band", "node"], "left_anti")
+        if fan == 1:  # what each member shares with its bucket's first centre bounds what members share among themselves
+            shared = known.select("a", "b", "inter").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "inter"))
+            members = (members.drop("inter").join(chosen.select("band", "b"), "band")
+                       .join(shared.withColumnRenamed("a", "node"), ["node", "b"], "left").select(*facts))
         fan *= FAN
 
 
@@ -208,7 +245,7 @@ def _components_of(docs: DataFrame, percent: int) -> DataFrame:
                .agg(F.min("doc_id").alias("class_doc"), F.first("n_shingles").alias("n_shingles"), F.min(F.struct("doc_id", KEY)).alias("rep"),
                     F.first("bands").alias("bands"), F.first("sig").alias("sig"))
                .withColumn("node", F.monotonically_increasing_id()).checkpoint())
-    components = _bucket_links(classes, _Confirm(docs, classes, percent))
+    components = _bucket_links(docs, classes, percent)
     if components is None:
         named = classes.select("k1", "k2", F.col("class_doc").alias("component_id"))
     else:
