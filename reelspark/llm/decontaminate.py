@@ -59,8 +59,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per window of an item: its words, and the hash and place of its fingerprint."""
     width = WINDOW - GRAM + 1
     for batch in batches:
-        ids = batch.column("item_id").to_pylist()
-        for lo, hi in slices([len(t) for t in (texts := binary_values(batch.column("text")))], 1 << 18):
+        ids, texts = batch.column("item_id").to_pylist(), binary_values(batch.column("text"))
+        for lo, hi in slices([len(t) for t in texts], 1 << 18):
             out: dict[str, list] = {"item_id": [], "words": [], "h": [], "o": []}
             for item, text in zip(ids[lo:hi], texts[lo:hi], strict=True):
                 words = item_words(text)

@@ -3,10 +3,10 @@
 A text's lines are cut into chunks where a rolling hash over the last two line
 hashes says so, so that a passage put into another document is cut alike from
 its first own boundary on, whatever stands before it. A line of
-``MIN_WORDS`` words or more is a chunk by itself. A chunk of at least
-``MIN_WORDS`` words is removed where a document with a smaller doc_id holds the
-same chunk, byte for byte; the first document keeps it. Shorter chunks stay:
-they repeat by chance.
+``LONG_LINE`` words or more is a chunk by itself. A chunk of several lines with
+at least ``MIN_WORDS`` words, or of one long line, is removed where a document
+with a smaller doc_id holds the same chunk, byte for byte; the first document
+keeps it. Shorter chunks stay: they repeat by chance.
 
 Only hashes are shuffled to find repeated chunks. The bytes of chunks that may
 be repeated follow (a bitmap of fixed size tells which; when it fills up, more
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from reelspark.llm.common import KEY, binary_values, prepare, row_key
 
-MIN_WORDS = 20
+LONG_LINE = 20
+MIN_WORDS = 10
 #: A chunk of short lines ends on average after this many lines (a power of two).
 MEAN_LINES = 2
 FILTER_BITS = 1 << 24
@@ -42,7 +43,7 @@ def chunks(text: bytes) -> list[tuple[int, int, int]]:
     for i, line in enumerate(lines):
         n = len(line.split())
         h = xxhash.xxh3_64_intdigest(line)
-        if n >= MIN_WORDS:
+        if n >= LONG_LINE:
             if i > start:
                 out.append((start, i, words))
             out.append((i, i + 1, n))
@@ -58,13 +59,17 @@ def chunks(text: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
+def removable(first: int, end: int, words: int) -> bool:
+    return words >= (MIN_WORDS if end - first > 1 else LONG_LINE)
+
+
 def _repeatable(batch: pa.RecordBatch) -> Iterator[tuple]:
     """(doc_id, KEY, k, h1, h2, chunk) of every chunk long enough."""
     for doc, key, text in zip(batch.column("doc_id").to_pylist(), batch.column(KEY).to_pylist(),
                               binary_values(batch.column("text")), strict=True):
         lines = text.split(b"\n")
         for k, (lo, hi, words) in enumerate(chunks(text)):
-            if words >= MIN_WORDS:
+            if removable(lo, hi, words):
                 chunk = b"\n".join(lines[lo:hi])
                 h1, h2 = np.frombuffer(xxhash.xxh3_128_digest(chunk), np.int64).tolist()
                 yield doc, key, k, h1, h2, chunk
@@ -116,9 +121,6 @@ def _without(texts: pa.Array, removed: pa.Array) -> pa.Array:
                                       names=["text", "n_lines", "n_removed_lines", "n_removed_chunks"])
 
 
-_without_udf = F.arrow_udf(_without, "struct<text:string,n_lines:bigint,n_removed_lines:bigint,n_removed_chunks:bigint>")
-
-
 def _order() -> Column:
     """Documents in order of doc_id; rows without one come last, as one document."""
     return F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
@@ -157,5 +159,6 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     d = docs.withColumn(KEY, row_key(F.col("text")))
     joined = d.join(gone, d["doc_id"].cast("bigint").eqNullSafe(gone["__reel_id"]) & (d[KEY] == gone["__reel_k"]), "left")
     new = ("text", "n_lines", "n_removed_lines", "n_removed_chunks")
-    return (joined.withColumn("__reel_new", _without_udf(F.col("text"), F.col("__reel_gone")))
+    rewrite = F.arrow_udf(_without, "struct<text:string,n_lines:bigint,n_removed_lines:bigint,n_removed_chunks:bigint>")
+    return (joined.withColumn("__reel_new", rewrite(F.col("text"), F.col("__reel_gone")))
             .select(*[F.col(f"`{c}`") for c in docs.columns if c not in new], *[F.col(f"__reel_new.{c}").alias(c) for c in new]))
