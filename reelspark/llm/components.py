@@ -11,21 +11,26 @@ def _least_neighbour(directed: DataFrame) -> DataFrame:
     return directed.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
+def _pairs(edges: DataFrame, *ends: tuple[str, str]) -> DataFrame:
+    """For every row, one (u, v) per pair of columns."""
+    return edges.select(F.inline(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in ends])))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return (both.join(_least_neighbour(both), "u").where("v > u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+    both = _pairs(edges, ("u", "v"), ("v", "u"))
+    return both.join(_least_neighbour(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _least_neighbour(down)
-    return (down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(least.where("u <> m").select("u", F.col("m").alias("v"))).distinct())
+    return _pairs(down.join(_least_neighbour(down), "u"), ("v", "m"), ("u", "m")).where("u <> v").distinct()
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node has one neighbour below it, and none that has is itself below another."""
+    seen = edges.select(F.inline(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("below")),
+                                         F.struct(F.col("v").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("below")))))
+    return seen.groupBy("id").agg(F.sum("out").alias("out"), F.max("below").alias("below")).where("out > 1 or (out = 1 and below = 1)").isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -35,13 +40,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     A star centre never gathers its neighbours: each step is a minimum per node
     (combined map-side) and a join that adaptive execution can split.
     """
-    edges = edges.select(F.col("u").cast("bigint"), F.col("v").cast("bigint")).where("u <> v").distinct().checkpoint()
-    before = _fingerprint(edges)
-    while before[0]:
-        edges = _small_star(_large_star(edges)).checkpoint()
-        after = _fingerprint(edges)
-        if after == before:
-            break
-        before = after
+    edges = (edges.select(F.greatest("u", "v").cast("bigint").alias("u"), F.least("u", "v").cast("bigint").alias("v"))
+             .where("u <> v").distinct().checkpoint())
+    while not _is_stars(edges):
+        edges = _small_star(_large_star(edges).checkpoint()).checkpoint()
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()).checkpoint()

@@ -11,8 +11,8 @@ list of all pairs is made. Members with too many shingles that nobody else in
 any bucket has are out at once: no other set reaches them. The rest is compared
 with one centre, the member with the fewest shingles of its own (a group of
 edited copies gathers about its original), and while members in different
-components remain, with 16, 256, ... further centres, members of small
-components first. A bucket is finished when the members that
+components remain, with 16, 256, ... further centres, members without a link
+first. A bucket is finished when the members that
 have not been a centre lie in one component, so every pair of a bucket has
 been compared or is connected already: no link between components is lost.
 
@@ -176,13 +176,14 @@ class _Compare:
     """Sizes of the intersections of candidate pairs (a, b) of classes, by their
     full sets; pairs whose sizes or signatures rule them out are left out."""
 
-    def __init__(self, texts: DataFrame, classes: DataFrame, percent: int):
-        self.texts, self.classes, self.percent = texts, classes, percent
+    def __init__(self, texts: DataFrame, signed: DataFrame, percent: int):
+        """``texts``: (node, text); ``signed``: (node, n_shingles, sig)."""
+        self.texts, self.signed, self.percent = texts, signed, percent
         t = percent / 100
         self.least = t - 5 * (t * (1 - t) / MINIMA) ** 0.5
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
-        side = {x: self.classes.select(F.col("node").alias(x), F.col("sig").alias("s" + x), F.col("n_shingles").alias("n" + x)) for x in "ab"}
+        side = {x: self.signed.select(F.col("node").alias(x), F.col("sig").alias("s" + x), F.col("n_shingles").alias("n" + x)) for x in "ab"}
         close = (pairs.join(side["a"], "a").join(side["b"], "b")
                  .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent)
                  .select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_agreeing(self.least), "a bigint, b bigint, na bigint, nb bigint"))
@@ -202,23 +203,23 @@ def _bucket_links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFram
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key(F.col("text")).alias(KEY), "text")
     texts = (d.join(rep, d["doc_id"].eqNullSafe(rep["doc_id"]) & (d[KEY] == rep[KEY]))
              .select("node", "text").dropDuplicates(["node"]).checkpoint())
-    members = (members.join(_partnered(texts, classes, percent), "node")
-               .withColumn("inter", F.lit(None).cast("bigint")).checkpoint())
-    compare = _Compare(texts, classes, percent)
+    partnered = _partnered(texts, classes, percent).checkpoint()
     facts = ["band", "node", "n", "own", "inter"]
+    members = members.join(partnered, "node").withColumn("inter", F.lit(None).cast("bigint")).select(*facts).checkpoint()
+    signed = classes.select("node", "n_shingles", "sig").join(partnered.select("node"), "node").checkpoint()
+    compare = _Compare(texts, broadcast_if(signed, 4 * signed.count()), percent)  # a signature is as wide as a few rows
     components, fan = None, 1
     while True:
         if components is None:
-            labelled = members.withColumn("c", F.col("node")).withColumn("size", F.lit(1).cast("bigint"))
+            labelled = members.withColumn("c", F.col("node")).withColumn("linked", F.lit(0))
         else:
-            size = components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-            labelled = (members.join(components.join(size, "component"), "node", "left")
-                        .select(*facts, F.coalesce("component", "node").alias("c"), F.coalesce("size", F.lit(1)).alias("size")))
+            labelled = (members.join(broadcast_if(components, components.count()), "node", "left")
+                        .select(*facts, F.coalesce("component", "node").alias("c"), F.col("component").isNotNull().cast("int").alias("linked")).checkpoint())
         open_bands = labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
         active = labelled.join(open_bands, "band").checkpoint()
         if active.isEmpty():
             return components
-        rank = F.row_number().over(Window.partitionBy("band").orderBy("size", F.col("own") / F.col("n"), "node"))
+        rank = F.row_number().over(Window.partitionBy("band").orderBy("linked", F.col("own") / F.col("n"), "node"))
         chosen = (active.withColumn("r", rank).where(F.col("r") <= fan)
                   .select("band", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("bn"), F.col("own").alias("bown"),
                           F.col("inter").alias("binter")).checkpoint())
@@ -234,6 +235,7 @@ def _bucket_links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFram
             shared = known.select("a", "b", "inter").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "inter"))
             members = (members.drop("inter").join(chosen.select("band", "b"), "band")
                        .join(shared.withColumnRenamed("a", "node"), ["node", "b"], "left").select(*facts))
+        members = members.checkpoint()
         fan *= FAN
 
 
