@@ -14,6 +14,8 @@ many pieces at once as it holds for; the plan has O(capacity) steps.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
@@ -23,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,33 +40,143 @@ END_ID = 0
 _PIECES = f"doc_id bigint, {KEY} bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-class _WordIds(dict):
-    """word -> token ids. The tokenizer cuts at white space before anything
-    else, so a text's ids are those of its words one after another."""
+#: Characters whose normal form and lower case do not depend on their neighbours, and white space.
+_PLAIN = re.compile(r"[\x09-\x0d\x20-\x7e\u00a1-\u012f\u0131-\u024f]*")
+#: Fixed value: the tokenizer's own cut of a word.
+_RUN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+_KIND = np.array([_SPACE if chr(c).isspace() else _LETTER if chr(c).isalpha() else _NUMBER if unicodedata.category(chr(c))[0] == "N" else _OTHER
+                  for c in range(0x250)], np.uint8)
+#: Running powers for the hash of a run, and the inverse powers that shift it to the run's start.
+_BASE = 0x9E3779B97F4A7C15
+_CODES = np.random.default_rng(97).integers(1, 1 << 63, 0x250, np.uint64) | np.uint64(1)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _plain(text: str) -> bool:
+    return _PLAIN.fullmatch(text) is not None and "<|" not in text
+
+
+def runs_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of a plain lower-cased text: letters, single
+    numbers, other characters; an apostrophe that starts a run takes the English
+    endings 's 't 'm 'd 're 've 'll with it."""
+    n = len(codes)
+    kind = _KIND[codes]
+    start = np.ones(n, bool)
+    start[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _NUMBER)
+    padded = np.append(codes, np.zeros(3, codes.dtype))
+    at = np.flatnonzero((codes == ord("'")) & start)
+    one, two = padded[at + 1], padded[at + 2]
+    short = np.isin(one, [ord(c) for c in "stmd"])
+    long = ~short & (((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")))
+    size = np.where(short, 2, 3)[short | long]
+    at = at[short | long]
+    start[at + 1] = False
+    after = at + size
+    after = after[after < n]
+    start[after] = True
+    starts = np.flatnonzero(start & (kind != _SPACE))
+    # a run ends where the next run or white space starts
+    edge = np.append(np.flatnonzero(start), n)
+    return starts, edge[np.searchsorted(edge, starts, side="right")]
+
+
+class _RunIds:
+    """Token ids by run, in caches of bounded size.
+
+    The tokenizer puts a text into normal form and lower case and cuts it into
+    runs. For plain Latin texts this cut is repeated on whole blocks of texts;
+    runs are told apart by a 64-bit hash, and only runs not met before are
+    encoded, many at a time: the vocabulary marks the last token of each run.
+    Other texts are cut at white space first, which no run crosses, and their
+    odd words encoded as they stand.
+    """
 
     def __init__(self, path: str):
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) + len(words) > CACHE_ENTRIES:
-            self.clear()
-        new = [w for w in words if w not in self]
-        coded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.update((w, tuple(e.ids)) for w, e in zip(new, coded, strict=True))
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.odd: dict[str, np.ndarray] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[int, int] = {}  # hash of a run -> its number
+        self.flat = np.empty(0, np.uint32)
+        self.first = np.zeros(1, np.int64)  # run k's ids are flat[first[k]:first[k + 1]]
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self, hashes: list[int], runs: list[str]) -> None:
+        ids = self._encode(" ".join(runs))
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(runs) or ends[-1] != len(ids):
+            parts = [self._encode(run) for run in runs]
+            ids, ends = np.concatenate(parts), np.cumsum([len(x) for x in parts])
+        self.number.update(zip(hashes, range(len(self.first) - 1, len(self.first) - 1 + len(runs)), strict=True))
+        self.first = np.concatenate((self.first, ends + len(self.flat)))
+        self.flat = np.concatenate((self.flat, ids))
+
+    def _block(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of plain texts."""
+        lower = [t.lower() for t in texts]
+        joined = " ".join(lower)
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        starts, ends = runs_of(codes)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_CODES[codes] * _powers(_BASE, len(codes)), dtype=np.uint64))) if len(codes) else np.zeros(1, np.uint64)
+        inverse = _powers(pow(_BASE, -1, 1 << 64), len(codes) + 1)
+        hashes = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)
+        distinct, where, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.number) + len(distinct) > 4 * CACHE_ENTRIES:
+            self._clear()
+        keys = distinct.tolist()
+        new = [i for i, h in enumerate(keys) if h not in self.number]
+        for lo in range(0, len(new), 1 << 14):
+            some = new[lo:lo + (1 << 14)]
+            at = where[some]
+            self._learn([keys[i] for i in some], [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+        run = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))[which]
+        length = self.first[run + 1] - self.first[run]
+        total = np.concatenate((np.zeros(1, np.int64), np.cumsum(length)))
+        ids = self.flat[np.repeat(self.first[run] - total[:-1], length) + np.arange(total[-1])]
+        text_ends = np.cumsum([len(t) + 1 for t in lower])
+        bounds = total[np.searchsorted(starts, text_ends)].tolist()
+        return [ids[a:b] for a, b in zip([0, *bounds], bounds, strict=False)]
+
+    def _by_words(self, text: str) -> np.ndarray:
+        """Ids of any text, word by word."""
+        out = [np.empty(0, np.uint32)]
+        for raw in text.encode().split():
+            word = raw.decode()
+            if word not in self.odd:
+                if len(self.odd) >= CACHE_ENTRIES:
+                    self.odd.clear()
+                self.odd[word] = self._encode(word)
+            out.append(self.odd[word])
+        return np.concatenate(out)
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        easy = [i for i, t in enumerate(texts) if _plain(t)]
+        found = dict(zip(easy, self._block([texts[i] for i in easy]), strict=True)) if easy else {}
+        return [found[i] if i in found else self._by_words(t) for i, t in enumerate(texts)]
 
 
 @lru_cache(maxsize=2)
-def _word_ids(path: str) -> _WordIds:
-    return _WordIds(path)
+def _run_ids(path: str) -> _RunIds:
+    return _RunIds(path)
 
 
-def token_ids(texts: list[bytes], path: str) -> list[np.ndarray]:
-    """Token ids of each text, with END_ID behind."""
-    known = _word_ids(path)
-    split = [t.split() for t in texts]
-    known.learn(set(chain.from_iterable(split)))
-    return [np.fromiter(chain(chain.from_iterable(map(known.__getitem__, words)), (END_ID,)), dtype="<u4") for words in split]
+def token_ids(texts: list[bytes], path: str) -> list[bytes]:
+    """Token ids of each text, END_ID behind, packed as little-endian 32-bit numbers."""
+    end = END_ID.to_bytes(4, "little")
+    return [ids.astype("<u4").tobytes() + end for ids in _run_ids(path).ids([t.decode() for t in texts])]
 
 
 def _cut(path: str, capacity: int):
@@ -73,10 +186,10 @@ def _cut(path: str, capacity: int):
             ids, keys = batch.column("doc_id").to_pylist(), batch.column(KEY).to_pylist()
             for lo, hi in slices([len(t) for t in texts], 1 << 20):
                 rows: list[tuple] = []
-                for doc, key, tokens in zip(ids[lo:hi], keys[lo:hi], token_ids(texts[lo:hi], path), strict=True):
-                    for piece, start in enumerate(range(0, len(tokens), capacity)):
-                        part = tokens[start:start + capacity]
-                        rows.append((doc, key, piece, start, len(part), zlib.crc32(part.tobytes())))
+                for doc, key, packed in zip(ids[lo:hi], keys[lo:hi], token_ids(texts[lo:hi], path), strict=True):
+                    for piece, at in enumerate(range(0, len(packed), 4 * capacity)):
+                        part = packed[at:at + 4 * capacity]
+                        rows.append((doc, key, piece, at // 4, len(part) // 4, zlib.crc32(part)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True),
                      (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
