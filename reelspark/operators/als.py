@@ -1,17 +1,30 @@
-"""Collaborative filtering with Spark ML ALS."""
+"""Collaborative filtering with Spark ML ALS.
+
+A fit gives two factor tables keyed by the original ids; everything after it
+(lists, similar items and users, RMSE) reads those tables, so a model is fitted
+once, written, and used by any number of queries.
+"""
 
 from __future__ import annotations
 
+import math
+import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.recommendation import ALS, ALSModel
+from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelspark.functions.columns import dot
+from reelspark.operators.indexing import dense_index
 from reelspark.operators.similarity import dense_cosine_pairs
 from reelspark.operators.topk import top_k_per_group
+from reelspark.session import checkpoint_dir
 
 # The reference's ALS settings, grid, list sizes and threshold.
 ALS_RANK, ALS_ITER, ALS_REG = 200, 5, 0.1
@@ -21,45 +34,129 @@ USER_MAX_RECS = 10
 USER_MAX_SIMS = 10
 FACTOR_SIM_THRESHOLD = 0.6
 SEED = 42
+#: Rows of a block of factors.
+USER_BLOCK, ITEM_BLOCK = 1024, 4096
 
 
-def fit_als(ratings: DataFrame, rank: int = ALS_RANK, max_iter: int = ALS_ITER, reg: float = ALS_REG,
-            seed: int = SEED) -> ALSModel:
-    """Explicit-feedback ALS on (uid, mid, score); ids must fit in int.
-
-    User and item blocks follow the session's parallelism (one block per
-    core), not ML's fixed default of 10, so the solve spreads over the
-    cluster; factor blocks spill to disk rather than fail."""
-    blocks = max(2, ratings.sparkSession.sparkContext.defaultParallelism)
-    als = ALS(rank=rank, maxIter=max_iter, regParam=reg, userCol="uid", itemCol="mid",
-              ratingCol="score", coldStartStrategy="drop", seed=seed,
-              numUserBlocks=blocks, numItemBlocks=blocks,
-              intermediateStorageLevel="MEMORY_AND_DISK", finalStorageLevel="MEMORY_AND_DISK")
-    return als.fit(ratings.select(F.col("uid").cast("int"), F.col("mid").cast("int"), "score"))
+@dataclass
+class Factors:
+    """users (uid, features) and items (mid, features), features array<double>."""
+    users: DataFrame
+    items: DataFrame
 
 
-def user_recs(model: ALSModel, k: int = USER_MAX_RECS) -> DataFrame:
-    """T3 + P10: k best predicted items per user (blocked GEMM + top-k inside
-    ``recommendForAllUsers``), non-positive predictions dropped. Rows
-    ``uid, rank, mid, score``."""
-    recs = model.recommendForAllUsers(k)
-    flat = recs.select("uid", F.posexplode("recommendations").alias("_p", "_r"))
-    return (flat.select(F.col("uid").cast("bigint").alias("uid"), (F.col("_p") + 1).cast("bigint").alias("rank"),
-                        F.col("_r.mid").cast("bigint").alias("mid"), F.col("_r.rating").cast("double").alias("score"))
-            .where(F.col("score") > 0))
+def indexed(ratings: DataFrame) -> DataFrame:
+    """(uid, mid, u, i, score): the ratings with dense indexes of users and items,
+    since the library takes ids up to 2^31 - 1 only (a larger index is an error)."""
+    users, items = dense_index(ratings, "uid", "u"), dense_index(ratings, "mid", "i")
+    return (ratings.select("uid", "mid", "score").join(users, "uid").join(items, "mid")
+            .select("uid", "mid", F.col("u").cast("int").alias("u"), F.col("i").cast("int").alias("i"), "score"))
 
 
-def similar_items(model: ALSModel, threshold: float = FACTOR_SIM_THRESHOLD, k: int | None = None) -> DataFrame:
+def fit_indexed(rows: DataFrame, rank: int = ALS_RANK, max_iter: int = ALS_ITER, reg: float = ALS_REG,
+                seed: int = SEED, blocks: int | None = None) -> Factors:
+    """Explicit-feedback ALS on ``indexed`` ratings. ``blocks`` of users and items
+    follow the session's parallelism unless given; factor blocks spill to disk
+    rather than fail."""
+    blocks = blocks or max(2, rows.sparkSession.sparkContext.defaultParallelism)
+    als = ALS(rank=rank, maxIter=max_iter, regParam=reg, userCol="u", itemCol="i", ratingCol="score", seed=seed,
+              numUserBlocks=blocks, numItemBlocks=blocks,
+              intermediateStorageLevel="MEMORY_AND_DISK", finalStorageLevel="MEMORY_AND_DISK")
+    model = als.fit(rows.select("u", "i", "score"))
+
+    def named(factors: DataFrame, index: str, key: str) -> DataFrame:
+        ids = rows.select(F.col(index).alias("id"), key).distinct()
+        return factors.join(ids, "id").select(key, F.col("features").cast("array<double>").alias("features"))
+
+    return Factors(named(model.userFactors, "u", "uid"), named(model.itemFactors, "i", "mid"))
+
+
+def fit_als(ratings: DataFrame, **settings) -> Factors:
+    return fit_indexed(indexed(ratings), **settings)
+
+
+_written: dict[tuple, str] = {}
+
+
+def written_once(ratings: Callable[[], DataFrame], spark, name: str, **settings) -> Factors:
+    """The factors of the model ``name``, fitted and written below the shared
+    checkpoint folder the first time an application asks for them."""
+    key = (spark.sparkContext.applicationId, name, *sorted(settings.items()))
+    if key not in _written:
+        path = f"{checkpoint_dir(spark).rstrip('/')}/factors-{uuid.uuid4().hex}"
+        fitted = fit_als(ratings(), **settings)
+        fitted.users.write.parquet(f"{path}/users")
+        fitted.items.write.parquet(f"{path}/items")
+        _written[key] = path
+    path = _written[key]
+    return Factors(spark.read.parquet(f"{path}/users"), spark.read.parquet(f"{path}/items"))
+
+
+def _packed(factors: DataFrame, key: str, rows: int, block: str) -> tuple[DataFrame, int]:
+    """Factors in blocks of about ``rows`` rows: (block, ids, flat vectors); and the number of blocks."""
+    n = max(1, math.ceil(factors.count() / rows))
+    packed = (factors.withColumn(block, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).groupBy(block)
+              .agg(F.collect_list(F.struct(key, "features")).alias("_m"))
+              .select(block, F.transform("_m", lambda m: m[key]).alias(f"{key}s"), F.flatten(F.transform("_m", lambda m: m["features"])).alias(f"{key}_v")))
+    return packed, n
+
+
+def _block_lists(k: int):
+    """Per block of users and block of items: each user's k best items not seen, ties to the smaller item id."""
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                users, items = np.asarray(r.uids, np.int64), np.asarray(r.mids, np.int64)
+                order = np.argsort(items)
+                items = items[order]
+                u = np.asarray(r.uid_v, np.float64).reshape(len(users), -1)
+                v = np.asarray(r.mid_v, np.float64).reshape(len(order), -1)[order]
+                scores = u @ v.T
+                if r.seen_u is not None and len(r.seen_u):
+                    at = np.argsort(users)
+                    row = at[np.searchsorted(users[at], np.asarray(r.seen_u, np.int64))]
+                    scores[row, np.searchsorted(items, np.asarray(r.seen_m, np.int64))] = -np.inf
+                n = min(k, len(items))
+                best = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :n]
+                s = np.take_along_axis(scores, best, axis=1).ravel()
+                out = pd.DataFrame({"uid": np.repeat(users, n), "mid": items[best.ravel()], "score": s})
+                yield out[np.isfinite(s)]
+    return run
+
+
+def user_recs(factors: Factors, k: int = USER_MAX_RECS, seen: DataFrame | None = None) -> DataFrame:
+    """T3 + P10: the k items of largest predicted score per user (ties within
+    1e-9: item id), non-positive predictions dropped; with ``seen`` (uid, mid)
+    those pairs are left out first. Rows ``uid, rank, mid, score``.
+
+    Blocks of users meet blocks of items; a task multiplies two blocks and
+    sends on at most k rows per user.
+    """
+    users, _ = _packed(factors.users, "uid", USER_BLOCK, "ub")
+    items, n = _packed(factors.items, "mid", ITEM_BLOCK, "ib")
+    tasks = users.withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(items, "ib")
+    if seen is None:
+        none = F.lit(None).cast("array<bigint>")
+        tasks = tasks.withColumns({"seen_u": none, "seen_m": none})
+    else:
+        u_of = users.select("ub", F.explode("uids").alias("uid"))
+        i_of = items.select("ib", F.explode("mids").alias("mid"))
+        had = (seen.select("uid", "mid").distinct().join(u_of, "uid").join(i_of, "mid").groupBy("ub", "ib")
+               .agg(F.collect_list("uid").alias("seen_u"), F.collect_list("mid").alias("seen_m")))
+        tasks = tasks.join(had, ["ub", "ib"], "left")
+    scored = tasks.select("uids", "uid_v", "mids", "mid_v", "seen_u", "seen_m").mapInPandas(_block_lists(k), "uid long, mid long, score double")
+    return top_k_per_group(scored.where(F.col("score") > 0), ["uid"], [F.round("score", 9).desc(), F.col("mid").asc()], k)
+
+
+def similar_items(factors: Factors, threshold: float = FACTOR_SIM_THRESHOLD, k: int | None = None) -> DataFrame:
     """Item pairs whose factor cosine exceeds ``threshold`` (all partners
     unless ``k``). Rows ``mid, sim_mid, score``."""
-    f = model.itemFactors.select(F.col("id").cast("bigint").alias("mid"), "features")
-    return dense_cosine_pairs(f, "mid", "features", threshold=threshold, k=k, other_col="sim_mid")
+    return dense_cosine_pairs(factors.items, "mid", "features", threshold=threshold, k=k, other_col="sim_mid")
 
 
-def similar_users(model: ALSModel, threshold: float = FACTOR_SIM_THRESHOLD, k: int = USER_MAX_SIMS) -> DataFrame:
+def similar_users(factors: Factors, threshold: float = FACTOR_SIM_THRESHOLD, k: int = USER_MAX_SIMS) -> DataFrame:
     """The k most similar users above ``threshold``. Rows ``uid, rank, sim_uid, score``."""
-    f = model.userFactors.select(F.col("id").cast("bigint").alias("uid"), "features")
-    return dense_cosine_pairs(f, "uid", "features", threshold=threshold, k=k, other_col="sim_uid")
+    return dense_cosine_pairs(factors.users, "uid", "features", threshold=threshold, k=k, other_col="sim_uid")
 
 
 def holdout_split(ratings: DataFrame, test_share: float = 0.2, seed: int = SEED):
@@ -69,44 +166,41 @@ def holdout_split(ratings: DataFrame, test_share: float = 0.2, seed: int = SEED)
     return ratings.where(u >= test_share), ratings.where(u < test_share)
 
 
-def rmse(model: ALSModel, test: DataFrame) -> float:
-    """sqrt(mean((score - prediction)^2)) over test pairs the model knows."""
-    pred = model.transform(test.select(F.col("uid").cast("int"), F.col("mid").cast("int"), "score"))
-    return RegressionEvaluator(metricName="rmse", labelCol="score", predictionCol="prediction").evaluate(pred)
-
-
-def rmse_frame(model: ALSModel, test: DataFrame) -> DataFrame:
-    """RMSE as a one-row DataFrame (A14) computed by Spark, not the driver."""
-    pred = model.transform(test.select(F.col("uid").cast("int"), F.col("mid").cast("int"), "score"))
-    return pred.agg(F.sqrt(F.avg(F.pow(F.col("score") - F.col("prediction"), 2))).alias("rmse"),
-                    F.count(F.lit(1)).alias("n_test"))
+def rmse_frame(factors: Factors, test: DataFrame) -> DataFrame:
+    """sqrt(mean((score - prediction)^2)) over the test pairs whose user
+    and item have factors. One row ``rmse, n_test``."""
+    u, i = factors.users.withColumnRenamed("features", "_u"), factors.items.withColumnRenamed("features", "_i")
+    pred = test.join(u, "uid").join(i, "mid").select("score", dot(F.col("_u"), F.col("_i")).alias("p"))
+    return pred.agg(F.sqrt(F.avg(F.pow(F.col("score") - F.col("p"), 2))).alias("rmse"), F.count(F.lit(1)).alias("n_test"))
 
 
 def grid_search(train: DataFrame, test: DataFrame, ranks=GRID_RANKS, regs=GRID_REGS,
-                max_iter: int = ALS_ITER, seed: int = SEED, parallelism: int = 4) -> DataFrame:
+                max_iter: int = ALS_ITER, seed: int = SEED, parallelism: int = 4, blocks: int | None = None) -> DataFrame:
     """RMSE of every (rank, reg) point; ``best`` marks the arg-min.
 
-    Each fit is a distributed ALS job; like ``TrainValidationSplit`` with
-    ``parallelism``, a few fits are submitted concurrently from driver
-    threads. The grid (16 points) is the only driver-side loop.
+    The indexed training rows and the test rows are cached by one action each
+    before any fit. Each fit is a distributed ALS job; like
+    ``TrainValidationSplit`` with ``parallelism``, a few fits are submitted
+    concurrently from driver threads. The grid (16 points) is the only
+    driver-side loop.
     """
     spark = train.sparkSession
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    test = test.persist(StorageLevel.MEMORY_AND_DISK)
-    points = [(r, float(lam)) for r in ranks for lam in regs]
+    rows = indexed(train).persist(StorageLevel.MEMORY_AND_DISK)
+    test = test.select("uid", "mid", "score").persist(StorageLevel.MEMORY_AND_DISK)
+    rows.count()
+    test.count()
 
     def evaluate(point):
-        r, lam = point
-        return (r, lam, float(rmse(fit_als(train, rank=r, max_iter=max_iter, reg=lam, seed=seed), test)))
+        rank, reg = point
+        fitted = fit_indexed(rows, rank=rank, max_iter=max_iter, reg=reg, seed=seed, blocks=blocks)
+        return rank, reg, float(rmse_frame(fitted, test).first()["rmse"])
 
+    # the costliest fits start first
+    points = sorted(((r, float(lam)) for r in ranks for lam in regs), reverse=True)
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        rows = list(pool.map(evaluate, points))
-    train.unpersist()
+        done = list(pool.map(evaluate, points))
+    rows.unpersist()
     test.unpersist()
-    grid = spark.createDataFrame(rows, "rank int, reg double, rmse double")
+    grid = spark.createDataFrame(done, "rank int, reg double, rmse double")
     best = grid.agg(F.min_by(F.struct("rank", "reg"), "rmse").alias("b")).select("b.*")
     return grid.join(best.withColumn("best", F.lit(True)), ["rank", "reg"], "left").fillna(False, ["best"])
-
-
-def top_similar(pairs: DataFrame, id_col: str, other_col: str, k: int) -> DataFrame:
-    return top_k_per_group(pairs, [id_col], [F.col("score").desc(), F.col(other_col).asc()], k)

@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import MinMaxScaler, QuantileDiscretizer, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.functions.columns import (INCLUSIVE_LIKE_THRESHOLD, clean_title, genre_frequency_order,
                                          like_label, release_year, sorted_genre_tokens,
                                          split_genres)
 from reelspark.operators.indexing import global_row_number, ntile_from_position
-from reelspark.operators.windows import DEFAULT_CHUNK_ROWS, sliding_frame
+from reelspark.operators.windows import CHUNK_ROWS, sliding_frame
 
 HISTORY_ROWS = 100   # fixed value: the reference's frame is the 100 preceding ratings
 
@@ -34,9 +34,8 @@ def min_max_scaled(df: DataFrame, col: str, out: str) -> DataFrame:
 
     min and max come from one scalar subquery; no window over the whole table.
     """
-    mm = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
-    lo = mm.select("lo").scalar()
-    hi = mm.select("hi").scalar()
+    ends = df.agg(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi"))).scalar()
+    lo, hi = ends["lo"], ends["hi"]
     return df.withColumn(out, F.when(hi == lo, F.lit(0.5)).otherwise((F.col(col) - lo) / (hi - lo)))
 
 
@@ -108,29 +107,46 @@ def sample_item_features(ratings: DataFrame, items: DataFrame) -> DataFrame:
     return s.join(per_item, "mid", "left")
 
 
+def _last_rows(w: Window, value: Column) -> Column:
+    """Sum over the last HISTORY_ROWS rows as the difference of two running sums:
+    one addition per row, and exact for years (integers) and scores (halves)."""
+    until = lambda end: F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, end)), F.lit(0.0))
+    return until(-1) - until(-1 - HISTORY_ROWS)
+
+
 def _user_history_cols(w: Window) -> list:
-    """Window columns of one shared frame (one Window operator evaluates all)."""
-    return [
-        F.reverse(F.collect_list(F.when(F.col("label") == 1, F.col("mid"))).over(w)).alias("_pos_hist"),
-        F.collect_list(F.when(F.col("label") == 1, F.col("genres"))).over(w).alias("_genre_lists"),
-        F.count(F.lit(1)).over(w).alias("user_rating_count"),
-        F.avg("release_year").over(w).alias("user_avg_release_year"),
-        F.stddev_samp("release_year").over(w).alias("user_release_year_stddev"),
-        F.avg("score").over(w).alias("user_avg_rating"),
-        F.stddev_samp("score").over(w).alias("user_rating_stddev"),
-    ]
+    year, score = F.col("release_year").cast("double"), F.col("score")
+    present = lambda c: F.when(c.isNotNull(), F.lit(1.0))
+    sums = {"_ny": present(year), "_y": year, "_yy": year * year, "_ns": present(score), "_s": score, "_ss": score * score}
+    liked = F.when(F.col("label") == 1, F.struct("mid", "genres"))
+    return [*[_last_rows(w, c).alias(n) for n, c in sums.items()],
+            F.reverse(F.collect_list(liked).over(w.rowsBetween(-HISTORY_ROWS, -1))).alias("_liked")]
+
+
+def _mean(n: Column, total: Column) -> Column:
+    return F.when(n > 0, total / n)
+
+
+def _deviation(n: Column, total: Column, squares: Column) -> Column:
+    """Sample standard deviation from sums; null for fewer than two values."""
+    return F.when(n > 1, F.sqrt(F.greatest((squares - total * total / n) / (n - 1), F.lit(0.0))))
 
 
-def sample_user_features(samples: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+def sample_user_features(samples: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """F8 user half (W1-W7): statistics of the user's up-to-100 preceding ratings,
-    current row excluded (no label leakage). Order is (ts, mid). All seven
-    expressions share one frame, so Spark evaluates them in one Window
-    operator; hot users are split by ``sliding_frame``. The genre ranking is
-    computed once per row in a projection after the window."""
+    current row excluded (no label leakage). Order is (ts, mid). Counts, means
+    and deviations come from running sums; only the frame's liked rows are
+    collected, for the last five items and the genre ranking, which is computed
+    once per row after the window."""
     framed = sliding_frame(samples, "uid", ["ts", "mid"], HISTORY_ROWS, _user_history_cols, chunk_rows)
-    ranked = (framed.withColumn("_tokens", sorted_genre_tokens(F.col("_genre_lists")))
+    genres = F.filter(F.col("_liked.genres"), lambda g: g.isNotNull())
+    ranked = (framed.withColumn("_tokens", sorted_genre_tokens(genres))
               .withColumn("_genres", genre_frequency_order(F.col("_tokens"))))
     return ranked.select(
-        *[c for c in framed.columns if not c.startswith("_")],
-        *[F.get(F.col("_pos_hist"), i).alias(f"user_rated_movie{i + 1}") for i in range(5)],
+        *samples.columns, F.least(F.col("_p"), F.lit(HISTORY_ROWS)).cast("bigint").alias("user_rating_count"),
+        _mean(F.col("_ny"), F.col("_y")).alias("user_avg_release_year"),
+        _deviation(F.col("_ny"), F.col("_y"), F.col("_yy")).alias("user_release_year_stddev"),
+        _mean(F.col("_ns"), F.col("_s")).alias("user_avg_rating"),
+        _deviation(F.col("_ns"), F.col("_s"), F.col("_ss")).alias("user_rating_stddev"),
+        *[F.get(F.col("_liked.mid"), i).alias(f"user_rated_movie{i + 1}") for i in range(5)],
         *[F.get(F.col("_genres"), i).alias(f"user_genre{i + 1}") for i in range(5)])

@@ -8,7 +8,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.operators.windows import DEFAULT_CHUNK_ROWS, key_positions
+from reelspark.operators.windows import key_positions
 
 # The reference's item2vec settings and positive-rating filter.
 EMBEDDING_DIM = 10
@@ -22,12 +22,11 @@ SENTENCE_TOKENS = 1000
 SEED = 42
 
 
-def watch_positions(ratings: DataFrame, positive: float = POSITIVE_SCORE,
-                    chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+def watch_positions(ratings: DataFrame, positive: float = POSITIVE_SCORE) -> DataFrame:
     """A10 flat: liked items of each user with their 0-based time position
     (order ts, mid). Rows ``uid, pos, mid``."""
     liked = ratings.where(F.col("score") >= positive).select("uid", "mid", "ts")
-    return key_positions(liked, "uid", ["ts", "mid"], "pos", chunk_rows).select("uid", "pos", "mid")
+    return key_positions(liked, "uid", ["ts", "mid"], "pos").select("uid", "pos", "mid")
 
 
 def sentences(positions: DataFrame, tokens: int = SENTENCE_TOKENS) -> DataFrame:

@@ -7,7 +7,7 @@ request had a list size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.functions.columns import (DEFAULT_RELEASE_YEAR_CATALOGUE, PREF_GENRE_THRESHOLD, clean_title,
@@ -22,6 +22,9 @@ TOP_RATINGS = 10
 COLD_START_SIZE = 10
 STREAM_LIST_SIZE = 10
 
+#: First positions of the popularity list that are looked up in an array; results do not depend on it.
+POPULAR_HEAD = 1000
+
 
 def item_profile(items: DataFrame, ratings: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """Catalogue row with rating count and mean (0 when unrated),
@@ -121,7 +124,7 @@ def recs_with_fallback(primary: DataFrame, fallback: DataFrame, users: DataFrame
 
 
 def stream_fallback(stream_recs: DataFrame, most_rated: DataFrame, ratings: DataFrame, users: DataFrame,
-                    size: int = STREAM_LIST_SIZE) -> DataFrame:
+                    size: int = STREAM_LIST_SIZE, head: int = POPULAR_HEAD) -> DataFrame:
     """Q6: the user's streaming list, or the most-rated items when the user has
     none; items the user rated removed; best first, first ``size``.
 
@@ -145,5 +148,20 @@ def stream_fallback(stream_recs: DataFrame, most_rated: DataFrame, ratings: Data
         "uid", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.coalesce(F.col(f"_s{j}"), F.lit(0)).alias("s"))
                                    for j in range(1, size + 1)])).alias("_t"))
     slots = slots.select("uid", F.col("_t.j").cast("bigint").alias("rank"), (F.col("_t.j") + F.col("_t.s")).alias("_q"))
-    fb = slots.join(pop, "_q").select("uid", "rank", "mid", F.col("count").cast("double").alias("score"))
+    # Nearly all users want the same few first positions: those are one small array looked up in place,
+    # so that only users who rated far down the list meet the popularity table in a join.
+    first = pop.where(F.col("_q") <= head).agg(F.array_sort(F.collect_list(F.struct("_q", "mid", "count")))).scalar()
+    near = (slots.where(F.col("_q") <= head).select("uid", "rank", F.get(first, (F.col("_q") - 1).cast("int")).alias("_m"))
+            .where(F.col("_m").isNotNull()).select("uid", "rank", F.col("_m.mid").alias("mid"), F.col("_m.count").alias("count")))
+    far = slots.where(F.col("_q") > head).join(pop, "_q").select("uid", "rank", "mid", "count")
+    fb = near.unionByName(far).select("uid", "rank", "mid", F.col("count").cast("double").alias("score"))
     return own.unionByName(fb)
+
+
+def sort_lists(lists: DataFrame, profile: DataFrame, sort_by: str) -> DataFrame:
+    """Q6 sort option: each user's list by mean rating or release year, best or
+    newest first; equal values keep their order. ``value`` is what it sorts by."""
+    key = {"rating": "avg_rating", "releaseYear": "release_year"}[sort_by]
+    j = lists.join(profile.select("mid", F.col(key).cast("double").alias("value")), "mid")
+    order = Window.partitionBy("uid").orderBy(F.col("value").desc(), F.col("rank").asc())
+    return j.withColumn("rank", F.row_number().over(order).cast("bigint")).select("uid", "rank", "mid", "value")

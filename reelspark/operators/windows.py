@@ -1,18 +1,13 @@
-"""Sliding row frames over a key's ordered rows, safe for hot keys.
-
-``Window.partitionBy(key).orderBy(...).rowsBetween(-width, -1)`` sorts every
-row of a key in one task. A key holding a third of all rows would stall the
-job, so keys with more than ``chunk_rows`` rows take another path:
-
-1. their rows get a per-key 0-based position from a distributed global sort
-   (``indexing.global_row_number``: range partitions split a hot key across
-   tasks);
-2. positions are cut into chunks of ``chunk_rows``; the last ``width`` rows of
-   each chunk are copied into the next chunk as context rows;
-3. the same frame runs per (key, chunk) and context rows are dropped.
-
-The result is exactly the plain window's; every task sorts at most
-``chunk_rows + width`` rows.
+"""Per-key positions and sliding row frames, the same way for every key.
+
+``Window.partitionBy(key).orderBy(...)`` sorts every row of a key in one task,
+and a key may hold a third of all rows. Here one distributed sort
+(``indexing.global_row_number``: range partitions cut through large keys)
+positions all rows; a key's positions are cut into chunks of ``chunk_rows``,
+the last ``width`` rows of each chunk are copied into the next one as context,
+and the frame runs per (key, chunk). Every task sorts at most
+``chunk_rows + width`` rows of a key, and the result is exactly the plain
+window's, whatever ``chunk_rows`` is.
 """
 
 from __future__ import annotations
@@ -24,63 +19,33 @@ from pyspark.sql import functions as F
 
 from reelspark.operators.indexing import global_row_number
 
-DEFAULT_CHUNK_ROWS = 1_000_000
-# Hot keys are at most total_rows / chunk_rows; a list this short is broadcast.
-HOT_KEY_BROADCAST_LIMIT = 1_000_000
-
-
-def _split_hot(df: DataFrame, key: str, chunk_rows: int):
-    """(rows of ordinary keys, rows of hot keys or None, number of hot keys)."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.where(F.col("_n") > chunk_rows).select(key)
-    n_hot = hot.count()
-    if n_hot == 0:
-        return df, None, None
-    hot_b = F.broadcast(hot) if n_hot <= HOT_KEY_BROADCAST_LIMIT else hot
-    return df.join(hot_b, key, "left_anti"), df.join(hot_b, key, "left_semi"), n_hot
-
-
-def _hot_positions(rows: DataFrame, key: str, order: Sequence[str], out: str, n_hot: int) -> DataFrame:
-    """Per-key 0-based positions of hot keys' rows from one distributed sort."""
-    pos = global_row_number(rows, [key, *order], "_g")
-    start = pos.groupBy(key).agg(F.min("_g").alias("_g0"))
-    start = F.broadcast(start) if n_hot <= HOT_KEY_BROADCAST_LIMIT else start
-    return pos.join(start, key).withColumn(out, F.col("_g") - F.col("_g0")).drop("_g", "_g0")
+#: Rows of a key that one task frames at a time; results do not depend on it.
+CHUNK_ROWS = 100_000
 
 
-def key_positions(df: DataFrame, key: str, order: Sequence[str], out: str = "pos",
-                  chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
-    """``row_number() over (partition by key order by ...) - 1`` as bigint,
-    with keys above ``chunk_rows`` rows positioned by a distributed sort."""
-    cold, hot, n_hot = _split_hot(df, key, chunk_rows)
-    w = Window.partitionBy(key).orderBy(*order)
-    cold_out = cold.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
-    if hot is None:
-        return cold_out
-    return cold_out.unionByName(_hot_positions(hot, key, order, out, n_hot))
+def key_positions(df: DataFrame, key: str, order: Sequence[str], out: str = "pos") -> DataFrame:
+    """``row_number() over (partition by key order by ...) - 1`` as bigint."""
+    pos = global_row_number(df, [key, *order], "_g")
+    start = pos.groupBy(F.col(key).alias("_of")).agg(F.min("_g").alias("_g0"))
+    return (pos.join(start, pos[key].eqNullSafe(start["_of"]))
+            .withColumn(out, F.col("_g") - F.col("_g0")).drop("_g", "_g0", "_of"))
 
 
 def sliding_frame(df: DataFrame, key: str, order: Sequence[str], width: int,
                   make_cols: Callable[[Window], list[Column]],
-                  chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
-    """``df`` plus the columns of ``make_cols(w)``, with
-    ``w = partitionBy(key).orderBy(*order).rowsBetween(-width, -1)``.
+                  chunk_rows: int = CHUNK_ROWS, position: str = "_p") -> DataFrame:
+    """``df`` plus ``position`` (0-based, within the key) and the columns of
+    ``make_cols(w)``, ``w = partitionBy(key, chunk).orderBy(position)``: frames
+    that reach at most ``width`` rows back see the same rows as in
+    ``partitionBy(key).orderBy(*order)``.
 
     ``order`` must be a total order within a key.
     """
     if chunk_rows < width:
         raise ValueError("chunk_rows must be >= width")
-    plain_w = Window.partitionBy(key).orderBy(*order).rowsBetween(-width, -1)
-    cold, hot, n_hot = _split_hot(df, key, chunk_rows)
-    cold_out = cold.select("*", *make_cols(plain_w))
-    if hot is None:
-        return cold_out
-    pos = (_hot_positions(hot, key, order, "_p", n_hot)
-           .withColumn("_c", F.floor(F.col("_p") / chunk_rows).cast("bigint")))
-    own = pos.withColumn("_ctx", F.lit(False))
-    context = (pos.where(F.col("_p") % chunk_rows >= chunk_rows - width)
-            .withColumn("_c", F.col("_c") + 1).withColumn("_ctx", F.lit(True)))
-    chunk_w = Window.partitionBy(key, "_c").orderBy("_p").rowsBetween(-width, -1)
-    hot_out = (own.unionByName(context).select("*", *make_cols(chunk_w))
-               .where(~F.col("_ctx")).drop("_p", "_c", "_ctx"))
-    return cold_out.unionByName(hot_out)
+    pos = key_positions(df, key, order, position).withColumn("_c", F.floor(F.col(position) / chunk_rows).cast("bigint"))
+    # a row near the end of its chunk is dealt to the next one too, as context
+    copies = F.when(F.col(position) % chunk_rows >= chunk_rows - width, F.array(F.col("_c"), F.col("_c") + 1)).otherwise(F.array(F.col("_c")))
+    dealt = pos.withColumn("_in", F.explode(copies))
+    w = Window.partitionBy(key, "_in").orderBy(position)
+    return dealt.select("*", *make_cols(w)).where(F.col("_in") == F.col("_c")).drop("_c", "_in")

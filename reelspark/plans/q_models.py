@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelspark.functions.columns import STRICT_LIKE_THRESHOLD, like_label, rounded
-from reelspark.operators import als, indexing, scoring, sequences
+from reelspark.operators import als, indexing, scoring, sequences, serving, stats
+from reelspark.operators.similarity import dense_cosine_pairs
+from reelspark.operators.topk import top_k, top_k_per_group
 from reelspark.plans.catalog import query
 from reelspark.plans.oracle import with_views
 from reelspark.sources import driver_tables as src
@@ -36,6 +38,12 @@ def item2vec(spark, d):
     return _item2vec(spark, d)[1]
 
 
+@query("item2vec_topk", "F11 J9 Q10 (10 most similar items by item2vec vectors)")
+def item2vec_topk(spark, d):
+    top = dense_cosine_pairs(_item2vec(spark, d)[1], "mid", "vector", k=10, other_col="sim_mid")
+    return top.select("mid", "rank", "sim_mid", rounded(F.col("score")).alias("score"))
+
+
 @query("user_vectors", "A13 J24 (sum of rated items' vectors)")
 def user_vectors(spark, d):
     r, vec = _item2vec(spark, d)
@@ -64,28 +72,42 @@ def user_embedding_sum(spark, d):
         "uid", F.col("dim").cast("bigint"), rounded(F.col("value")).alias("value"))
 
 
+def als_model(spark, d):
+    """The reference's model on all ratings, fitted once per application."""
+    return als.written_once(lambda: src.ratings(spark, d), spark, d)
+
+
 @query("als_user_recs", "F12 J7 T3 P10 (top-10 predicted items per user)")
 def als_user_recs(spark, d):
-    m = als.fit_als(src.ratings(spark, d))
-    return als.user_recs(m).withColumn("score", rounded(F.col("score")))
+    return als.user_recs(als_model(spark, d)).withColumn("score", rounded(F.col("score")))
+
+
+@query("als_unseen_recs", "F12 T3 J16 (top-10 predicted items the user has not rated)")
+def als_unseen_recs(spark, d):
+    return als.user_recs(als_model(spark, d), seen=src.ratings(spark, d)).withColumn("score", rounded(F.col("score")))
 
 
 @query("als_similar_items", "J9 F15 T5 (item factor cosine > 0.6, all partners)")
 def als_similar_items(spark, d):
-    m = als.fit_als(src.ratings(spark, d))
-    return als.similar_items(m).withColumn("score", rounded(F.col("score")))
+    return als.similar_items(als_model(spark, d)).withColumn("score", rounded(F.col("score")))
+
+
+@query("als_similar_topn", "Q10 J9 T10 J21 (10 most similar items by ALS factors, with titles)")
+def als_similar_topn(spark, d):
+    pairs = als.similar_items(als_model(spark, d), k=10)
+    top = pairs.select("mid", "rank", "sim_mid", rounded(F.col("score")).alias("score"))
+    return serving.hydrate(top, src.items(spark, d).select("mid", "title"), "sim_mid", "mid")
 
 
 @query("als_similar_users", "J8 F15 T4 Q9 (top-10 users by factor cosine > 0.6)")
 def als_similar_users(spark, d):
-    m = als.fit_als(src.ratings(spark, d))
-    return als.similar_users(m).withColumn("score", rounded(F.col("score")))
+    return als.similar_users(als_model(spark, d)).withColumn("score", rounded(F.col("score")))
 
 
 @query("als_rmse", "F13 A14 J13 (hash 80/20 split, RMSE on the holdout)")
 def als_rmse(spark, d):
     train, test = als.holdout_split(src.ratings(spark, d))
-    return als.rmse_frame(als.fit_als(train), test)
+    return als.rmse_frame(als.written_once(lambda: train, spark, f"{d}#train"), test)
 
 
 @query("als_grid", "F14 A15 (rank x lambda grid, arg-min RMSE)")
@@ -94,6 +116,57 @@ def als_grid(spark, d):
     return als.grid_search(train, test)
 
 
+# Factor tables by rule: what follows a fit can then be stated in SQL and compared by value.
+RULE_RANK = 6
+
+
+def rule_factors(spark, d):
+    """Factors of every item with mid % 7 <> 0 and every user with uid % 5 <> 0."""
+    def vector(key, salt):
+        return F.array(*[F.sin(F.col(key) * (0.37 + 0.11 * j) + (1.7 * j + salt)) + 0.5 for j in range(RULE_RANK)])
+    users = src.users(spark, d).where("uid % 5 <> 0").select("uid", vector("uid", 1).alias("features"))
+    items = src.items(spark, d).where("mid % 7 <> 0").select("mid", vector("mid", 2).alias("features"))
+    return als.Factors(users, items)
+
+
+def _rule_sql(key, salt):
+    return "[" + ", ".join(f"sin({key} * {0.37 + 0.11 * j!r}::double + {1.7 * j + salt!r}::double) + 0.5" for j in range(RULE_RANK)) + "]"
+
+
+_DOT = "(" + " + ".join(f"u.f[{j}] * i.f[{j}]" for j in range(1, RULE_RANK + 1)) + ")"
+_COS = ("(" + " + ".join(f"a.f[{j}] * b.f[{j}]" for j in range(1, RULE_RANK + 1)) + ") / sqrt((" + " + ".join(f"a.f[{j}] * a.f[{j}]" for j in range(1, RULE_RANK + 1))
+        + ") * (" + " + ".join(f"b.f[{j}] * b.f[{j}]" for j in range(1, RULE_RANK + 1)) + "))")
+RULE_CTES = {"uf": f"select uid, {_rule_sql('uid', 1)} f from users where uid % 5 <> 0",
+             "itf": f"select mid, {_rule_sql('mid', 2)} f from items where mid % 7 <> 0"}
+RULE_LISTS_SQL = f"""
+select uid, mid, score, cast(row_number() over (partition by uid order by round(score, 9) desc, mid) as bigint) rank
+from (select u.uid, i.mid, {_DOT} score from uf u cross join itf i
+      where not exists (select 1 from ratings r where r.uid = u.uid and r.mid = i.mid)) t
+where score > 0 qualify rank <= 10"""
+
+
+@query("factor_recs", "T3 P10 J7 J16 (top-10 unseen items from fixed factor tables)",
+       with_views(f"select uid, rank, mid, round(score, 6) score from ({RULE_LISTS_SQL}) x", "ratings", "users", "items", extra=RULE_CTES))
+def factor_recs(spark, d):
+    return als.user_recs(rule_factors(spark, d), seen=src.ratings(spark, d)).withColumn("score", rounded(F.col("score")))
+
+
+@query("factor_similar_topn", "J9 T5 Q10 (10 most similar items from a fixed factor table)", with_views(f"""
+select mid, rank, sim_mid, round(score, 6) score from (
+  select mid, sim_mid, score, cast(row_number() over (partition by mid order by round(score, 9) desc, sim_mid) as bigint) rank
+  from (select a.mid, b.mid sim_mid, {_COS} score from itf a join itf b on a.mid <> b.mid) s where score > 0.6) t where rank <= 10""", "items", extra=RULE_CTES))
+def factor_similar_topn(spark, d):
+    top = als.similar_items(rule_factors(spark, d), k=10)
+    return top.select("mid", "rank", "sim_mid", rounded(F.col("score")).alias("score"))
+
+
+@query("factor_rmse", "A14 J13 (RMSE of fixed factor tables over the ratings they cover)", with_views(f"""
+select round(sqrt(avg((r.score - {_DOT}) * (r.score - {_DOT}))), 6) rmse, count(*) n_test
+from ratings r join uf u on u.uid = r.uid join itf i on i.mid = r.mid""", "ratings", "users", "items", extra=RULE_CTES))
+def factor_rmse(spark, d):
+    return als.rmse_frame(rule_factors(spark, d), src.ratings(spark, d)).withColumn("rmse", rounded(F.col("rmse")))
+
+
 def _ncf_inputs(spark, d):
     r = src.ratings(spark, d)
     uidx = indexing.dense_index(r, "uid", "user_idx")
@@ -135,17 +208,42 @@ def ncf_score(spark, d):
     return s.withColumn("score", rounded(F.col("score")))
 
 
-@query("ncf_topn", "Q13 J16 U1 T12 (best unseen items per user, blocked scoring)")
+NCF_POPULAR = 20
+
+
+@query("ncf_topn", "Q13 J16 U1 T12 (retrieved candidates, unseen, NCF-scored, best 10 per user)", with_views(f"""
+with prefs as (select uid, genre from user_pref),
+cold as (select uid, mid from (
+  select uid, mid, row_number() over (partition by uid order by score desc, mid) rank
+  from (select p.uid, t.mid, max(t.avg) score from prefs p join genre_top t on p.genre = t.genre group by p.uid, t.mid) x) y where rank <= 10),
+pop as (select mid from (select mid, count(*) n from ratings group by mid) c order by n desc, mid limit {NCF_POPULAR}),
+cands as (select uid, mid from cold union select u.uid, p.mid from (select distinct uid from ratings) u cross join pop p),
+todo as (select uid, mid from cands c where not exists (select 1 from ratings r where r.uid = c.uid and r.mid = c.mid)),
+scored as ({NCF_SQL.replace("from ratings r join uidx u", "from todo r join uidx u")}),
+ui as (select uid, row_number() over (order by uid) - 1 user_idx from (select distinct uid from ratings) t),
+ii as (select mid, row_number() over (order by mid) - 1 item_idx from (select distinct mid from items) t)
+select uid, mid, score, rank from (
+  select uid, mid, score, cast(row_number() over (partition by uid order by score desc, mid) as bigint) rank
+  from scored s join ui using (user_idx) join ii using (item_idx)) z where rank <= {NCF_TOP_N}""", "ratings", "items", "user_pref", "genre_top"))
 def ncf_topn(spark, d):
-    seen, users, items, uidx, iidx = _ncf_inputs(spark, d)
-    top = scoring.top_unseen(users, items, seen, scoring.init_layers(), NCF_TOP_N)
-    return (top.join(uidx, "user_idx").join(iidx, "item_idx")
-            .select("uid", "rank", "mid", rounded(F.col("score")).alias("score")))
+    """Two stages: each user's cold-start list and the most rated items are the
+    candidates; those the user has not rated are scored."""
+    r, it = src.ratings(spark, d), src.items(spark, d)
+    _, users, items, uidx, iidx = _ncf_inputs(spark, d)
+    cold = serving.cold_start(serving.derived_pref_genres(r, it), stats.genre_top_n(it, stats.avg_score(r)))
+    popular = top_k(stats.most_rated(r), [F.col("count").desc(), F.col("mid").asc()], NCF_POPULAR)
+    mids = popular.agg(F.collect_list("mid")).scalar()  # NCF_POPULAR ids
+    cands = cold.select("uid", "mid").unionByName(r.select("uid").distinct().select("uid", F.explode(mids).alias("mid"))).distinct()
+    unseen = cands.join(r.select("uid", "mid"), ["uid", "mid"], "left_anti")
+    pairs = unseen.join(uidx, "uid").join(iidx, "mid")
+    scored = scoring.score_pairs(pairs, users, items, scoring.init_layers()).withColumn("score", rounded(F.col("score")))
+    top = top_k_per_group(scored.join(uidx, "user_idx").join(iidx, "item_idx"), ["uid"], [F.col("score").desc(), F.col("mid").asc()], NCF_TOP_N)
+    return top.select("uid", "rank", "mid", "score")
 
 
 @query("click_model_auc", "F17 F18 A24 (MLP and FM click models on ALS factors, ROC AUC)")
 def click_model_auc(spark, d):
     r = src.ratings(spark, d).withColumn("label", like_label(F.col("score"), STRICT_LIKE_THRESHOLD, True))
     train, test = als.holdout_split(r)
-    m = als.fit_als(train, rank=8)
-    return scoring.click_model(train, m.userFactors, m.itemFactors, test)
+    m = als.written_once(lambda: train, spark, f"{d}#train", rank=8)
+    return scoring.click_model(train, m.users, m.items, test)

@@ -8,6 +8,7 @@ from reelspark.functions.columns import rounded
 from reelspark.operators import als, indexing, serving, similarity as sim, stats
 from reelspark.plans.q_similarity import CONTENT_SIM_SQL, CONTENT_THRESHOLD, TFIDF_SQL
 from reelspark.plans.catalog import query
+from reelspark.plans.q_models import RULE_CTES, RULE_LISTS_SQL, als_model, rule_factors
 from reelspark.plans.oracle import with_views
 from reelspark.sources import driver_tables as src
 
@@ -96,22 +97,35 @@ select uid, rank, mid, round(score, 6) score from (
     extra={"declared": DECLARED_SQL,
            "prefs": "select uid, genre from user_pref union select uid, genre from declared"}))
 def cold_start_recs(spark, d):
+    return _cold_lists(spark, d).withColumn("score", rounded(F.col("score")))
+
+
+def _cold_lists(spark, d):
     r, it = src.ratings(spark, d), src.items(spark, d)
     prefs = serving.merge_prefs(serving.derived_pref_genres(r, it),
                                 serving.declared_pref_genres(src.tags(spark, d), it))
-    top = stats.genre_top_n(it, stats.avg_score(r))
-    return serving.cold_start(prefs, top).withColumn("score", rounded(F.col("score")))
+    return serving.cold_start(prefs, stats.genre_top_n(it, stats.avg_score(r)))
 
 
 @query("user_recs_fallback", "Q8 (ALS list, else cold start)")
 def user_recs_fallback(spark, d):
-    r, it, us = src.ratings(spark, d), src.items(spark, d), src.users(spark, d)
-    lfm = als.user_recs(als.fit_als(r))
-    prefs = serving.merge_prefs(serving.derived_pref_genres(r, it),
-                                serving.declared_pref_genres(src.tags(spark, d), it))
-    cold = serving.cold_start(prefs, stats.genre_top_n(it, stats.avg_score(r)))
-    out = serving.recs_with_fallback(lfm.select("uid", "rank", "mid", "score"), cold, us)
-    return out.withColumn("score", rounded(F.col("score")))
+    lists = als.user_recs(als_model(spark, d))
+    return serving.recs_with_fallback(lists, _cold_lists(spark, d), src.users(spark, d)).withColumn("score", rounded(F.col("score")))
+
+
+@query("factor_recs_fallback", "Q8 (lists from fixed factors that lack some users, else cold start)", with_views(f"""
+with lists as ({RULE_LISTS_SQL.replace("where not exists (select 1 from ratings r where r.uid = u.uid and r.mid = i.mid)", "")}),
+cold as (select uid, rank, mid, score from (
+  select uid, mid, score, cast(row_number() over (partition by uid order by score desc, mid) as bigint) rank
+  from (select p.uid, t.mid, max(t.avg) score from prefs p join genre_top t on p.genre = t.genre group by p.uid, t.mid) x) y where rank <= 10)
+select uid, rank, mid, round(score, 6) score from lists
+union all
+select uid, rank, mid, round(score, 6) score from cold where uid in (select uid from users) and uid not in (select uid from lists)""",
+    "ratings", "users", "items", "user_pref", "tags", "genre_top",
+    extra={**RULE_CTES, "declared": DECLARED_SQL, "prefs": "select uid, genre from user_pref union select uid, genre from declared"}))
+def factor_recs_fallback(spark, d):
+    lists = als.user_recs(rule_factors(spark, d))
+    return serving.recs_with_fallback(lists, _cold_lists(spark, d), src.users(spark, d)).withColumn("score", rounded(F.col("score")))
 
 
 # Incremental user index: the index as of a cut date, then later sign-ups.
@@ -149,8 +163,7 @@ def similar_items_topn(spark, d):
 
 @query("similar_users_named", "Q9 J22 (10 most similar users by ALS factors, with user names)")
 def similar_users_named(spark, d):
-    m = als.fit_als(src.ratings(spark, d))
-    top = als.similar_users(m)
+    top = als.similar_users(als_model(spark, d))
     out = serving.hydrate(top, src.users(spark, d), "sim_uid", "uid")
     return out.select("uid", "rank", "sim_uid", rounded(F.col("score")).alias("score"), "username")
 

@@ -44,19 +44,42 @@ from wn a join wn b on a.term = b.term and a.mid <> b.mid
 group by a.mid, b.mid having sum(a.w * b.w) > 0.6"""
 
 
-@query("content_similar", "J10 F15 T5 P8 P9 (TF-IDF cosine > 0.6, all partners)",
-       with_views(CONTENT_SIM_SQL, "items", extra={"tw": TFIDF_SQL}))
+# The factorised table: each item's representative (the least item of equal vectors) and the pairs of
+# representatives; the table of all item pairs is their product and grows with the square of the groups.
+CONTENT_GROUPS_SQL = """
+with sig as (select mid, list(term || ':' || tf order by term) s from tw where w <> 0 group by mid),
+rep as (select s, min(mid) rep from sig group by s),
+mem as (select sig.mid, rep.rep from sig join rep on sig.s = rep.s),
+twr as (select tw.* from tw where mid in (select rep from rep)),
+nrm as (select mid, sqrt(sum(w * w)) nrm from twr group by mid),
+wn as (select twr.mid, twr.term, twr.w / nrm.nrm w from twr join nrm on twr.mid = nrm.mid where nrm.nrm > 0 and twr.w <> 0)
+select 'member' kind, mid a, rep b, 1.0 score from mem
+union all
+select 'pair' kind, a.mid a, b.mid b, round(sum(a.w * b.w), 6) score
+from wn a join wn b on a.term = b.term and a.mid <> b.mid
+group by a.mid, b.mid having sum(a.w * b.w) > 0.6
+union all
+select 'pair' kind, rep a, rep b, 1.0 score from rep"""
+
+
+def _factored(groups):
+    """kind 'member': item a has representative b; kind 'pair': representatives a, b with their cosine."""
+    members = groups.members.select(F.lit("member").alias("kind"), F.col(groups.id_col).alias("a"), F.col("_rep").alias("b"), F.lit(1.0).alias("score"))
+    pairs = groups.rep_pairs.select(F.lit("pair").alias("kind"), F.col("_a").alias("a"), F.col("_b").alias("b"), rounded(F.col("score")).alias("score"))
+    return members.unionByName(pairs)
+
+
+@query("content_similar", "J10 F15 T5 P8 P9 (TF-IDF cosine > 0.6, all partners, as members and representative pairs)",
+       with_views(CONTENT_GROUPS_SQL, "items", extra={"tw": TFIDF_SQL}))
 def content_similar(spark, d):
     t = sim.tfidf(sim.genre_terms(src.items(spark, d)))
-    pairs = sim.sparse_cosine_pairs(t.select("mid", "term", "w"), CONTENT_THRESHOLD)
-    return pairs.select("mid", "sim_mid", rounded(F.col("score")).alias("score"))
+    return _factored(sim.sparse_cosine_groups(t.select("mid", "term", "w"), CONTENT_THRESHOLD))
 
 
-@query("content_similar_hashed", "F9 J10 T5 (HashingTF(20) + IDF as in the reference; cosine > 0.6)")
+@query("content_similar_hashed", "F9 J10 T5 (HashingTF(20) + IDF as in the reference; cosine > 0.6; factorised)")
 def content_similar_hashed(spark, d):
     w = sim.hashed_tfidf(src.items(spark, d), num_features=20)
-    pairs = sim.sparse_cosine_pairs(w, CONTENT_THRESHOLD)
-    return pairs.select("mid", "sim_mid", rounded(F.col("score")).alias("score"))
+    return _factored(sim.sparse_cosine_groups(w, CONTENT_THRESHOLD))
 
 
 EMB_COS = ("list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[]))")

@@ -7,8 +7,6 @@ table feeding the re-ranker is the content similarity (TF-IDF cosine > 0.6).
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import functions as F
 
 from reelspark.functions.columns import rounded
@@ -16,9 +14,10 @@ from reelspark.operators import serving, similarity as sim, stats
 from reelspark.operators.upsert import last_write_wins
 from reelspark.plans.catalog import query
 from reelspark.plans.oracle import with_views
-from reelspark.session import checkpoint_dir
+from reelspark.session import checkpoint_dir, shuffle_partitions
 from reelspark.plans.q_similarity import CONTENT_SIM_SQL, CONTENT_THRESHOLD, TFIDF_SQL
 from reelspark.sources import driver_tables as src
+from reelspark.sources import movielens
 from reelspark.streaming import job
 from reelspark.streaming import rerank as rr
 
@@ -76,6 +75,16 @@ def log_filter(spark, d):
     return rr.filter_log(src.log_lines(spark, d)).select("event_id", "message")
 
 
+@query("log_filter_stream", "S11 S12 (stream job: log lines in, rating messages out)", with_views(
+    "select message from msgs", "log_lines", extra={"msgs": MSG_SQL}))
+def log_filter_stream(spark, d):
+    """The log as a stream of files through the filter into a message table."""
+    root = job.scratch_root(spark, "log-filter")
+    src.log_lines(spark, d).select(F.col("line").alias("value")).repartition(shuffle_partitions(spark)).write.text(f"{root}/source")
+    job.start_log_filter(spark, f"{root}/source", f"{root}/messages", f"{root}/checkpoint", trigger={"availableNow": True}).awaitTermination()
+    return spark.read.schema("message string").parquet(f"{root}/messages")
+
+
 @query("message_parse", "ST3 P6 P15 (typed rating events, bad rows dropped)",
        with_views("select event_id, uid, mid, score, ts from ev", "log_lines",
                   extra={"msgs": MSG_SQL, "ev": EVENTS_SQL}))
@@ -118,65 +127,94 @@ def rerank_scores(spark, d):
     return out.select("uid", "rank", "mid", rounded(F.col("score")).alias("score"))
 
 
-STREAM_SLICES = 4
+STREAM_BATCHES = 4
 
 
 @query("stream_rerank", "ST1-ST9 S11 S15 S16 (Structured Streaming run; equals the batch replay)",
        RERANK_ORACLE)
 def stream_rerank(spark, d):
-    """Runs the streaming job over the log, written as ``STREAM_SLICES`` files
-    in event order (one micro-batch each), and returns the final lists."""
+    """Runs the streaming job over the log, written as files that come in about
+    ``STREAM_BATCHES`` micro-batches in no particular order, and returns the
+    final lists."""
     root = job.scratch_root(spark, "stream-rerank")
     g = _sims(spark, d)
-    g.members.write.mode("overwrite").parquet(f"{root}/sims_members")
-    g.rep_pairs.write.mode("overwrite").parquet(f"{root}/sims_pairs")
-    sims_tab = sim.GroupedPairs(spark.read.parquet(f"{root}/sims_members"),
-                                spark.read.parquet(f"{root}/sims_pairs"))
-    lines = src.log_lines(spark, d).join(_events(spark, d).select("event_id", "ts"), "event_id", "left")
-    bounds = lines.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
-    lo, hi = bounds["lo"] or 0, bounds["hi"] or 0
-    span = max(1, hi - lo + 1)
-    sliced = lines.withColumn("_slice", F.floor((F.coalesce("ts", F.lit(lo)) - lo) * STREAM_SLICES / span))
-    for i in range(STREAM_SLICES):
-        # sequential writes: file modification times follow event order
-        sliced.where(F.col("_slice") == i).select(F.col("line").alias("value")).coalesce(1) \
-            .write.mode("overwrite").text(f"{root}/source/slice={i:04d}")
-        time.sleep(0.05)
-    q = job.start(spark, f"{root}/source", f"{root}/out", f"{root}/checkpoint", sims_tab,
-                  trigger={"availableNow": True}, files_per_trigger=1)
+    files = max(2 * STREAM_BATCHES, shuffle_partitions(spark))
+    src.log_lines(spark, d).select(F.col("line").alias("value")).repartition(files).write.text(f"{root}/source")
+    q = job.start(spark, f"{root}/source", f"{root}/out", f"{root}/checkpoint", g,
+                  trigger={"availableNow": True}, files_per_trigger=-(-files // STREAM_BATCHES))
     q.awaitTermination()
     lists = job.read_lists(spark, f"{root}/out")
     return lists.select("uid", "rank", "mid", rounded(F.col("score")).alias("score"))
 
 
-@query("stream_recs_fallback", "Q6 (stream list, else most rated; rated removed; first 10)", with_views("""
+FALLBACK_SQL = """
 with rt as (select uid, mid from ev group by uid, mid),
 pop as (select mid, count(*) cnt, row_number() over (order by count(*) desc, mid) q from rt group by mid),
 own as (select s.uid, s.mid, s.score from scores s
         where not exists (select 1 from rt where rt.uid = s.uid and rt.mid = s.mid)),
-us as (select distinct uid from ev),
-need as (select uid from us where uid not in (select uid from scores)),
+need as (select uid from users where uid not in (select uid from scores)),
 fb as (select n.uid, p.mid, cast(p.cnt as double) score,
               row_number() over (partition by n.uid order by p.q) r
        from need n cross join pop p
-       where not exists (select 1 from rt where rt.uid = n.uid and rt.mid = p.mid))
+       where not exists (select 1 from rt where rt.uid = n.uid and rt.mid = p.mid)),
+lists as (
 select uid, cast(row_number() over (partition by uid order by round(score, 9) desc, mid) as bigint) rank, mid,
        round(score, 6) score from own
 qualify rank <= 10
 union all
-select uid, cast(r as bigint) rank, mid, round(score, 6) score from fb where r <= 10""",
-    "log_lines", "items", extra=STREAM_CTES))
-def stream_recs_fallback(spark, d):
+select uid, cast(r as bigint) rank, mid, round(score, 6) score from fb where r <= 10)
+"""
+
+
+def _fallback_lists(spark, d):
+    """Lists of all users: the streaming list where there is one, else the most rated."""
     ev = _events(spark, d)
-    # The lists (<= 10 rows per user) feed several eager steps of the fallback;
-    # a reliable checkpoint computes them once and cuts the lineage.
+    # The lists (<= 10 rows per user) feed several steps; a reliable checkpoint computes them once.
     checkpoint_dir(spark)
     lists = rr.rerank_batch(ev, _sims(spark, d)).checkpoint(eager=True)
     rated = last_write_wins(ev, ["uid", "mid"], list(rr.EVENT_ORDER), ["score"])
-    popular = stats.most_rated(rated)
-    users = ev.select("uid").distinct()
-    out = serving.stream_fallback(lists, popular, rated, users)
-    return out.select("uid", "rank", "mid", rounded(F.col("score")).alias("score"))
+    return serving.stream_fallback(lists, stats.most_rated(rated), rated, src.users(spark, d))
+
+
+@query("stream_recs_fallback", "Q6 (stream list, else most rated; rated removed; first 10; all users)", with_views(
+    FALLBACK_SQL + "select uid, rank, mid, score from lists", "log_lines", "items", "users", extra=STREAM_CTES))
+def stream_recs_fallback(spark, d):
+    return _fallback_lists(spark, d).select("uid", "rank", "mid", rounded(F.col("score")).alias("score"))
+
+
+@query("stream_recs_sorted", "Q6 sort option (the same lists by release year)", with_views(
+    FALLBACK_SQL + """
+select uid, mid, value, cast(row_number() over (partition by uid order by value desc, rank) as bigint) rank
+from (select l.uid, l.rank, l.mid, cast(coalesce(try_cast(nullif(regexp_extract(i.title, '\\((\\d{4})\\)\\s*$', 1), '') as integer), -1) as double) value
+      from lists l join items i on i.mid = l.mid) t""", "log_lines", "items", "users", extra=STREAM_CTES))
+def stream_recs_sorted(spark, d):
+    it = src.items(spark, d)
+    return serving.sort_lists(_fallback_lists(spark, d), serving.item_profile(it, src.ratings(spark, d)), "releaseYear")
+
+
+@query("csv_round_trip", "S1-S5 P6 J19 (ratings, movies, links and tags as CSV, read back and joined)", with_views("""
+select r.uid, r.mid, r.score, r.ts, i.title, lpad(cast(r.mid as varchar), 7, '0') imdb_id, coalesce(t.n, 0) n_tags
+from (select concat('User', cast(uid as varchar)) uid, mid, score, ts from ratings) r join items i on i.mid = r.mid
+left join (select concat('User', cast(uid as varchar)) uid, mid, count(*) n from tags group by uid, mid) t on t.uid = r.uid and t.mid = r.mid""",
+    "ratings", "items", "tags"))
+def csv_round_trip(spark, d):
+    """Writes the views in the reference's file formats and reads them with its readers."""
+    root = job.scratch_root(spark, "csv")
+    it = src.items(spark, d)
+    tables = {
+        "ratings": src.ratings(spark, d).select(F.col("uid").alias("userId"), F.col("mid").alias("movieId"), F.col("score").alias("rating"), F.col("ts").alias("timestamp")),
+        "movies": it.select(F.col("mid").alias("movieId"), "title", "genres"),
+        "links": it.select(F.col("mid").alias("movieId"), F.lpad(F.col("mid").cast("string"), 7, "0").alias("imdbId"), F.col("mid").cast("string").alias("tmdbId")),
+        "tags": src.tags(spark, d).select(F.col("uid").alias("userId"), F.col("mid").alias("movieId"), "tag", F.col("ts").alias("timestamp"))}
+    for name, df in tables.items():
+        df.write.option("header", True).option("quote", '"').option("escape", '"').csv(f"{root}/{name}")
+    profile = serving.item_profile(movielens.read_movies(spark, f"{root}/movies"), movielens.read_ratings(spark, f"{root}/ratings"),
+                                   movielens.read_links(spark, f"{root}/links"))
+    tags = movielens.read_tags(spark, f"{root}/tags").groupBy("uid", "mid").agg(F.count(F.lit(1)).alias("n_tags"))
+    titles = movielens.read_header_csv(spark, f"{root}/movies", movielens.MOVIES_SCHEMA).select(F.col("movieId").alias("mid"), "title")
+    return (movielens.read_ratings(spark, f"{root}/ratings").join(profile.select("mid", F.col("imdbId").alias("imdb_id")), "mid").join(titles, "mid")
+            .join(tags, ["uid", "mid"], "left")
+            .select("uid", F.col("mid").cast("bigint").alias("mid"), "score", "ts", "title", "imdb_id", F.coalesce("n_tags", F.lit(0)).cast("bigint").alias("n_tags")))
 
 
 @query("tags_joined", "A16 J18 S10 (items with their distinct tags joined by |)", with_views("""

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspark.functions.columns import RATING_LOG_PREFIX, epoch_col
-from reelspark.operators.upsert import last_write_wins
+from reelspark.operators.upsert import newest_by_number
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -37,9 +37,11 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = (li.join(od, li.l_orderkey == od.o_orderkey)
               .select(F.col("o_custkey").alias("uid"), F.col("l_partkey").alias("mid"),
                       "o_orderdate", "l_orderkey", "l_linenumber", "l_quantity"))
-    latest = last_write_wins(events, ["uid", "mid"],
-                             ["o_orderdate", "l_orderkey", "l_linenumber", "l_quantity"],
-                             ["o_orderdate", "l_quantity"])
+    # date, order, line and quantity as one number of 6 + 19 + 7 + 5 digits, which is compared without a sort
+    part = lambda c, shift: c.cast("decimal(38,0)") * F.lit(str(10 ** shift)).cast("decimal(38,0)")
+    version = (part(F.unix_date(F.col("o_orderdate").cast("date")) + 100_000, 31) + part(F.col("l_orderkey"), 12)
+               + part(F.col("l_linenumber"), 5) + F.round(F.col("l_quantity") * 100).cast("decimal(38,0)"))
+    latest = newest_by_number(events, ["uid", "mid"], version.cast("decimal(38,0)"), ["o_orderdate", "l_quantity"])
     return latest.select(
         "uid", "mid",
         (F.ceil(F.col("l_quantity") / 5).cast("double") / 2).alias("score"),

@@ -5,52 +5,71 @@ source (text lines: a folder, or Kafka when its package is present)
   -> groupBy(uid).applyInPandasWithState             (ST4, ST5: recent list <= 40, read 20)
   -> foreachBatch(upsert_batch)                      (ST6-ST9: candidates, scores, upserts)
 
-Keyed state holds at most 40 (mid, score) pairs per user. The per-user
-events of a micro-batch arrive as an iterator of Arrow batches, so a hot
-user never has its batch materialised at once. ``upsert_batch`` writes
-version ``batch_id`` of two tables (ratings, recommendation lists) under the
-output folder as delta versions; re-running a batch after a failure
-rewrites the same version, so the sinks are idempotent.
+Keyed state holds a user's 40 newest events by ``EVENT_ORDER``. The per-user
+events of a micro-batch arrive as an iterator of Arrow batches in any order;
+a running selection of the 40 newest keeps memory bounded and makes the state
+independent of batch size, file order and how the log was cut: an event that
+arrives late takes the place its time stamp gives it, also across
+micro-batches, and one older than the 40 newest only joins the user's history.
+
+Layout of the output folder (all Parquet, written through Spark only):
+
+* ``manifest``            (epoch, upto): which epoch is current, and the last
+                          batch folded into its base;
+* ``base/epoch=E``        rating events up to that batch, by bucket of uid;
+* ``ratings/epoch=E/v=N`` the events of batch N, by bucket of uid;
+* ``recs/v=N``            the lists batch N made.
+
+A batch reads the buckets of its own users only, in the current epoch's base
+and deltas. ``compact`` folds the deltas into the base of a new epoch, so the
+number of versions a batch reads does not grow with the stream's age.
+Re-running a batch after a failure rewrites the same version.
 """
 
 from __future__ import annotations
 
-import os
+import heapq
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from reelspark.operators.upsert import last_write_wins, merge_latest
+from reelspark.operators.upsert import last_write_wins
+from reelspark.session import checkpoint_dir
 from reelspark.streaming.rerank import (EVENT_ORDER, MAX_USER_RATINGS_NUM, RECENT_LIST_CAP, candidate_scores,
                                         candidates, filter_log, parse_messages)
 
 EVENT_SCHEMA = "uid long, mid long, score double, ts long"
+#: An event (recent empty) or, once per user and batch, the user's newest events.
 STATE_OUT_SCHEMA = ("uid long, mid long, score double, ts long, "
                     "recent array<struct<mid:long,score:double>>")
-STATE_SCHEMA = "recent array<struct<mid:long,score:double>>"
+STATE_SCHEMA = "recent array<struct<ts:long,mid:long,score:double>>"
+#: Buckets of uid in base and deltas; fixed when the output folder is made.
+BUCKETS = 64
+HISTORY_SCHEMA = EVENT_SCHEMA + ", b int"
+LIST_SCHEMA = "array<struct<rank:long,mid:long,score:double>>"
 
 
 def _update_recent(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """ST4/ST5: push each event (in event order) onto the user's list, newest
-    first, keep 40; emit the event with the newest 20 entries (the current
-    rating included, as the reference writes the list before logging)."""
-    recent = list(state.get[0]) if state.exists else []
-    recent = [(int(r["mid"]), float(r["score"])) if isinstance(r, dict) else (int(r[0]), float(r[1]))
-              for r in recent]
+    """ST4/ST5: pass the events on and keep the user's 40 newest; then one row
+    per user with the newest 20 (the newest event included, as the reference
+    writes the list before logging)."""
+    kept = list(state.get[0]) if state.exists else []
+    newest = [(int(r["ts"]), int(r["mid"]), float(r["score"])) if isinstance(r, dict) else (int(r[0]), int(r[1]), float(r[2]))
+              for r in kept]
     for pdf in pdfs:
-        pdf = pdf.sort_values(list(EVENT_ORDER), kind="mergesort")
-        out_recent = []
-        for mid, score in zip(pdf["mid"].tolist(), pdf["score"].tolist()):
-            recent.insert(0, (int(mid), float(score)))
-            del recent[RECENT_LIST_CAP:]
-            out_recent.append([{"mid": m, "score": s} for m, s in recent[:MAX_USER_RATINGS_NUM]])
-        yield pd.DataFrame({"uid": pdf["uid"].to_numpy(), "mid": pdf["mid"].to_numpy(),
-                            "score": pdf["score"].to_numpy(), "ts": pdf["ts"].to_numpy(),
-                            "recent": out_recent})
-    state.update(([{"mid": m, "score": s} for m, s in recent],))
+        events = zip(pdf["ts"].tolist(), pdf["mid"].tolist(), pdf["score"].tolist())
+        newest = heapq.nlargest(RECENT_LIST_CAP, [*newest, *heapq.nlargest(RECENT_LIST_CAP, events)])
+        yield pd.DataFrame({"uid": pdf["uid"], "mid": pdf["mid"], "score": pdf["score"], "ts": pdf["ts"],
+                            "recent": [[] for _ in range(len(pdf))]})
+    state.update(([{"ts": t, "mid": m, "score": s} for t, m, s in newest],))
+    if newest:
+        ts, mid, score = newest[0]
+        yield pd.DataFrame({"uid": [key[0]], "mid": [mid], "score": [score], "ts": [ts],
+                            "recent": [[{"mid": m, "score": s} for _, m, s in newest[:MAX_USER_RATINGS_NUM]]]})
 
 
 def rating_events(lines: DataFrame, col: str = "value") -> DataFrame:
@@ -63,97 +82,123 @@ def with_recent_lists(events: DataFrame) -> DataFrame:
         _update_recent, STATE_OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 
-def _delta(spark: SparkSession, root: str, table: str, upto: int) -> DataFrame | None:
-    """Committed delta versions ``v <= upto`` of ``table`` (partition column ``v``)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{table}")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    return spark.read.parquet(f"{root.rstrip('/')}/{table}").where(F.col("v") <= upto)
+def bucket_of(uid: Column) -> Column:
+    return F.pmod(F.xxhash64(uid), F.lit(BUCKETS)).cast("int")
 
 
-def _write_version(df: DataFrame, root: str, table: str, version: int) -> None:
-    # Overwriting exactly this version folder makes a replayed batch idempotent.
-    df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{table}/v={version}")
+def _write_events(df: DataFrame, path: str, mode: str) -> None:
+    df.select("uid", "mid", "score", "ts", bucket_of(F.col("uid")).alias("b")).write.mode(mode).partitionBy("b").parquet(path)
 
 
-LIST_SCHEMA = "array<struct<rank:long,mid:long,score:double>>"
+def init_output(spark: SparkSession, root: str, base_ratings: DataFrame | None = None) -> None:
+    """Make the output folder's tables unless they are there; ``base_ratings``
+    (uid, mid, score, ts) is the history before the stream's first event."""
+    root = root.rstrip("/")
+    none = spark.createDataFrame([], EVENT_SCHEMA)
+    _write_events(base_ratings if base_ratings is not None else none, f"{root}/base/epoch=0", "ignore")
+    _write_events(none, f"{root}/ratings/epoch=0/v=-1", "ignore")
+    spark.createDataFrame([], f"uid long, recs {LIST_SCHEMA}").write.mode("ignore").parquet(f"{root}/recs/v=-1")
+    spark.createDataFrame([(0, -1)], "epoch long, upto long").write.mode("ignore").parquet(f"{root}/manifest")
+
+
+def _current(spark: SparkSession, root: str) -> tuple[int, int]:
+    """(epoch, last batch in its base)."""
+    row = spark.read.parquet(f"{root}/manifest").orderBy(F.desc("epoch")).first()
+    return row["epoch"], row["upto"]
 
 
-def upsert_batch(out_root: str, sims: DataFrame, base_ratings: DataFrame | None = None):
+def history(spark: SparkSession, out_root: str, upto: int | None = None, users: DataFrame | None = None) -> DataFrame:
+    """All rating events of base and deltas (uid, mid, score, ts), up to batch
+    ``upto``; with ``users``, of those only, reading no bucket but theirs."""
+    root = out_root.rstrip("/")
+    epoch, _ = _current(spark, root)
+    base = spark.read.schema(HISTORY_SCHEMA).parquet(f"{root}/base/epoch={epoch}")
+    deltas = spark.read.schema(HISTORY_SCHEMA + ", v long").parquet(f"{root}/ratings/epoch={epoch}")
+    if upto is not None:
+        deltas = deltas.where(F.col("v") <= upto)
+    events = base.unionByName(deltas.drop("v"))
+    if users is not None:
+        touched = [r["b"] for r in users.select(bucket_of(F.col("uid")).alias("b")).distinct().collect()]  # at most BUCKETS
+        events = events.where(F.col("b").isin(touched)).join(users.select("uid").distinct(), "uid", "left_semi")
+    return events.select("uid", "mid", "score", "ts")
+
+
+def upsert_batch(out_root: str, sims, compact_every: int | None = None):
     """``foreachBatch`` body (ST6-ST9, S15, S16).
 
     * the batch's rating events are written as delta version ``batch_id`` of
       ``ratings`` (ST9; readers resolve the newest per (uid, mid));
-    * each user's newest event of the batch is scored against the similarity
-      table; the user's seen set is read for the batch's users only
-      (base + deltas up to this batch, semi-joined on uid);
+    * the newest event of each user of the batch is scored against the
+      similarity table; the user's seen set comes from that user's buckets;
     * every user of the batch gets a new list row (possibly empty: the old
       list is replaced, S15) in delta version ``batch_id`` of ``recs``.
 
-    No table is rewritten per batch; ``compact`` folds deltas into a new base.
+    With ``compact_every`` = n, every n-th batch first folds the deltas before
+    it into a new base.
     """
+    root = out_root.rstrip("/")
+
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if compact_every and batch_id and batch_id % compact_every == 0:
+            compact(spark, root, batch_id - 1)
         batch = batch.persist()
-        events = batch.select("uid", "mid", "score", "ts")
-        _write_version(events, out_root, "ratings", batch_id)
-
-        users = events.select("uid").distinct()
-        seen = _delta(spark, out_root, "ratings", batch_id).select("uid", "mid")
-        if base_ratings is not None:
-            seen = seen.unionByName(base_ratings.select("uid", "mid"))
-        seen = seen.join(users, "uid", "left_semi")
-
-        newest = (batch.groupBy("uid").agg(F.max(F.struct(*EVENT_ORDER, "recent")).alias("_e"))
-                  .select("uid", F.col("_e.mid").alias("mid"), F.col("_e.recent").alias("recent")))
+        epoch, _ = _current(spark, root)
+        _write_events(batch.where("size(recent) = 0"), f"{root}/ratings/epoch={epoch}/v={batch_id}", "overwrite")
+        newest = batch.where("size(recent) > 0").select("uid", "mid", "recent")
+        seen = history(spark, root, batch_id, newest).select("uid", "mid")
         recents = newest.select("uid", F.explode("recent").alias("_r")).select("uid", "_r.mid", "_r.score")
         cands = candidates(newest.select("uid", "mid"), seen, sims)
         lists = (candidate_scores(cands, recents, sims)
                  .groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("rank", "mid", "score"))).alias("recs")))
-        rows = (users.join(lists, "uid", "left")
+        rows = (newest.select("uid").join(lists, "uid", "left")
                 .select("uid", F.coalesce("recs", F.array().cast(LIST_SCHEMA)).alias("recs")))
-        _write_version(rows, out_root, "recs", batch_id)
+        rows.write.mode("overwrite").parquet(f"{root}/recs/v={batch_id}")
         batch.unpersist()
     return run
 
 
-def read_lists(spark: SparkSession, out_root: str, upto: int = 1 << 62) -> DataFrame | None:
+def read_lists(spark: SparkSession, out_root: str, upto: int = 1 << 62) -> DataFrame:
     """Current lists: the newest version per user, one row per entry
     (``uid, rank, mid, score``); users whose newest list is empty have none."""
-    d = _delta(spark, out_root, "recs", upto)
-    if d is None:
-        return None
+    d = spark.read.schema(f"uid long, recs {LIST_SCHEMA}, v long").parquet(f"{out_root.rstrip('/')}/recs").where(F.col("v") <= upto)
     newest = last_write_wins(d, ["uid"], ["v"], ["recs"])
     return newest.select("uid", F.explode("recs").alias("_r")).select("uid", "_r.rank", "_r.mid", "_r.score")
 
 
-def current_ratings(spark: SparkSession, out_root: str, base: DataFrame | None = None) -> DataFrame | None:
+def current_ratings(spark: SparkSession, out_root: str) -> DataFrame:
     """Ratings after all committed batches: base plus deltas, newest per (uid, mid)."""
-    d = _delta(spark, out_root, "ratings", 1 << 62)
-    if d is None:
-        return base
-    d = d.drop("v")
-    return merge_latest(base, d, ["uid", "mid"], list(EVENT_ORDER), ["score"]) if base is not None else \
-        last_write_wins(d, ["uid", "mid"], list(EVENT_ORDER), ["score", "ts"]).select("uid", "mid", "score", "ts")
+    return (last_write_wins(history(spark, out_root), ["uid", "mid"], list(EVENT_ORDER), ["score", "ts"])
+            .select("uid", "mid", "score", "ts"))
+
 
+def compact(spark: SparkSession, out_root: str, upto: int) -> None:
+    """Fold the deltas up to batch ``upto`` into the base of a new epoch.
 
-def compact(spark: SparkSession, out_root: str, base_path: str, base: DataFrame | None = None) -> None:
-    """Fold all committed rating deltas into a new base snapshot at ``base_path``
-    (run off the streaming path; the query keeps appending deltas)."""
-    cur = current_ratings(spark, out_root, base)
-    if cur is not None:
-        cur.write.mode("overwrite").parquet(base_path)
+    Only the newest event of each (uid, mid) is kept. Call it between batches:
+    from ``upsert_batch`` or while the query is stopped. The new epoch counts
+    once its manifest row is written, so a failure in between changes nothing;
+    the old epoch's folders stay for readers that still use them.
+    """
+    root = out_root.rstrip("/")
+    epoch, done = _current(spark, root)
+    if done >= upto:
+        return
+    latest = last_write_wins(history(spark, root, upto), ["uid", "mid"], list(EVENT_ORDER), ["score", "ts"])
+    _write_events(latest, f"{root}/base/epoch={epoch + 1}", "overwrite")
+    _write_events(spark.createDataFrame([], EVENT_SCHEMA), f"{root}/ratings/epoch={epoch + 1}/v=-1", "overwrite")
+    spark.createDataFrame([(epoch + 1, upto)], "epoch long, upto long").write.mode("append").parquet(f"{root}/manifest")
 
 
 def start(spark: SparkSession, source_dir: str, out_root: str, checkpoint: str, sims: DataFrame,
           base_ratings: DataFrame | None = None, trigger: dict | None = None,
-          files_per_trigger: int | None = None, fmt: str = "text", options: dict | None = None):
+          files_per_trigger: int | None = None, fmt: str = "text", options: dict | None = None,
+          compact_every: int | None = None):
     """Start the query. ``fmt='kafka'`` with ``options`` (bootstrap servers,
     topic) reads a broker when its package is on the classpath; the default
     reads text files from ``source_dir`` (ST1 trigger: 2 s processing time
     unless ``trigger`` says otherwise, e.g. ``{'availableNow': True}``)."""
+    init_output(spark, out_root, base_ratings)
     reader = spark.readStream.format(fmt)
     for k, v in (options or {}).items():
         reader = reader.option(k, v)
@@ -165,14 +210,21 @@ def start(spark: SparkSession, source_dir: str, out_root: str, checkpoint: str,
     else:
         lines = reader.load().select(F.col("value").cast("string").alias("value"))
     stream = with_recent_lists(rating_events(lines))
-    writer = (stream.writeStream.foreachBatch(upsert_batch(out_root, sims, base_ratings))
+    writer = (stream.writeStream.foreachBatch(upsert_batch(out_root, sims, compact_every))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(**(trigger or {"processingTime": "2 seconds"}))
     return writer.start()
 
 
+def start_log_filter(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str, trigger: dict | None = None):
+    """S12 as a stream job: log lines in, the rating messages they carry out
+    (append-only Parquet; Kafka to Kafka is the same with another sink)."""
+    lines = spark.readStream.format("text").load(source_dir)
+    writer = (filter_log(lines, "value").select("message").writeStream.format("parquet")
+              .option("path", out_dir).option("checkpointLocation", checkpoint))
+    return writer.trigger(**(trigger or {"processingTime": "2 seconds"})).start()
+
+
 def scratch_root(spark: SparkSession, name: str) -> str:
     """A fresh folder under the session's reliable checkpoint folder."""
-    from reelspark.session import checkpoint_dir
-    base = checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/{name}-{os.getpid()}-{abs(hash(os.urandom(8)))}"
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -7,7 +7,7 @@ final recommendation lists.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.functions.columns import RATING_LOG_PREFIX, STRONG_RATING_THRESHOLD, log10_at_least_one
@@ -78,13 +78,18 @@ def candidates(last: DataFrame, seen: DataFrame, sims, n: int = MAX_SIM_MOVIES_N
     ``sims`` is a pairs table (mid, sim_mid, score) or a ``GroupedPairs``; only
     the partners of the users' last items are expanded. Rows ``uid, rank, mid, sim``."""
     g = as_grouped(sims)
-    src_rep = last.select("uid", F.col("mid").alias("_src")).join(
-        g.members.select(F.col(g.id_col).alias("_src"), F.col("_rep").alias("_a")), "_src")
-    partners = (src_rep.join(g.rep_pairs, "_a")
-                .join(g.members.select(F.col(g.id_col).alias("mid"), F.col("_rep").alias("_b")), "_b")
-                .where(F.col("mid") != F.col("_src"))
-                .select("uid", "mid", F.col("score").alias("sim")))
-    c = partners.join(seen.select("uid", "mid").distinct(), ["uid", "mid"], "left_anti")
+    rep_of = g.members.select(F.col(g.id_col).alias("_src"), F.col("_rep").alias("_a"))
+    src_rep = last.select("uid", F.col("mid").alias("_src")).join(rep_of, "_src")
+    groups = src_rep.join(g.rep_pairs, "_a").select("uid", "_src", "_b", F.col("score").alias("sim"))
+    # Members of a group share their similarity and come in id order, so of a
+    # group with s seen members only the first n + 1 + s can be chosen.
+    ranked = g.members.select(F.col(g.id_col).alias("mid"), F.col("_rep").alias("_b"),
+                              F.row_number().over(Window.partitionBy("_rep").orderBy(g.id_col)).alias("_m"))
+    had = seen.select("uid", "mid").distinct()
+    taken = (had.join(ranked.select("mid", "_b"), "mid").groupBy("uid", "_b").agg(F.count(F.lit(1)).alias("_s")))
+    groups = groups.join(taken, ["uid", "_b"], "left").withColumn("_m", F.explode(F.sequence(F.lit(1), n + 1 + F.coalesce("_s", F.lit(0)).cast("int"))))
+    partners = (groups.join(ranked, ["_b", "_m"]).where(F.col("mid") != F.col("_src")).select("uid", "mid", "sim"))
+    c = partners.join(had, ["uid", "mid"], "left_anti")
     return top_k_per_group(c, ["uid"], [F.round("sim", TIE_PLACES).desc(), F.col("mid").asc()], n)
 
 
@@ -116,7 +121,8 @@ def candidate_scores(cands: DataFrame, recents: DataFrame, sims,
         F.count_if(F.col("_rs") <= strong).alias("_dec"))
     scored = agg.select("uid", "mid", (F.col("_base") + log10_at_least_one(F.col("_inc"))
                                        - log10_at_least_one(F.col("_dec"))).alias("score"))
-    return top_k_per_group(scored, ["uid"], [F.round("score", TIE_PLACES).desc(), F.col("mid").asc()], 1 << 30)
+    order = Window.partitionBy("uid").orderBy(F.round("score", TIE_PLACES).desc(), F.col("mid").asc())
+    return scored.select("uid", F.row_number().over(order).cast("bigint").alias("rank"), "mid", "score")
 
 
 def rerank_batch(events: DataFrame, sims: DataFrame) -> DataFrame:

@@ -60,11 +60,12 @@ def test_sliding_frame_chunks_equal_plain_window(spark, chunk):
     width = 3
 
     def cols(w):
+        w = w.rowsBetween(-width, -1)
         return [F.count(F.lit(1)).over(w).alias("n"), F.sum("score").over(w).alias("s"),
                 F.collect_list("mid").over(w).alias("h")]
 
-    chunked = sliding_frame(df, "uid", ["ts", "mid"], width, cols, chunk_rows=chunk)
-    plain = df.select("*", *cols(Window.partitionBy("uid").orderBy("ts", "mid").rowsBetween(-width, -1)))
+    chunked = sliding_frame(df, "uid", ["ts", "mid"], width, cols, chunk_rows=chunk).drop("_p")
+    plain = df.select("*", *cols(Window.partitionBy("uid").orderBy("ts", "mid")))
     assert sorted(map(tuple, chunked.collect())) == sorted(map(tuple, plain.collect()))
 
 
@@ -75,9 +76,9 @@ def test_hot_user_full_features_match(spark):
     assert plain == chunked
 
 
-def test_key_positions_hot_path(spark):
+def test_key_positions(spark):
     df = spark.createDataFrame([(1, t) for t in range(40)] + [(2, t) for t in range(3)], "k long, t long")
-    a = sorted(map(tuple, key_positions(df, "k", ["t"], "pos", chunk_rows=5).collect()))
+    a = sorted(map(tuple, key_positions(df, "k", ["t"], "pos").collect()))
     assert a == sorted([(1, t, t) for t in range(40)] + [(2, t, t) for t in range(3)])
 
 
@@ -157,15 +158,12 @@ def test_cold_start_union(spark):
     assert serving.cold_start(prefs.where("uid = 2"), top).count() == 0
 
 
-def test_genre_containment_both_paths_agree(spark, monkeypatch):
+def test_genre_containment(spark):
     items = spark.createDataFrame([(1, "t", "Action|Drama"), (2, "t", "Dramatic|War"), (3, "t", "war")],
                                   "mid long, title string, genres string")
     avgs = spark.createDataFrame([(1, 4.0), (2, 3.0), (3, 2.0)], "mid long, avg double")
     genres = spark.createDataFrame([("Drama",), ("WAR",), ("Sci-Fi",)], "genre string")
     a = sorted((r["genre"], r["mid"], r["rank"]) for r in stats.genre_top_n(items, avgs, genres).collect())
-    monkeypatch.setattr(stats, "BROADCAST_GENRE_LIMIT", 0)
-    b = sorted((r["genre"], r["mid"], r["rank"]) for r in stats.genre_top_n(items, avgs, genres).collect())
-    assert a == b
     assert a == [("Drama", 1, 1), ("Drama", 2, 2), ("WAR", 2, 1), ("WAR", 3, 2)]
 
 
@@ -225,3 +223,10 @@ def test_fallback_hydrate_lookup_links(spark):
     ratings = spark.createDataFrame([], RATING)
     p = {r["mid"]: r for r in serving.item_profile(items, ratings, links).collect()}
     assert p[10]["imdbId"] == "0113277" and p[21]["imdbId"] is None
+
+
+def test_guarded_cosine(spark):
+    from reelspark.functions.columns import guarded_cosine
+    rows = [([1.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [0.0, 2.0]), ([1.0], [1.0, 2.0]), (None, [1.0])]
+    df = spark.createDataFrame(rows, "a array<double>, b array<double>")
+    assert [r[0] for r in df.select(guarded_cosine(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, -1.0, -1.0]

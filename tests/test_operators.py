@@ -116,23 +116,37 @@ def test_ncf_tiny_forward_by_hand(spark):
     assert math.isclose(got[1], by_hand(0.0, 2.0, 1.0, 2.0), rel_tol=1e-12)
 
 
-def test_top_unseen_matches_brute_force(spark):
-    uidx = spark.range(9).select(F.col("id").alias("user_idx"))
-    iidx = spark.range(23).select(F.col("id").alias("item_idx"))
-    users, items = scoring.embedding_tables(uidx, iidx)
-    layers = scoring.init_layers()
+def test_blocked_lists_match_brute_force(spark, monkeypatch):
+    from reelspark.operators import als
+    monkeypatch.setattr(als, "USER_BLOCK", 2)
+    monkeypatch.setattr(als, "ITEM_BLOCK", 5)
     rnd = random.Random(8)
-    seen = spark.createDataFrame([(u, i) for u in range(9) for i in range(23) if rnd.random() < 0.3],
-                                 "user_idx long, item_idx long")
-    got = scoring.top_unseen(users, items, seen, layers, 4, user_block=2, item_block=5).collect()
-    allp = spark.createDataFrame([(u, i) for u in range(9) for i in range(23)], "user_idx long, item_idx long")
-    scores = {(r["user_idx"], r["item_idx"]): r["score"]
-              for r in scoring.score_pairs(allp, users, items, layers).collect()}
-    seen_set = {tuple(r) for r in seen.collect()}
-    for u in range(9):
-        mine = [r["item_idx"] for r in sorted((r for r in got if r["user_idx"] == u), key=lambda r: r["rank"])]
-        ref = sorted((i for i in range(23) if (u, i) not in seen_set), key=lambda i: (-scores[(u, i)], i))[:4]
-        assert mine == ref
+    uv = {u: [rnd.gauss(0, 1) for _ in range(3)] for u in range(9)}
+    iv = {i: [rnd.gauss(0, 1) for _ in range(3)] for i in range(23)}
+    iv[7] = iv[3]  # a tie
+    factors = als.Factors(spark.createDataFrame(list(uv.items()), "uid long, features array<double>"),
+                          spark.createDataFrame(list(iv.items()), "mid long, features array<double>"))
+    had = {(u, i) for u in range(9) for i in range(23) if rnd.random() < 0.3}
+    seen = spark.createDataFrame([*had, (1, 99), (77, 1)], "uid long, mid long")
+    for given, without in ((None, set()), (seen, had)):
+        got = als.user_recs(factors, 4, given).collect()
+        for u in range(9):
+            mine = [r["mid"] for r in sorted((r for r in got if r["uid"] == u), key=lambda r: r["rank"])]
+            score = {i: float(np.dot(uv[u], iv[i])) for i in iv if (u, i) not in without}
+            assert mine == [i for i in sorted(score, key=lambda i: (-round(score[i], 9), i)) if score[i] > 0][:4]
+
+
+def test_fallback_lists_for_users_far_down_the_list(spark):
+    from reelspark.operators.serving import stream_fallback
+    popular = spark.createDataFrame([(i, 100 - i) for i in range(30)], "mid long, count long")
+    rated = spark.createDataFrame([(1, i) for i in range(18)] + [(2, 0), (2, 3)], "uid long, mid long")
+    own = spark.createDataFrame([(4, 5, 0.5), (4, 6, 0.9)], "uid long, mid long, score double")
+    users = spark.createDataFrame([(u,) for u in (1, 2, 3, 4)], "uid long")
+    for head in (2, 1000):
+        lists: dict = {}
+        for r in sorted(stream_fallback(own, popular, rated, users, 4, head).collect(), key=lambda r: r["rank"]):
+            lists.setdefault(r["uid"], []).append(r["mid"])
+        assert lists == {1: [18, 19, 20, 21], 2: [1, 2, 4, 5], 3: [0, 1, 2, 3], 4: [6, 5]}
 
 
 def test_grouped_top_k_equals_expanded_top_k(spark):

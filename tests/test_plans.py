@@ -6,12 +6,10 @@ import pytest
 
 import __spark_entry__ as E
 
-QUERIES = E.queries()
+QUERIES = {k: q for k, q in E.queries().items() if k in E.load_all()}
 # Heavy model fits are left out; their plans are Spark ML's own.
 SKIP = {"als_grid", "als_rmse", "als_similar_items", "als_similar_users", "als_user_recs", "click_model_auc",
         "user_recs_fallback", "item2vec", "user_vectors", "item_ml_features", "stream_rerank"}
-# The genre containment join is the one intended nested-loop join (broadcast, size-checked list).
-NESTED_LOOP_OK = {"stat_genre_topn", "stat_genre_pick", "cold_start_recs", "recs_json"}
 TOP_K = ["top_most_rated", "stat_genre_topn", "item_top_ratings", "genre_browse", "recent_k", "embedding_topk"]
 
 
@@ -23,8 +21,7 @@ def _plan(df) -> str:
 def test_no_cartesian_products(spark, sf_dir, key):
     plan = _plan(QUERIES[key](spark, sf_dir))
     assert "CartesianProduct" not in plan
-    if key not in NESTED_LOOP_OK:
-        assert "BroadcastNestedLoopJoin" not in plan
+    assert "BroadcastNestedLoopJoin" not in plan
 
 
 @pytest.mark.parametrize("key", TOP_K)
@@ -42,6 +39,8 @@ def test_scan_reads_only_needed_columns(spark, sf_dir):
     assert "l_partkey" in line
 
 
-def test_upsert_combines_map_side(spark, sf_dir):
-    plan = _plan(QUERIES["latest_ratings"](spark, sf_dir))
-    assert "partial_max" in plan
+@pytest.mark.parametrize("key", ["latest_ratings", "rating_histogram", "item_features_scaled"])
+def test_ratings_are_hashed_and_scanned_once(spark, sf_dir, key):
+    plan = _plan(QUERIES[key](spark, sf_dir))
+    assert "partial_max_by" in plan and "SortAggregate" not in plan
+    assert sum("lineitem" in x and "FileScan" in x for x in plan.splitlines()) <= (2 if key == "item_features_scaled" else 1)

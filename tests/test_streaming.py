@@ -1,11 +1,12 @@
-"""Streaming: state step, replay equality across micro-batch splits, restart."""
+"""Streaming: state step, replay equality whatever the batches, restart, compaction, pruned reads."""
 
 from __future__ import annotations
 
+import random
 import tempfile
-import time
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from reelspark.plans.q_stream import _events, _sims
@@ -30,74 +31,101 @@ class FakeState:
         self.value = v
 
 
-def test_recent_cap_keeps_40_reads_20_newest_first():
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_recent_list_does_not_depend_on_order_or_chunks(seed):
+    rnd = random.Random(seed)
+    rows = [(1, i % 30, 1.0, i) for i in range(45)]
+    rnd.shuffle(rows)
     st = FakeState()
-    ev = pd.DataFrame({"uid": [1] * 45, "mid": [i % 30 for i in range(45)], "score": [1.0] * 45,
-                       "ts": list(range(45))})
-    out = pd.concat(list(job._update_recent((1,), iter([ev.iloc[:20], ev.iloc[20:]]), st)))
-    assert len(st.value[0]) == 40
-    last = out.iloc[-1]["recent"]
-    assert len(last) == 20
-    assert [r["mid"] for r in last] == [(44 - i) % 30 for i in range(20)]  # newest first, repeats kept
-    assert [r["mid"] for r in st.value[0]][:3] == [44 % 30, 43 % 30, 42 % 30]
-
-
-def _write_slices(spark, lines, root, n):
-    evs = rr.parse_messages(rr.filter_log(lines)).select("event_id", "ts")
-    tagged = lines.join(evs, "event_id", "left")
-    lo, hi = tagged.agg(F.min("ts"), F.max("ts")).first()
-    span = max(1, hi - lo + 1)
-    sliced = tagged.withColumn("_s", F.floor((F.coalesce("ts", F.lit(lo)) - lo) * n / span))
-    for i in range(n):
-        sliced.where(F.col("_s") == i).select(F.col("line").alias("value")).coalesce(1) \
-            .write.mode("overwrite").text(f"{root}/source/slice={i:04d}")
-        time.sleep(0.05)
-
-
-def _run(spark, root, sims):
+    while rows:  # several micro-batches of several Arrow batches
+        batch, rows = rows[:17], rows[17:]
+        pdfs = [pd.DataFrame(batch[i:i + 5], columns=["uid", "mid", "score", "ts"]) for i in range(0, len(batch), 5)]
+        out = pd.concat(list(job._update_recent((1,), iter(pdfs), st)))
+        assert (out["recent"].str.len() > 0).sum() == 1  # one list per user and batch
+    assert [r["mid"] for r in st.value[0]] == [(44 - i) % 30 for i in range(40)]
+    assert [r["mid"] for r in out["recent"].iloc[-1]] == [(44 - i) % 30 for i in range(20)]  # newest first, repeats kept
+
+
+def _run(spark, root, sims, files, **kw):
     q = job.start(spark, f"{root}/source", f"{root}/out", f"{root}/ckpt", sims,
-                  trigger={"availableNow": True}, files_per_trigger=1)
+                  trigger={"availableNow": True}, files_per_trigger=files, **kw)
     q.awaitTermination()
     return q
 
 
-def test_stream_equals_batch_replay_and_restart_is_idempotent(spark, sf_dir):
+def _lists(spark, root):
+    return sorted(map(tuple, job.read_lists(spark, f"{root}/out").select("uid", "rank", "mid", F.round("score", 9)).collect()))
+
+
+@pytest.mark.parametrize("order,records,per_trigger,compact_every", [
+    ("forward", 10_000, 8, None), ("reversed", 50, 3, 2), ("shuffled", 50, 2, None), ("reversed", 10_000, 3, None)])
+def test_stream_equals_batch_replay(spark, sf_dir, order, records, per_trigger, compact_every):
     sims = _sims(spark, sf_dir)
     want = sorted(map(tuple, rr.rerank_batch(_events(spark, sf_dir), sims)
                       .select("uid", "rank", "mid", F.round("score", 9)).collect()))
+    root = tempfile.mkdtemp(prefix="reelspark-stream-")
     lines = src.log_lines(spark, sf_dir)
-    for n in (1, 3):
-        root = tempfile.mkdtemp(prefix=f"reelspark-stream{n}-")
-        _write_slices(spark, lines, root, n)
-        q = _run(spark, root, sims)
-        got = sorted(map(tuple, job.read_lists(spark, f"{root}/out")
-                         .select("uid", "rank", "mid", F.round("score", 9)).collect()))
-        assert got == want, n
-        batches = len(q.recentProgress)
+    keys = {"forward": F.col("event_id"), "reversed": F.col("event_id").desc(), "shuffled": F.xxhash64("event_id")}
+    (lines.repartitionByRange(8, keys[order]).sortWithinPartitions(keys[order])
+     .select(F.col("line").alias("value")).write.text(f"{root}/source"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+    try:
+        _run(spark, root, sims, per_trigger, compact_every=compact_every)
+        assert _lists(spark, root) == want
         # restart from the same checkpoint: nothing new to read, lists unchanged
-        q2 = _run(spark, root, sims)
-        again = sorted(map(tuple, job.read_lists(spark, f"{root}/out")
-                           .select("uid", "rank", "mid", F.round("score", 9)).collect()))
-        assert again == want
-        assert all(p["numInputRows"] == 0 for p in q2.recentProgress)
-        assert batches >= 1
+        again = _run(spark, root, sims, per_trigger)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(p["numInputRows"] == 0 for p in again.recentProgress)
+    assert _lists(spark, root) == want
+    assert (job._current(spark, f"{root}/out")[0] > 0) == (compact_every is not None)
 
 
-def test_deltas_resolve_and_compact(spark):
+def _small_stream(spark):
     root = tempfile.mkdtemp(prefix="reelspark-compact-")
-    first = ["x MOVIE_RATING_PREFIX:1|10|4.0|100", "x MOVIE_RATING_PREFIX:1|11|2.0|101", "noise"]
-    second = ["x MOVIE_RATING_PREFIX:1|10|1.5|200", "x MOVIE_RATING_PREFIX:2|12|5.0|150"]
-    for i, rows in enumerate((first, second)):
-        spark.createDataFrame([(r,) for r in rows], "value string").coalesce(1) \
-            .write.mode("overwrite").text(f"{root}/source/slice={i:04d}")
-        time.sleep(0.05)
+    rows = ["x MOVIE_RATING_PREFIX:1|10|4.0|100", "x MOVIE_RATING_PREFIX:1|11|2.0|101", "noise",
+            "x MOVIE_RATING_PREFIX:1|10|1.5|200", "x MOVIE_RATING_PREFIX:2|12|5.0|150"]
+    spark.createDataFrame([(r,) for r in rows], "value string").repartition(5).write.text(f"{root}/source")
     sims = spark.createDataFrame([(10, 13, 0.9), (11, 13, 0.8), (12, 14, 0.95), (13, 10, 0.9), (14, 12, 0.95)],
                                  "mid long, sim_mid long, score double")
-    _run(spark, root, sims)
-    cur = sorted(map(tuple, job.current_ratings(spark, f"{root}/out").collect()))
-    assert cur == [(1, 10, 1.5, 200), (1, 11, 2.0, 101), (2, 12, 5.0, 150)]
-    job.compact(spark, f"{root}/out", f"{root}/base")
-    assert sorted(map(tuple, spark.read.parquet(f"{root}/base").collect())) == cur
+    base = spark.createDataFrame([(3, 10, 2.0, 5), (1, 15, 1.0, 7)], job.EVENT_SCHEMA)
+    _run(spark, root, sims, 2, base_ratings=base)
+    return root
+
+
+def test_base_deltas_and_compaction(spark):
+    root = _small_stream(spark)
+    want = [(1, 10, 1.5, 200), (1, 11, 2.0, 101), (1, 15, 1.0, 7), (2, 12, 5.0, 150), (3, 10, 2.0, 5)]
+    assert sorted(map(tuple, job.current_ratings(spark, f"{root}/out").collect())) == want
+    job.compact(spark, f"{root}/out", 99)
+    assert job._current(spark, f"{root}/out") == (1, 99)
+    assert sorted(map(tuple, job.current_ratings(spark, f"{root}/out").collect())) == want
+    assert job.history(spark, f"{root}/out").count() == len(want)  # superseded versions are gone from what is read
+    job.compact(spark, f"{root}/out", 99)
+    assert job._current(spark, f"{root}/out") == (1, 99)
     lists = {(r["uid"], r["mid"]) for r in job.read_lists(spark, f"{root}/out").collect()}
     # user 1's newest event is (10, 1.5): candidate 13; user 2's is (12): candidate 14
     assert (1, 13) in lists and (2, 14) in lists
+
+
+def test_history_reads_only_the_users_buckets(spark):
+    root = _small_stream(spark)
+    users = spark.createDataFrame([(2,)], "uid long")
+    seen = job.history(spark, f"{root}/out", users=users)
+    assert [tuple(r) for r in seen.collect()] == [(2, 12, 5.0, 150)]
+    files = job.history(spark, f"{root}/out").select("uid").count()
+    plan = seen._jdf.queryExecution().toString()
+    b = users.select(job.bucket_of(F.col("uid"))).first()[0]
+    assert plan.count("PartitionFilters: [") >= 2 and f"b#" in plan and f"= {b})" in plan.replace(f"IN ({b})", f"= {b})")
+    assert files == 6
+
+
+def test_candidates_with_large_groups_and_many_seen(spark):
+    """Members of equal vectors: only as many are read as can be chosen."""
+    from reelspark.operators.similarity import GroupedPairs
+    members = spark.createDataFrame([(i, 0) for i in range(200)] + [(500, 500), (501, 500)], "mid long, _rep long")
+    pairs = spark.createDataFrame([(0, 0, 1.0), (500, 500, 1.0), (0, 500, 0.8), (500, 0, 0.8)], "_a long, _b long, score double")
+    last = spark.createDataFrame([(1, 3), (2, 500)], "uid long, mid long")
+    seen = spark.createDataFrame([(1, i) for i in range(0, 60)] + [(2, 500)], "uid long, mid long")
+    got = sorted((r.uid, r["rank"], r.mid) for r in rr.candidates(last, seen, GroupedPairs(members, pairs)).collect())
+    assert got == [(1, i + 1, 60 + i) for i in range(10)] + [(2, 1, 501)] + [(2, i + 2, i) for i in range(9)]
