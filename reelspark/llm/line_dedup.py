@@ -143,6 +143,16 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
             .groupBy("doc_id", KEY).agg(F.collect_set("k").alias("gone")))
 
 
+def _rewritten(docs: DataFrame) -> DataFrame:
+    """``docs`` with __reel_new: the new text and the counts of what went."""
+    prepare(docs.sparkSession)
+    gone = repeated_chunks(docs).select(F.col("doc_id").alias("__reel_id"), F.col(KEY).alias("__reel_k"), F.col("gone").alias("__reel_gone"))
+    d = docs.withColumn(KEY, row_key(F.col("text")))
+    joined = d.join(gone, d["doc_id"].cast("bigint").eqNullSafe(gone["__reel_id"]) & (d[KEY] == gone["__reel_k"]), "left")
+    rewrite = F.arrow_udf(_without, "struct<text:string,n_lines:bigint,n_removed_lines:bigint,n_removed_chunks:bigint>")
+    return joined.withColumn("__reel_new", rewrite(F.col("text"), F.col("__reel_gone")))
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the columns text (deduplicated), n_lines, n_removed_lines
     and n_removed_chunks added or replaced.
@@ -154,11 +164,17 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     whatever their names, except the four above; an empty table gives an empty
     result.
     """
-    prepare(docs.sparkSession)
-    gone = repeated_chunks(docs).select(F.col("doc_id").alias("__reel_id"), F.col(KEY).alias("__reel_k"), F.col("gone").alias("__reel_gone"))
-    d = docs.withColumn(KEY, row_key(F.col("text")))
-    joined = d.join(gone, d["doc_id"].cast("bigint").eqNullSafe(gone["__reel_id"]) & (d[KEY] == gone["__reel_k"]), "left")
     new = ("text", "n_lines", "n_removed_lines", "n_removed_chunks")
-    rewrite = F.arrow_udf(_without, "struct<text:string,n_lines:bigint,n_removed_lines:bigint,n_removed_chunks:bigint>")
-    return (joined.withColumn("__reel_new", rewrite(F.col("text"), F.col("__reel_gone")))
-            .select(*[F.col(f"`{c}`") for c in docs.columns if c not in new], *[F.col(f"__reel_new.{c}").alias(c) for c in new]))
+    return _rewritten(docs).select(*[F.col(f"`{c}`") for c in docs.columns if c not in new], *[F.col(f"__reel_new.{c}").alias(c) for c in new])
+
+
+def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated chunks removed from text (n_chars, if there is
+    such a column, follows); rows of which nothing is left go, other columns
+    and rows stay as they are."""
+    changed = F.col("__reel_new.n_removed_chunks") > 0
+    text = F.col("__reel_new.text")
+    out = {"text": text, "n_chars": F.when(changed, F.length(text))}
+    kept = _rewritten(docs).where(~changed | (F.trim(text) != ""))
+    return kept.select(*[(F.coalesce(out[c], F.col(c)) if c == "n_chars" else out[c]).cast(docs.schema[c].dataType).alias(c) if c in out
+                         else F.col(f"`{c}`") for c in docs.columns])
