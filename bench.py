@@ -27,6 +27,8 @@ HEADLINE = [
     "content_similar", "embedding_similar", "embedding_topk", "item_profile", "item_top_ratings",
     "user_profile", "genre_browse", "cold_start_recs", "new_user_index", "recent_k",
     "rerank_scores", "tags_joined", "item2vec", "als_user_recs",
+    "als_similar_items", "als_similar_users", "user_recs_fallback", "stream_recs_fallback", "ncf_topn", "factor_recs",
+    "stream_rerank",
 ]
 
 
