@@ -211,6 +211,16 @@ def ncf_score(spark, d):
 NCF_POPULAR = 20
 
 
+def _unseen_candidates(spark, d):
+    """(uid, mid): each user's cold-start list and the most rated items, without what the user has rated."""
+    r, it = src.ratings(spark, d), src.items(spark, d)
+    cold = serving.cold_start(serving.derived_pref_genres(r, it), stats.genre_top_n(it, stats.avg_score(r)))
+    popular = top_k(stats.most_rated(r), [F.col("count").desc(), F.col("mid").asc()], NCF_POPULAR)
+    mids = popular.agg(F.collect_list("mid")).scalar()  # NCF_POPULAR ids
+    cands = cold.select("uid", "mid").unionByName(r.select("uid").distinct().select("uid", F.explode(mids).alias("mid"))).distinct()
+    return cands.join(r.select("uid", "mid"), ["uid", "mid"], "left_anti")
+
+
 @query("ncf_topn", "Q13 J16 U1 T12 (retrieved candidates, unseen, NCF-scored, best 10 per user)", with_views(f"""
 with prefs as (select uid, genre from user_pref),
 cold as (select uid, mid from (
@@ -228,22 +238,29 @@ select uid, mid, score, rank from (
 def ncf_topn(spark, d):
     """Two stages: each user's cold-start list and the most rated items are the
     candidates; those the user has not rated are scored."""
-    r, it = src.ratings(spark, d), src.items(spark, d)
     _, users, items, uidx, iidx = _ncf_inputs(spark, d)
-    cold = serving.cold_start(serving.derived_pref_genres(r, it), stats.genre_top_n(it, stats.avg_score(r)))
-    popular = top_k(stats.most_rated(r), [F.col("count").desc(), F.col("mid").asc()], NCF_POPULAR)
-    mids = popular.agg(F.collect_list("mid")).scalar()  # NCF_POPULAR ids
-    cands = cold.select("uid", "mid").unionByName(r.select("uid").distinct().select("uid", F.explode(mids).alias("mid"))).distinct()
-    unseen = cands.join(r.select("uid", "mid"), ["uid", "mid"], "left_anti")
-    pairs = unseen.join(uidx, "uid").join(iidx, "mid")
+    pairs = _unseen_candidates(spark, d).join(uidx, "uid").join(iidx, "mid")
     scored = scoring.score_pairs(pairs, users, items, scoring.init_layers()).withColumn("score", rounded(F.col("score")))
     top = top_k_per_group(scored.join(uidx, "user_idx").join(iidx, "item_idx"), ["uid"], [F.col("score").desc(), F.col("mid").asc()], NCF_TOP_N)
     return top.select("uid", "rank", "mid", "score")
 
 
-@query("click_model_auc", "F17 F18 A24 (MLP and FM click models on ALS factors, ROC AUC)")
-def click_model_auc(spark, d):
+def _click_rows(spark, d):
+    """(training rows, test rows, factors): labelled pairs with their features."""
     r = src.ratings(spark, d).withColumn("label", like_label(F.col("score"), STRICT_LIKE_THRESHOLD, True))
     train, test = als.holdout_split(r)
     m = als.written_once(lambda: train, spark, f"{d}#train", rank=8)
-    return scoring.click_model(train, m.users, m.items, test)
+    return (*(scoring.click_features(x.select("uid", "mid", "label"), m.users, m.items) for x in (train, test)), m)
+
+
+@query("click_model_auc", "F17 F18 A24 (MLP and FM click models on ALS factors, ROC AUC)")
+def click_model_auc(spark, d):
+    train, test, _ = _click_rows(spark, d)
+    return scoring.click_model(train, test)
+
+
+@query("click_model_topn", "F16 F17 Q13 T12 (the fitted click model scores the retrieved, unseen candidates)")
+def click_model_topn(spark, d):
+    train, _, m = _click_rows(spark, d)
+    model = scoring.fit_click_model(train, "mlp")
+    return scoring.click_lists(model, scoring.click_features(_unseen_candidates(spark, d), m.users, m.items), NCF_TOP_N)
