@@ -18,10 +18,22 @@ KEY = PREFIX + "key"
 CACHE_ENTRIES = 1 << 18
 
 
+#: Largest Arrow batch handed to a Python worker. A worker holds a few times as much.
+BATCH_BYTES = 8 << 20
+
+
 def prepare(spark: SparkSession) -> None:
-    """Checkpoint folder and package files every operator relies on."""
+    """Checkpoint folder, package files and batch size every operator relies on.
+
+    The session's limit on Arrow batches is lowered to BATCH_BYTES if it is
+    higher: texts differ in length by orders of magnitude, so a number of rows
+    alone bounds nothing.
+    """
     checkpoint_dir(spark)
     ship_package(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def row_key(text: Column) -> Column:

@@ -107,20 +107,24 @@ class _RunIds:
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[int, int] = {}  # hash of a run -> its number
+        self.keys = np.empty(0, np.uint64)  # hashes of known runs, sorted, and the runs' numbers
+        self.numbers = np.empty(0, np.int64)
         self.flat = np.empty(0, np.uint32)
         self.first = np.zeros(1, np.int64)  # run k's ids are flat[first[k]:first[k + 1]]
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _learn(self, hashes: list[int], runs: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, runs: list[str]) -> None:
+        """``hashes``: sorted, none known."""
         ids = self._encode(" ".join(runs))
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(runs) or ends[-1] != len(ids):
             parts = [self._encode(run) for run in runs]
             ids, ends = np.concatenate(parts), np.cumsum([len(x) for x in parts])
-        self.number.update(zip(hashes, range(len(self.first) - 1, len(self.first) - 1 + len(runs)), strict=True))
+        at = np.searchsorted(self.keys, hashes)
+        self.numbers = np.insert(self.numbers, at, np.arange(len(runs)) + len(self.first) - 1)
+        self.keys = np.insert(self.keys, at, hashes)
         self.first = np.concatenate((self.first, ends + len(self.flat)))
         self.flat = np.concatenate((self.flat, ids))
 
@@ -134,15 +138,16 @@ class _RunIds:
         inverse = _powers(pow(_BASE, -1, 1 << 64), len(codes) + 1)
         hashes = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)
         distinct, where, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.number) + len(distinct) > 4 * CACHE_ENTRIES:
+        if len(self.keys) + len(distinct) > 4 * CACHE_ENTRIES:
             self._clear()
-        keys = distinct.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self.number]
-        for lo in range(0, len(new), 1 << 14):
-            some = new[lo:lo + (1 << 14)]
-            at = where[some]
-            self._learn([keys[i] for i in some], [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-        run = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))[which]
+        at = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), bool)
+        known[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] == distinct[at < len(self.keys)]
+        new = np.flatnonzero(~known)
+        for some in np.array_split(new, -(-len(new) // (1 << 14))) if len(new) else ():
+            spans = zip(starts[where[some]].tolist(), ends[where[some]].tolist(), strict=True)
+            self._learn(distinct[some], [joined[a:b] for a, b in spans])
+        run = self.numbers[np.searchsorted(self.keys, distinct)][which]
         length = self.first[run + 1] - self.first[run]
         total = np.concatenate((np.zeros(1, np.int64), np.cumsum(length)))
         ids = self.flat[np.repeat(self.first[run] - total[:-1], length) + np.arange(total[-1])]
