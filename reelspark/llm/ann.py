@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reelspark.llm.common import prepare
+from reelspark.llm.common import prepare, released
 
 SHARD = 4096
 LINKS = 16
@@ -181,7 +181,7 @@ def build_index(points: DataFrame, shards: int) -> DataFrame:
 
 def _search(k: int, ef: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for row in batch.to_pylist():
                 ids = np.frombuffer(row["ids"], np.int64)
                 vectors = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), row["dim"])

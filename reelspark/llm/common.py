@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +19,10 @@ from reelspark.session import checkpoint_dir, ship_package
 PREFIX = "__reel_"
 KEY = PREFIX + "key"
 
+_LIBC = ctypes.CDLL(None) if sys.platform == "linux" and hasattr(ctypes.CDLL(None), "malloc_trim") else None
+
 #: Entries a worker keeps in a word cache before it starts afresh (memory bound, results do not depend on it).
-CACHE_ENTRIES = 1 << 18
+CACHE_ENTRIES = 1 << 16
 
 
 #: Largest Arrow batch handed to a Python worker. A worker holds a few times as much.
@@ -62,6 +67,22 @@ def broadcast_if(narrow: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(narrow) if rows <= BROADCAST_ROWS else narrow
 
 
+def release() -> None:
+    """Hand memory that is free inside this worker back to the system. Workers
+    live through many stages, and what one stage's peak leaves would add up."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, with a ``release`` after each."""
+    for batch in batches:
+        yield batch
+        del batch
+        release()
+
+
 class WordHash(dict):
     """word (bytes) -> 64-bit hash, computed once per word while it stays cached."""
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from reelspark.llm.common import KEY, binary_values, hash_words, ngram_hashes, prepare, row_key, same_row, slices
+from reelspark.llm.common import KEY, binary_values, hash_words, ngram_hashes, prepare, released, row_key, same_row, slices
 
 WINDOW = 10
 GRAM = 6
@@ -58,7 +58,7 @@ _ITEM_WINDOWS = "item_id string, words array<string>, h bigint, o int"
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per window of an item: its words, and the hash and place of its fingerprint."""
     width = WINDOW - GRAM + 1
-    for batch in batches:
+    for batch in released(batches):
         ids, texts = batch.column("item_id").to_pylist(), binary_values(batch.column("text"))
         for lo, hi in slices([len(t) for t in texts], 1 << 18):
             out: dict[str, list] = {"item_id": [], "words": [], "h": [], "o": []}
@@ -107,7 +107,7 @@ def _scan(packed: list[int], short: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = np.array(packed, np.int64)
         maybe = ((longs[:, None] >> np.arange(_BITS_PER_LONG)) & 1).astype(bool).ravel()[:FILTER_BITS]
-        for batch in batches:
+        for batch in released(batches):
             texts = binary_values(batch.column("text"))
             for lo, hi in slices([len(t) // 6 for t in texts], 1 << 18):
                 split = [item_words(t) for t in texts[lo:hi]]

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reelspark.llm.common import KEY, binary_values, prepare, row_key
+from reelspark.llm.common import KEY, binary_values, prepare, release, released, row_key
 
 #: Labelled rows per language the text model is fitted on.
 SAMPLE = 2000
@@ -62,7 +62,7 @@ def trigram_buckets(text: bytes) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Trigram counts per language within a task."""
     total: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in released(batches):
         for lang, text in zip(batch.column("label").to_pylist(), binary_values(batch.column("text")), strict=True):
             total.setdefault(lang, np.zeros(BUCKETS, np.int64))
             total[lang] += np.bincount(trigram_buckets(text), minlength=BUCKETS)
@@ -96,6 +96,7 @@ def _score(model: np.ndarray, markup: bool):
             buckets = trigram_buckets(_MARKUP.sub(b" ", text) if markup else text)
             n.append(len(buckets))
             sums.append(np.add.reduce(model[buckets], axis=0, dtype=np.float64).tolist() if len(buckets) else [0.0] * model.shape[1])
+        release()
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(sums, pa.list_(pa.float64()))], names=["n", "ll"])
     return F.arrow_udf(run, "struct<n:bigint,ll:array<double>>")
 

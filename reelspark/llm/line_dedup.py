@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import KEY, binary_values, prepare, row_key
+from reelspark.llm.common import KEY, binary_values, prepare, release, released, row_key
 
 LONG_LINE = 20
 MIN_WORDS = 10
@@ -83,14 +83,14 @@ def _table(rows: list[tuple], chunk: bool) -> pa.RecordBatch:
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in released(batches):
         yield _table(list(_repeatable(batch)), chunk=False)
 
 
 def _bytes_of(packed: dict[int, int]):
     """Chunks whose hash the bitmap has, with their bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             rows, size = [], 0
             for row in _repeatable(batch):
                 b = row[3] & (FILTER_BITS - 1)
@@ -117,6 +117,7 @@ def _without(texts: pa.Array, removed: pa.Array) -> pa.Array:
         kept = [line for k, (lo, hi, _) in enumerate(spans) if k not in gone for line in lines[lo:hi]]
         out.append((b"\n".join(kept).decode(), len(lines), len(lines) - len(kept), len(gone)))
     columns = list(zip(*out, strict=True)) if out else [[]] * 4
+    release()
     return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
                                       names=["text", "n_lines", "n_removed_lines", "n_removed_chunks"])
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reelspark.llm.common import KEY, _odd, binary_values, broadcast_if, hash_words, list_array, ngram_hashes, prepare, row_key, slices
+from reelspark.llm.common import KEY, _odd, binary_values, broadcast_if, hash_words, list_array, ngram_hashes, prepare, released, row_key, slices
 from reelspark.llm.components import connected_components
 
 SHINGLE = 5
@@ -83,7 +83,7 @@ def _signed(values: np.ndarray) -> pa.Array:
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in released(batches):
         texts = binary_values(batch.column("text"))
         for lo, hi in slices([len(t) // 6 for t in texts], BLOCK):
             sets = [shingle_set(t) for t in texts[lo:hi]]
@@ -118,7 +118,7 @@ def mark(docs: DataFrame) -> DataFrame:
 def _agreeing(least: float):
     """Pairs whose signatures agree in at least this share of the minima."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             if not batch.num_rows:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, MINIMA) for c in ("sa", "sb"))
@@ -131,7 +131,7 @@ def _intersect():
     """Size of the intersection of two texts' full sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cached = lru_cache(maxsize=64)(shingle_set)
-        for batch in batches:
+        for batch in released(batches):
             shared = []
             for left, right in zip(binary_values(batch.column("ta")), binary_values(batch.column("tb")), strict=True):
                 x, y = cached(left), cached(right)
@@ -142,7 +142,7 @@ def _intersect():
 
 
 def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in released(batches):
         nodes, texts = batch.column("node").to_numpy(), binary_values(batch.column("text"))
         for lo, hi in slices([len(t) // 6 for t in texts], BLOCK):
             sets = [shingle_set(t) for t in texts[lo:hi]]

@@ -31,11 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from reelspark.llm.common import CACHE_ENTRIES, KEY, binary_values, prepare, row_key, slices
+from reelspark.llm.common import CACHE_ENTRIES, KEY, binary_values, prepare, released, row_key, slices
 from reelspark.session import shuffle_partitions
 
 CAPACITY = 2048
 END_ID = 0
+#: Runs of characters a worker keeps the ids of; results do not depend on it.
+RUNS = 1 << 19
 
 _PIECES = f"doc_id bigint, {KEY} bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -138,7 +140,7 @@ class _RunIds:
         inverse = _powers(pow(_BASE, -1, 1 << 64), len(codes) + 1)
         hashes = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)
         distinct, where, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(distinct) > 4 * CACHE_ENTRIES:
+        if len(self.keys) + len(distinct) > RUNS:
             self._clear()
         at = np.searchsorted(self.keys, distinct)
         known = np.zeros(len(distinct), bool)
@@ -186,7 +188,7 @@ def token_ids(texts: list[bytes], path: str) -> list[bytes]:
 
 def _cut(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             texts = binary_values(batch.column("text"))
             ids, keys = batch.column("doc_id").to_pylist(), batch.column(KEY).to_pylist()
             for lo, hi in slices([len(t) for t in texts], 1 << 20):
@@ -361,7 +363,7 @@ def _assign(slots: list[tuple[int, int, int, int, int, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.array(sorted(slots), np.int64).reshape(-1, 6)
         keys = (table[:, 0] << 48) + table[:, 1]
-        for batch in batches:
+        for batch in released(batches):
             length, rank = (batch.column(c).to_numpy() for c in ("length", "__reel_rank"))
             slot = table[np.searchsorted(keys, (length << 48) + rank, side="right") - 1] if len(length) else table[:0]
             nth = rank - slot[:, 1]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import KEY, binary_values, broadcast_if, hash_words, list_array, prepare, row_key
+from reelspark.llm.common import KEY, binary_values, broadcast_if, hash_words, list_array, prepare, released, row_key
 from reelspark.llm.decontaminate import item_words
 
 BUCKETS = 1 << 22
@@ -62,7 +62,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket, toxic documents, other documents) of a task; bucket -1 counts the documents themselves."""
     seen = np.zeros((2, BUCKETS), np.int32)
     docs = [0, 0]
-    for batch in batches:
+    for batch in released(batches):
         for toxic, text in zip(batch.column("toxic").to_pylist(), binary_values(batch.column("text")), strict=True):
             seen[toxic][np.unique(_buckets(text))] += 1
             docs[toxic] += 1
@@ -136,7 +136,7 @@ def _find(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(BUCKETS, np.float32)
         table[model.buckets] = model.scores
-        for batch in batches:
+        for batch in released(batches):
             n, best, found = [], [], []
             for text in binary_values(batch.column("text")):
                 s = table[_buckets(text)]
