@@ -15,7 +15,7 @@ from reelspark.llm.decontaminate import contamination_report
 from reelspark.llm.html_text import extract_text
 from reelspark.llm.lang_id import identify
 from reelspark.llm.license_scan import scan_licences
-from reelspark.llm.line_dedup import dedup_lines
+from reelspark.llm.line_dedup import dedup_runs
 from reelspark.llm.near_dups import near_duplicates
 from reelspark.llm.packing import pack
 from reelspark.llm.secret_scan import findings, update_ledger
@@ -55,8 +55,8 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document the text without repeated chunks, and what was removed."""
-    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed_lines", "n_removed_chunks")
+    """Per document the text without repeated runs of lines, and what was removed."""
+    return dedup_runs(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed_lines", "n_removed_chunks")
 
 
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

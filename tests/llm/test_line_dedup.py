@@ -1,8 +1,9 @@
 from __future__ import annotations
 
+import random
 from collections import Counter
 
-from reelspark.llm.line_dedup import chunks, dedup_lines, removable
+from reelspark.llm.line_dedup import LONG_LINE, MIN_WORDS, chunks, dedup_lines, dedup_runs, drop_repeated_lines, removable
 
 
 def _brute(rows):
@@ -57,3 +58,44 @@ def test_chunks_cover_all_lines_in_order():
 
 def test_empty_table(make_docs):
     assert dedup_lines(make_docs([])).count() == 0
+
+
+def _brute_runs(rows):
+    """Every run of lines over the threshold that an earlier document has goes, by direct comparison."""
+    order = lambda d: (d is None, d or 0)
+    split = [(order(d), (t or "").split("\n")) for d, t in rows]
+    out = Counter()
+    for (o, lines), (d, t) in zip(split, rows, strict=True):
+        gone = [False] * len(lines)
+        for o2, other in split:
+            if o2 < o:
+                for i in range(len(lines)):
+                    for j in range(len(other)):
+                        if lines[i] == other[j] and not (i and j and lines[i - 1] == other[j - 1]):
+                            n = 0
+                            while i + n < len(lines) and j + n < len(other) and lines[i + n] == other[j + n]:
+                                n += 1
+                            long = any(len(x.split()) >= LONG_LINE for x in lines[i:i + n])
+                            if n > 1 and sum(len(x.split()) for x in lines[i:i + n]) >= MIN_WORDS or long:
+                                gone[i:i + n] = [True] * n
+        kept = [x for x, g in zip(lines, gone, strict=True) if not g]
+        out[(d, t if t is None else "\n".join(kept), len(lines) if t else 0, sum(gone))] += 1
+    return out
+
+
+def test_repeated_runs_go_whole_wherever_chunks_end(make_docs):
+    rnd = random.Random(9)
+    line = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    rows = [(900, None), (901, ""), (902, "a\nb"), (903, "a\nb"), (904, "x\n" + line(25) + "\ny")]
+    rows += [(905, "é " + rows[-1][1].split("\n")[1]), (906, "z\n" + rows[-1][1].split("\n")[1]), (None, rows[-1][1])]
+    for p in range(40):
+        passage = "\n".join(line(rnd.randint(8, 15)) for _ in range(rnd.randint(5, 12)))
+        rows += [(10 * p, f"{line(6)}\n{passage}\n{line(7)}\n{line(3)}"), (10 * p + 1, f"{line(9)}\n{line(4)}\n{passage}\n{line(5)}")]
+    few = [["", "one", "two three", "four five six seven", "a b c d e f g h i j", line(20)][rnd.randrange(6)] for _ in range(300)]
+    rows += [(600 + i, "\n".join(few[12 * i:12 * i + 12])) for i in range(25)] + [(600, "\n".join(few[40:50])), (None, "\n".join(few[:30]))]
+    got = dedup_runs(make_docs(rows)).collect()
+    assert Counter((r.doc_id, r.text, r.n_lines, r.n_removed_lines) for r in got) == _brute_runs(rows)
+    copies = [r for r in got if r.doc_id is not None and r.doc_id < 400 and r.doc_id % 10 == 1]
+    assert all(r.n_removed_chunks == 1 and r.n_lines - r.n_removed_lines == 3 for r in copies)
+    left = {r.doc_id: r.text for r in drop_repeated_lines(make_docs(rows[:-2])).collect()}
+    assert all(left[r.doc_id] == r.text for r in copies)
