@@ -240,7 +240,8 @@ def _bucket_links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFram
 
 
 def _components_of(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, KEY, n_shingles, component_id per row of docs."""
+    """doc_id, KEY, n_shingles, component_id, node per row of docs. A component has
+    one node, also where components share their least doc_id; no words: null."""
     prepare(docs.sparkSession)
     marks = mark(docs).checkpoint()
     classes = (marks.where("n_shingles > 0").groupBy("k1", "k2")
@@ -249,15 +250,16 @@ def _components_of(docs: DataFrame, percent: int) -> DataFrame:
                .withColumn("node", F.monotonically_increasing_id()).checkpoint())
     components = _bucket_links(docs, classes, percent)
     if components is None:
-        named = classes.select("k1", "k2", F.col("class_doc").alias("component_id"))
+        named = classes.select("k1", "k2", F.col("class_doc").alias("component_id"), "node")
     else:
         c = (classes.select("k1", "k2", "node", "class_doc").join(components, "node", "left")
              .select("k1", "k2", "class_doc", F.coalesce("component", "node").alias("component")))
         named = (c.join(c.groupBy("component").agg(F.min("class_doc").alias("component_id")), "component")
-                 .select("k1", "k2", "component_id"))
+                 .select("k1", "k2", "component_id", F.col("component").alias("node")))
     full = (marks.where("n_shingles > 0").select("doc_id", KEY, "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
-            .select("doc_id", KEY, "n_shingles", "component_id"))
-    return full.unionByName(marks.where("n_shingles = 0").select("doc_id", KEY, "n_shingles", F.col("doc_id").alias("component_id")))
+            .select("doc_id", KEY, "n_shingles", "component_id", "node"))
+    return full.unionByName(marks.where("n_shingles = 0").select("doc_id", KEY, "n_shingles", F.col("doc_id").alias("component_id"),
+                                                                 F.lit(None).cast("bigint").alias("node")))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -276,10 +278,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Rows of ``docs`` with one row left per group of near-duplicates: that of
-    the least doc_id (ties and repeated rows: any single one of them). Rows
-    without words are not duplicates of anything and all stay."""
+    the least doc_id (ties and repeated rows: any single one of them; rows
+    without a doc_id come last). Texts under one doc_id, or without one, are
+    told apart: each group keeps its own row. Rows without words are not
+    duplicates of anything and all stay."""
     found = _components_of(docs, percent).checkpoint()
-    winners = (found.where("n_shingles > 0 and doc_id <=> component_id").groupBy("component_id")
+    winners = (found.where("n_shingles > 0 and doc_id <=> component_id").groupBy("node", "component_id")
                .agg(F.min(KEY).alias(KEY)).select(F.col("component_id").alias("doc_id"), KEY, F.lit(1).alias("__reel_n")))
     keep = winners.unionByName(found.where("n_shingles = 0").select("doc_id", KEY, F.lit(0).alias("__reel_n")).distinct())
     d = docs.withColumn(KEY, row_key(F.col("text"))).alias("d")

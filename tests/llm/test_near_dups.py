@@ -74,6 +74,22 @@ def test_stage_keeps_one_row_of_each_group(make_docs):
         [(1, "a b c d e f"), (3, ""), (3, ""), (4, None), (None, "x y z")])
 
 
+def test_stage_keeps_different_texts_under_one_doc_id_or_none(make_docs):
+    rows = [(1, "a b c d e f"), (1, "u v w x y z"), (2, "u v w x y z"), (1, "one two three"), (None, "k l m n o"), (None, "p q r s t"),
+            (None, "P q r s t"), (None, "one two three"), (7, "a b c d e f"), (7, "g h i j k l m")]
+    got = Counter((r.doc_id, r.text.lower()) for r in drop_near_duplicates(make_docs(rows)).collect())
+    assert got == Counter([(1, "a b c d e f"), (1, "u v w x y z"), (1, "one two three"), (None, "k l m n o"), (None, "p q r s t"),
+                           (7, "g h i j k l m")])
+
+
+def test_stage_tells_linked_components_apart(make_docs):
+    left, right = ([(d, t) for d, (_, t) in zip(ids, _near_copies(4, edits=2, seed=seed), strict=True)]
+                   for seed, ids in ((5, (20, 21, 22, 23)), (6, (20, 31, 32, 33))))
+    none = [(None, t) for _, t in _near_copies(4, edits=2, seed=7)]
+    got = Counter(r.doc_id for r in drop_near_duplicates(make_docs(left + right + none + [(None, "some other text")])).collect())
+    assert got == Counter({20: 2, None: 2})
+
+
 def test_empty_table(make_docs):
     assert near_duplicates(make_docs([]), 85).count() == 0
 
