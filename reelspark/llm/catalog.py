@@ -16,6 +16,7 @@ from reelspark.llm.html_text import extract_text
 from reelspark.llm.lang_id import identify
 from reelspark.llm.license_scan import scan_licences
 from reelspark.llm.line_dedup import dedup_runs
+from reelspark.llm.merkle import verified_manifest
 from reelspark.llm.near_dups import near_duplicates
 from reelspark.llm.packing import pack
 from reelspark.llm.secret_scan import findings, update_ledger
@@ -67,10 +68,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")).drop(KEY)
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_licences, op2_packing, op3_html_text, op4_near_dups, op5_secrets, op6_toxicity, op7_decontaminate,
-    op8_line_dedup, op9_ann, op10_language)}
+    op8_line_dedup, op9_ann, op10_language, op13_manifest)}
 
 #: The other keys are trained models, hashing, graphs or packing, which SQL cannot state; tests hold them against brute force.
 ORACLES: dict[str, str] = {
-    "op1_licences": oracles.licences(), "op5_secrets": oracles.secrets(), "op7_decontaminate": oracles.contamination()}
+    "op1_licences": oracles.licences(), "op5_secrets": oracles.secrets(), "op7_decontaminate": oracles.contamination(),
+    "op13_manifest": oracles.manifest()}

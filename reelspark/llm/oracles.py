@@ -65,3 +65,39 @@ items AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS id
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (rid) LEFT JOIN items USING (rid)"""
+
+
+def manifest() -> str:
+    crc = ("xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, len(t) + 1), lambda i: ascii(t[i])::BIGINT), lambda c, b: "
+           "list_reduce([xor(c, b)] || list_transform(range(8), lambda z: 0::BIGINT), "
+           "lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)")
+
+    def leaf(n_chars: str) -> str:
+        values = ("doc_id", "source", "lang", n_chars, "text")
+        return "sha256(" + " || ".join(f"coalesce(strlen(CAST({v} AS VARCHAR)) || ':' || CAST({v} AS VARCHAR), '-')" for v in values) + ")"
+
+    def tree(name: str, key: str, leaves: str) -> str:
+        return f"""{name} AS (SELECT {key} AS lang, 0 AS lvl, {leaves}
+  UNION ALL SELECT lang, lvl + 1, list_transform(range(0, len(l), 2), lambda i: sha256(l[i + 1] || coalesce(l[i + 2], ''))) FROM {name} WHERE len(l) > 1),
+{name}_nodes AS (SELECT lang, lvl, unnest(l) AS digest, generate_subscripts(l, 1) - 1 AS idx FROM {name})"""
+
+    def steps(name: str, pos: str, lang: str, base: int) -> str:
+        return f"""SELECT p.rid, {base} + v.lvl AS k, CASE WHEN ({pos} >> v.lvl) % 2 = 1 THEN 'b' ELSE 'a' END || coalesce(s.digest, '') AS step
+  FROM p JOIN sub ON p.lang IS NOT DISTINCT FROM sub.lang JOIN {name} v ON v.lang IS NOT DISTINCT FROM {lang} AND len(v.l) > 1
+  LEFT JOIN {name}_nodes s ON s.lang IS NOT DISTINCT FROM {lang} AND s.lvl = v.lvl AND s.idx = xor({pos} >> v.lvl, 1)"""
+
+    return f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, lang, {leaf('n_chars')} AS leaf,
+  {leaf('CAST(n_chars AS HUGEINT) + 1')} AS other, CAST(doc_id AS VARCHAR) AS t FROM documents),
+p AS (SELECT rid, doc_id, lang, leaf, CASE WHEN {crc} % 7 = 0 THEN other ELSE leaf END AS given,
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS pos FROM d),
+{tree('up', 'lang', 'list(leaf ORDER BY pos) AS l FROM p GROUP BY lang')},
+sub AS (SELECT lang, l[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM up WHERE len(l) = 1),
+{tree('top', "''", 'list(subroot ORDER BY tree) AS l FROM sub')},
+steps AS ({steps('up', 'p.pos', 'p.lang', 0)}
+  UNION ALL {steps('top', 'sub.tree', "''", 1000)}),
+proofs AS (SELECT rid, list(step ORDER BY k) AS steps FROM steps GROUP BY rid),
+folded AS (SELECT p.*, coalesce(steps, []) AS steps, list_reduce([given] || coalesce(steps, []), lambda acc, x:
+  CASE WHEN x[1] = 'b' THEN sha256(substr(x, 2) || acc) ELSE sha256(acc || substr(x, 2)) END) AS folded_root FROM p LEFT JOIN proofs USING (rid))
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda x: substr(x, 2)), '')) AS proof_sha256,
+  folded_root, folded_root = root AS verified
+FROM folded JOIN sub ON folded.lang IS NOT DISTINCT FROM sub.lang, (SELECT l[1] AS root FROM top WHERE len(l) = 1)"""
