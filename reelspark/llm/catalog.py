@@ -20,6 +20,7 @@ from reelspark.llm.merkle import verified_manifest
 from reelspark.llm.near_dups import near_duplicates
 from reelspark.llm.packing import pack
 from reelspark.llm.secret_scan import findings, update_ledger
+from reelspark.llm.simhash import simhash_duplicates
 from reelspark.llm.toxicity import score_toxicity
 from reelspark.session import checkpoint_dir
 from reelspark.sources.driver_tables import table
@@ -68,13 +69,17 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")).drop(KEY)
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified_manifest(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_licences, op2_packing, op3_html_text, op4_near_dups, op5_secrets, op6_toxicity, op7_decontaminate,
-    op8_line_dedup, op9_ann, op10_language, op13_manifest)}
+    op8_line_dedup, op9_ann, op10_language, op12_simhash, op13_manifest)}
 
 #: The other keys are trained models, hashing, graphs or packing, which SQL cannot state; tests hold them against brute force.
 ORACLES: dict[str, str] = {
