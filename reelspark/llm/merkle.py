@@ -108,25 +108,28 @@ def sweep_down(nodes: list[dict[int, str]], suffix: tuple) -> dict[int, tuple]:
     return proofs
 
 
-def _block(table: pa.Table) -> tuple[pa.Table, int, list[dict[int, str]]]:
-    """The block in order, its number of levels and its nodes."""
+def _block(table: pa.Table, most: int) -> tuple[pa.Table, int, list[dict[int, str]]]:
+    """The block in order, its number of levels (at most ``most``) and its nodes."""
     table = table.sort_by("pos")
-    levels = min(LEVELS, (table.column("total")[0].as_py() - 1).bit_length())
+    levels = min(most, (table.column("total")[0].as_py() - 1).bit_length())
     return table, levels, sweep_up(table.column("pos")[0].as_py(), [d.hex() for d in table.column("digest").to_pylist()], levels)
 
 
-def _up(table: pa.Table) -> pa.Table:
-    table, levels, nodes = _block(table)
-    (index, digest), = nodes[levels].items()
-    total = -(-table.column("total")[0].as_py() >> levels)
-    return pa.table({"tree": table.column("tree").slice(0, 1), "total": pa.array([total]), "pos": pa.array([index]),
-                     "digest": pa.array([bytes.fromhex(digest)], pa.binary())})
+def _up(most: int):
+    """Nodes of a block -> the block's top node, a leaf of the next slice."""
+    def run(table: pa.Table) -> pa.Table:
+        table, levels, nodes = _block(table, most)
+        (index, digest), = nodes[levels].items()
+        total = -(-table.column("total")[0].as_py() >> levels)
+        return pa.table({"tree": table.column("tree").slice(0, 1), "total": pa.array([total]), "pos": pa.array([index]),
+                         "digest": pa.array([bytes.fromhex(digest)], pa.binary())})
+    return run
 
 
-def _down(columns: list[str]):
+def _down(most: int, columns: list[str]):
     """Nodes of a block and its one suffix row -> those nodes with their steps."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        table, _, nodes = _block(left)
+        table, _, nodes = _block(left, most)
         suffix = tuple((s["before"], s["after"]) for s in right.column("steps")[0].as_py())
         proofs = sweep_down(nodes, suffix)
         steps = [proofs[p] for p in table.column("pos").to_pylist()]
@@ -143,7 +146,7 @@ def climb(nodes: DataFrame, most: int) -> list[DataFrame]:
     slices = [nodes]
     while most > 1:
         blocks = slices[-1].select("tree", "total", "pos", "digest", F.shiftright("pos", LEVELS).alias("block"))
-        slices.append(blocks.groupBy("tree", "block").applyInArrow(_up, _NODES).checkpoint())
+        slices.append(blocks.groupBy("tree", "block").applyInArrow(_up(LEVELS), _NODES).checkpoint())
         most = -(-most >> LEVELS)
     return slices
 
@@ -155,7 +158,7 @@ def descend(slices: list[DataFrame], suffix: DataFrame) -> DataFrame:
         schema = ", ".join(f"{n} {t}" for n, t in kept) + f", subroot string, steps {_STEPS}"
         suffix = (nodes.withColumn("block", F.shiftright("pos", LEVELS)).groupBy("tree", "block")
                   .cogroup(suffix.withColumnRenamed("pos", "block").groupBy("tree", "block"))
-                  .applyInArrow(_down([n for n, _ in kept]), schema))
+                  .applyInArrow(_down(LEVELS, [n for n, _ in kept]), schema))
     return suffix
 
 
