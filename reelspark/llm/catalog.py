@@ -22,6 +22,7 @@ from reelspark.llm.packing import pack
 from reelspark.llm.secret_scan import findings, update_ledger
 from reelspark.llm.simhash import simhash_duplicates
 from reelspark.llm.toxicity import score_toxicity
+from reelspark.llm.whitening import whiten
 from reelspark.session import checkpoint_dir
 from reelspark.sources.driver_tables import table
 
@@ -69,6 +70,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")).drop(KEY)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_duplicates(table(spark, sf_dir, "documents"))
 
@@ -79,7 +84,7 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_licences, op2_packing, op3_html_text, op4_near_dups, op5_secrets, op6_toxicity, op7_decontaminate,
-    op8_line_dedup, op9_ann, op10_language, op12_simhash, op13_manifest)}
+    op8_line_dedup, op9_ann, op10_language, op11_whitening, op12_simhash, op13_manifest)}
 
 #: The other keys are trained models, hashing, graphs or packing, which SQL cannot state; tests hold them against brute force.
 ORACLES: dict[str, str] = {

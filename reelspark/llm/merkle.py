@@ -203,7 +203,7 @@ def manifest(docs: DataFrame, carry: dict[str, Column] | None = None) -> DataFra
     prepare(docs.sparkSession)
     spark, carry = docs.sparkSession, carry or {}
     leaves = docs.select("lang", "doc_id", F.unhex(leaf_digest(*map(F.col, FIELDS))).alias("digest"), *[c.alias("c_" + n) for n, c in carry.items()])
-    numbered, most, groups = _numbered(leaves)
+    numbered, most, groups = _numbered(leaves.checkpoint())  # the sort samples its input first: texts are read once all the same
     slices = climb(numbered.withColumn("leaf", F.lower(F.hex("digest"))), most)
     subroots = slices[-1].select("tree", "digest").checkpoint()
     tops = climb(subroots.select(F.lit(0).cast("bigint").alias("tree"), F.lit(groups).cast("bigint").alias("total"), F.col("tree").alias("pos"), "digest"), groups)
