@@ -32,11 +32,13 @@ def item_rating_features(ratings: DataFrame) -> DataFrame:
 def min_max_scaled(df: DataFrame, col: str, out: str) -> DataFrame:
     """(x - min) / (max - min), 0.5 when all values are equal (as MinMaxScaler).
 
-    min and max come from one scalar subquery; no window over the whole table.
+    min and max are fitted first, two numbers from one aggregation; the table is
+    then read once more. No window over the whole table.
     """
-    ends = df.agg(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi"))).scalar()
-    lo, hi = ends["lo"], ends["hi"]
-    return df.withColumn(out, F.when(hi == lo, F.lit(0.5)).otherwise((F.col(col) - lo) / (hi - lo)))
+    ends = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
+    if ends["lo"] is None or ends["lo"] == ends["hi"]:
+        return df.withColumn(out, F.when(F.col(col).isNotNull(), F.lit(0.5)))
+    return df.withColumn(out, (F.col(col) - F.lit(ends["lo"])) / F.lit(ends["hi"] - ends["lo"]))
 
 
 def exact_quantile_buckets(df: DataFrame, order: list[str], buckets: int, out: str) -> DataFrame:

@@ -78,12 +78,6 @@ def hashed_tfidf(items: DataFrame, num_features: int = 20, doc_col: str = "mid")
 
 # --------------------------------------------------------------------------- sparse cosine
 
-def _normalise_sparse(entries: DataFrame, id_col: str) -> DataFrame:
-    norms = entries.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return (entries.join(norms, id_col).where(F.col("_norm") > 0)
-            .select(id_col, "term", (F.col("w") / F.col("_norm")).alias("w")).where(F.col("w") != 0))
-
-
 @dataclass
 class GroupedPairs:
     """A similarity table in factorised form: ``members`` maps each id to the
@@ -133,36 +127,39 @@ def sparse_cosine_groups(entries: DataFrame, threshold: float, id_col: str = "mi
     """
     if not 0 < threshold < 1:
         raise ValueError("threshold must be in (0, 1)")
-    wn = _normalise_sparse(entries, id_col)
-    # Collapse equal vectors: the signature is the sorted (term, weight) list of one vector.
-    sig = wn.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("_sig"))
-    rep = sig.groupBy("_sig").agg(F.min(id_col).alias("_rep"))
+    # Equal vectors are collapsed on the weights as given, before any sum is rounded: the signature is the sorted
+    # (term, weight) list, and norms and products add up in term order, so that no shuffle order shows in the result.
+    checkpoint_dir(entries.sparkSession)
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
+    sig = (entries.where(F.col("w") != 0).groupBy(id_col)
+           .agg(F.array_sort(F.collect_list(F.struct("term", F.col("w").cast("double").alias("w")))).alias("_sig")).checkpoint())
+    rep = sig.groupBy("_sig").agg(F.min(id_col).alias("_rep")).checkpoint()
     members = sig.join(rep, "_sig").select(id_col, "_rep")
-    reps = wn.join(rep.select(F.col("_rep").alias(id_col)), id_col)
+    norm = F.sqrt(total(F.transform("_sig", lambda x: x["w"] * x["w"])))
+    reps = rep.select(F.col("_rep").alias(id_col), norm.alias("_norm"), F.inline("_sig")).select(id_col, "term", (F.col("w") / F.col("_norm")).alias("w"))
 
-    # Prefix per representative: rare terms first; index while suffix norm >= t.
+    # Prefix per representative: rare terms first; index while suffix norm >= t (with room for rounding).
     dfreq = reps.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     w_suffix = (Window.partitionBy(id_col).orderBy(F.col("_df").asc(), F.col("term").asc())
                 .rowsBetween(Window.currentRow, Window.unboundedFollowing))
     prefix = (reps.join(dfreq, "term")
               .withColumn("_suffix", F.sqrt(F.sum(F.col("w") * F.col("w")).over(w_suffix)))
-              .where(F.col("_suffix") >= threshold).select(F.col(id_col).alias("_a"), "term"))
+              .where(F.col("_suffix") >= threshold - 1e-9).select(F.col(id_col).alias("_a"), "term"))
     full = reps.select(F.col(id_col).alias("_b"), "term")
     cand = (prefix.join(full, "term").where(F.col("_a") != F.col("_b"))
             .select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct())
 
     wa = reps.select(F.col(id_col).alias("_a"), "term", F.col("w").alias("_wa"))
     wb = reps.select(F.col(id_col).alias("_b"), "term", F.col("w").alias("_wb"))
-    scored = (cand.join(wa, "_a").join(wb, ["_b", "term"])
-              .groupBy("_a", "_b").agg(F.sum(F.col("_wa") * F.col("_wb")).alias("score"))
-              .where(F.col("score") > threshold))
+    products = F.array_sort(F.collect_list(F.struct("term", (F.col("_wa") * F.col("_wb")).alias("p"))))
+    scored = (cand.join(wa, "_a").join(wb, ["_b", "term"]).groupBy("_a", "_b").agg(products.alias("_p"))
+              .select("_a", "_b", total(F.col("_p.p")).alias("score")).where(F.col("score") > threshold))
     # Members of one signature are equal vectors: cosine 1 with each other.
     selfs = rep.select(F.col("_rep").alias("_a"), F.col("_rep").alias("_b"), F.lit(1.0).alias("score"))
     rep_pairs = (scored.unionByName(scored.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"), "score"))
                  .unionByName(selfs))
     # Both factors are read several times by consumers; a reliable checkpoint
     # (items-sized, not pairs-sized) computes them once and cuts the lineage.
-    checkpoint_dir(entries.sparkSession)
     return GroupedPairs(members.checkpoint(eager=True), rep_pairs.checkpoint(eager=True), id_col)
 
 

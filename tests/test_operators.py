@@ -164,3 +164,22 @@ def test_grouped_top_k_equals_expanded_top_k(spark):
         mine = sorted((p for p in pairs if p[0] == m), key=lambda p: (-round(p[2], 9), p[1]))[:4]
         want += [(m, i + 1, p[1]) for i, p in enumerate(mine)]
     assert got == sorted(want)
+
+
+def test_sparse_groups_do_not_depend_on_partitions(spark, sf_dir):
+    """The same bits whatever the shuffle order: members, representatives and scores."""
+    from reelspark.operators import similarity as sim
+    from reelspark.sources import driver_tables as src
+    found = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("3", "8", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            t = sim.tfidf(sim.genre_terms(src.items(spark, sf_dir).repartition(int(n))))
+            g = sim.sparse_cosine_groups(t.select("mid", "term", "w"), 0.6)
+            found.append((sorted(map(tuple, g.members.collect())), sorted(map(tuple, g.rep_pairs.collect()))))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2]
+    members, pairs = found[0]
+    assert {r for _, r in members} == {a for a, b, _ in pairs if a == b}
