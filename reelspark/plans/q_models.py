@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelspark.functions.columns import STRICT_LIKE_THRESHOLD, like_label, rounded
-from reelspark.operators import als, indexing, scoring, sequences, serving, stats
+from reelspark.operators import als, indexing, scoring, sequences, serving
 from reelspark.operators.similarity import dense_cosine_pairs
-from reelspark.operators.topk import top_k, top_k_per_group
 from reelspark.plans.catalog import query
 from reelspark.plans.oracle import with_views
 from reelspark.sources import driver_tables as src
@@ -208,41 +207,36 @@ def ncf_score(spark, d):
     return s.withColumn("score", rounded(F.col("score")))
 
 
-NCF_POPULAR = 20
-
-
-def _unseen_candidates(spark, d):
-    """(uid, mid): each user's cold-start list and the most rated items, without what the user has rated."""
-    r, it = src.ratings(spark, d), src.items(spark, d)
-    cold = serving.cold_start(serving.derived_pref_genres(r, it), stats.genre_top_n(it, stats.avg_score(r)))
-    popular = top_k(stats.most_rated(r), [F.col("count").desc(), F.col("mid").asc()], NCF_POPULAR)
-    mids = popular.agg(F.collect_list("mid")).scalar()  # NCF_POPULAR ids
-    cands = cold.select("uid", "mid").unionByName(r.select("uid").distinct().select("uid", F.explode(mids).alias("mid"))).distinct()
-    return cands.join(r.select("uid", "mid"), ["uid", "mid"], "left_anti")
-
-
-@query("ncf_topn", "Q13 J16 U1 T12 (retrieved candidates, unseen, NCF-scored, best 10 per user)", with_views(f"""
-with prefs as (select uid, genre from user_pref),
-cold as (select uid, mid from (
-  select uid, mid, row_number() over (partition by uid order by score desc, mid) rank
-  from (select p.uid, t.mid, max(t.avg) score from prefs p join genre_top t on p.genre = t.genre group by p.uid, t.mid) x) y where rank <= 10),
-pop as (select mid from (select mid, count(*) n from ratings group by mid) c order by n desc, mid limit {NCF_POPULAR}),
-cands as (select uid, mid from cold union select u.uid, p.mid from (select distinct uid from ratings) u cross join pop p),
-todo as (select uid, mid from cands c where not exists (select 1 from ratings r where r.uid = c.uid and r.mid = c.mid)),
-scored as ({NCF_SQL.replace("from ratings r join uidx u", "from todo r join uidx u")}),
-ui as (select uid, row_number() over (order by uid) - 1 user_idx from (select distinct uid from ratings) t),
-ii as (select mid, row_number() over (order by mid) - 1 item_idx from (select distinct mid from items) t)
-select uid, mid, score, rank from (
-  select uid, mid, score, cast(row_number() over (partition by uid order by score desc, mid) as bigint) rank
-  from scored s join ui using (user_idx) join ii using (item_idx)) z where rank <= {NCF_TOP_N}""", "ratings", "items", "user_pref", "genre_top"))
+def _ncf_pairs_sql(seen: str) -> str:
+    """(uid, mid, score) of all users and items outside ``seen`` (uid, mid), the layers written out."""
+    layers = scoring.init_layers()
+    row = lambda v: "[" + ", ".join(repr(float(x)) for x in v) + "]"
+    fixed = lambda v: f"cast({row(v)} as double[{len(v)}])"
+    vector = lambda key, salt: "cast([" + ", ".join(f"0.1 * sin(0.7 * {key} + {1.3 * j + salt!r}::double)" for j in range(8)) + "] as double[8])"
+    w0, d = layers.weights[0], scoring.LATENT_MLP
+    part = lambda w, b, e: "[" + ", ".join(f"array_inner_product({e}, {fixed(r)}) + {float(x)!r}" for r, x in zip(w, b)) + "]"
+    relu = lambda w, b, h: f"cast([{', '.join(f'greatest(array_inner_product({h}, {fixed(r)}) + {float(x)!r}, 0)' for r, x in zip(w, b))}] as double[{len(w)}])"
+    h1 = "cast([" + ", ".join(f"greatest(a[{j + 1}] + b[{j + 1}], 0)" for j in range(len(w0))) + f"] as double[{len(w0)}])"
+    mlp = len(layers.weights[-1])
+    return f"""(with uidx as (select uid, row_number() over (order by uid) - 1 user_idx from (select distinct uid from ratings) t),
+iidx as (select mid, row_number() over (order by mid) - 1 item_idx from (select distinct mid from items) t),
+u as (select uid, {part(w0[:, :d], layers.biases[0], 'e')} a, {vector('user_idx', 2)} g from (select *, {vector('user_idx', 1)} e from uidx)),
+i as (select mid, {part(w0[:, d:], [0.0] * len(w0), 'e')} b, {vector('item_idx', 4)} g from (select *, {vector('item_idx', 3)} e from iidx)),
+h1 as (select u.uid, i.mid, {h1} h, cast([{', '.join(f'u.g[{j}] * i.g[{j}]' for j in range(1, 9))}] as double[8]) g from u cross join i
+       where not exists (select 1 from {seen} r where r.uid = u.uid and r.mid = i.mid)),
+h2 as (select uid, mid, g, {relu(layers.weights[1], layers.biases[1], 'h')} h from h1),
+h3 as (select uid, mid, g, {relu(layers.weights[2], layers.biases[2], 'h')} h from h2)
+select uid, mid, round(1 / (1 + exp(-(array_inner_product(h, {fixed(layers.out_w[:mlp])}) + array_inner_product(g, {fixed(layers.out_w[mlp:])})))), 6) score from h3)"""
+
+
+@query("ncf_topn", "Q13 J16 U1 T12 F16 (all unseen items of every user NCF-scored, best 10 per user)", with_views(f"""
+select uid, mid, score, cast(row_number() over (partition by uid order by score desc, mid) as bigint) rank
+from {_ncf_pairs_sql('ratings')} s qualify rank <= {NCF_TOP_N}""", "ratings", "items"))
 def ncf_topn(spark, d):
-    """Two stages: each user's cold-start list and the most rated items are the
-    candidates; those the user has not rated are scored."""
-    _, users, items, uidx, iidx = _ncf_inputs(spark, d)
-    pairs = _unseen_candidates(spark, d).join(uidx, "uid").join(iidx, "mid")
-    scored = scoring.score_pairs(pairs, users, items, scoring.init_layers()).withColumn("score", rounded(F.col("score")))
-    top = top_k_per_group(scored.join(uidx, "user_idx").join(iidx, "item_idx"), ["uid"], [F.col("score").desc(), F.col("mid").asc()], NCF_TOP_N)
-    return top.select("uid", "rank", "mid", "score")
+    """Every user against every item the user has not rated; no candidate stage."""
+    _, users, items, _, _ = _ncf_inputs(spark, d)
+    top = scoring.ncf_lists(users, items, src.ratings(spark, d), scoring.init_layers(), NCF_TOP_N)
+    return top.select("uid", "rank", "mid", rounded(F.col("score")).alias("score"))
 
 
 def _click_rows(spark, d):
@@ -259,8 +253,8 @@ def click_model_auc(spark, d):
     return scoring.click_model(train, test)
 
 
-@query("click_model_topn", "F16 F17 Q13 T12 (the fitted click model scores the retrieved, unseen candidates)")
+@query("click_model_topn", "F16 F17 Q13 T12 (the fitted click model scores all unseen items, best 10 per user)")
 def click_model_topn(spark, d):
     train, _, m = _click_rows(spark, d)
     model = scoring.fit_click_model(train, "mlp")
-    return scoring.click_lists(model, scoring.click_features(_unseen_candidates(spark, d), m.users, m.items), NCF_TOP_N)
+    return scoring.click_lists(model, m.users, m.items, src.ratings(spark, d), NCF_TOP_N)

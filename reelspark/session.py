@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import zipfile
@@ -69,6 +70,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Largest Arrow batch handed to a Python worker; a worker holds a few times as much.
+ARROW_BATCH_BYTES = 8 << 20
+
+
+def bound_arrow_batches(spark: SparkSession, most: int = ARROW_BATCH_BYTES) -> None:
+    """Lower the session's limit on the bytes of an Arrow batch to ``most`` if it
+    is higher: rows of packed blocks are large, so that a number of rows alone
+    bounds nothing."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)b?", spark.conf.get(key).lower()).groups()
+    if not 0 < int(number) << 10 * " kmgtp".index(unit or " ") <= most:
+        spark.conf.set(key, str(most))
+
+
 _shipped: set[str] = set()
 
 
