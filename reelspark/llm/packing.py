@@ -25,7 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,8 +44,6 @@ _PIECES = f"doc_id bigint, {KEY} bigint, piece int, start bigint, length bigint,
 
 #: Characters whose normal form and lower case do not depend on their neighbours, and white space.
 _PLAIN = re.compile(r"[\x09-\x0d\x20-\x7e\u00a1-\u012f\u0131-\u024f]*")
-#: Fixed value: the tokenizer's own cut of a word.
-_RUN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 _KIND = np.array([_SPACE if chr(c).isspace() else _LETTER if chr(c).isalpha() else _NUMBER if unicodedata.category(chr(c))[0] == "N" else _OTHER
                   for c in range(0x250)], np.uint8)
@@ -89,15 +87,28 @@ def runs_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, edge[np.searchsorted(edge, starts, side="right")]
 
 
+def _same_runs(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> bool:
+    """Whether every run equals run number ``first`` of its own, character by character."""
+    size = ends - starts
+    if (size != size[first]).any():
+        return False
+    total = np.cumsum(size)
+    at = np.arange(total[-1] if len(total) else 0) + np.repeat(starts - total + size, size)
+    return bool((codes[at] == codes[at + np.repeat(starts[first] - starts, size)]).all())
+
+
 class _RunIds:
     """Token ids by run, in caches of bounded size.
 
     The tokenizer puts a text into normal form and lower case and cuts it into
-    runs. For plain Latin texts this cut is repeated on whole blocks of texts;
-    runs are told apart by a 64-bit hash, and only runs not met before are
-    encoded, many at a time: the vocabulary marks the last token of each run.
-    Other texts are cut at white space first, which no run crosses, and their
-    odd words encoded as they stand.
+    runs. For plain Latin texts this cut is repeated on whole blocks of texts.
+    Within a block runs are grouped by a running hash and compared character by
+    character with the first of their group; across blocks a run is known by
+    the 128-bit hash of its bytes. Only runs not met before are encoded, many
+    at a time: the vocabulary marks the last token of each run. Other texts,
+    and a block in which the running hash takes two runs for one, are cut at
+    white space first, which no run crosses, and their odd words encoded as
+    they stand.
     """
 
     def __init__(self, path: str):
@@ -109,7 +120,8 @@ class _RunIds:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.empty(0, np.uint64)  # hashes of known runs, sorted, and the runs' numbers
+        self.keys = np.empty(0, np.uint64)  # low halves of the hashes of known runs, sorted, with the high halves and the runs' numbers
+        self.checks = np.empty(0, np.uint64)
         self.numbers = np.empty(0, np.int64)
         self.flat = np.empty(0, np.uint32)
         self.first = np.zeros(1, np.int64)  # run k's ids are flat[first[k]:first[k + 1]]
@@ -117,7 +129,7 @@ class _RunIds:
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _learn(self, hashes: np.ndarray, runs: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, checks: np.ndarray, runs: list[str]) -> None:
         """``hashes``: sorted, none known."""
         ids = self._encode(" ".join(runs))
         ends = np.flatnonzero(self.last[ids]) + 1
@@ -126,7 +138,7 @@ class _RunIds:
             ids, ends = np.concatenate(parts), np.cumsum([len(x) for x in parts])
         at = np.searchsorted(self.keys, hashes)
         self.numbers = np.insert(self.numbers, at, np.arange(len(runs)) + len(self.first) - 1)
-        self.keys = np.insert(self.keys, at, hashes)
+        self.keys, self.checks = np.insert(self.keys, at, hashes), np.insert(self.checks, at, checks)
         self.first = np.concatenate((self.first, ends + len(self.flat)))
         self.flat = np.concatenate((self.flat, ids))
 
@@ -139,16 +151,26 @@ class _RunIds:
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_CODES[codes] * _powers(_BASE, len(codes)), dtype=np.uint64))) if len(codes) else np.zeros(1, np.uint64)
         inverse = _powers(pow(_BASE, -1, 1 << 64), len(codes) + 1)
         hashes = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)
-        distinct, where, which = np.unique(hashes, return_index=True, return_inverse=True)
+        _, where, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if not _same_runs(codes, starts, ends, where[which]):
+            return [self._by_words(t) for t in texts]
+        runs = [joined[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+        halves = np.frombuffer(b"".join([xxhash.xxh3_128_digest(r.encode()) for r in runs]), "<u8").reshape(-1, 2)
+        order = np.argsort(halves[:, 0], kind="stable")
+        distinct, checks = halves[order, 0], halves[order, 1]
         if len(self.keys) + len(distinct) > RUNS:
             self._clear()
         at = np.searchsorted(self.keys, distinct)
         known = np.zeros(len(distinct), bool)
         known[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] == distinct[at < len(self.keys)]
+        if (distinct[1:] == distinct[:-1]).any() or (self.checks[at[known]] != checks[known]).any():
+            return [self._by_words(t) for t in texts]
         new = np.flatnonzero(~known)
         for some in np.array_split(new, -(-len(new) // (1 << 14))) if len(new) else ():
-            spans = zip(starts[where[some]].tolist(), ends[where[some]].tolist(), strict=True)
-            self._learn(distinct[some], [joined[a:b] for a, b in spans])
+            self._learn(distinct[some], checks[some], [runs[order[i]] for i in some])
+        place = np.empty(len(order), np.int64)  # of each group in sorted order
+        place[order] = np.arange(len(order))
+        which = place[which]
         run = self.numbers[np.searchsorted(self.keys, distinct)][which]
         length = self.first[run + 1] - self.first[run]
         total = np.concatenate((np.zeros(1, np.int64), np.cumsum(length)))

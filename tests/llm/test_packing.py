@@ -97,3 +97,18 @@ def test_pieces_and_places(make_docs, sample_rows):
 
 def test_empty_table(make_docs):
     assert pack(make_docs([]), PATH).count() == 0
+
+
+def test_runs_that_a_running_hash_takes_for_one():
+    """The Thue-Morse word and its complement agree under every polynomial hash modulo 2^64."""
+    from tokenizers import Tokenizer
+
+    from reelspark.llm import packing
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    tokenizer = Tokenizer.from_file(PATH)
+    worker = packing._RunIds(PATH)
+    for texts in ([word, other], [f"before {word}"], [f"{other} after", "plain words"], [word + " " + other, word], [other]):
+        assert [x.tolist() for x in worker.ids(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
