@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reelspark.llm.license_scan import HINTS, LICENCES, SENTENCES, TOPIC, UNKNOWN
+from reelspark.llm.license_scan import CUTS, HINT, LICENCES, NEUTRAL, RELATED, RESERVED, SENTENCES, TOPIC, UNKNOWN
 from reelspark.llm.secret_scan import BASE_KINDS, RULES
 
 
@@ -11,23 +11,27 @@ def _quoted(text: str) -> str:
 
 
 def licences() -> str:
-    topic = TOPIC + r"|\bcc(?:0| by)\b|\bversion [0-9.]+ of the license|^you may|^the software is"
     named = " ".join(f"WHEN regexp_matches(s, {_quoted(p)}) THEN '{i}'" for i, p in SENTENCES)
-    ident = (f"CASE WHEN NOT regexp_matches(s, {_quoted(topic)}) THEN NULL {named} "
+    ident = (f"CASE WHEN NOT regexp_matches(s, {_quoted(HINT)}) THEN NULL {named} "
              f"WHEN regexp_matches(s, {_quoted(TOPIC)}) THEN '{UNKNOWN}' END")
-    related = " OR ".join(f"contains(lower(text), '{h}')" for h in HINTS)
+    lines = "text"
+    for pattern, to in CUTS:
+        to = to.replace("{1}", r"\1").replace("{2}", r"\2")
+        lines = f"regexp_replace({lines}, {_quoted(pattern)}, {_quoted(to)}, 'g')"
     steps, last = "", "c0"
     for n, (name, run) in enumerate(LICENCES, 1):
         seq = "," + ",".join(run) + ","
         steps += (f", c{n} AS (SELECT doc_id, ids, replace(l, '{seq}', ',#,') AS l, "
                   f"CASE WHEN contains(l, '{seq}') AND NOT list_contains(f, '{name}') THEN list_append(f, '{name}') ELSE f END AS f FROM {last})")
         last = f"c{n}"
+    neutral = ", ".join(f"'{x}'" for x in NEUTRAL)
     return f"""WITH cut AS (
-  SELECT doc_id, CASE WHEN {related} THEN string_split(regexp_replace(text, '([.!?])[ \\t\\r\\n]+', '\\1\n', 'g'), '\n') ELSE [] END AS raw FROM documents),
+  SELECT doc_id, CASE WHEN regexp_matches(lower(text), {_quoted(RELATED)}) THEN string_split({lines}, '\n') ELSE [] END AS raw FROM documents),
 norm AS (SELECT doc_id, list_transform(raw, lambda r: regexp_replace(regexp_replace(lower(r), '[^a-z0-9.]+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g')) AS ss FROM cut),
 named AS (SELECT doc_id, coalesce(list_filter(list_transform(ss, lambda s: {ident}), lambda i: i IS NOT NULL), []) AS ids FROM norm),
-c0 AS (SELECT doc_id, ids, ',' || array_to_string(ids, ',') || ',' AS l, []::VARCHAR[] AS f FROM named){steps}
-SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, array_to_string(ids, ',') AS sentences, array_to_string(f, ',') AS licenses FROM {last}"""
+c0 AS (SELECT doc_id, ids, ',' || array_to_string(list_filter(ids, lambda i: i NOT IN ({neutral})), ',') || ',' AS l, []::VARCHAR[] AS f FROM named){steps}
+SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, array_to_string(ids, ',') AS sentences,
+  array_to_string(CASE WHEN list_contains(ids, 'AllRights') THEN list_append(f, '{RESERVED}') ELSE f END, ',') AS licenses FROM {last}"""
 
 
 def secrets() -> str:
