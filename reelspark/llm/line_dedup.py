@@ -7,7 +7,9 @@ or more. A run is the union of its windows: for every line the shortest window
 of two lines or more with ``MIN_WORDS`` words that starts there, and the
 shortest that ends there. Both depend on nothing but the lines inside, so a
 copied run has the same windows wherever it stands, and each of its lines is in
-one of them; it is found whole without comparing documents.
+one of them; it is found whole without comparing documents. (Boundaries that a
+hash chooses cannot do this: a run between two boundaries shares no chunk with
+its copy. See README.)
 
 ``dedup_lines`` is the coarser form by chunks. A text's lines are cut into chunks where a rolling hash over the last two line
 hashes says so, so that a passage put into another document is cut alike from
@@ -72,8 +74,15 @@ def removable(first: int, end: int, words: int) -> bool:
     return words >= (MIN_WORDS if end - first > 1 else LONG_LINE)
 
 
-def windows(text: bytes) -> list[tuple[int, int, bytes]]:
-    """(first line, end line, bytes) of each window of a text's lines."""
+def windows(text: bytes) -> list[tuple[int, int, bytes, bytes]]:
+    """(first line, end line, digest, content) of each window of a text's lines.
+
+    The content is the window's bytes. A window that starts or ends with a line
+    without words is the window without that line, and the line: its content is
+    that window's digest and the line's bytes, so that long stretches of empty
+    lines cost no more than their lines. Two windows with a digest in common
+    are equal if their contents are, and so on down to the bytes.
+    """
     lines = text.split(b"\n")
     words = [len(line.split()) for line in lines]
     ends, at = [], 0  # of every line in text
@@ -81,16 +90,33 @@ def windows(text: bytes) -> list[tuple[int, int, bytes]]:
         at += len(line)
         ends.append(at)
         at += 1
-    spans = {(i, i + 1) for i, n in enumerate(words) if n >= LONG_LINE}
-    hi, total = 0, 0  # words of lines[lo:hi]
+    found: dict[tuple[int, int], tuple[bytes, bytes]] = {}
+
+    def add(lo: int, hi: int) -> None:
+        if (lo, hi) in found:
+            return
+        if hi - lo > 2 and not words[lo]:
+            content = b"F" + found[lo + 1, hi][0] + lines[lo]
+        elif hi - lo > 2 and not words[hi - 1]:
+            content = b"B" + found[lo, hi - 1][0] + lines[hi - 1]
+        else:
+            content = b"R" + text[ends[lo] - len(lines[lo]):ends[hi - 1]]
+        found[lo, hi] = xxhash.xxh3_128_digest(content), content
+
+    for i, n in enumerate(words):
+        if n >= LONG_LINE:
+            add(i, i + 1)
+    starts, hi, total = [], 0, 0  # words of lines[lo:hi]
     for lo in range(len(lines) - 1):
         while hi < len(lines) and (total < MIN_WORDS or hi < lo + 2):
             total += words[hi]
             hi += 1
         if total < MIN_WORDS:
             break
-        spans.add((lo, hi))
+        starts.append((lo, hi))
         total -= words[lo]
+    for span in reversed(starts):
+        add(*span)
     lo, total = 0, 0
     for hi in range(1, len(lines) + 1):
         total += words[hi - 1]
@@ -98,8 +124,8 @@ def windows(text: bytes) -> list[tuple[int, int, bytes]]:
             total -= words[lo]
             lo += 1
         if hi - lo >= 2 and total >= MIN_WORDS:
-            spans.add((lo, hi))
-    return [(a, b, text[ends[a] - len(lines[a]):ends[b - 1]]) for a, b in spans]
+            add(lo, hi)
+    return [(lo, hi, *x) for (lo, hi), x in found.items()]
 
 
 def _repeatable(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -152,7 +178,7 @@ def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in released(batches):
         orders, digests = [], []
         for doc, text in zip(batch.column("doc_id").to_pylist(), binary_values(batch.column("text")), strict=True):
-            found = {xxhash.xxh3_128_digest(w) for _, _, w in windows(text)}
+            found = {digest for _, _, digest, _ in windows(text)}
             digests.extend(found)
             orders.append((_order_of(doc), len(found)))
         h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
@@ -164,8 +190,8 @@ def _candidates(packed: dict[int, int], batch: pa.RecordBatch) -> Iterator[tuple
     """(doc_id, KEY, lo, hi, h1, h2, window) of windows whose hash the bitmap has."""
     for doc, key, text in zip(batch.column("doc_id").to_pylist(), batch.column(KEY).to_pylist(),
                               binary_values(batch.column("text")), strict=True):
-        for lo, hi, window in windows(text):
-            h1, h2 = np.frombuffer(xxhash.xxh3_128_digest(window), np.int64).tolist()
+        for lo, hi, digest, window in windows(text):
+            h1, h2 = np.frombuffer(digest, np.int64).tolist()
             b = h1 & (FILTER_BITS - 1)
             if packed.get(b // _BITS_PER_LONG, 0) >> (b % _BITS_PER_LONG) & 1:
                 yield doc, key, lo, hi, h1, h2, window
@@ -315,7 +341,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 def dedup_runs(docs: DataFrame) -> DataFrame:
     """As ``dedup_lines``, but every repeated run of whole lines goes, wherever
-    chunks end; n_removed_chunks counts the runs."""
+    chunks end; n_removed_chunks counts the runs. Time and memory grow with a
+    text's size, whatever its lines hold."""
     return _counted(docs, runs=True)
 
 

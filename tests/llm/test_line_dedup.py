@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
-from reelspark.llm.line_dedup import LONG_LINE, MIN_WORDS, chunks, dedup_lines, dedup_runs, drop_repeated_lines, removable
+from reelspark.llm.line_dedup import LONG_LINE, MIN_WORDS, chunks, dedup_lines, dedup_runs, drop_repeated_lines, removable, windows
 
 
 def _brute(rows):
@@ -58,6 +58,29 @@ def test_chunks_cover_all_lines_in_order():
 
 def test_empty_table(make_docs):
     assert dedup_lines(make_docs([])).count() == 0
+    assert dedup_runs(make_docs([])).count() == 0 == drop_repeated_lines(make_docs([])).count()
+
+
+def test_windows_are_linear_in_lines_without_words():
+    words = b"one two three four five six seven eight nine ten"
+    for blank in (b"", b" ", b"\t \t"):
+        text = words + b"\n" + (blank + b"\n") * 100_000 + words + b"\n" + (blank + b"\n") * 3
+        found = windows(text)
+        assert len(found) <= 2 * (text.count(b"\n") + 1) and sum(len(c) for _, _, _, c in found) < 60 * text.count(b"\n")
+
+
+def test_long_stretches_without_words(make_docs):
+    rnd = random.Random(12)
+    line = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    a, b = line(6), line(11)
+    gaps = ["\n" * 5, "\n \n\n\t\n", "\n" * 4, "\n\n"]
+    rows = [(i, f"{line(3)}\n{a}{gap}{b}{gap}{line(2)}") for i, gap in enumerate(gaps * 2)]
+    rows += [(20 + i, f"{gap}{b}\n{line(4)}") for i, gap in enumerate(gaps)] + [(30 + i, f"{b}{gap}") for i, gap in enumerate(gaps)] + [(40, "\n" * 9), (41, "\n" * 9)]
+    got = dedup_runs(make_docs(rows)).collect()
+    assert Counter((r.doc_id, r.text, r.n_lines, r.n_removed_lines) for r in got) == _brute_runs(rows)
+    huge = a + "\n" * 100_000 + b + "\n" + line(5)
+    got = {r.doc_id: r for r in dedup_runs(make_docs([(1, huge), (2, line(4) + "\n" + huge), (3, huge.rstrip("0123456789") + "x")])).collect()}
+    assert got[1].n_removed_lines == 0 and got[2].n_removed_lines == 100_002 and got[3].n_removed_lines == 100_001
 
 
 def _brute_runs(rows):
