@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelspark.functions.columns import STRICT_LIKE_THRESHOLD, like_label, rounded
-from reelspark.operators import als, indexing, scoring, sequences, serving
+from reelspark.operators import als, indexing, ncf_training, scoring, sequences, serving
 from reelspark.operators.similarity import dense_cosine_pairs
 from reelspark.plans.catalog import query
 from reelspark.plans.oracle import with_views
@@ -258,3 +258,27 @@ def click_model_topn(spark, d):
     train, _, m = _click_rows(spark, d)
     model = scoring.fit_click_model(train, "mlp")
     return scoring.click_lists(model, m.users, m.items, src.ratings(spark, d), NCF_TOP_N)
+
+
+def _ncf_model(spark, d):
+    """The NCF trained on the hash 80 % of the labelled ratings, over all users and items; fitted once per application."""
+    def fit(settings):
+        r = src.ratings(spark, d).withColumn("label", like_label(F.col("score"), STRICT_LIKE_THRESHOLD, True))
+        train, _ = als.holdout_split(r)
+        return ncf_training.fit_ncf(train, r.select("uid"), src.items(spark, d).select("mid"), settings)
+    return ncf_training.fitted_once(fit, spark, d)
+
+
+@query("ncf_trained_auc", "F17 F18 A24 (NCF trained by strata, 2 epochs of SGD on BCE; ROC AUC on the hash holdout)")
+def ncf_trained_auc(spark, d):
+    r = src.ratings(spark, d).withColumn("label", like_label(F.col("score"), STRICT_LIKE_THRESHOLD, True))
+    _, test = als.holdout_split(r)
+    area, n = ncf_training.auc(_ncf_model(spark, d), test)
+    return spark.createDataFrame([("ncf", float(area), int(n))], "model string, auc double, n_test bigint")
+
+
+@query("ncf_trained_topn", "F17 F16 Q13 J16 T12 (the trained NCF scores all unseen items, best 10 per user)")
+def ncf_trained_topn(spark, d):
+    m = _ncf_model(spark, d)
+    top = scoring.ncf_lists(m.users, m.items, src.ratings(spark, d), m.layers, NCF_TOP_N)
+    return top.select("uid", "rank", "mid", rounded(F.col("score")).alias("score"))
