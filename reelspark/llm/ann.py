@@ -2,9 +2,11 @@
 
 Equal vectors become one point, so that a very common vector neither bends the
 graph nor fills a shard; its least vec_ids stand for it in the answers. Points
-are dealt by hash into shards of about ``SHARD`` points. A shard's graph is
-stored as one row of flat arrays (ids, vectors, neighbours of the ground layer
-and of each layer above). Queries go to every shard in blocks; each shard
+are dealt by hash into shards of at least ``SHARD`` points, of more where the
+table has more than a few such shards for each core, up to ``SHARD_MOST`` (a
+task holds one shard). A shard's graph is stored as one row of flat arrays (ids,
+vectors, neighbours of the ground layer and of each layer above). Queries are
+sent to every shard in blocks, and pass by its graph in one task; each shard
 gives its nearest points, exact distances in double precision, and the best of
 all shards are merged.
 
@@ -25,13 +27,17 @@ from pyspark.sql.window import Window
 from reelspark.llm.common import prepare, released
 
 SHARD = 4096
+SHARD_MOST = 1 << 17
+#: Shards for each core at which shards grow.
+PER_CORE = 4
 LINKS = 16
 EF_BUILD = 80
 EF_SEARCH = 160
-#: Queries searched together, and so the rows a shard's graph is sent along with.
+#: Queries sent together.
 QUERY_BLOCK = 1024
 
 _INDEX = "dim int, shard int, ids binary, vectors binary, levels binary, ground binary, upper binary"
+_QUERIES = "array<struct<vec_id:bigint,embedding:array<double>>>"
 
 
 class Graph:
@@ -176,17 +182,33 @@ def _build(key: tuple, table: pa.Table) -> pa.Table:
 def build_index(points: DataFrame, shards: int) -> DataFrame:
     """One row of flat arrays per (dimension, shard) of (cid, embedding) points."""
     dealt = points.select("cid", "embedding", F.size("embedding").alias("dim"), F.pmod(F.xxhash64("cid"), F.lit(shards)).cast("int").alias("shard"))
-    return dealt.groupBy("dim", "shard").applyInArrow(_build, _INDEX)
+    return dealt.repartition(2 * shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(_build, _INDEX)
+
+
+def shard_size(n: int, cores: int) -> int:
+    """Points of a shard: a few shards for each core, within SHARD and SHARD_MOST."""
+    return max(SHARD, min(SHARD_MOST, -(-n // (PER_CORE * cores))))
+
+
+def _graph(row: dict) -> tuple[np.ndarray, np.ndarray, Graph]:
+    ids = np.frombuffer(row["ids"], np.int64)
+    vectors = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), row["dim"])
+    return ids, vectors, Graph(vectors, np.frombuffer(row["levels"], np.int64), np.frombuffer(row["ground"], np.int32).reshape(len(ids), -1),
+                               np.frombuffer(row["upper"], np.int32).reshape(-1, LINKS))
 
 
 def _search(k: int, ef: int):
+    """Rows sorted by (dim, shard, block): a shard's graph (block -1), then the queries sent to it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = held = None
         for batch in released(batches):
             for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], np.int64)
-                vectors = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), row["dim"])
-                graph = Graph(vectors, np.frombuffer(row["levels"], np.int64), np.frombuffer(row["ground"], np.int32).reshape(len(ids), -1),
-                              np.frombuffer(row["upper"], np.int32).reshape(-1, LINKS))
+                if row["block"] < 0:
+                    at, held = (row["dim"], row["shard"]), _graph(row)
+                    continue
+                if at != (row["dim"], row["shard"]):
+                    continue  # no point hashes to this shard
+                ids, vectors, graph = held
                 out: list[tuple[int, int, float]] = []
                 for q in row["queries"]:
                     v = np.array(q["embedding"], np.float64)
@@ -207,7 +229,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.where("vec_id is not null and embedding is not null").where(good).withColumn("embedding", F.transform("embedding", lambda x: x + 0.0)).distinct()
 
 
-def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, ef: int = EF_SEARCH, shard: int = SHARD) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, ef: int = EF_SEARCH, shard: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each vector whose vec_id is
     divisible by ``every`` its k nearest others by Euclidean distance.
 
@@ -224,13 +246,18 @@ def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, ef: in
     points = members.where("__reel_n = 1").select("embedding", "vec_id").withColumn("cid", F.monotonically_increasing_id()).checkpoint()
     named = (members.join(points.select("embedding", "cid", F.col("vec_id").alias("least")), "embedding").select("cid", "vec_id", "least"))
     n = points.count()
-    index = build_index(points.select("cid", "embedding"), max(1, -(-n // shard))).checkpoint()
+    shards = max(1, -(-n // (shard or shard_size(n, vectors.sparkSession.sparkContext.defaultParallelism))))
+    index = build_index(points.select("cid", "embedding"), shards)
 
     queries = rows.where(F.col("vec_id") % every == 0)
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     packed = (queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("dim", F.size("embedding"))
               .groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries")))
-    sent = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, ["dim", "block"])
+    none = F.lit(None).cast("binary")
+    asked = packed.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), *[none.alias(c) for c in ("ids", "vectors", "levels", "ground", "upper")],
+                          "block", "queries")
+    sent = (index.withColumn("block", F.lit(-1)).withColumn("queries", F.lit(None).cast(_QUERIES)).unionByName(asked)
+            .repartition(2 * shards, "dim", "shard").sortWithinPartitions("dim", "shard", "block"))
     found = sent.mapInArrow(_search(k + 1, ef), "query_id bigint, cid bigint, score double")
     # k + 1 nearest points, then their members
     least = points.select("cid", F.col("vec_id").alias("least"))
