@@ -1,29 +1,22 @@
 """The streaming re-ranker as one checkpointed Structured Streaming query (ST1-ST9, S11, S15, S16).
 
-source (text lines: a folder, or Kafka when its package is present)
+source (text lines: a folder; records of a topic: ``streaming.topic``)
   -> filter_log / parse_messages                     (ST2, ST3)
-  -> groupBy(uid).applyInPandasWithState             (ST4, ST5: recent list <= 40, read 20)
-  -> foreachBatch(upsert_batch)                      (ST6-ST9: candidates, scores, upserts)
-
-Keyed state holds a user's 40 newest events by ``EVENT_ORDER``. The per-user
-events of a micro-batch arrive as an iterator of Arrow batches in any order;
-a running selection of the 40 newest keeps memory bounded and makes the state
-independent of batch size, file order and how the log was cut: an event that
-arrives late takes the place its time stamp gives it, also across
-micro-batches, and one older than the 40 newest only joins the user's history.
-
-Layout of the output folder (all Parquet, written through Spark only):
-
-* ``manifest``            (epoch, upto): which epoch is current, and the last
-                          batch folded into its base;
-* ``base/epoch=E``        rating events up to that batch, by bucket of uid;
-* ``ratings/epoch=E/v=N`` the events of batch N, by bucket of uid;
-* ``recs/v=N``            the lists batch N made.
-
-A batch reads the buckets of its own users only, in the current epoch's base
-and deltas. ``compact`` folds the deltas into the base of a new epoch, so the
-number of versions a batch reads does not grow with the stream's age.
-Re-running a batch after a failure rewrites the same version.
+  -> groupBy(uid).transformWithState                 (ST4, ST5, ST9, S16: recent list, rated items)
+  -> foreachBatch(upsert_batch)                      (ST6-ST8, S15: candidates, scores, lists)
+
+What the job knows of a user is keyed state: a list of the 40 newest events by
+``EVENT_ORDER``, and a map of the rated items, each with its newest rating. A
+micro-batch touches the state of its own users only, whatever the age of the
+stream. Events arrive as an iterator of Arrow batches in any order; a running
+selection of the 40 newest makes the state independent of batch size, file
+order and how the log was cut: an event that arrives late takes the place its
+time stamp gives it, and one older than the 40 newest only counts as rated.
+
+State lives in the query's checkpoint and can be read from there with Spark's
+state reader (``current_ratings``, ``recent_lists``). Lists go to a Parquet
+table with a folder per batch (``v=N``), which a batch that runs again
+overwrites; the newest version of a user's list counts.
 """
 
 from __future__ import annotations
@@ -33,43 +26,72 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from reelspark.operators.upsert import last_write_wins
 from reelspark.session import checkpoint_dir
-from reelspark.streaming.rerank import (EVENT_ORDER, MAX_USER_RATINGS_NUM, RECENT_LIST_CAP, candidate_scores,
-                                        candidates, filter_log, parse_messages)
+from reelspark.streaming.rerank import (MAX_USER_RATINGS_NUM, RECENT_LIST_CAP, candidate_scores, candidates, filter_log,
+                                        parse_messages)
 
 EVENT_SCHEMA = "uid long, mid long, score double, ts long"
-#: An event (recent empty) or, once per user and batch, the user's newest events.
-STATE_OUT_SCHEMA = ("uid long, mid long, score double, ts long, "
-                    "recent array<struct<mid:long,score:double>>")
-STATE_SCHEMA = "recent array<struct<ts:long,mid:long,score:double>>"
-#: Buckets of uid in base and deltas; fixed when the output folder is made.
-BUCKETS = 64
-HISTORY_SCHEMA = EVENT_SCHEMA + ", b int"
+#: Once per user and batch the newest events, and a row (recent empty) for each item the user has rated.
+STATE_OUT_SCHEMA = "uid long, mid long, recent array<struct<mid:long,score:double>>"
 LIST_SCHEMA = "array<struct<rank:long,mid:long,score:double>>"
+STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rated items sent on together.
+CHUNK = 10_000
 
 
-def _update_recent(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """ST4/ST5: pass the events on and keep the user's 40 newest; then one row
-    per user with the newest 20 (the newest event included, as the reference
-    writes the list before logging)."""
-    kept = list(state.get[0]) if state.exists else []
-    newest = [(int(r["ts"]), int(r["mid"]), float(r["score"])) if isinstance(r, dict) else (int(r[0]), int(r[1]), float(r[2]))
-              for r in kept]
+def newest_events(kept: list[tuple], pdfs: Iterator[pd.DataFrame]) -> Iterator[tuple[list[tuple], dict]]:
+    """After each chunk of events: the 40 newest (ts, mid, score) so far, and the chunk's newest (ts, score) per item."""
     for pdf in pdfs:
-        events = zip(pdf["ts"].tolist(), pdf["mid"].tolist(), pdf["score"].tolist())
-        newest = heapq.nlargest(RECENT_LIST_CAP, [*newest, *heapq.nlargest(RECENT_LIST_CAP, events)])
-        yield pd.DataFrame({"uid": pdf["uid"], "mid": pdf["mid"], "score": pdf["score"], "ts": pdf["ts"],
-                            "recent": [[] for _ in range(len(pdf))]})
-    state.update(([{"ts": t, "mid": m, "score": s} for t, m, s in newest],))
-    if newest:
-        ts, mid, score = newest[0]
-        yield pd.DataFrame({"uid": [key[0]], "mid": [mid], "score": [score], "ts": [ts],
-                            "recent": [[{"mid": m, "score": s} for _, m, s in newest[:MAX_USER_RATINGS_NUM]]]})
+        events = list(zip(pdf["ts"].tolist(), pdf["mid"].tolist(), pdf["score"].tolist(), strict=True))
+        kept = heapq.nlargest(RECENT_LIST_CAP, [*kept, *heapq.nlargest(RECENT_LIST_CAP, events)])
+        rated: dict = {}
+        for ts, mid, score in events:
+            rated[mid] = max(rated.get(mid, (ts, score)), (ts, score))
+        yield kept, rated
+
+
+class UserState(StatefulProcessor):
+    """ST4, ST5, ST9: a user's 40 newest events and the items the user has rated."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._recent = handle.getListState("recent", "ts long, mid long, score double")
+        self._rated = handle.getMapState("rated", "mid long", "ts long, score double")
+
+    def _rate(self, rated: dict) -> None:
+        for mid, (ts, score) in rated.items():
+            old = self._rated.getValue((mid,)) if self._rated.containsKey((mid,)) else None
+            if old is None or (old[0], old[1]) < (ts, score):
+                self._rated.updateValue((mid,), (ts, score))
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Ratings from before the stream's first event count as rated, not as recent."""
+        for _, rated in newest_events([], iter([initialState])):
+            self._rate(rated)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest: list[tuple] = [tuple(r) for r in self._recent.get()]
+        for newest, rated in newest_events(newest, rows):
+            self._rate(rated)
+        self._recent.put(newest)
+        uid = key[0]
+        recent = [{"mid": m, "score": s} for _, m, s in newest[:MAX_USER_RATINGS_NUM]]
+        yield pd.DataFrame({"uid": [uid], "mid": [newest[0][1]], "recent": [recent]})
+        chunk: list[int] = []
+        for mid in self._rated.keys():  # noqa: SIM118
+            chunk.append(mid[0])
+            if len(chunk) == CHUNK:
+                yield pd.DataFrame({"uid": uid, "mid": chunk, "recent": [[] for _ in chunk]})
+                chunk = []
+        if chunk:
+            yield pd.DataFrame({"uid": uid, "mid": chunk, "recent": [[] for _ in chunk]})
+
+    def close(self) -> None:
+        pass
 
 
 def rating_events(lines: DataFrame, col: str = "value") -> DataFrame:
@@ -77,76 +99,33 @@ def rating_events(lines: DataFrame, col: str = "value") -> DataFrame:
     return parse_messages(filter_log(lines, col)).select("uid", "mid", "score", "ts")
 
 
-def with_recent_lists(events: DataFrame) -> DataFrame:
-    return events.groupBy("uid").applyInPandasWithState(
-        _update_recent, STATE_OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+def with_user_state(events: DataFrame, base_ratings: DataFrame | None = None) -> DataFrame:
+    """The keyed step; ``base_ratings`` (uid, mid, score, ts) is the history
+    before the stream's first event, read by the first batch only."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
+    base = base_ratings.select("uid", "mid", "score", "ts").groupBy("uid") if base_ratings is not None else None
+    return events.groupBy("uid").transformWithStateInPandas(UserState(), STATE_OUT_SCHEMA, "append", "None", initialState=base)
 
 
-def bucket_of(uid: Column) -> Column:
-    return F.pmod(F.xxhash64(uid), F.lit(BUCKETS)).cast("int")
+def init_output(spark: SparkSession, root: str) -> None:
+    """Make the output folder's table unless it is there."""
+    spark.createDataFrame([], f"uid long, recs {LIST_SCHEMA}").write.mode("ignore").parquet(f"{root.rstrip('/')}/recs/v=-1")
 
 
-def _write_events(df: DataFrame, path: str, mode: str) -> None:
-    df.select("uid", "mid", "score", "ts", bucket_of(F.col("uid")).alias("b")).write.mode(mode).partitionBy("b").parquet(path)
+def upsert_batch(out_root: str, sims):
+    """``foreachBatch`` body (ST6-ST8, S15).
 
-
-def init_output(spark: SparkSession, root: str, base_ratings: DataFrame | None = None) -> None:
-    """Make the output folder's tables unless they are there; ``base_ratings``
-    (uid, mid, score, ts) is the history before the stream's first event."""
-    root = root.rstrip("/")
-    none = spark.createDataFrame([], EVENT_SCHEMA)
-    _write_events(base_ratings if base_ratings is not None else none, f"{root}/base/epoch=0", "ignore")
-    _write_events(none, f"{root}/ratings/epoch=0/v=-1", "ignore")
-    spark.createDataFrame([], f"uid long, recs {LIST_SCHEMA}").write.mode("ignore").parquet(f"{root}/recs/v=-1")
-    spark.createDataFrame([(0, -1)], "epoch long, upto long").write.mode("ignore").parquet(f"{root}/manifest")
-
-
-def _current(spark: SparkSession, root: str) -> tuple[int, int]:
-    """(epoch, last batch in its base)."""
-    row = spark.read.parquet(f"{root}/manifest").orderBy(F.desc("epoch")).first()
-    return row["epoch"], row["upto"]
-
-
-def history(spark: SparkSession, out_root: str, upto: int | None = None, users: DataFrame | None = None) -> DataFrame:
-    """All rating events of base and deltas (uid, mid, score, ts), up to batch
-    ``upto``; with ``users``, of those only, reading no bucket but theirs."""
-    root = out_root.rstrip("/")
-    epoch, _ = _current(spark, root)
-    base = spark.read.schema(HISTORY_SCHEMA).parquet(f"{root}/base/epoch={epoch}")
-    deltas = spark.read.schema(HISTORY_SCHEMA + ", v long").parquet(f"{root}/ratings/epoch={epoch}")
-    if upto is not None:
-        deltas = deltas.where(F.col("v") <= upto)
-    events = base.unionByName(deltas.drop("v"))
-    if users is not None:
-        touched = [r["b"] for r in users.select(bucket_of(F.col("uid")).alias("b")).distinct().collect()]  # at most BUCKETS
-        events = events.where(F.col("b").isin(touched)).join(users.select("uid").distinct(), "uid", "left_semi")
-    return events.select("uid", "mid", "score", "ts")
-
-
-def upsert_batch(out_root: str, sims, compact_every: int | None = None):
-    """``foreachBatch`` body (ST6-ST9, S15, S16).
-
-    * the batch's rating events are written as delta version ``batch_id`` of
-      ``ratings`` (ST9; readers resolve the newest per (uid, mid));
-    * the newest event of each user of the batch is scored against the
-      similarity table; the user's seen set comes from that user's buckets;
-    * every user of the batch gets a new list row (possibly empty: the old
-      list is replaced, S15) in delta version ``batch_id`` of ``recs``.
-
-    With ``compact_every`` = n, every n-th batch first folds the deltas before
-    it into a new base.
+    The newest event of each user of the batch is scored against the similarity
+    table, without the items the user has rated. Every user of the batch gets a
+    new list row (possibly empty: the old list is replaced, S15) in version
+    ``batch_id`` of ``recs``.
     """
     root = out_root.rstrip("/")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if compact_every and batch_id and batch_id % compact_every == 0:
-            compact(spark, root, batch_id - 1)
         batch = batch.persist()
-        epoch, _ = _current(spark, root)
-        _write_events(batch.where("size(recent) = 0"), f"{root}/ratings/epoch={epoch}/v={batch_id}", "overwrite")
         newest = batch.where("size(recent) > 0").select("uid", "mid", "recent")
-        seen = history(spark, root, batch_id, newest).select("uid", "mid")
+        seen = batch.where("size(recent) = 0").select("uid", "mid")
         recents = newest.select("uid", F.explode("recent").alias("_r")).select("uid", "_r.mid", "_r.score")
         cands = candidates(newest.select("uid", "mid"), seen, sims)
         lists = (candidate_scores(cands, recents, sims)
@@ -166,39 +145,29 @@ def read_lists(spark: SparkSession, out_root: str, upto: int = 1 << 62) -> DataF
     return newest.select("uid", F.explode("recs").alias("_r")).select("uid", "_r.rank", "_r.mid", "_r.score")
 
 
-def current_ratings(spark: SparkSession, out_root: str) -> DataFrame:
-    """Ratings after all committed batches: base plus deltas, newest per (uid, mid)."""
-    return (last_write_wins(history(spark, out_root), ["uid", "mid"], list(EVENT_ORDER), ["score", "ts"])
-            .select("uid", "mid", "score", "ts"))
+def _state(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame:
+    return spark.read.format("statestore").option("stateVarName", variable).load(checkpoint)
 
 
-def compact(spark: SparkSession, out_root: str, upto: int) -> None:
-    """Fold the deltas up to batch ``upto`` into the base of a new epoch.
+def current_ratings(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The newest rating of each (uid, mid) after all committed batches, from the query's state."""
+    return _state(spark, checkpoint, "rated").select("key.uid", F.col("user_map_key.mid").alias("mid"), "user_map_value.score", "user_map_value.ts")
 
-    Only the newest event of each (uid, mid) is kept. Call it between batches:
-    from ``upsert_batch`` or while the query is stopped. The new epoch counts
-    once its manifest row is written, so a failure in between changes nothing;
-    the old epoch's folders stay for readers that still use them.
-    """
-    root = out_root.rstrip("/")
-    epoch, done = _current(spark, root)
-    if done >= upto:
-        return
-    latest = last_write_wins(history(spark, root, upto), ["uid", "mid"], list(EVENT_ORDER), ["score", "ts"])
-    _write_events(latest, f"{root}/base/epoch={epoch + 1}", "overwrite")
-    _write_events(spark.createDataFrame([], EVENT_SCHEMA), f"{root}/ratings/epoch={epoch + 1}/v=-1", "overwrite")
-    spark.createDataFrame([(epoch + 1, upto)], "epoch long, upto long").write.mode("append").parquet(f"{root}/manifest")
+
+def recent_lists(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """ST4: the recent events of each user (uid, mid, score, ts), from the query's state."""
+    return _state(spark, checkpoint, "recent").select("key.uid", "list_element.mid", "list_element.score", "list_element.ts")
 
 
 def start(spark: SparkSession, source_dir: str, out_root: str, checkpoint: str, sims: DataFrame,
           base_ratings: DataFrame | None = None, trigger: dict | None = None,
-          files_per_trigger: int | None = None, fmt: str = "text", options: dict | None = None,
-          compact_every: int | None = None):
-    """Start the query. ``fmt='kafka'`` with ``options`` (bootstrap servers,
-    topic) reads a broker when its package is on the classpath; the default
-    reads text files from ``source_dir`` (ST1 trigger: 2 s processing time
-    unless ``trigger`` says otherwise, e.g. ``{'availableNow': True}``)."""
-    init_output(spark, out_root, base_ratings)
+          files_per_trigger: int | None = None, fmt: str = "text", options: dict | None = None):
+    """Start the query. The default reads text files from ``source_dir``;
+    ``fmt='topic'`` reads a topic (``streaming.topic``) there, ``fmt='kafka'``
+    with ``options`` a broker when its package is on the classpath (ST1 trigger:
+    2 s processing time unless ``trigger`` says otherwise, e.g.
+    ``{'availableNow': True}``)."""
+    init_output(spark, out_root)
     reader = spark.readStream.format(fmt)
     for k, v in (options or {}).items():
         reader = reader.option(k, v)
@@ -208,17 +177,17 @@ def start(spark: SparkSession, source_dir: str, out_root: str, checkpoint: str,
             reader = reader.option("maxFilesPerTrigger", files_per_trigger)
         lines = reader.load(source_dir)
     else:
-        lines = reader.load().select(F.col("value").cast("string").alias("value"))
-    stream = with_recent_lists(rating_events(lines))
-    writer = (stream.writeStream.foreachBatch(upsert_batch(out_root, sims, compact_every))
+        lines = (reader.load(source_dir) if source_dir else reader.load()).select(F.col("value").cast("string").alias("value"))
+    stream = with_user_state(rating_events(lines), base_ratings)
+    writer = (stream.writeStream.foreachBatch(upsert_batch(out_root, sims))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(**(trigger or {"processingTime": "2 seconds"}))
     return writer.start()
 
 
 def start_log_filter(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str, trigger: dict | None = None):
-    """S12 as a stream job: log lines in, the rating messages they carry out
-    (append-only Parquet; Kafka to Kafka is the same with another sink)."""
+    """S12 over files: log lines in, the rating messages they carry out
+    (append-only Parquet); ``topic.start_topic_filter`` goes from topic to topic."""
     lines = spark.readStream.format("text").load(source_dir)
     writer = (filter_log(lines, "value").select("message").writeStream.format("parquet")
               .option("path", out_dir).option("checkpointLocation", checkpoint))

@@ -1,4 +1,4 @@
-"""Streaming: state step, replay equality whatever the batches, restart, compaction, pruned reads."""
+"""Streaming: state step, replay equality whatever the batches, restart, state as read back."""
 
 from __future__ import annotations
 
@@ -9,41 +9,27 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from reelspark.operators.topk import top_k_per_group
+from reelspark.operators.upsert import last_write_wins
 from reelspark.plans.q_stream import _events, _sims
 from reelspark.sources import driver_tables as src
 from reelspark.streaming import job
 from reelspark.streaming import rerank as rr
 
 
-class FakeState:
-    def __init__(self):
-        self.value = None
-
-    @property
-    def exists(self):
-        return self.value is not None
-
-    @property
-    def get(self):
-        return self.value
-
-    def update(self, v):
-        self.value = v
-
-
 @pytest.mark.parametrize("seed", [0, 1, 2])
 def test_recent_list_does_not_depend_on_order_or_chunks(seed):
     rnd = random.Random(seed)
     rows = [(1, i % 30, 1.0, i) for i in range(45)]
     rnd.shuffle(rows)
-    st = FakeState()
+    kept, rated = [], {}
     while rows:  # several micro-batches of several Arrow batches
         batch, rows = rows[:17], rows[17:]
         pdfs = [pd.DataFrame(batch[i:i + 5], columns=["uid", "mid", "score", "ts"]) for i in range(0, len(batch), 5)]
-        out = pd.concat(list(job._update_recent((1,), iter(pdfs), st)))
-        assert (out["recent"].str.len() > 0).sum() == 1  # one list per user and batch
-    assert [r["mid"] for r in st.value[0]] == [(44 - i) % 30 for i in range(40)]
-    assert [r["mid"] for r in out["recent"].iloc[-1]] == [(44 - i) % 30 for i in range(20)]  # newest first, repeats kept
+        for kept, some in job.newest_events(kept, iter(pdfs)):
+            rated = {m: max(rated.get(m, v), v) for m, v in {**rated, **some}.items()} | {m: max(rated.get(m, v), v) for m, v in some.items()}
+    assert [m for _, m, _ in kept] == [(44 - i) % 30 for i in range(40)]  # newest first, repeats kept
+    assert rated == {m: (m + 30 if m < 15 else m, 1.0) for m in range(30)}
 
 
 def _run(spark, root, sims, files, **kw):
@@ -57,9 +43,8 @@ def _lists(spark, root):
     return sorted(map(tuple, job.read_lists(spark, f"{root}/out").select("uid", "rank", "mid", F.round("score", 9)).collect()))
 
 
-@pytest.mark.parametrize("order,records,per_trigger,compact_every", [
-    ("forward", 10_000, 8, None), ("reversed", 50, 3, 2), ("shuffled", 50, 2, None), ("reversed", 10_000, 3, None)])
-def test_stream_equals_batch_replay(spark, sf_dir, order, records, per_trigger, compact_every):
+@pytest.mark.parametrize("order,records,per_trigger", [("forward", 10_000, 8), ("reversed", 50, 3), ("shuffled", 50, 2)])
+def test_stream_equals_batch_replay(spark, sf_dir, order, records, per_trigger):
     sims = _sims(spark, sf_dir)
     want = sorted(map(tuple, rr.rerank_batch(_events(spark, sf_dir), sims)
                       .select("uid", "rank", "mid", F.round("score", 9)).collect()))
@@ -70,7 +55,7 @@ def test_stream_equals_batch_replay(spark, sf_dir, order, records, per_trigger,
      .select(F.col("line").alias("value")).write.text(f"{root}/source"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
     try:
-        _run(spark, root, sims, per_trigger, compact_every=compact_every)
+        _run(spark, root, sims, per_trigger)
         assert _lists(spark, root) == want
         # restart from the same checkpoint: nothing new to read, lists unchanged
         again = _run(spark, root, sims, per_trigger)
@@ -78,7 +63,11 @@ def test_stream_equals_batch_replay(spark, sf_dir, order, records, per_trigger,
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert all(p["numInputRows"] == 0 for p in again.recentProgress)
     assert _lists(spark, root) == want
-    assert (job._current(spark, f"{root}/out")[0] > 0) == (compact_every is not None)
+    latest = last_write_wins(_events(spark, sf_dir), ["uid", "mid"], list(rr.EVENT_ORDER), ["score", "ts"]).select("uid", "mid", "score", "ts")
+    assert sorted(map(tuple, job.current_ratings(spark, f"{root}/ckpt").collect())) == sorted(map(tuple, latest.collect()))
+    kept = sorted((r.uid, -r.ts, -r.mid, -r.score) for r in job.recent_lists(spark, f"{root}/ckpt").collect())
+    newest = top_k_per_group(_events(spark, sf_dir).select("uid", "mid", "score", "ts"), ["uid"], [F.col(c).desc() for c in rr.EVENT_ORDER], rr.RECENT_LIST_CAP)
+    assert kept == sorted((r.uid, -r.ts, -r.mid, -r.score) for r in newest.collect())
 
 
 def _small_stream(spark):
@@ -93,31 +82,27 @@ def _small_stream(spark):
     return root
 
 
-def test_base_deltas_and_compaction(spark):
+def test_base_ratings_and_state(spark):
     root = _small_stream(spark)
     want = [(1, 10, 1.5, 200), (1, 11, 2.0, 101), (1, 15, 1.0, 7), (2, 12, 5.0, 150), (3, 10, 2.0, 5)]
-    assert sorted(map(tuple, job.current_ratings(spark, f"{root}/out").collect())) == want
-    job.compact(spark, f"{root}/out", 99)
-    assert job._current(spark, f"{root}/out") == (1, 99)
-    assert sorted(map(tuple, job.current_ratings(spark, f"{root}/out").collect())) == want
-    assert job.history(spark, f"{root}/out").count() == len(want)  # superseded versions are gone from what is read
-    job.compact(spark, f"{root}/out", 99)
-    assert job._current(spark, f"{root}/out") == (1, 99)
+    assert sorted(map(tuple, job.current_ratings(spark, f"{root}/ckpt").collect())) == want
+    assert sorted((r.uid, r.ts) for r in job.recent_lists(spark, f"{root}/ckpt").collect()) == [(1, 100), (1, 101), (1, 200), (2, 150)]
     lists = {(r["uid"], r["mid"]) for r in job.read_lists(spark, f"{root}/out").collect()}
-    # user 1's newest event is (10, 1.5): candidate 13; user 2's is (12): candidate 14
-    assert (1, 13) in lists and (2, 14) in lists
-
-
-def test_history_reads_only_the_users_buckets(spark):
-    root = _small_stream(spark)
-    users = spark.createDataFrame([(2,)], "uid long")
-    seen = job.history(spark, f"{root}/out", users=users)
-    assert [tuple(r) for r in seen.collect()] == [(2, 12, 5.0, 150)]
-    files = job.history(spark, f"{root}/out").select("uid").count()
-    plan = seen._jdf.queryExecution().toString()
-    b = users.select(job.bucket_of(F.col("uid"))).first()[0]
-    assert plan.count("PartitionFilters: [") >= 2 and f"b#" in plan and f"= {b})" in plan.replace(f"IN ({b})", f"= {b})")
-    assert files == 6
+    # user 1's newest event is (10, 1.5): candidate 13; user 2's is (12): candidate 14; user 3 has no event
+    assert (1, 13) in lists and (2, 14) in lists and all(u != 3 for u, _ in lists)
+
+
+def test_a_batch_that_runs_again_overwrites_its_version(spark):
+    """foreachBatch may see a batch twice after a failure: the lists stay as they were."""
+    root = tempfile.mkdtemp(prefix="reelspark-again-")
+    job.init_output(spark, root)
+    sims = spark.createDataFrame([(10, 13, 0.9), (13, 10, 0.9)], "mid long, sim_mid long, score double")
+    batch = spark.createDataFrame([(1, 10, [(10, 4.0)]), (1, 10, []), (2, 13, [(13, 1.0)]), (2, 13, [])], job.STATE_OUT_SCHEMA)
+    run = job.upsert_batch(root, sims)
+    run(batch, 0)
+    first = sorted(map(tuple, job.read_lists(spark, root).collect()))
+    run(batch, 0)
+    assert sorted(map(tuple, job.read_lists(spark, root).collect())) == first and {r[0] for r in first} == {1, 2}
 
 
 def test_candidates_with_large_groups_and_many_seen(spark):
