@@ -67,6 +67,17 @@ def broadcast_if(narrow: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(narrow) if rows <= BROADCAST_ROWS else narrow
 
 
+#: Rows of a few fixed-width columns that one partition of a checkpoint holds at least, where there are so many.
+NARROW_ROWS = 1 << 18
+
+
+def gathered(narrow: DataFrame, rows: int) -> DataFrame:
+    """``narrow`` in fewer partitions if its ``rows`` (an estimate) would leave
+    most of them nearly empty; as many as the cluster has cores stay. A
+    checkpoint writes a file for each partition."""
+    return narrow.coalesce(max(narrow.sparkSession.sparkContext.defaultParallelism, -(-rows // NARROW_ROWS)))
+
+
 def release() -> None:
     """Hand memory that is free inside this worker back to the system. Workers
     live through many stages, and what one stage's peak leaves would add up."""

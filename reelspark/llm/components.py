@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelspark.llm.common import gathered
+
 
 def _least_neighbour(directed: DataFrame) -> DataFrame:
     """Per u the least of u and its neighbours."""
@@ -42,7 +44,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     edges = (edges.select(F.greatest("u", "v").cast("bigint").alias("u"), F.least("u", "v").cast("bigint").alias("v"))
              .where("u <> v").distinct().checkpoint())
+    rows = edges.count()  # a step at most doubles the links
     while not _is_stars(edges):
-        edges = _small_star(_large_star(edges).checkpoint()).checkpoint()
+        edges = gathered(_small_star(gathered(_large_star(edges), rows).checkpoint()), rows).checkpoint()
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()).checkpoint()
+    return gathered(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()), rows).checkpoint()

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import binary_values, broadcast_if, prepare, released
+from reelspark.llm.common import binary_values, broadcast_if, gathered, prepare, released
 from reelspark.llm.components import connected_components
 
 BITS = 64
@@ -237,14 +237,14 @@ def _links_by_probes(prints: DataFrame, n: int, limit: int) -> tuple[DataFrame,
     parts = grouped_bits(together, n, number_of_parts(n))
     shares = near_shares(together, n, parts)
     m = len(parts)
-    index = prints.mapInArrow(_values(parts), "fp bigint, part int, value bigint").checkpoint()
-    counts = index.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).checkpoint()
-    counted = index.join(counts, ["part", "value"]).checkpoint()
+    index = prints.mapInArrow(_values(parts), "fp bigint, part int, value bigint")
+    counts = gathered(index.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")), m * n).checkpoint()
+    counted = gathered(index.join(counts, ["part", "value"]), m * n).checkpoint()
     own = counted.groupBy("fp").agg(*[F.max(F.when(F.col("part") == k, F.col("n"))).alias(f"n{k}") for k in range(m)])
     probes = own.mapInArrow(_probes(parts, shares, n), "fp bigint, part int, value bigint")
-    met = probes.join(counts, ["part", "value"]).checkpoint()
+    met = gathered(probes.join(counts, ["part", "value"]), m * n).checkpoint()
     most = limit + m  # a fingerprint meets itself, in each part at most
-    many = met.groupBy("fp").agg(F.sum("n").alias("total")).where(F.col("total") > most).select("fp").checkpoint()
+    many = gathered(met.groupBy("fp").agg(F.sum("n").alias("total")).where(F.col("total") > most).select("fp"), n).checkpoint()
     asked = (met.where(F.col("n") <= most).join(broadcast_if(many, many.count()), "fp", "left_anti")
              .select(F.col("fp").alias("q"), "part", "value"))
     near = F.bit_count(F.col("q").bitwiseXOR(F.col("fp"))) <= DISTANCE
@@ -284,9 +284,11 @@ def simhash_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """
     prepare(docs.sparkSession)
     marks = fingerprints(docs).checkpoint()
-    classes = marks.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
+    rows = marks.count()
+    classes = gathered(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), rows).checkpoint()
     components = connected_components(fingerprint_links(classes.select("fp"), limit))
     linked = classes.join(components, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = linked.join(linked.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id").checkpoint()
+    named = linked.join(linked.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
+    named = gathered(named, rows).checkpoint()
     return (marks.join(broadcast_if(named, named.count()), "fp")
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
