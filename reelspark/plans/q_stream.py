@@ -18,7 +18,7 @@ from reelspark.session import checkpoint_dir, shuffle_partitions
 from reelspark.plans.q_similarity import CONTENT_SIM_SQL, CONTENT_THRESHOLD, TFIDF_SQL
 from reelspark.sources import driver_tables as src
 from reelspark.sources import movielens
-from reelspark.streaming import job
+from reelspark.streaming import job, topic
 from reelspark.streaming import rerank as rr
 
 MSG_SQL = """
@@ -85,6 +85,17 @@ def log_filter_stream(spark, d):
     return spark.read.schema("message string").parquet(f"{root}/messages")
 
 
+@query("topic_filter", "S11 S12 (topic to topic: keyed log records in, rating messages under the same key out)", with_views("""
+select cast(event_id as varchar) as "key", message as value from msgs""", "log_lines", extra={"msgs": MSG_SQL}))
+def topic_filter(spark, d):
+    """The log as records of one topic, filtered into another by the stream job, read back from there."""
+    root = job.scratch_root(spark, "topic-filter")
+    lines = src.log_lines(spark, d).select(F.col("event_id").cast("string").alias("key"), F.col("line").alias("value"))
+    topic.append(lines.repartition(shuffle_partitions(spark)), f"{root}/log")
+    topic.start_topic_filter(spark, f"{root}/log", f"{root}/messages", f"{root}/checkpoint", "earliest", {"availableNow": True}).awaitTermination()
+    return spark.read.format("topic").load(f"{root}/messages").select("key", "value")
+
+
 @query("message_parse", "ST3 P6 P15 (typed rating events, bad rows dropped)",
        with_views("select event_id, uid, mid, score, ts from ev", "log_lines",
                   extra={"msgs": MSG_SQL, "ev": EVENTS_SQL}))

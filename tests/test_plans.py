@@ -11,7 +11,7 @@ QUERIES = {k: q for k, q in E.queries().items() if k in E.load_all()}
 SKIP = {"als_grid", "als_rmse", "als_similar_items", "als_similar_users", "als_user_recs", "click_model_auc", "click_model_topn",
         "ncf_trained_auc", "ncf_trained_topn",
         "als_unseen_recs", "als_similar_topn", "similar_users_named", "user_recs_fallback", "item2vec", "item2vec_topk",
-        "user_vectors", "item_ml_features", "stream_rerank", "log_filter_stream"}
+        "user_vectors", "item_ml_features", "stream_rerank", "log_filter_stream", "topic_filter"}
 TOP_K = ["top_most_rated", "stat_genre_topn", "item_top_ratings", "genre_browse", "recent_k", "embedding_topk"]
 
 
