@@ -13,11 +13,15 @@ Two exact strategies, neither materialises the cartesian product:
   with an exact dot product. The result is kept factorised (``GroupedPairs``:
   id -> representative, representative pairs); ``expand`` emits all pairs,
   ``top_k`` and the re-ranker read through the factors instead.
-* ``dense_cosine_pairs`` for dense vectors (embeddings, ALS factors). Rows
-  are hashed into blocks; each pair of blocks (generated by an equi-join on
-  the exploded (block, partner block) pair, not a cross join) is one task that runs a
-  GEMM in numpy and emits only pairs over the threshold, keeping a local
-  top-k when ``k`` is set. Memory per task is two blocks.
+* ``dense_cosine_pairs`` for dense vectors (embeddings, ALS factors). Equal
+  vectors are collapsed; the others are packed into blocks of near directions
+  around centres. Every block knows the range of its angles to a few pivots,
+  and pairs of blocks that the triangle inequality puts further apart than the
+  threshold are left out. Each other pair of blocks (found by an equi-join on
+  the exploded partner number, not a cross join) is one GEMM in numpy that
+  emits only pairs over the threshold, keeping a local top-k when ``k`` is set.
+  Memory per task is two blocks. Vectors without clusters leave all pairs of
+  blocks; then the join is as quadratic as the definition.
 """
 
 from __future__ import annotations
@@ -26,14 +30,16 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.operators.topk import top_k_per_group
-from reelspark.session import checkpoint_dir
+from reelspark.session import bound_arrow_batches, checkpoint_dir
 
 DEFAULT_BLOCK_ROWS = 2048
+#: Centres that vectors are dealt around, and pivots that bound angles; both are a bounded choice that only costs depend on.
+MOST_CENTRES, PIVOTS = 512, 32
 
 
 # --------------------------------------------------------------------------- TF-IDF
@@ -171,72 +177,141 @@ def sparse_cosine_pairs(entries: DataFrame, threshold: float, id_col: str = "mid
 
 # --------------------------------------------------------------------------- dense cosine
 
-def _block_pair_scores(dim: int, threshold: float | None, k: int | None):
+def _vectors(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _cells(centres: np.ndarray):
+    """Adds the number of the nearest centre."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                cell = (_vectors(batch.column("_v")) @ centres.T).argmax(axis=1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(cell), batch.column("_v")], names=["_id", "_cell", "_v"])
+    return run
+
+
+def _pack(pivots: np.ndarray):
+    """A block as one row, with the least and largest angle of its vectors to each pivot."""
+    def run(table: pa.Table) -> pa.Table:
+        ids = table.column("_id").to_numpy()
+        order = np.argsort(ids)
+        v = _vectors(table.column("_v").combine_chunks())[order]
+        angle = np.arccos(np.clip(v @ pivots.T, -1, 1))
+        binary = lambda x: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary())
+        return pa.table({"_blk": table.column("_blk").slice(0, 1), "ids": binary(ids[order]), "vecs": binary(v),
+                         "lo": pa.array([angle.min(axis=0).tolist()]), "hi": pa.array([angle.max(axis=0).tolist()])})
+    return run
+
+
+def _block_pair_scores(threshold: float | None, k: int | None):
+    """Pairs over the threshold of two blocks, each way; of each left id the k best (ties: smaller id) if k is given."""
     def run(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                ia = np.asarray(row.a_ids, dtype=np.int64)
-                ib = np.asarray(row.b_ids, dtype=np.int64)
-                va = np.asarray(row.a_vecs, dtype=np.float64).reshape(len(ia), dim)
-                vb = np.asarray(row.b_vecs, dtype=np.float64).reshape(len(ib), dim)
-                s = va @ vb.T
-                same = row.a_block == row.b_block
-                for flip in ((False,) if same else (False, True)):
-                    ids_l, ids_r, m = (ib, ia, s.T) if flip else (ia, ib, s)
-                    m = m.copy()
-                    if same:
-                        np.fill_diagonal(m, -np.inf)
-                    if threshold is not None:
-                        m[m <= threshold] = -np.inf
+        for batch in batches:
+            for row in batch.to_pylist():
+                ia, ib = (np.frombuffer(row[c], np.int64) for c in ("a_ids", "b_ids"))
+                s = np.frombuffer(row["a_vecs"]).reshape(len(ia), -1) @ np.frombuffer(row["b_vecs"]).reshape(len(ib), -1).T
+                same = row["a_block"] == row["b_block"]
+                if same:
+                    np.fill_diagonal(s, -np.inf)
+                if threshold is not None:
+                    s[s <= threshold] = -np.inf
+                for ids_l, ids_r, m in ((ia, ib, s),) if same else ((ia, ib, s), (ib, ia, s.T)):
                     if k is not None and m.shape[1] > k:
-                        # local top-k per left id; ties resolved on the right id below
-                        part = np.argpartition(-m, k - 1, axis=1)[:, :k]
-                        kth = np.take_along_axis(m, part, axis=1).min(axis=1, keepdims=True)
-                        m[m < kth] = -np.inf
-                    li, ri = np.nonzero(np.isfinite(m))
+                        best = np.argsort(-m, axis=1, kind="stable")[:, :k]  # ids ascend within a block
+                        score = np.take_along_axis(m, best, axis=1)
+                        li, at = np.nonzero(np.isfinite(score))
+                        ri, found = best[li, at], score[li, at]
+                    else:
+                        li, ri = np.nonzero(np.isfinite(m))
+                        found = m[li, ri]
                     if len(li):
-                        yield pd.DataFrame({"_l": ids_l[li], "_r": ids_r[ri], "score": m[li, ri]})
+                        yield pa.RecordBatch.from_arrays([pa.array(ids_l[li]), pa.array(ids_r[ri]), pa.array(found)], names=["_l", "_r", "score"])
     return run
 
 
+@dataclass
+class Blocks:
+    """Unit vectors packed into blocks of near directions (``_blk, ids, vecs, lo, hi``), and their number."""
+    packed: DataFrame
+    number: int
+
+    def pairs(self, threshold: float | None) -> DataFrame:
+        """(a_block, b_block), a <= b, of the blocks that can hold a pair of
+        cosine over ``threshold``. By the triangle inequality on the sphere two
+        vectors are at least as far apart as their angles to any pivot differ;
+        a pair of blocks goes if those angles stay further apart than the
+        threshold's for some pivot."""
+        stats = self.packed.select(F.col("_blk").alias("b_block"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
+        every = self.packed.select(F.col("_blk").alias("a_block"), "lo", "hi", F.explode(F.sequence(F.col("_blk"), F.lit(self.number - 1))).alias("b_block"))
+        both = every.join(stats, "b_block")
+        if threshold is not None:
+            apart = F.greatest(F.array_max(F.zip_with("lo", "hi_b", lambda x, y: x - y)), F.array_max(F.zip_with("lo_b", "hi", lambda x, y: x - y)))
+            both = both.where((F.col("a_block") == F.col("b_block")) | (apart <= math.acos(max(-1.0, min(1.0, threshold))) + 1e-9))
+        return both.select("a_block", "b_block")
+
+
+def direction_blocks(v: DataFrame, n: int, block_rows: int) -> Blocks:
+    """``v`` (_id, _v unit vectors, distinct ids; n rows) in blocks of about
+    ``block_rows``: cells around centres, the vectors with the least hashes;
+    cells that are too large are split by hash."""
+    centres = v.orderBy(F.xxhash64("_id"), "_id").limit(min(MOST_CENTRES, max(1, math.ceil(n / block_rows)))).select("_v").collect()
+    c = np.array([r["_v"] for r in centres])
+    dealt = v.mapInArrow(_cells(c), "_id bigint, _cell int, _v array<double>")
+    sizes = dealt.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).orderBy("_cell").collect()  # a row for each centre at most
+    split = [math.ceil(r["n"] / block_rows) for r in sizes]
+    first = np.cumsum([0, *split])
+    cells = v.sparkSession.createDataFrame([(r["_cell"], int(f), m) for r, f, m in zip(sizes, first, split)], "_cell int, _first int, _parts int")
+    blocks = (dealt.join(F.broadcast(cells), "_cell")  # MOST_CENTRES rows
+              .withColumn("_blk", (F.col("_first") + F.pmod(F.xxhash64("_id"), F.col("_parts"))).cast("int")).select("_blk", "_id", "_v"))
+    packed = blocks.groupBy("_blk").applyInArrow(_pack(c[:PIVOTS]), "_blk int, ids binary, vecs binary, lo array<double>, hi array<double>")
+    return Blocks(packed.checkpoint(), int(first[-1]))
+
+
 def dense_cosine_pairs(df: DataFrame, id_col: str, vec_col: str, threshold: float | None = None,
                        k: int | None = None, other_col: str = "sim_id",
                        block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Ordered pairs (id, other, score) of cosine > ``threshold``; with ``k``, the
     k best partners per id (ties: smaller other id). Exact; zero vectors skipped.
 
-    Plan: normalise -> hash rows into B blocks -> pack each block (<= about
-    ``block_rows`` rows) -> equi-join block i with partner blocks j >= i ->
-    ``mapInPandas`` GEMM per block pair -> global top-k by window (partial
-    WindowGroupLimit). Only counts and the vector length reach the driver.
+    Plan: equal vectors become one -> blocks of near directions -> pairs of
+    blocks that the pivots do not rule out -> ``mapInArrow`` GEMM per block
+    pair -> global top-k by window (partial WindowGroupLimit) -> members of
+    equal vectors. Counts, the centres (MOST_CENTRES vectors at most) and the
+    vector length reach the driver.
     """
-    v = df.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v"))
-    v = v.withColumn("_n", F.sqrt(F.aggregate("_v", F.lit(0.0), lambda acc, x: acc + x * x)))
-    v = v.where(F.col("_n") > 0).select("_id", F.transform("_v", lambda x: x / F.col("_n")).alias("_v"))
-    stats = v.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("dim"),
-                  F.min(F.size("_v")).alias("dim_min")).first()
-    n, dim = stats["n"], stats["dim"]
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    bound_arrow_batches(spark)
+    raw = df.select(F.col(id_col).cast("bigint").alias("_id"), F.col(vec_col).cast("array<double>").alias("_raw"))
+    raw = raw.withColumn("_n", F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda acc, x: acc + x * x))).where(F.col("_n") > 0)
+    groups = raw.groupBy("_raw").agg(F.min("_id").alias("_id"), F.first("_n").alias("_n"), F.count(F.lit(1)).alias("_m")).checkpoint()
+    stats = groups.agg(F.count(F.lit(1)).alias("n"), F.sum("_m").alias("rows"), F.max(F.size("_raw")).alias("dim"),
+                       F.min(F.size("_raw")).alias("dim_min")).first()
+    n = stats["n"]
     if not n:
-        return df.sparkSession.createDataFrame([], f"{id_col} bigint, {other_col} bigint, score double")
-    if dim != stats["dim_min"]:
+        return spark.createDataFrame([], f"{id_col} bigint, {other_col} bigint, score double" + (", rank bigint" if k is not None else ""))
+    if stats["dim"] != stats["dim_min"]:
         raise ValueError("vectors of unequal length")
-    blocks = max(1, math.ceil(n / block_rows))
-    packed = (v.withColumn("_blk", F.pmod(F.xxhash64("_id"), F.lit(blocks)))
-              .groupBy("_blk").agg(F.collect_list(F.struct("_id", "_v")).alias("_m"))
-              .select("_blk", F.transform("_m", lambda m: m["_id"]).alias("_ids"),
-                      F.flatten(F.transform("_m", lambda m: m["_v"])).alias("_vecs")))
-    # Each block joins as the left member of pairs (a, b >= a) and as the right
-    # member of pairs (a <= b, b): the join key is the pair itself, so the join's
-    # own shuffle spreads block pairs evenly over tasks (no extra repartition).
-    left = packed.select(F.col("_blk").alias("a_block"), F.col("_ids").alias("a_ids"),
-                         F.col("_vecs").alias("a_vecs"),
-                         F.explode(F.sequence(F.col("_blk"), F.lit(blocks - 1))).alias("b_block"))
-    right = packed.select(F.explode(F.sequence(F.lit(0), F.col("_blk"))).alias("a_block"),
-                          F.col("_blk").alias("b_block"), F.col("_ids").alias("b_ids"),
-                          F.col("_vecs").alias("b_vecs"))
-    pairs = left.join(right, ["a_block", "b_block"])
-    scored = pairs.mapInPandas(_block_pair_scores(dim, threshold, k), "_l long, _r long, score double")
-    out = scored.select(F.col("_l").alias(id_col), F.col("_r").alias(other_col), "score")
+    v = groups.select("_id", F.transform("_raw", lambda x: x / F.col("_n")).alias("_v"))
+    blocks = direction_blocks(v, n, block_rows)
+    side = lambda x: blocks.packed.select(F.col("_blk").alias(f"{x}_block"), F.col("ids").alias(f"{x}_ids"), F.col("vecs").alias(f"{x}_vecs"))
+    tasks = blocks.pairs(threshold).join(side("a"), "a_block").join(side("b"), "b_block")
+    order = [F.col("score").desc(), F.col(other_col).asc()]
+    out = (tasks.mapInArrow(_block_pair_scores(threshold, k), "_l long, _r long, score double")
+           .select(F.col("_l").alias(id_col), F.col("_r").alias(other_col), "score"))
     if k is not None:
-        out = top_k_per_group(out, [id_col], [F.col("score").desc(), F.col(other_col).asc()], k)
-    return out
+        out = top_k_per_group(out, [id_col], order, k)
+    if stats["rows"] == n:
+        return out
+    # equal vectors: each member has the partners of the least, and the other members
+    members = raw.join(groups.select("_raw", F.col("_id").alias("_rep")), "_raw").select("_id", "_rep")
+    own = groups.select(F.col("_id").alias("_a"), F.col("_id").alias("_b"), F.lit(1.0).alias("score"))
+    near = out.select(F.col(id_col).alias("_a"), F.col(other_col).alias("_b"), "score")
+    near = near.unionByName(own if threshold is None or threshold < 1 else own.limit(0))
+    partners = members.select(F.col("_id").alias(other_col), F.col("_rep").alias("_b"))
+    if k is not None:  # of a group only the k + 1 least ids can be among the k best
+        partners = top_k_per_group(partners, ["_b"], [F.col(other_col).asc()], k + 1, "_r").drop("_r")
+    full = (members.select(F.col("_id").alias(id_col), F.col("_rep").alias("_a")).join(near, "_a").join(partners, "_b")
+            .where(F.col(id_col) != F.col(other_col)).select(id_col, other_col, "score"))
+    return top_k_per_group(full, [id_col], order, k) if k is not None else full

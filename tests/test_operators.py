@@ -183,3 +183,44 @@ def test_sparse_groups_do_not_depend_on_partitions(spark, sf_dir):
     assert found[0] == found[1] == found[2]
     members, pairs = found[0]
     assert {r for _, r in members} == {a for a, b, _ in pairs if a == b}
+
+
+def _brute_cosine(rows, threshold=None, k=None):
+    import numpy as np
+    kept = [(i, np.array(v, float)) for i, v in rows if any(v)]
+    out = []
+    for i, a in kept:
+        found = sorted((-round(float(a @ b / np.sqrt(a @ a) / np.sqrt(b @ b)), 9), j) for j, b in kept if i != j)
+        out += [(i, j, -s) for s, j in [f for f in found if threshold is None or -f[0] > threshold][:k]]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("threshold", "k"), [(0.6, None), (0.6, 4), (None, 4), (0.95, None)])
+def test_dense_cosine_with_clusters_and_equal_vectors(spark, threshold, k):
+    import numpy as np
+
+    from reelspark.operators.similarity import dense_cosine_pairs
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(8, 6))
+    rows = [(int(i) * 3, (centres[i % 8] + 0.1 * r.normal(size=6)).tolist()) for i in range(150)]
+    rows += [(1000 + i, rows[5][1]) for i in range(12)] + [(2000 + i, rows[9][1]) for i in range(3)] + [(3000, [0.0] * 6)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>").repartition(5)
+    got = dense_cosine_pairs(df, "id", "v", threshold=threshold, k=k, block_rows=20)
+    assert sorted((x["id"], x.sim_id, round(x.score, 9)) for x in got.collect()) == _brute_cosine(rows, threshold, k)
+
+
+def test_block_pairs_are_pruned_and_none_that_matters(spark, sf_dir):
+    import numpy as np
+
+    from reelspark.operators.similarity import direction_blocks
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(30, 16))
+    v = centres[r.integers(0, 30, 900)] + 0.1 * r.normal(size=(900, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    blocks = direction_blocks(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "_id bigint, _v array<double>"), 900, 30)
+    every, left = blocks.number * (blocks.number + 1) // 2, {tuple(x) for x in blocks.pairs(0.6).collect()}
+    assert len(left) < 0.6 * every  # clustered vectors: over two fifths of the block pairs are skipped
+    block_of = {int(i): x["_blk"] for x in blocks.packed.collect() for i in np.frombuffer(x["ids"], np.int64)}
+    assert len(block_of) == 900
+    for a, b in zip(*np.nonzero(v @ v.T > 0.6)):
+        assert tuple(sorted((block_of[int(a)], block_of[int(b)]))) in left
