@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from reelspark.functions.columns import (DEFAULT_RELEASE_YEAR_CATALOGUE, PREF_GENRE_THRESHOLD, clean_title,
                                          release_year, split_genres)
 from reelspark.operators.indexing import global_row_number
+from reelspark.operators.requests import segments
 from reelspark.operators.topk import top_k_per_group
 from reelspark.operators.windows import key_positions
 
@@ -22,6 +23,8 @@ TOP_RATINGS = 10
 COLD_START_SIZE = 10
 STREAM_LIST_SIZE = 10
 
+HISTORY_SEGMENT = 1000
+
 #: First positions of the popularity list that are looked up in an array; results do not depend on it.
 POPULAR_HEAD = 1000
 
@@ -71,6 +74,25 @@ def user_profile(users: DataFrame, ratings: DataFrame) -> DataFrame:
         *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("avg_rating", "highest_rating", "lowest_rating")])
 
 
+def user_history(ratings: DataFrame, size: int = HISTORY_SEGMENT) -> DataFrame:
+    """Q12: each user's ratings in order of (ts, mid), in segments of at most
+    ``size``: (uid, segment, n, first_ts, last_ts, ratings), ratings being the
+    JSON list the profile carries. A user with very many ratings has many
+    segments and no large row; a reader takes the segments it needs."""
+    parts = segments(ratings.select("uid", "ts", "mid", "score"), "uid", ["ts", "mid"], size, "segment")
+    listed = parts.groupBy("uid", "segment").agg(F.array_sort(F.collect_list(F.struct("ts", "mid", "score"))).alias("_l"))
+    entry = lambda r: F.struct(F.struct(r["mid"].alias("mid"), r["score"].alias("score"), r["ts"].alias("timestamp")).alias("rating"))
+    return listed.select("uid", "segment", F.size("_l").cast("bigint").alias("n"), F.array_min("_l.ts").alias("first_ts"), F.array_max("_l.ts").alias("last_ts"),
+                         F.to_json(F.transform("_l", entry)).alias("ratings"))
+
+
+def lookup_many(keys: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """P11 for many keys: the rows of ``table`` whose ``key`` is among
+    ``keys`` (each key once). On a table written by ``sinks.write_bucketed``
+    the table side is read bucket by bucket, without a shuffle."""
+    return keys.select(key).distinct().join(table.hint("shuffle_merge"), key)
+
+
 def derived_pref_genres(ratings: DataFrame, items: DataFrame,
                         threshold: float = PREF_GENRE_THRESHOLD) -> DataFrame:
     """Distinct genres of the items a user scored above ``threshold``.

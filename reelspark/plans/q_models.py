@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelspark.functions.columns import STRICT_LIKE_THRESHOLD, like_label, rounded
-from reelspark.operators import als, indexing, ncf_training, scoring, sequences, serving
+from reelspark.operators import als, indexing, ncf_training, requests, scoring, sequences, serving
 from reelspark.operators.similarity import dense_cosine_pairs
 from reelspark.plans.catalog import query
 from reelspark.plans.oracle import with_views
 from reelspark.sources import driver_tables as src
 
 NCF_TOP_N = 10
+REQUEST_PAIRS = 25
 
 
 @query("watch_sequences", "A10 P3 (liked items per user in time order)", with_views("""
@@ -207,6 +208,20 @@ def ncf_score(spark, d):
     return s.withColumn("score", rounded(F.col("score")))
 
 
+@query("ncf_requests", "JSON S17 F16 (scoring requests as JSON, their responses, candidates and scores matched by position)", with_views(f"""
+select ui.uid, ii.mid, s.score from ({NCF_SQL}) s
+join (select uid, row_number() over (order by uid) - 1 user_idx from (select distinct uid from ratings) t) ui using (user_idx)
+join (select mid, row_number() over (order by mid) - 1 item_idx from (select distinct mid from items) t) ii using (item_idx)""", "ratings", "items"))
+def ncf_requests(spark, d):
+    """Every user's rated items go out as JSON requests, are scored from the
+    JSON, and come back as JSON responses that are read again."""
+    seen, users, items, _, _ = _ncf_inputs(spark, d)
+    asked = requests.build_requests(seen, REQUEST_PAIRS).checkpoint()
+    keys = ["uid", "part"]
+    answers = requests.respond(asked.select(*keys, "request"), keys, users, items, scoring.init_layers())
+    return requests.read_responses(asked, answers, keys).select("uid", "mid", rounded(F.col("score")).alias("score"))
+
+
 def _ncf_pairs_sql(seen: str) -> str:
     """(uid, mid, score) of all users and items outside ``seen`` (uid, mid), the layers written out."""
     layers = scoring.init_layers()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from reelspark.functions.columns import rounded
@@ -10,7 +12,9 @@ from reelspark.plans.q_similarity import CONTENT_SIM_SQL, CONTENT_THRESHOLD, TFI
 from reelspark.plans.catalog import query
 from reelspark.plans.q_models import RULE_CTES, RULE_LISTS_SQL, als_model, rule_factors
 from reelspark.plans.oracle import with_views
+from reelspark.session import checkpoint_dir
 from reelspark.sources import driver_tables as src
+from reelspark.sources import sinks
 
 ITEM_PROFILE_SQL = """
 select i.mid, trim(regexp_replace(i.title, '\\s*\\(\\d{4}\\)\\s*$', '')) title, i.genres,
@@ -46,6 +50,34 @@ def user_profile(spark, d):
     return p.withColumn("avg_rating", rounded(F.col("avg_rating")))
 
 
+HISTORY_SEGMENT = 25
+
+
+@query("user_history", "Q12 S17 (every rating of a user, as JSON segments in order of time)", with_views(f"""
+with placed as (select *, (row_number() over (partition by uid order by ts, mid) - 1) // {HISTORY_SEGMENT} segment from ratings)
+select uid, cast(segment as bigint) segment, count(*) n, min(ts) first_ts, max(ts) last_ts,
+  cast(to_json(list({{'rating': {{'mid': mid, 'score': score, 'timestamp': ts}}}} order by ts, mid)) as varchar) ratings
+from placed group by uid, segment""", "ratings"))
+def user_history(spark, d):
+    return serving.user_history(src.ratings(spark, d), HISTORY_SEGMENT)
+
+
+INDEX_BUCKETS = 8
+
+
+def indexed_items(spark, d):
+    """The catalogue as a bucketed table with bloom filters, below the shared folder."""
+    name = f"items_{uuid.uuid4().hex}"
+    sinks.write_bucketed(src.items(spark, d), name, "mid", INDEX_BUCKETS, f"{checkpoint_dir(spark).rstrip('/')}/{name}")
+    return spark.table(name)
+
+
+@query("lookup_items", "S8 P11 (rows of the tagged items, looked up by key in a bucketed index)", with_views("""
+select i.mid, i.title, i.genres from items i where i.mid in (select mid from tags)""", "items", "tags"))
+def lookup_items(spark, d):
+    return serving.lookup_many(src.tags(spark, d), indexed_items(spark, d), "mid")
+
+
 @query("user_pref_genres", "A19 P4 J20 (genres of items scored > 3)", with_views(
     "select uid, genre from user_pref", "user_pref"))
 def user_pref_genres(spark, d):
