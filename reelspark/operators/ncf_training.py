@@ -1,17 +1,14 @@
 """Training of the neural collaborative filtering model.
 
-Mini-batch SGD on the binary cross-entropy, by strata. Users and items are cut
-into B blocks each, the labelled pairs into B x B cells. A round trains B cells
-of which no two share a block, one task a cell: a task holds one block of user
-embeddings, one of item embeddings, its pairs, and a copy of the dense layers,
-and changes them by plain SGD. B rounds go over all cells, which is an epoch.
-Embeddings never meet two tasks in one round, so they need no averaging; the
-dense layers (a few thousand numbers) are averaged after each round, weighted
-by the pairs a task has trained on.
-
-Blocks are rows of a table that is checkpointed after each round. The order of
-the pairs within a cell and the starting values are rules of (seed, ids), so a
-task that runs again gives the same numbers.
+Mini-batch SGD on the binary cross-entropy, by strata (``operators.strata``):
+users and items are cut into B blocks each, and a round trains B cells of
+labelled pairs of which no two share a block. Embeddings never meet two tasks
+in one round, so they need no averaging; every task starts from the same dense
+layers (a few thousand numbers), which are averaged after each round, weighted
+by the pairs a task has trained on. B rounds go over all cells: an epoch.
+
+The order of the pairs within a cell and the starting values are rules of
+(seed, ids), so a task that runs again gives the same numbers.
 """
 
 from __future__ import annotations
@@ -28,13 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.operators.scoring import LATENT_GMF, LATENT_MLP, LAYERS, NCFLayers, score_pairs
+from reelspark.operators.strata import blocks_of, cells_of, sides, strata_for, train_round
 from reelspark.session import bound_arrow_batches, checkpoint_dir
 
-#: Labelled pairs of a cell at which more strata are cut.
-CELL_ROWS = 1 << 18
-#: Pairs of a cell below which fewer strata are cut.
-LEAST_ROWS = 1 << 10
-
 
 @dataclass(frozen=True)
 class Settings:
@@ -140,48 +133,16 @@ def _layers(flat: np.ndarray, s: Settings) -> NCFLayers:
     return NCFLayers(ws, bs, flat[at:-1].copy(), float(flat[-1]))
 
 
-def _started(width: int, salt: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        ids = np.sort(table.column("id").to_numpy().astype(np.int64))
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()),
-                         "vectors": pa.array([starting_vectors(ids, width, salt).tobytes()], pa.binary())})
+def _kernel(flat: np.ndarray, s: Settings, epoch: int):
+    """Trains one cell from the dense layers ``flat``; returns the layers after it."""
+    def run(ids, tables, us, ms, ys, cell) -> bytes:
+        layers, order = _layers(flat, s), pair_order(us, ms, s.seed, epoch)
+        us, ms, ys = us[order], ms[order], ys[order]
+        train_cell(layers, *tables, np.searchsorted(ids[0], us), np.searchsorted(ids[1], ms), ys, s)
+        return _flat(layers).tobytes()
     return run
 
 
-def _packed(key: tuple, table: pa.Table) -> pa.Table:
-    column = lambda c, t: pa.array([table.column(c).to_numpy().astype(t).tobytes()], pa.binary())
-    return pa.table({"ub": pa.array([key[0].as_py()], pa.int32()), "ib": pa.array([key[1].as_py()], pa.int32()),
-                     "us": column("uid", np.int64), "ms": column("mid", np.int64), "ys": column("label", np.float64)})
-
-
-def _round(flat: np.ndarray, s: Settings, epoch: int):
-    """One row per cell of the round -> its two blocks as trained, and the layers."""
-    width = s.latent_mlp + s.latent_gmf
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                layers = _layers(flat, s)
-                ids = [np.frombuffer(r[c], np.int64) for c in ("uids", "iids")]
-                tables = [np.frombuffer(r[c]).reshape(-1, width).copy() for c in ("uvec", "ivec")]
-                n = 0
-                if r["us"]:
-                    us, ms, ys = np.frombuffer(r["us"], np.int64), np.frombuffer(r["ms"], np.int64), np.frombuffer(r["ys"])
-                    order = pair_order(us, ms, s.seed, epoch)
-                    us, ms, ys, n = us[order], ms[order], ys[order], len(us)
-                    train_cell(layers, *tables, np.searchsorted(ids[0], us), np.searchsorted(ids[1], ms), ys, s)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([0, 1], pa.int32()), pa.array([r["ub"], r["ib"]], pa.int32()), pa.array([r["uids"], r["iids"]], pa.binary()),
-                     pa.array([t.tobytes() for t in tables], pa.binary()), pa.array([n, 0], pa.int64()), pa.array([_flat(layers).tobytes(), b""], pa.binary())],
-                    names=["kind", "block", "ids", "vectors", "n", "dense"])
-    return run
-
-
-def strata_for(rows: int, cores: int) -> int:
-    """Blocks of users, and of items: as many as cores, more if cells grow large, fewer if they would be nearly empty."""
-    return max(1, math.ceil(math.sqrt(rows / CELL_ROWS)), min(cores, math.isqrt(rows // LEAST_ROWS)))
-
-
 def fit_ncf(train: DataFrame, users: DataFrame, items: DataFrame, s: Settings = Settings(), strata: int | None = None) -> NCFModel:
     """The model after ``s.epochs`` over ``train`` (uid, mid, label 0/1; each
     pair once). users (uid) and items (mid) get an embedding each, also those
@@ -192,30 +153,19 @@ def fit_ncf(train: DataFrame, users: DataFrame, items: DataFrame, s: Settings =
     checkpoint_dir(spark)
     b = strata or strata_for(train.count(), spark.sparkContext.defaultParallelism)
     width = s.latent_mlp + s.latent_gmf
-    block = lambda key: F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(b)).cast("int")
 
     def start(keys: DataFrame, key: str, salt: int) -> DataFrame:
         ids = keys.select(F.col(key).cast("bigint").alias("id")).distinct()
-        every = spark.range(b).select(F.col("id").cast("int").alias("block"))  # a block without ids is an empty row
-        packed = ids.groupBy(F.pmod(F.xxhash64("id"), F.lit(b)).cast("int").alias("block")).applyInArrow(_started(width, salt), "block int, ids binary, vectors binary")
-        empty = F.lit(b"").cast("binary")
-        return every.join(packed, "block", "left").select("block", F.coalesce("ids", empty).alias("ids"), F.coalesce("vectors", empty).alias("vectors")).checkpoint()
+        return blocks_of(ids, b, lambda t: starting_vectors(t.column("id").to_numpy(), width, salt))
 
     ut, it = start(users, "uid", 1 + 2 * s.seed), start(items, "mid", 2 + 2 * s.seed)
     known = (train.select("uid", "mid", "label").join(users.select("uid").distinct(), "uid", "left_semi").join(items.select("mid").distinct(), "mid", "left_semi"))
-    cells = (known.select(F.col("uid").cast("bigint").alias("uid"), F.col("mid").cast("bigint").alias("mid"), F.col("label").cast("double").alias("label"),
-                          block("uid").alias("ub"), block("mid").alias("ib"))
-             .groupBy("ub", "ib").applyInArrow(_packed, "ub int, ib int, us binary, ms binary, ys binary").checkpoint())
+    cells = cells_of(known.select(F.col("uid").alias("left"), F.col("mid").alias("right"), F.col("label").alias("value")), b)
     flat = _flat(starting_layers(s))
     for epoch in range(s.epochs):
         for shift in range(b):
-            plan = spark.range(b).select(F.col("id").cast("int").alias("ub"), F.pmod(F.col("id") + shift, F.lit(b)).cast("int").alias("ib"))
-            rows = (plan.join(ut.select(F.col("block").alias("ub"), F.col("ids").alias("uids"), F.col("vectors").alias("uvec")), "ub")
-                    .join(it.select(F.col("block").alias("ib"), F.col("ids").alias("iids"), F.col("vectors").alias("ivec")), "ib")
-                    .join(cells.where(F.pmod(F.col("ib") - F.col("ub"), F.lit(b)) == shift), ["ub", "ib"], "left"))
-            done = (rows.repartitionById(b, F.col("ub"))
-                    .mapInArrow(_round(flat, s, epoch), "kind int, block int, ids binary, vectors binary, n bigint, dense binary").checkpoint())
-            ut, it = (done.where(F.col("kind") == k).select("block", "ids", "vectors") for k in (0, 1))
+            done = train_round(ut, it, cells, b, shift, width, _kernel(flat, s, epoch))
+            ut, it = sides(done)
             dense = sorted((r["block"], r["n"], r["dense"]) for r in done.where("kind = 0 and n > 0").select("block", "n", "dense").collect())
             if dense:
                 flat = sum(n * np.frombuffer(d) for _, n, d in dense) / sum(n for _, n, _ in dense)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelspark.functions.columns import STRICT_LIKE_THRESHOLD, like_label, rounded
-from reelspark.operators import als, indexing, ncf_training, requests, scoring, sequences, serving
+from reelspark.operators import als, indexing, item_vectors, ncf_training, requests, scoring, sequences, serving
 from reelspark.operators.similarity import dense_cosine_pairs
 from reelspark.plans.catalog import query
 from reelspark.plans.oracle import with_views
@@ -44,6 +44,13 @@ def item2vec_topk(spark, d):
     return top.select("mid", "rank", "sim_mid", rounded(F.col("score")).alias("score"))
 
 
+@query("item2vec_blocks", "F10 F11 (skip-gram with negative sampling over partitioned tables; 10 most similar items)")
+def item2vec_blocks(spark, d):
+    v = item_vectors.fit_item_vectors(sequences.watch_positions(src.ratings(spark, d)))
+    top = dense_cosine_pairs(v, "mid", "vector", k=10, other_col="sim_mid")
+    return top.select("mid", "rank", "sim_mid", rounded(F.col("score")).alias("score"))
+
+
 @query("user_vectors", "A13 J24 (sum of rated items' vectors)")
 def user_vectors(spark, d):
     r, vec = _item2vec(spark, d)

@@ -9,7 +9,7 @@ import __spark_entry__ as E
 QUERIES = {k: q for k, q in E.queries().items() if k in E.load_all()}
 # Heavy model fits are left out; their plans are Spark ML's own.
 SKIP = {"als_grid", "als_rmse", "als_similar_items", "als_similar_users", "als_user_recs", "click_model_auc", "click_model_topn",
-        "ncf_trained_auc", "ncf_trained_topn",
+        "ncf_trained_auc", "ncf_trained_topn", "item2vec_blocks",
         "als_unseen_recs", "als_similar_topn", "similar_users_named", "user_recs_fallback", "item2vec", "item2vec_topk",
         "user_vectors", "item_ml_features", "stream_rerank", "log_filter_stream", "topic_filter"}
 TOP_K = ["top_most_rated", "stat_genre_topn", "item_top_ratings", "genre_browse", "recent_k", "embedding_topk"]
