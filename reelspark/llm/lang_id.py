@@ -21,8 +21,9 @@ skewed, and one kernel fuses the arrays of a row, however many languages there
 are.
 
 A row is rejected (language "und") when its text holds no letters, or when its
-letter trigrams fit no language: the best mean log-likelihood per trigram is
-below what a text of evenly drawn trigrams gets.
+letter trigrams fit no language: the best log-likelihood is below what evenly
+drawn trigrams get, by more than ``DOUBT``, so that a few odd trigrams do not
+condemn a short text.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ BUCKETS = 1 << 15
 BLOCK = 1 << 12
 #: Neighbouring trigrams are not independent: log-likelihoods count 1/TEMPER.
 TEMPER = 3.0
+#: Nats by which evenly drawn trigrams must be likelier for a text to be rejected.
+DOUBT = 10.0
 #: Strength of the Dirichlet priors, in rows.
 HOST_PRIOR, ADDRESS_PRIOR = 10.0, 100.0
 
@@ -167,7 +170,7 @@ def _fused(languages: list[str], total: np.ndarray, keep: list[str]):
             near = (at_address + ADDRESS_PRIOR * base) / (at_address.sum(axis=1, keepdims=True) + ADDRESS_PRIOR)
             prior = (at_host + HOST_PRIOR * near) / (at_host.sum(axis=1, keepdims=True) + HOST_PRIOR)
             post = _posterior(np.log(prior) + np.where(has, ll / TEMPER, 0.0) + likelihood(batch.column("s_declared")) + likelihood(batch.column("s_address")))
-            accepted = (n > 0) & (ll.max(axis=1) >= -float(np.log(BUCKETS)) * n)
+            accepted = (n > 0) & (ll.max(axis=1) >= -float(np.log(BUCKETS)) * n - DOUBT)
             best = np.where(accepted, post.argmax(axis=1), width)
             by_text = np.where(n > 0, ll.argmax(axis=1), width)
             yield pa.RecordBatch.from_arrays(

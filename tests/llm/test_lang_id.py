@@ -45,7 +45,7 @@ def _plain(rows):
         logs = [math.log(pr) + (x / lang_id.TEMPER if r[1] else 0) + d + s
                 for pr, x, d, s in zip(prior, r[2], value_given(3, r[3]), value_given(4, r[4]), strict=True)]
         q = _softmax(logs)
-        ok = r[1] > 0 and max(r[2]) >= -math.log(lang_id.BUCKETS) * r[1]
+        ok = r[1] > 0 and max(r[2]) >= -math.log(lang_id.BUCKETS) * r[1] - lang_id.DOUBT
         best = max(size, key=lambda i: (q[i], -i))
         text = max(size, key=lambda i: (r[2][i], -i))
         out[r[0]] = (best if ok else None, q[best] if ok else 0.0, text if r[1] else None, ok)
@@ -61,7 +61,7 @@ def test_fusion_row_by_row(spark):
         n = rnd.choice([0, 1, 2, 5, 40])
         ll = [-8.0 * n - rnd.random() * 3 - (0 if j == true else rnd.random() * 4) for j in range(3)] if n else [0.0] * 3
         if rnd.random() < 0.1 and n:
-            ll = [x - 4.0 * n for x in ll]  # fits no language
+            ll = [x - 4.0 * n - 8 for x in ll]  # fits no language, or hardly
         declared = rnd.choice([None, LANGS[true], LANGS[true], rnd.choice(LANGS), "xx"])
         address = rnd.choice([None, ["de", "com/en", "fr"][true], "com"])
         host = rnd.choice([None, f"h{true}", f"h{true}", "big"])
