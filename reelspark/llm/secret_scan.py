@@ -2,9 +2,12 @@
 
 Every text is a blob named by its SHA-256; a path (doc_id) with several rows
 has several historical versions. The ledger says which blob has been scanned
-under which version of which rule, and what was found. A scan takes each blob
-that has rules left to run, once however many paths hold it, runs only those,
-appends to the ledger, and joins the findings back to all paths.
+under which version of which rule, and what each of these found. A scan first
+asks the ledger by blob names alone; texts are read only of blobs with rules
+left to run, once however many paths hold them, and only those rules run. Their
+rows are appended, and the findings of the rules in force joined back to all
+paths: what an older version of a rule found stays in the ledger and out of
+the findings.
 
 Only DataFrame functions: where a rule's matches lie follows from the lengths
 of the matches and of the pieces between them.
@@ -18,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reelspark.llm.common import prepare
+from reelspark.llm.common import broadcast_if, prepare
 
 
 @dataclass(frozen=True)
@@ -51,7 +54,7 @@ RULES = (
 )
 BASE_KINDS = ("assign", "access", "hex")
 
-_SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
+_SPANS = "array<struct<rule:string,kind:string,start:bigint,end:bigint>>"
 LEDGER_SCHEMA = f"blob binary, rules array<string>, spans {_SPANS}"
 
 
@@ -90,9 +93,10 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         least = F.when(F.col("m.kind") == r.kind, F.lit(r.least)).otherwise(least)
     found = blobs.select("blob", F.explode(F.array(*each)).alias("ms")).where("ms is not null").select("blob", F.posexplode("ms").alias("i", "m"))
     upto = Window.partitionBy("blob", "m.kind").orderBy("i")
+    ids = F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.id)])
     end = F.sum(F.col("m.gap") + F.coalesce("m.size", F.lit(0))).over(upto)
     spans = (found.withColumn("end", end.cast("bigint")).where(F.col("m.size").isNotNull() & (F.col("m.tested") >= least))
-             .groupBy("blob").agg(F.collect_list(F.struct("m.kind", (F.col("end") - F.col("m.size")).alias("start"), "end")).alias("spans")))
+             .groupBy("blob").agg(F.collect_list(F.struct(F.element_at(ids, F.col("m.kind")).alias("rule"), "m.kind", (F.col("end") - F.col("m.size")).alias("start"), "end")).alias("spans")))
     return (blobs.select("blob", F.col("todo").alias("rules")).join(spans, "blob", "left")
             .select("blob", "rules", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans")))
 
@@ -100,10 +104,14 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def unseen(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(blob, text, todo): each distinct text with the rules the ledger lacks for it."""
     every = F.array(*[F.lit(r.id) for r in rules])
+    none = F.array().cast("array<string>")
     seen = ledger.groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("seen"))
-    blobs = (docs.select(blob_id(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["blob"]))
-    return (blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>"))))
-            .where(F.size("todo") > 0).select("blob", "text", "todo"))
+    named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), blob_id(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+    # names first, with one path to take the text from; texts follow those that are left
+    todo = (named.groupBy("blob").agg(F.min("doc_id").alias("path")).join(seen, "blob", "left")
+            .withColumn("todo", F.array_except(every, F.coalesce("seen", none))).where(F.size("todo") > 0).select("blob", "path", "todo").checkpoint())
+    return (named.join(broadcast_if(todo, todo.count()), "blob").where(F.col("doc_id").eqNullSafe(F.col("path")))
+            .select("blob", "text", "todo").dropDuplicates(["blob"]))
 
 
 def update_ledger(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -126,7 +134,8 @@ def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES
     """
     place = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
     versions = F.array(*[F.lit(r.id) for r in rules])
-    spans = (ledger.where((F.size("spans") > 0) & F.arrays_overlap("rules", versions)).groupBy("blob")
+    in_force = F.filter("spans", lambda s: F.array_contains(versions, s["rule"]))
+    spans = (ledger.withColumn("spans", in_force).where(F.size("spans") > 0).groupBy("blob")
              .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct(
                  s["start"].alias("start"), F.element_at(place, s["kind"]).alias("k"), s["kind"].alias("kind"), s["end"].alias("end"))))))).alias("s")))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), blob_id(F.col("text")).alias("blob"))

@@ -8,7 +8,7 @@ import pytest
 
 from reelspark.llm import oracles
 from reelspark.llm.license_scan import scan_licences
-from reelspark.llm.secret_scan import RULES, Rule, findings, update_ledger
+from reelspark.llm.secret_scan import RULES, Rule, findings, unseen, update_ledger
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
@@ -59,6 +59,20 @@ def test_ledger_scans_only_what_is_new(spark, make_docs, tmp_path):
     assert {r.spans for r in findings(two, ledger, newer).collect()} == {"assign:0:14", "word:0:5"}
 
 
+def test_findings_of_an_older_rule_version_go(spark, make_docs, tmp_path):
+    path = str(tmp_path / "ledger")
+    docs = make_docs([(1, "token=abcdefgh and more"), (None, "key: 0000"), (None, "key: 0000"), (2, None)])
+    first = (*RULES, Rule("key", 1, r"key: [0-9]+", hints=("key: ",)))
+    assert {r.spans for r in findings(docs, update_ledger(docs, path, first), first).collect()} == {"assign:0:14", "key:0:9", ""}
+    second = (*RULES, Rule("key", 2, r"key: 00", hints=("key: ",)))
+    ledger = update_ledger(docs, path, second)
+    assert {r.spans for r in findings(docs, ledger, second).collect()} == {"assign:0:14", "key:0:7", ""}
+    assert {r.spans for r in findings(docs, ledger).collect()} == {"assign:0:14", ""}
+    assert unseen(docs, ledger, second).count() == 0
+    assert {(r.text, tuple(r.todo)) for r in unseen(make_docs([(5, "new"), (6, "new"), (1, "token=abcdefgh and more")]), ledger).collect()} == {
+        ("new", tuple(r.id for r in RULES))}
+
+
 def test_licences(make_docs):
     rows = [(1, "Text here.\nLicensed under the Apache License, Version 2.0."), (2, "All rights reserved."), (3, None), (4, ""),
             (5, "This work is licensed under the GNU General Public License, version 3.\nReleased under the MIT License."),
