@@ -49,7 +49,7 @@ BLOCK = 1 << 12
 #: Neighbouring trigrams are not independent: log-likelihoods count 1/TEMPER.
 TEMPER = 3.0
 #: Nats by which evenly drawn trigrams must be likelier for a text to be rejected.
-DOUBT = 10.0
+DOUBT = 40.0
 #: Strength of the Dirichlet priors, in rows.
 HOST_PRIOR, ADDRESS_PRIOR = 10.0, 100.0
 
