@@ -136,3 +136,24 @@ def test_learns_planted_preferences(spark):
     feats = lambda x: scoring.click_features(x.select("uid", "mid", "label"), factors.users, factors.items)
     other = {x.model: x.auc for x in scoring.click_model(feats(train), feats(test)).collect()}
     assert n == test.count() and got > 0.93 and got > other["mlp"] - 0.03
+
+
+def test_rounds_broadcast_nothing(spark, monkeypatch):
+    """Each round broadcast the smaller tables through the driver, which kept them."""
+    from reelspark.operators import strata
+    pairs = spark.createDataFrame([(u, m, 1.0) for u in range(20) for m in range(15)], "left bigint, right bigint, value double")
+    ids = lambda n: spark.range(n)
+    start = lambda t: np.zeros((t.num_rows, 2))
+    left, right, cells = strata.blocks_of(ids(20), 3, start), strata.blocks_of(ids(15), 3, start), strata.cells_of(pairs, 3)
+    plans = []
+    monkeypatch.setattr(type(left), "checkpoint", lambda self, *a, **k: plans.append(self) or self)
+
+    def kernel(ids_, tables, ls, rs, ys, cell):
+        tables[0][:] += len(ls)
+        return str(cell).encode()
+    done = strata.train_round(left, right, cells, 3, 1, 2, kernel)
+    assert "Join" not in plans[0]._jdf.queryExecution().executedPlan().toString()
+    rows = done.collect()
+    assert sorted(r.dense.decode() for r in rows if r.kind == 0) == ["(0, 1)", "(1, 2)", "(2, 0)"]
+    assert sorted((r.kind, r.block) for r in rows) == [(k, b) for k in (0, 1) for b in range(3)]
+    assert sum(r.n for r in rows) == sum(len(np.frombuffer(c.ls, np.int64)) for c in cells.collect() if (c.rb - c.lb) % 3 == 1)
