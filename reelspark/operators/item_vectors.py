@@ -83,6 +83,15 @@ def _kernel(s: Settings, epoch: int, lr: float):
     return run
 
 
+def starting_items(s: Settings):
+    """(mid, vector) of items as a fit starts them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = 0.5 / s.dim * starting_vectors(batch.column("mid").to_numpy(), s.dim, s.seed)
+            yield pa.RecordBatch.from_arrays([batch.column("mid"), pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * s.dim), pa.array(v.ravel()))], names=["mid", "vector"])
+    return run
+
+
 def fit_item_vectors(positions: DataFrame, s: Settings = Settings(), strata: int | None = None) -> DataFrame:
     """(mid, vector) of every item that stands at least ``least`` times in the
     sequences (uid, pos, mid) and has a neighbour."""

@@ -63,3 +63,19 @@ def test_planted_groups_become_neighbours(spark, strata):
 def test_no_pairs(spark):
     df = spark.createDataFrame([(1, 0, 5), (2, 0, 5)], "uid bigint, pos bigint, mid bigint")
     assert fit_item_vectors(df, Settings(least=1)).collect() == []
+
+
+def test_fit_keeps_the_vocabulary_off_the_driver(spark, monkeypatch):
+    """The library's fit collected it and trained in one task."""
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.sql import functions as F
+
+    from reelspark.operators import sequences
+
+    def never(*a, **k):
+        raise AssertionError("fitted on the driver")
+    monkeypatch.setattr(Word2Vec, "fit", never)
+    pos = spark.createDataFrame([(u, p, 10 + (u + p) % 4) for u in range(12) for p in range(6)] + [(100 + u, 0, 7) for u in range(5)] + [(200, 0, 8)], "uid bigint, pos bigint, mid bigint")
+    got = sequences.item_vectors(sequences.fit_item2vec(sequences.sentences(pos, tokens=3)))
+    assert sorted(x.mid for x in got.collect()) == [7, 10, 11, 12, 13]  # 7 has no neighbour, 8 stands once
+    assert got.where(F.size("vector") == 10).count() == 5
