@@ -104,3 +104,16 @@ def test_click_tower_is_the_fitted_model(spark):
     for u, scored in best.items():
         for rank, (s, m) in enumerate(sorted(scored)[:3], 1):
             assert got[u, rank][0] == m and got[u, rank][1] == pytest.approx(-s, abs=1e-8)
+
+
+def test_items_are_shuffled_to_few_blocks_of_users(spark, monkeypatch):
+    """Items went to each 256 users; a block of more users than meet a cell at once gives the same lists."""
+    from reelspark.operators import towers
+    assert towers.USER_BLOCK >= 8192
+    monkeypatch.setattr(towers, "USERS_AT_ONCE", 3)
+    t, r = _tower("relu", False, False), np.random.default_rng(9)
+    frame = lambda n, key: spark.createDataFrame([(k, r.normal(size=4).tolist(), []) for k in range(n)], f"{key} bigint, e array<double>, g array<double>")
+    users, items = frame(20, "uid").checkpoint(), frame(50, "mid").checkpoint()
+    seen = spark.createDataFrame([(u, m) for u in range(20) for m in range(50) if r.random() < 0.4], "uid bigint, mid bigint")
+    rows = lambda block: sorted(map(tuple, best_unseen(users, items, seen, t, 4, user_block=block, item_block=16).collect()))
+    assert rows(1000) == rows(2)
