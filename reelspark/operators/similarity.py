@@ -112,10 +112,14 @@ class GroupedPairs:
         be chosen (one slot for the id itself). Rows ``id, other, score, rank``."""
         first = top_k_per_group(self.members.select(F.col(self.id_col).alias(other_col), F.col("_rep").alias("_b")),
                                 ["_b"], [F.col(other_col).asc()], k + 1, "_r").drop("_r")
+        # So do all members of the id's own group: their lists are the group's k + 1 best, each without itself.
+        shown = F.round("score", tie_places)
+        best = top_k_per_group(self.rep_pairs.join(first, "_b"), ["_a"], [shown.desc(), F.col(other_col).asc()], k + 1, "_r")
+        lists = best.groupBy("_a").agg(F.array_sort(F.collect_list(F.struct("_r", F.col(other_col).alias("_o"), "score"))).alias("_l"))
         ma = self.members.select(F.col(self.id_col), F.col("_rep").alias("_a"))
-        cand = (ma.join(self.rep_pairs, "_a").join(first, "_b")
-                .where(F.col(self.id_col) != F.col(other_col)).select(self.id_col, other_col, "score"))
-        return top_k_per_group(cand, [self.id_col], [F.round("score", tie_places).desc(), F.col(other_col).asc()], k)
+        own = F.slice(F.filter("_l", lambda x: x["_o"] != F.col(self.id_col)), 1, k)
+        return (ma.join(lists, "_a").select(self.id_col, F.posexplode(own).alias("_p", "_x"))
+                .select(self.id_col, F.col("_x._o").alias(other_col), "_x.score", (F.col("_p") + 1).cast("bigint").alias("rank")))
 
 
 def as_grouped(sims, id_col: str = "mid", other_col: str = "sim_mid") -> GroupedPairs:

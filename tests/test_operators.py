@@ -224,3 +224,16 @@ def test_block_pairs_are_pruned_and_none_that_matters(spark, sf_dir):
     assert len(block_of) == 900
     for a, b in zip(*np.nonzero(v @ v.T > 0.6)):
         assert tuple(sorted((block_of[int(a)], block_of[int(b)]))) in left
+
+
+def test_factorised_top_k_ranks_groups_not_items(spark):
+    """Every item was ranked against the members of all partner groups; a group's list is now ranked once and its members leave themselves out."""
+    from reelspark.operators.similarity import GroupedPairs
+    reps = {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 4, 6: 6}
+    scores = {(0, 4): 0.9, (0, 6): 0.7, (4, 6): 0.8}
+    scores |= {(b, a): s for (a, b), s in scores.items()} | {(a, a): 1.0 for a in (0, 4, 6)}
+    g = GroupedPairs(spark.createDataFrame(list(reps.items()), "mid bigint, _rep bigint"), spark.createDataFrame([(*p, s) for p, s in scores.items()], "_a bigint, _b bigint, score double"))
+    top = g.top_k(3)
+    want = {(m, r, o, s) for m in reps for r, (s, o) in enumerate(sorted(((scores[reps[m], reps[o]], o) for o in reps if o != m), key=lambda x: (-x[0], x[1]))[:3], 1)}
+    assert {(x.mid, x.rank, x.sim_mid, x.score) for x in top.collect()} == want
+    assert "Window [row_number() windowspecdefinition(mid" not in top._jdf.queryExecution().executedPlan().toString()
