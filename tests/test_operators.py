@@ -237,3 +237,16 @@ def test_factorised_top_k_ranks_groups_not_items(spark):
     want = {(m, r, o, s) for m in reps for r, (s, o) in enumerate(sorted(((scores[reps[m], reps[o]], o) for o in reps if o != m), key=lambda x: (-x[0], x[1]))[:3], 1)}
     assert {(x.mid, x.rank, x.sim_mid, x.score) for x in top.collect()} == want
     assert "Window [row_number() windowspecdefinition(mid" not in top._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("cells", [1, 40, 1 << 22])
+def test_most_frequent_genres(cells):
+    """Genres of a history were sorted and searched row by row; they are counted by batches, with the same order."""
+    import pyarrow as pa
+    from collections import Counter
+    from reelspark.operators.features import _most_frequent
+    rnd = random.Random(3)
+    rows = [["|".join(rnd.choices(["x", "B", "b", "", "\u00e9", "zz", "\U0001f600"], k=rnd.randint(1, 5))) for _ in range(rnd.randint(0, 6))] for _ in range(60)]
+    want = [[g for g, _ in sorted(Counter(t for s in r for t in s.split("|")).items(), key=lambda x: (-x[1], x[0]))][:5] for r in rows]
+    assert _most_frequent(pa.array(rows, pa.list_(pa.string())).slice(3), 5, cells).to_pylist() == want[3:]
+    assert _most_frequent(pa.array([[], []], pa.list_(pa.string())), 5, cells).to_pylist() == [[], []]
