@@ -6,13 +6,18 @@ notices, adverts, forms, scripts, styles, reader comments) go. If the page
 marks its text (``article`` or ``main``), only the marked blocks take part.
 Then the pages of the same host decide: their token streams, all blocks end to
 end, are sorted as suffixes to a depth of ``RUN`` tokens, so that equal runs lie
-side by side; runs found on enough distinct pages are boilerplate and go,
-unique runs stay. In marked blocks a run must be on ``MARKED`` times as many
-pages. Pages of equal content count as one, so that a copied article is not
-taken for furniture.
+side by side; runs found on enough distinct pages of the host are boilerplate
+and go, unique runs stay. In marked blocks a run must be on ``MARKED`` times as
+many pages. Pages of equal content count as one (the one whose blocks hash
+smallest), so that a copied article is not taken for furniture.
 
-A host's pages are dealt by hash into parts of about ``PART_CHARS`` characters,
-each a bounded task of its own; furniture shows in every part.
+A host's contents are dealt by their hash into parts of about ``PART_CHARS``
+characters, each a bounded task with a suffix array of its own. A part sends the
+runs on ``SENT`` of its contents or more, and how many pages it may have left
+unsaid of any other run; summed over the host, this settles a run that is
+clearly over or under the host's threshold. The few between (most often none)
+are counted once more in all parts. So the parts only share the work: how many
+there are does not show in the texts. Runs are named by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,15 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import broadcast_if, prepare, released
+from reelspark.llm.common import CACHE_ENTRIES, broadcast_if, hash_words, ngram_hashes, prepare, released
+from reelspark.session import shuffle_files_removed
 
 #: Tokens a repeated run has at least (a power of two).
 RUN = 8
-#: Distinct pages a run must be on, and their share of the part's pages.
+#: Distinct pages a run must be on, and their share of the host's pages.
 MIN_PAGES, MIN_SHARE = 3, 0.2
+#: Share of a part's pages a run must be on to be sent; under MIN_SHARE, results do not depend on it.
+SENT = MIN_SHARE / 2
 #: How many times as many pages a run inside article or main must be on.
 MARKED = 2
 #: Share of a page's tokens that must be left, else the page keeps them all.
@@ -163,29 +172,51 @@ def page_blocks(page: str) -> list[tuple[str, int]]:
     return blocks
 
 
-_BLOCKS = "page_id bigint, url string, host string, __reel_part int, texts array<string>, zones array<int>"
+_CONTENTS = "host string, __reel_part int, __reel_n int, content binary, variant binary, stream string"
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A page's words with the hashes of its content and of all its blocks, dealt
+    by content. Of pages of equal content a task sends a later one only if its
+    blocks hash smaller (or the earlier are forgotten), so copies stay few."""
+    sent: dict[tuple, bytes] = {}
     for batch in released(batches):
-        found = [page_blocks(h or "") for h in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("page_id", "url", "host", "__reel_part")),
-             pa.array([[t for t, _ in b] for b in found], pa.list_(pa.string())),
-             pa.array([[z for _, z in b] for b in found], pa.list_(pa.int32()))],
-            names=["page_id", "url", "host", "__reel_part", "texts", "zones"])
+        rows = []
+        for host, n, page in zip(*(batch.column(c).to_pylist() for c in ("host", "__reel_n", "html")), strict=True):
+            blocks = page_blocks(page or "")
+            content = xxhash.xxh3_128_digest("\n".join(t for t, z in blocks if z != FURNITURE).encode())
+            variant = xxhash.xxh3_128_digest("\n".join(f"{z} {t}" for t, z in blocks).encode())
+            if variant < sent.get((host, content), b"\xff" * 17):
+                if len(sent) >= CACHE_ENTRIES:
+                    sent.clear()
+                sent[host, content] = variant
+                rows.append((host, int.from_bytes(content[:8]) % n, n, content, variant, " ".join(t for t, _ in blocks)))
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
+                                         names=["host", "__reel_part", "__reel_n", "content", "variant", "stream"])
 
 
-def repeated_runs(streams: list[np.ndarray], content: list[int], times: int = 1) -> list[np.ndarray]:
-    """Which tokens of each stream lie in a run of RUN tokens or more that enough
-    pages (``times`` as many) of distinct content share."""
-    sizes = [len(s) for s in streams]
-    total, need = sum(sizes), times * max(MIN_PAGES, int(np.ceil(MIN_SHARE * len(set(content)))))
-    if not total:
-        return [np.zeros(n, bool) for n in sizes]
+def _streams(table: pa.Table) -> list[list[str]]:
+    """The words of each content of a part, those of its page whose blocks hash smallest."""
+    best: dict[bytes, tuple] = {}
+    for content, variant, stream in zip(*(table.column(c).to_pylist() for c in ("content", "variant", "stream")), strict=True):
+        if content not in best or variant < best[content][0]:
+            best[content] = (variant, stream)
+    return [best[c][1].split() for c in sorted(best)]
+
+
+def least_pages(n: int) -> int:
+    """On how many of ``n`` distinct pages a run must be."""
+    return max(MIN_PAGES, int(np.ceil(MIN_SHARE * n)))
+
+
+def run_pages(streams: list[np.ndarray], content: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """For each token of the streams, end to end with a separator after each:
+    the rank of the run of RUN tokens that starts there among all runs, and on
+    how many pages of distinct content that run is."""
     # A separator of its own after every page keeps runs within a page.
     text = np.concatenate([np.append(s, -1 - i) for i, s in enumerate(streams)])
-    page = np.repeat(np.arange(len(streams)), [n + 1 for n in sizes])
+    page = np.repeat(np.arange(len(streams)), [len(s) + 1 for s in streams])
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
     depth = 1
     while depth < RUN:  # suffixes sorted to twice the depth, by the ranks of their halves
@@ -197,46 +228,137 @@ def repeated_runs(streams: list[np.ndarray], content: list[int], times: int = 1)
     order = np.lexsort((who, rank))
     new_run = np.append(True, rank[order][1:] != rank[order][:-1])
     new_page = new_run | np.append(True, who[order][1:] != who[order][:-1])
-    pages = np.bincount(rank[order], weights=new_page)
-    starts = pages[rank] >= need
-    covered = np.zeros(len(text) + RUN, np.int64)
+    return rank, np.bincount(rank[order], weights=new_page)[rank]
+
+
+def cover(starts: np.ndarray) -> np.ndarray:
+    """Which tokens lie in a run, given where runs of RUN tokens start."""
+    covered = np.zeros(len(starts) + RUN, np.int64)
     at = np.flatnonzero(starts)
-    np.add.at(covered, at, 1)
-    np.add.at(covered, at + RUN, -1)
-    inside = np.cumsum(covered)[:len(text)] > 0
+    covered[at] += 1
+    covered[at + RUN] -= 1
+    return np.cumsum(covered)[:len(starts)] > 0
+
+
+def repeated_runs(streams: list[np.ndarray], content: list[int], times: int = 1) -> list[np.ndarray]:
+    """Which tokens of each stream lie in a run of RUN tokens or more that enough
+    pages (``times`` as many) of distinct content share: the rule, for pages in
+    one place."""
+    sizes = [len(s) for s in streams]
+    if not sum(sizes):
+        return [np.zeros(n, bool) for n in sizes]
+    inside = cover(run_pages(streams, content)[1] >= times * least_pages(len(set(content))))
     ends = np.cumsum([n + 1 for n in sizes])
     return [inside[e - n - 1:e - 1] for n, e in zip(sizes, ends, strict=True)]
 
 
-_RESULT = "page_id bigint, url string, text string, n_chars bigint"
+_SENT = "host string, run bigint, pages bigint, below bigint"
 
 
-def _extract(table: pa.Table) -> pa.Table:
-    """Texts of one part of a host's pages."""
-    texts, zones = table.column("texts").to_pylist(), table.column("zones").to_pylist()
+def _sent_runs(table: pa.Table) -> pa.Table:
+    """The runs of a part that are on enough of its contents, and on how many.
+    ``below`` is how many the others are on at most; the row without a run has
+    the number of contents."""
+    streams = _streams(table)
+    host, n = table.column("host")[0].as_py(), len(streams)
+    # A host in one part needs no more than its own threshold.
+    least = least_pages(n) if table.column("__reel_n")[0].as_py() == 1 else max(1, int(np.ceil(SENT * n)))
     number: dict[str, int] = {}
-    streams = [np.array([number.setdefault(w, len(number)) for t in page for w in t.split()], np.int64) for page in texts]
-    names: dict[tuple, int] = {}
-    content = [names.setdefault(tuple(t for t, z in zip(p, zs, strict=True) if z != FURNITURE), len(names)) for p, zs in zip(texts, zones, strict=True)]
-    marked = [max(z, default=OPEN) > OPEN for z in zones]
-    runs = repeated_runs(streams, content) if not all(marked) else [None] * len(marked)
-    strict = repeated_runs(streams, content, MARKED) if any(marked) else [None] * len(marked)
+    ids = [np.array([number.setdefault(w, len(number)) for w in s], np.int64) for s in streams]
+    runs, pages = np.empty(0, np.uint64), np.empty(0, np.int64)
+    if any(len(s) >= RUN for s in ids):
+        rank, on = run_pages(ids, list(range(n)))
+        size = np.array([len(s) for s in ids])
+        begin = np.cumsum(size + 1) - size - 1
+        left = np.repeat(begin + size, size + 1) - np.arange(len(rank))  # tokens to the page's end
+        at = np.flatnonzero((left >= RUN) & (on >= least))
+        at = at[np.unique(rank[at], return_index=True)[1]]
+        words = hash_words([w.encode() for w in number])
+        text = np.concatenate([np.append(s, 0) for s in ids])
+        runs = ngram_hashes(words[text], RUN)[at]
+        pages = on[at].astype(np.int64)
+    return pa.table({"host": pa.array([host] * (len(runs) + 1), pa.string()),
+                     "run": pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(runs.view(np.int64))]),
+                     "pages": pa.array(np.append(n, pages), pa.int64()), "below": pa.array(np.full(len(runs) + 1, least - 1), pa.int64())})
+
+
+def _run_hashes(words: list[str]) -> np.ndarray:
+    return ngram_hashes(hash_words([w.encode() for w in words]), RUN)
+
+
+def _asked_runs(table: pa.Table, asked: pa.Table) -> pa.Table:
+    """On how many contents of a part each run asked for is."""
+    wanted = np.sort(asked.column("run").to_numpy().view(np.uint64))
+    pages = np.zeros(len(wanted), np.int64)
+    for words in _streams(table) if len(wanted) else ():
+        found = np.unique(_run_hashes(words))
+        pages[np.isin(wanted, found, assume_unique=True)] += 1
+    at = np.flatnonzero(pages)
+    host = asked.column("host")[0].as_py() if len(wanted) else ""
+    return pa.table({"host": pa.array([host] * len(at), pa.string()), "run": pa.array(wanted[at].view(np.int64)), "pages": pa.array(pages[at])})
+
+
+_BLOCKS = "page_id bigint, url string, host string, __reel_part int, texts array<string>, zones array<int>"
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in released(batches):
+        found = [page_blocks(h or "") for h in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("page_id", "url", "host", "__reel_part")),
+             pa.array([[t for t, _ in b] for b in found], pa.list_(pa.string())),
+             pa.array([[z for _, z in b] for b in found], pa.list_(pa.int32()))],
+            names=["page_id", "url", "host", "__reel_part", "texts", "zones"])
+
+
+_RESULT = "page_id bigint, url string, text string, n_chars bigint"
+
+
+def _extract(table: pa.Table, repeated: pa.Table) -> pa.Table:
+    """Texts of some pages of a host, given the host's repeated runs."""
+    runs = repeated.column("run").to_numpy().view(np.uint64)
+    strict = runs[repeated.column("strict").to_numpy().astype(bool)]
     out = []
-    for page, zone, least, covered in zip(texts, zones, marked, (s if m else r for m, r, s in zip(marked, runs, strict, strict=True)), strict=True):
-        words, gone, at = [], [], 0
-        for t, z in zip(page, zone, strict=True):
-            own = t.split()
-            if z >= (MAIN if least else OPEN):
-                words += own
-                gone += covered[at:at + len(own)].tolist()
-            at += len(own)
-        if len(words) - sum(gone) >= LEFT * len(words):
-            words = [w for w, c in zip(words, gone, strict=True) if not c]
-        out.append(" ".join(words))
+    for page, zone in zip(table.column("texts").to_pylist(), table.column("zones").to_pylist(), strict=True):
+        marked = max(zone, default=OPEN) > OPEN
+        those = strict if marked else runs
+        own = [t.split() for t in page]
+        stream = [w for ws in own for w in ws]
+        kept = np.repeat([z >= (MAIN if marked else OPEN) for z in zone], [len(ws) for ws in own]).astype(bool)
+        left = kept
+        if len(those) and len(stream) >= RUN:
+            starts = np.zeros(len(stream), bool)
+            starts[:len(stream) - RUN + 1] = np.isin(_run_hashes(stream), those)
+            left = kept & ~cover(starts)
+            if left.sum() < LEFT * kept.sum():
+                left = kept
+        out.append(" ".join(stream[i] for i in np.flatnonzero(left)))
     return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(out, pa.string()),
                      "n_chars": pa.array([len(t) for t in out], pa.int64())})
 
 
+def _host_runs(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """(host, run, strict): the repeated runs of every host, counted over all its pages."""
+    contents = rows.select("host", "__reel_n", "html").mapInArrow(_contents, _CONTENTS)
+    with shuffle_files_removed(rows.sparkSession):
+        sent = contents.groupBy("host", "__reel_part").applyInArrow(_sent_runs, _SENT).checkpoint()
+    totals = sent.where("run is null").groupBy("host").agg(F.sum("pages").alias("n"), F.sum("below").alias("_all"))
+    need = F.greatest(F.lit(MIN_PAGES), F.ceil(F.lit(MIN_SHARE) * F.col("n"))).cast("bigint")
+    judged = (sent.where("run is not null").groupBy("host", "run").agg(F.sum("pages").alias("pages"), F.sum("below").alias("_said"))
+              .join(totals, "host").select("host", "run", "pages", need.alias("need"), (F.col("pages") + F.col("_all") - F.col("_said")).alias("most"))
+              .where("most >= need").checkpoint())
+    between = judged.where(f"pages < need or pages < {MARKED} * need and most >= {MARKED} * need")
+    if not between.isEmpty():
+        asked = between.select("host", "run").join(parts, F.col("host") == F.col("__reel_host"))
+        asked = asked.select("host", F.explode(F.sequence(F.lit(0), F.col("__reel_n") - 1)).alias("__reel_part"), "run")
+        some = rows.join(between.select("host").distinct(), "host", "left_semi").select("host", "__reel_n", "html").mapInArrow(_contents, _CONTENTS)
+        with shuffle_files_removed(rows.sparkSession):
+            counted = (some.groupBy("host", "__reel_part").cogroup(asked.groupBy("host", "__reel_part"))
+                       .applyInArrow(_asked_runs, "host string, run bigint, pages bigint").groupBy("host", "run").agg(F.sum("pages").alias("_exact")).checkpoint())
+        judged = judged.join(counted, ["host", "run"], "left").withColumn("pages", F.coalesce("_exact", "pages"))
+    return judged.where("pages >= need").select("host", "run", (F.col("pages") >= MARKED * F.col("need")).alias("strict"))
+
+
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) per row of ``pages``.
 
@@ -244,7 +366,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     urls) form one more host. Very long pages are read whole; one longer than a
     part has a part of its own or shares one. There are no ties: every run on
     enough pages goes. Repeated rows each get a row; other columns are
-    ignored; an empty table gives an empty result.
+    ignored; an empty table gives an empty result. Neither the layout of the
+    table nor the number of parts shows in the result.
     """
     prepare(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
@@ -252,8 +375,10 @@ def extract_text(pages: DataFrame) -> DataFrame:
     parts = (rows.groupBy("host").agg(F.ceil(F.sum(F.length("html")) / PART_CHARS).cast("int").alias("n"))
              .select(F.col("host").alias("__reel_host"), F.greatest(F.coalesce("n", F.lit(1)), F.lit(1)).alias("__reel_n")).checkpoint())
     parts = broadcast_if(parts, parts.count())
-    dealt = (rows.join(parts, rows["host"] == parts["__reel_host"])
-             .withColumn("__reel_part", F.pmod(F.xxhash64("page_id", "url", "html"), F.col("__reel_n")).cast("int"))
+    rows = rows.join(parts, rows["host"] == parts["__reel_host"])
+    repeated = _host_runs(rows, parts).join(parts, F.col("host") == F.col("__reel_host"))
+    repeated = repeated.select("host", F.explode(F.sequence(F.lit(0), F.col("__reel_n") - 1)).alias("__reel_part"), "run", "strict")
+    dealt = (rows.withColumn("__reel_part", F.pmod(F.xxhash64("page_id", "url", "html"), F.col("__reel_n")).cast("int"))
              .select("page_id", "url", "host", "__reel_part", "html"))
-    return (dealt.mapInArrow(_parse, _BLOCKS).groupBy("host", "__reel_part")
+    return (dealt.mapInArrow(_parse, _BLOCKS).groupBy("host", "__reel_part").cogroup(repeated.groupBy("host", "__reel_part"))
             .applyInArrow(_extract, _RESULT))

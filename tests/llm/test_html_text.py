@@ -104,3 +104,27 @@ def test_parts_do_not_depend_on_the_layout(spark, monkeypatch):
     monkeypatch.setattr(html_text, "PART_CHARS", 4_000_000)
     assert texts[0] == texts[1] == sorted(tuple(r) for r in extract_text(_pages(spark, rows)).collect())
     assert all(notice not in r[2] for r in texts[0])
+
+
+def test_runs_near_the_threshold_are_counted_over_the_whole_host(spark, monkeypatch):
+    """Notices on 19 to 22 of 100 pages, marked and not, with copies: many parts give the texts of one part and of the rule."""
+    from reelspark.llm import html_text
+    notice = {k: " ".join(f"k{k}w{j}" for j in range(9)) for k in (17, 19, 20, 21, 22, 39, 40, 41)}
+    rows, streams = [], []
+    for i in range(100):
+        text = [" ".join(f"n{i}x{j}" for j in range(40)), *(t for k, t in notice.items() if (i * 37 + k) % 100 < k)]
+        streams.append(" ".join(text).split())
+        body = "".join(f"<div>{t}</div>" for t in text)
+        rows += [(i, f"http://a.example/{i}", body), (100 + i, f"http://b.example/{i}", f"<article>{body}</article>")]
+        rows += [(1000 + 10 * i + c, f"http://a.example/{i}/{c}", body) for c in range(i % 4)]
+    number = {w: i for i, w in enumerate(sorted({w for s in streams for w in s}))}
+    ids = [np.array([number[w] for w in s]) for s in streams]
+    want = {}
+    for times, first in ((1, 0), (html_text.MARKED, 100)):
+        for i, gone in enumerate(repeated_runs(ids, list(range(100)), times)):
+            want[first + i] = " ".join(w for w, g in zip(streams[i], gone, strict=True) if not g)
+    for i in range(100):
+        want |= {1000 + 10 * i + c: want[i] for c in range(i % 4)}
+    for chars in (2000, 10_000, 4_000_000):
+        monkeypatch.setattr(html_text, "PART_CHARS", chars)
+        assert {r.page_id: r.text for r in extract_text(_pages(spark, rows).repartition(3)).collect()} == want
