@@ -179,11 +179,12 @@ select uid, cast(r as bigint) rank, mid, round(score, 6) score from fb where r <
 
 def _fallback_lists(spark, d):
     """Lists of all users: the streaming list where there is one, else the most rated."""
-    ev = _events(spark, d)
-    # The lists (<= 10 rows per user) feed several steps; a reliable checkpoint computes them once.
+    # The events, the lists (<= 10 rows per user) and the newest ratings each feed several steps;
+    # reliable checkpoints parse the log and compute them once.
     checkpoint_dir(spark)
+    ev = _events(spark, d).select("uid", "mid", "score", "ts").checkpoint(eager=True)
     lists = rr.rerank_batch(ev, _sims(spark, d)).checkpoint(eager=True)
-    rated = last_write_wins(ev, ["uid", "mid"], list(rr.EVENT_ORDER), ["score"])
+    rated = last_write_wins(ev, ["uid", "mid"], list(rr.EVENT_ORDER), ["score"]).checkpoint(eager=True)
     return serving.stream_fallback(lists, stats.most_rated(rated), rated, src.users(spark, d))
 
 

@@ -30,26 +30,24 @@ TIE_PLACES = 9
 def filter_log(lines: DataFrame, col: str = "line", prefix: str = RATING_LOG_PREFIX) -> DataFrame:
     """S12/S13/ST2/P12: keep lines containing the prefix; the message is the
     trimmed text between its first and any second occurrence."""
-    quoted = "".join("\\" + ch if not ch.isalnum() and ch != "_" else ch for ch in prefix)
     return (lines.where(F.col(col).contains(prefix))
-            .withColumn("message", F.trim(F.get(F.split(F.col(col), quoted), 1)))
-            .where(F.col("message").isNotNull()))
+            .withColumn("message", F.trim(F.split_part(F.col(col), F.lit(prefix), F.lit(2)))))
 
 
 def parse_messages(messages: DataFrame, col: str = "message") -> DataFrame:
     """ST3/P6/P15: ``uid|mid|score|ts`` to typed columns; rows with another
-    field count or an unparsable field are dropped."""
-    parts = F.split(F.col(col), r"\|")
-    typed = messages.select(
-        "*",
-        F.size(parts).alias("_nf"),
-        F.trim(F.get(parts, 0)).try_cast("bigint").alias("uid"),
-        F.trim(F.get(parts, 1)).try_cast("bigint").alias("mid"),
-        F.trim(F.get(parts, 2)).try_cast("double").alias("score"),
-        F.trim(F.get(parts, 3)).try_cast("bigint").alias("ts"))
+    field count or an unparsable field are dropped.
+
+    The fields come from a generator over the split message: conditions on them
+    are not moved below it, so that a message is built and split once and not
+    once more for every condition."""
+    names = {"uid": "bigint", "mid": "bigint", "score": "double", "ts": "bigint"}
+    typed = F.transform(F.array(F.split(F.col(col), r"\|")), lambda p: F.struct(
+        F.size(p).alias("_nf"), *[F.trim(F.get(p, i)).try_cast(kind).alias(name) for i, (name, kind) in enumerate(names.items())]))
+    rows = messages.select("*", F.inline(typed))
     ok = (F.col("_nf") == 4) & F.col("uid").isNotNull() & F.col("mid").isNotNull() \
         & F.col("score").isNotNull() & F.col("ts").isNotNull()
-    return typed.where(ok).drop("_nf")
+    return rows.where(ok).drop("_nf")
 
 
 def rating_log_line(uid: Column, mid: Column, score: Column, ts: Column) -> Column:

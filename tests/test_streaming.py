@@ -114,3 +114,21 @@ def test_candidates_with_large_groups_and_many_seen(spark):
     seen = spark.createDataFrame([(1, i) for i in range(0, 60)] + [(2, 500)], "uid long, mid long")
     got = sorted((r.uid, r["rank"], r.mid) for r in rr.candidates(last, seen, GroupedPairs(members, pairs)).collect())
     assert got == [(1, i + 1, 60 + i) for i in range(10)] + [(2, 1, 501)] + [(2, i + 2, i) for i in range(9)]
+
+
+def test_the_log_is_parsed_once(spark, sf_dir):
+    """A message is split once per row, and the fallback lists read the log once."""
+    from reelspark.plans.q_stream import _fallback_lists
+    optimized = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    plan = optimized(_events(spark, sf_dir).select("uid", "mid", "score", "ts"))
+    assert plan.count("split(") == 1
+    assert "event_type" in plan and "event_type" not in optimized(_fallback_lists(spark, sf_dir))
+
+
+def test_message_fields(spark):
+    """Bad rows go; a message ends at a second prefix; other columns stay."""
+    p = "MOVIE_RATING_PREFIX:"
+    lines = [f"x {p}1|2|3.5|4", f"{p} 1 | 2 | NaN | 4 {p}9|9|9|9", f"{p}1|2|3", f"{p}1|2|3|4|5", f"{p}a|2|3|4", f"{p}1||3|4", p, "1|2|3|4", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "n int, line string")
+    got = rr.parse_messages(rr.filter_log(df)).orderBy("n").collect()
+    assert [(r.n, r.message, r.uid, r.mid, str(r.score), r.ts) for r in got] == [(0, "1|2|3.5|4", 1, 2, "3.5", 4), (1, "1 | 2 | NaN | 4", 1, 2, "nan", 4)]
