@@ -24,6 +24,7 @@ from __future__ import annotations
 import heapq
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +41,7 @@ EVENT_SCHEMA = "uid long, mid long, score double, ts long"
 STATE_OUT_SCHEMA = "uid long, mid long, recent array<struct<mid:long,score:double>>"
 LIST_SCHEMA = "array<struct<rank:long,mid:long,score:double>>"
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Rated items sent on together.
+#: Rated items sent on together, and most of a user's that are looked up in one read of the state.
 CHUNK = 10_000
 
 
@@ -62,33 +63,43 @@ class UserState(StatefulProcessor):
         self._recent = handle.getListState("recent", "ts long, mid long, score double")
         self._rated = handle.getMapState("rated", "mid long", "ts long, score double")
 
-    def _rate(self, rated: dict) -> None:
-        for mid, (ts, score) in rated.items():
-            old = self._rated.getValue((mid,)) if self._rated.containsKey((mid,)) else None
-            if old is None or (old[0], old[1]) < (ts, score):
-                self._rated.updateValue((mid,), (ts, score))
+    def _rate(self, rated: dict, known: dict | None) -> dict | None:
+        """``known``: the user's items as kept, or None if there are over CHUNK,
+        which are looked up one by one (a call to the state store each)."""
+        for mid, new in rated.items():
+            if known is not None:
+                old = known.get(mid)
+            else:
+                old = tuple(self._rated.getValue((mid,))) if self._rated.containsKey((mid,)) else None
+            if old is None or old < new:
+                self._rated.updateValue((mid,), new)
+                if known is not None:
+                    known[mid] = new
+        return known if known is None or len(known) <= CHUNK else None
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         """Ratings from before the stream's first event count as rated, not as recent."""
         for _, rated in newest_events([], iter([initialState])):
-            self._rate(rated)
+            self._rate(rated, None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         newest: list[tuple] = [tuple(r) for r in self._recent.get()]
+        known: dict | None = {k[0]: tuple(v) for k, v in islice(self._rated.iterator(), CHUNK + 1)}
+        known = known if len(known) <= CHUNK else None
         for newest, rated in newest_events(newest, rows):
-            self._rate(rated)
+            known = self._rate(rated, known)
         self._recent.put(newest)
         uid = key[0]
-        recent = [{"mid": m, "score": s} for _, m, s in newest[:MAX_USER_RATINGS_NUM]]
-        yield pd.DataFrame({"uid": [uid], "mid": [newest[0][1]], "recent": [recent]})
-        chunk: list[int] = []
-        for mid in self._rated.keys():  # noqa: SIM118
-            chunk.append(mid[0])
-            if len(chunk) == CHUNK:
-                yield pd.DataFrame({"uid": uid, "mid": chunk, "recent": [[] for _ in chunk]})
-                chunk = []
+        # The newest events come first, in one frame with the first rated items.
+        chunk, recents = [newest[0][1]], [[{"mid": m, "score": s} for _, m, s in newest[:MAX_USER_RATINGS_NUM]]]
+        for mid in known if known is not None else (k[0] for k in self._rated.keys()):  # noqa: SIM118
+            chunk.append(mid)
+            recents.append([])
+            if len(chunk) >= CHUNK:
+                yield pd.DataFrame({"uid": uid, "mid": chunk, "recent": recents})
+                chunk, recents = [], []
         if chunk:
-            yield pd.DataFrame({"uid": uid, "mid": chunk, "recent": [[] for _ in chunk]})
+            yield pd.DataFrame({"uid": uid, "mid": chunk, "recent": recents})
 
     def close(self) -> None:
         pass

@@ -132,3 +132,47 @@ def test_message_fields(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "n int, line string")
     got = rr.parse_messages(rr.filter_log(df)).orderBy("n").collect()
     assert [(r.n, r.message, r.uid, r.mid, str(r.score), r.ts) for r in got] == [(0, "1|2|3.5|4", 1, 2, "3.5", 4), (1, "1 | 2 | NaN | 4", 1, 2, "nan", 4)]
+
+
+class _Map(dict):
+    """A map state that counts its lookups."""
+    lookups = 0
+
+    def containsKey(self, k):
+        self.lookups += 1
+        return k in self
+
+    def getValue(self, k):
+        self.lookups += 1
+        return self[k]
+
+    def updateValue(self, k, v):
+        self[k] = v
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
+class _List(list):
+    def get(self):
+        return iter(list(self))
+
+    def put(self, rows):
+        self[:] = rows
+
+
+@pytest.mark.parametrize("most", [10_000, 3])
+def test_state_of_a_user_is_read_at_once(monkeypatch, most):
+    """Rated items are not looked up one by one unless there are very many; both ways give the same state and rows."""
+    monkeypatch.setattr(job, "CHUNK", most)
+    state = job.UserState()
+    state._rated, state._recent = _Map({(5,): (9, 1.0)}), _List()
+    events = [(i % 7, float(i % 5), i) for i in range(20)]
+    for at in (0, 8):
+        pdfs = [pd.DataFrame(events[a:a + 4], columns=["mid", "score", "ts"]) for a in range(at, (8, 20)[at > 0], 4)]
+        out = pd.concat(list(state.handleInputRows((1,), iter(pdfs), None)))
+    assert {k[0]: v for k, v in state._rated.items()} == {m: max((t, s) for i, s, t in events if i == m) for m in range(7)}
+    assert [tuple(r)[0] for r in state._recent] == list(range(19, -1, -1))
+    sizes = out["recent"].map(len).tolist()
+    assert sizes == [20] + [0] * 7 and out["mid"].tolist()[0] == 5 and sorted(out["mid"].tolist()[1:]) == list(range(7)) and set(out["uid"]) == {1}
+    assert (state._rated.lookups == 0) == (most > 7)
