@@ -47,6 +47,49 @@ def test_large_candidate_lists_are_cut(spark):
     assert json.loads(got[1].request)["test"][3] == {"user_idx": 1, "item_idx": 2006} and got[1].mids[3] == 1003
 
 
+def test_responses_of_many_requests(spark):
+    """Users within a request change from pair to pair, keys are null, pairs are null, places without a pair stay."""
+    users, items, layers = _model(spark)
+    want = {(r.user_idx, r.item_idx): r.score for r in scoring.score_pairs(users.crossJoin(items).select("user_idx", "item_idx"), users, items, layers).collect()}
+    r = np.random.default_rng(5)
+    asked = {}
+    for key in [(None, 0), (None, 1), *((f"k{i % 40}", i) for i in range(300))]:
+        asked[key] = [None if r.random() < 0.05 else (int(r.integers(0, 5)), int(r.integers(0, 10))) for _ in range(int(r.integers(0, 60)))]
+    text = lambda pairs: json.dumps({"test": [p and {"user_idx": p[0], "item_idx": p[1]} for p in pairs]})
+    frame = spark.createDataFrame([(*k, text(v)) for k, v in asked.items()], "a string, b bigint, request string").repartition(5)
+    answers = requests.respond(frame, ["a", "b"], users, items, layers)
+    got = {(x.a, x.b): json.loads(x.response)[0] for x in answers.collect()}
+    assert got.keys() == asked.keys()
+    for key, pairs in asked.items():
+        expected = [want.get(p) for p in pairs]
+        assert [x is None for x in got[key]] == [x is None for x in expected]
+        assert np.allclose([x for x in got[key] if x is not None], [x for x in expected if x is not None], rtol=0, atol=1e-12)
+    assert answers._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1  # parsed once
+
+
+def test_users_are_joined_once_per_request(spark):
+    users, items, layers = _model(spark)
+    frame = spark.createDataFrame([(i, json.dumps({"test": [{"user_idx": i % 4, "item_idx": j % 9} for j in range(50)]})) for i in range(30)], "id bigint, request string")
+    assert requests.parse_requests(frame, ["id"]).count() == 30  # before: one row per pair, 1,500
+    assert all(len(json.loads(r.response)[0]) == 50 for r in requests.respond(frame, ["id"], users, items, layers).collect())
+
+
+def test_requests_of_users_over_several_ranges(spark):
+    """Every range ends within a user; the lists are those of the whole order, with the items of their places."""
+    rows = [(u, m, u, m * 3) for u, n in ((1, 700), (2, 1), (3, 1200), (4, 26), (5, 333)) for m in range(n)] + [(None, 5, 1, 15), (6, 8, 6, None)]
+    candidates = spark.createDataFrame(rows, "uid bigint, mid bigint, user_idx bigint, item_idx bigint").repartition(7)
+    got = {(r.uid, r.part): (r.mids, json.loads(r.request)["test"]) for r in requests.build_requests(candidates, 25).collect()}
+    want = {}
+    for u, m, x, i in sorted(r for r in rows if r[0] is not None):
+        mids, pairs = want.setdefault((u, m // 25 if u != 6 else 0), ([], []))
+        mids.append(m)
+        pairs.append({"user_idx": x} if i is None else {"user_idx": x, "item_idx": i})
+    assert got == want
+    index = spark.createDataFrame([(u, u) for u in range(1, 7)], "uid bigint, user_idx bigint")
+    lists = requests.candidate_lists(candidates.drop("user_idx"), 25).join(index, "uid")
+    assert {(r.uid, r.part): (r.mids, json.loads(r.request)["test"]) for r in requests.write_requests(lists).collect()} == want
+
+
 def test_history_of_a_hot_user(spark):
     rows = [(1, i, 2.5, 1000 - i) for i in range(237)] + [(2, 5, 4.0, 7), (3, 8, 1.0, 5), (3, 6, 1.0, 5)]
     ratings = spark.createDataFrame(rows, "uid bigint, mid bigint, score double, ts bigint").repartition(6)
