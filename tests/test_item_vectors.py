@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from reelspark.operators import item_vectors
 from reelspark.operators.item_vectors import Settings, context_pairs, fit_item_vectors, sgns_cell
 from reelspark.operators.similarity import dense_cosine_pairs
 
@@ -79,3 +80,17 @@ def test_fit_keeps_the_vocabulary_off_the_driver(spark, monkeypatch):
     got = sequences.item_vectors(sequences.fit_item2vec(sequences.sentences(pos, tokens=3)))
     assert sorted(x.mid for x in got.collect()) == [7, 10, 11, 12, 13]  # 7 has no neighbour, 8 stands once
     assert got.where(F.size("vector") == 10).count() == 5
+
+
+def test_pairs_are_read_off_runs_without_a_join(spark, monkeypatch):
+    """Before, each place was sent to a join once for each place of its window."""
+    monkeypatch.setattr(item_vectors, "RUN", 7)
+    monkeypatch.setattr(item_vectors, "PAIRS_AT_ONCE", 50)
+    seq = [5, 3, 5, 8, 1, 3, 3, 9, 2, 5, 8, 1, 0, 4, 4, 6, 7, 5, 3, 2, 1]
+    rows = [(u, p, m + u) for u in range(3) for p, m in enumerate(seq)] + [(None, 0, 3)]
+    placed = spark.createDataFrame(rows, "uid bigint, pos bigint, mid bigint")
+    got = context_pairs(placed, Settings(window=4, least=1))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    want = [(seq[i] + u, seq[j] + u) for u in range(3) for i in range(len(seq)) for j in range(len(seq)) if i != j and abs(i - j) <= 4]
+    assert sorted((x.left, x.right) for x in got.collect()) == sorted(want)
